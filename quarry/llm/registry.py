@@ -6,20 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, line_dedup, packing, token_files
+from quarry.llm import exact_dedup, line_dedup, mixing, packing, quality_rules, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_token_files": token_files.op6_token_files,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
+        "op8_source_mix": mixing.op8_source_mix,
+        "op9_secret_scan": secrets.op9_secret_scan,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_line_dedup": line_dedup.OP2_SQL,
+        "op4_quality_rules": quality_rules.OP4_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
     }
