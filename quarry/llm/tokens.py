@@ -15,22 +15,27 @@ import numpy as np
 
 #: Unicode White_Space: what \s means to the library's patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
+#: Latin letters; between one of them and a point or comma both vocabularies split.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
 PIECES = {
     # a run of white space leaves its last character to the next piece
-    "byte": re.compile(f" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"),
-    "word": re.compile(f"[^{WHITE}]+"),
+    "byte": re.compile(f" ?[{LETTERS}]+(?=[.,])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"),
+    "word": re.compile(f"[{LETTERS}]+(?=[.,])|[^{WHITE}]+"),
 }
-KEPT_PIECES = 700_000  # about 150 MB in a worker
-LONGEST_KEPT = 48
+KEPT_PIECES = 400_000  # about 80 MB in a worker
+LONGEST_KEPT = 12  # longer ones seldom come again
+LONGEST_TOGETHER = 48
 
 
 class Encoder:
     """``encode(text)`` gives the bytes of the ids, unsigned 32 bit, little-endian.
 
-    Unknown pieces of a text share one library call. What tells them apart in
-    its ids: a byte-level piece starts with a space, or gets a line end put
-    before it, and no other token starts with either; a word piece gets a
-    control character between spaces put before it."""
+    Unknown pieces of a text share a library call. What tells them apart in its
+    ids: a byte-level piece starts with a space, or gets a line end put before
+    it, and no other token starts with either. A word piece of letters ends
+    with the one token of it that is marked as a word's end; any other gets a
+    control character between spaces put before it. Where the count of marks
+    is not that of the pieces, each goes to the library alone."""
 
     def __init__(self, path: str, kind: str, keep: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -44,10 +49,14 @@ class Encoder:
         self.known: dict[str, bytes] = {}
         self.before = "\n" if self.byte else " \x01 "
         (self.before_id,) = self.library.encode(self.before, add_special_tokens=False).ids
-        self.starts = np.zeros(self.library.get_vocab_size() + 1, bool)
+        size = self.library.get_vocab_size() + 1
+        self.starts, self.ends = np.zeros(size, bool), np.zeros(size, bool)
         self.starts[self.before_id] = True
+        vocabulary = self.library.get_vocab()
         if self.byte:
-            self.starts[[i for t, i in self.library.get_vocab().items() if t[0] == "\u0120"]] = True  # a space in the library's alphabet
+            self.starts[[i for t, i in vocabulary.items() if t[0] == "\u0120"]] = True  # a space in the library's alphabet
+        else:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -60,30 +69,37 @@ class Encoder:
         pieces = self.split(text)
         got = list(map(self.known.get, pieces))
         if None in got:
-            new = self.learn(dict.fromkeys(p for p, x in zip(pieces, got, strict=True) if x is None))
-            got = [new[p] if x is None else x for p, x in zip(pieces, got, strict=True)]
+            new = self.learn({p for p, x in zip(pieces, got) if x is None})  # noqa: B905
+            got = [new[p] if x is None else x for p, x in zip(pieces, got)]  # noqa: B905
         return b"".join(got)
 
-    def learn(self, pieces) -> dict[str, bytes]:
-        new, together, joined = {}, [], []
-        for p in pieces:
-            if len(p) > LONGEST_KEPT or p.isspace() or "\x01" in p:
-                new[p] = self.whole(p)
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        odd = {p for p in pieces if len(p) > LONGEST_TOGETHER or "\x01" in p or p.isspace()}
+        new = {p: self.whole(p) for p in odd}
+        rest = list(pieces - odd) if odd else list(pieces)
+        if not self.byte:
+            letters = [p for p in rest if p.isalpha()]
+            rest = [p for p in rest if not p.isalpha()]
+            if letters:
+                ids = self.ids(" ".join(letters))
+                at = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+                raw = ids.tobytes()
+                new.update(zip(letters, [raw[i:j] for i, j in zip(at, at[1:])]) if len(at) == len(letters) + 1 and at[-1] == len(raw) else [(p, self.whole(p)) for p in letters])  # noqa: B905
+        if rest:
+            before = self.before
+            ids = self.ids("".join([p if p[0] == " " else before + p for p in rest]))
+            at = np.flatnonzero(self.starts[ids])
+            if len(at) == len(rest) and at[0] == 0:
+                raw, first = ids.tobytes(), at + (ids[at] == self.before_id)
+                new.update(zip(rest, [raw[i:j] for i, j in zip((4 * first).tolist(), [*(4 * at[1:]).tolist(), len(raw)])]))  # noqa: B905
             else:
-                together.append(p)
-                joined.append(p if self.byte and p[0] == " " else self.before + p)
-        ids = np.array(self.library.encode_batch_fast(["".join(joined)], add_special_tokens=False)[0].ids, dtype="<u4")
-        at = np.flatnonzero(self.starts[ids])
-        if not together or len(at) != len(together):
-            new.update((p, self.whole(p)) for p in together)
-        else:
-            ends = [*(4 * at[1:]).tolist(), 4 * len(ids)]
-            raw = ids.tobytes()
-            for p, i, j, put in zip(together, (4 * at).tolist(), ends, (ids[at] == self.before_id).tolist(), strict=True):
-                new[p] = raw[i + 4 * put : j]
+                new.update((p, self.whole(p)) for p in rest)
         if len(self.known) + len(new) > self.keep:
             self.known.clear()
-        self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST_KEPT)
+        self.known.update([x for x in new.items() if len(x[0]) <= LONGEST_KEPT])
         return new
 
 
