@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_rules, secrets, token_files
+from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, secrets, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_dedup": near_dedup.op1_near_dedup,
         "op2_line_dedup": line_dedup.op2_line_dedup,
+        "op3_quality_crf": quality_crf.op3_quality_crf,
         "op4_quality_rules": quality_rules.op4_quality_rules,
         "op5_exact_dedup": exact_dedup.op5_exact_dedup,
         "op6_token_files": token_files.op6_token_files,
