@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, secrets, token_files
+from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, secrets, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_best_fit_packing": packing.op7_best_fit_packing,
         "op8_source_mix": mixing.op8_source_mix,
         "op9_secret_scan": secrets.op9_secret_scan,
+        "op10_token_counts": token_counts.op10_token_counts,
     }
 
 
