@@ -222,18 +222,18 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(x, np.concatenate(chars), np.array([len(c) for c in chars]), np.array([q for _, _, q in rows], float))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """Adds ``score`` to all columns of ``docs``; null text is empty. Rows stay where they are."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """Adds the score as column ``name`` to all columns of ``docs``; null text is empty. Rows stay where they are."""
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [model.scores(*line_features(texts)) for _, texts in _batches(b, place)]
             scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, "__score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, name])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{ddl}, `__score` double").withColumnRenamed("__score", "score")
+    return docs.mapInArrow(run, f"{ddl}, `{name}` double")
 
 
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
