@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from quarry.llm import common, tokens
 
 STEP = 512  # bits between entries of a rank directory
-SEGMENT_TOKENS = 1 << 20
-SHARD_ROWS = 20_000
+SEGMENT_TOKENS = 1 << 16
+SHARD_ROWS = 5_000
 
 
 def pack(ids: np.ndarray) -> bytes:
@@ -129,7 +129,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     shards = shards or common.parts_for(docs.count(), SHARD_ROWS, 12)
     ordered = docs.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ordered.mapInArrow(encode, SEGMENTS).write.parquet(path)
+    # small row groups: a reader holds a few of them, not a shard
+    ordered.mapInArrow(encode, SEGMENTS).write.option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -149,7 +150,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             for shard_, segment_, ids, nulls, ends, code in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
                 s, ends = Segment(code), np.frombuffer(ends, "<i8")
                 begins = np.concatenate([[0], ends[:-1]])
-                sums = [zlib.crc32(s.run(i, j).tobytes()) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
+                raw = s.run(0, len(s)).tobytes()  # all documents are wanted: one run instead of one for each
+                sums = [zlib.crc32(raw[4 * i : 4 * j]) for i, j in zip(begins.tolist(), ends.tolist(), strict=True)]
                 n = len(ends)
                 doc_id = pa.array(np.frombuffer(ids, "<i8"), mask=np.frombuffer(nulls, np.uint8).astype(bool))
                 yield pa.RecordBatch.from_arrays([pa.array([shard_] * n, pa.int32()), pa.array([segment_] * n, pa.int32()), doc_id, pa.array(begins, pa.int64()), pa.array(ends - begins, pa.int64()), pa.array(sums, pa.int64())], names=["shard", "segment", "doc_id", "at", "n_tokens", "ids_crc32"])
