@@ -22,8 +22,8 @@ PIECES = {
     "byte": re.compile(f" ?[{LETTERS}]+(?=[.,])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"),
     "word": re.compile(f"[{LETTERS}]+(?=[.,])|[^{WHITE}]+"),
 }
-KEPT_PIECES = 400_000  # about 80 MB in a worker
-LONGEST_KEPT = 12  # longer ones seldom come again
+KEPT_PIECES = 2_000_000  # up to 350 MB in a worker
+LONGEST_KEPT = 16  # longer ones seldom come again
 LONGEST_TOGETHER = 48
 
 
