@@ -59,6 +59,8 @@ def expand_parents(candidates: DataFrame, chunks: DataFrame, max_tokens: int = 1
     """Adds content: the chunk, or the first chunks of its parent section that fit the budget, the first always.
 
     ``chunks``: source, doc_id, parent_id, chunk_index, text. Each parent's text is made once."""
+    # k rows for each query, wanted twice: to find the sections and to take them
+    candidates = candidates.persist()
     own = candidates.join(chunks.select("source", "doc_id", "parent_id", F.col("text").alias("own")), ["source", "doc_id"])
     wanted = own.where(F.coalesce("parent_id", F.lit("")) != "").select("source", "parent_id").distinct()
     order = Window.partitionBy("source", "parent_id").orderBy("chunk_index", "doc_id")
