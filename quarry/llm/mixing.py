@@ -22,6 +22,7 @@ SHARE = 1.5  # of all words
 MOST = 2  # times a source's words
 BITS = 10  # of the hash at each level
 DEPTH = 6  # levels
+SENT = 50_000  # rows, of some 100 bytes, of a table that is sent to all tasks
 FEW = 64  # documents (hashes) that are tried one by one
 
 #: Words of a text.
@@ -59,10 +60,15 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, sh
     return out
 
 
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """Sent to all tasks while it has ``SENT`` rows at most; beyond, a join that can split a large source."""
+    return F.broadcast(table) if rows <= SENT else table
+
+
 def _table(spark: SparkSession, sources: list[Source]) -> DataFrame:
-    """One row for each source; Spark broadcasts it only while it is small."""
+    """One row for each source."""
     rows = [(s.name is None, s.name or "", s.size, s.target, s.times, s.threshold, s.level) for s in sources]
-    return spark.createDataFrame(rows, "no_source boolean, source_key string, source_size long, target double, times int, threshold long, level int")
+    return _small(spark.createDataFrame(rows, "no_source boolean, source_key string, source_size long, target double, times int, threshold long, level int"), len(rows))
 
 
 KEY = ["no_source", "source_key"]
@@ -132,7 +138,8 @@ def mix(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sized = _keyed(docs).withColumns({"size": F.expr(SIZE), "h": F.expr(HASH)})
     sources = thresholds(common.written(sized.select(*KEY, "size", "h"), "sizes"))
-    chosen = spark.createDataFrame([(s.name is None, s.name or "", h, 1) for s in sources for h in s.chosen], "no_source boolean, source_key string, h long, extra int")
+    extra = [(s.name is None, s.name or "", h, 1) for s in sources for h in s.chosen]
+    chosen = _small(spark.createDataFrame(extra, "no_source boolean, source_key string, h long, extra int"), len(extra))
     out = sized.join(_table(spark, sources), KEY, "left").join(chosen, [*KEY, "h"], "left")
     below = (F.col("level") > 0) & (_bits("level") < F.col("threshold"))
     copies = F.coalesce(F.col("times") + below.cast("int") + F.coalesce("extra", F.lit(0)), F.lit(0))

@@ -203,7 +203,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     spark = docs.sparkSession
     usable = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     chosen = [(r.doc_id, r.quality) for r in usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect()]
-    sample = docs.select("doc_id", "text").join(spark.createDataFrame(chosen, "doc_id long, quality int"), "doc_id")
+    sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, quality int")), "doc_id")  # SAMPLE rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
