@@ -10,10 +10,13 @@ corrected for those that agree by chance, and pairs that lie five standard
 deviations below the threshold go. What remains is confirmed on the full sets.
 
 No group is paired off. In each bucket of a band the first class is held
-against the others; what that links is one component already. Only where a
-bucket has several components left are further members, in blocks, held
-against those of other components, until all are done. So no link between
-components is lost, and a large group of near copies costs one pair a member."""
+against the others, then a member drawn by hash, another one in every bucket;
+what that links is one component already. Only where a bucket has several
+components left are further members, in blocks, held against those of other
+components, until all are done. So no link between components is lost, and a
+group whose members link costs a few pairs a member. Members that share bands
+but do not link, as copies with many edits, still have to be held against each
+other."""
 
 from __future__ import annotations
 
@@ -34,7 +37,8 @@ BUCKETS = 256
 MANTISSA = 10
 BANDS, ROWS = 42, 6  # a pair at 0.8 shares no band with a chance of 3 in a million
 DEVIATIONS = 5
-BLOCK = 64  # members of a bucket that are held against the others in one turn
+ROTATIONS = 2  # turns in which each bucket holds one further member, drawn by hash, against the others
+BLOCK = 1000  # members of a bucket that are held against the others in one turn after that
 TOGETHER = 100  # pairs that one copy of a pivot's text serves
 BATCH_BYTES = 2 << 20
 
@@ -230,6 +234,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     pairs = members.where("node <> p").select("p", F.col("node").alias("q")).distinct()
     links = written(_links(pairs, sketched, texts, size, per_cent), "links")
     label = components(links)
+    for turn in range(ROTATIONS):
+        labelled = members.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node").alias("p"), F.col("label").alias("label_p"))).alias("drawn")
+        mixed = written(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), drawn).where("a < b").select("key", "drawn.p", "drawn.label_p"), "drawn")
+        if not mixed.take(1):
+            break
+        pairs = written(labelled.join(mixed, "key").where("label <> label_p").select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q")).distinct(), "pairs")
+        links = written(links.unionByName(_links(pairs, sketched, texts, size, per_cent)), "links")
+        label = written(components(links), "components")
     open_ = members.select("key", "node", F.col("p").alias("last"))
     while True:
         # buckets that still have members of several components, beyond those held against all others
