@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
+
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"(?i)password|passwd|secret|token|api_?key"
@@ -35,7 +37,9 @@ def _spans(text: Column, pattern: str, kind: int, length_of: int | None = None,
     What stands between matches and the matches themselves, in turn, add up to the places."""
     gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     measured = F.regexp_extract_all(text, F.lit(pattern), F.lit(length_of)) if length_of else found
-    pairs = F.transform(found, lambda m, i: F.struct(F.char_length(F.get(gaps, i)).alias("gap"), F.char_length(m).alias("n"), F.char_length(F.get(measured, i)).alias("m")))
+    # each pattern runs over the text once, not once for every match
+    parts = F.struct(gaps.alias("gaps"), found.alias("found"), measured.alias("measured"))
+    pairs = let(parts, lambda p: F.transform(p["found"], lambda m, i: F.struct(F.char_length(F.get(p["gaps"], i)).alias("gap"), F.char_length(m).alias("n"), F.char_length(F.get(p["measured"], i)).alias("m"))))
     empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
@@ -84,7 +88,12 @@ def _statistics(x: Column) -> Column:
     n = F.size(codes).cast("double")
     count = lambda a, f: F.size(F.filter(a, f)).cast("double")
     # cells of equal share of the alphabet, as near as it divides
-    chi = sum((((count(codes, lambda c, j=j: F.floor(c * CELLS / k) == j) - n * size(j, k) / k) * (count(codes, lambda c, j=j: F.floor(c * CELLS / k) == j) - n * size(j, k) / k)) / (n * size(j, k) / k) for j in range(CELLS)), F.lit(0.0))
+    def cell(j: int) -> Column:
+        expected = n * size(j, k) / k
+        off = count(codes, lambda c: F.floor(c * CELLS / k) == j) - expected
+        return off * off / expected
+
+    chi = sum((cell(j) for j in range(CELLS)), F.lit(0.0))
     df = CELLS - 1
     z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / ((2 / (9 * df)) ** 0.5)
     high = F.transform(codes, lambda c: (c * 2 >= k).cast("int"))
@@ -112,23 +121,27 @@ def _random(text: Column, base: Column) -> Column:
     """Spans of runs that the battery takes for random and that no base span overlaps."""
     shares = [x.split() for x in LETTERS.split(", ")]
     known = F.create_map(*(v for letter, share in shares for v in (F.lit(letter), F.lit(float(share) / 1000))))
-    runs, spans = F.regexp_extract_all(text, F.lit(RUN), F.lit(0)), _spans(text, RUN, 3)
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("run"), _spans(text, RUN, 3).alias("span"))
 
-    def described(run: Column, i: Column) -> Column:
+    def described(x: Column) -> Column:
+        run = x["run"]
         t = _tested(run)
         body, alphabet = t["body"], t["alphabet"]
-        letters = F.split(body, "(?!^)")
+        letters = F.filter(F.split(body, ""), lambda c: c != "")
         codes = F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
         odds = F.aggregate(letters, F.lit(0.0), lambda a, c: a - F.log(F.char_length(alphabet) * F.coalesce(F.get(F.filter(F.map_values(F.map_filter(known, lambda key, _: key == c)), lambda v: v.isNotNull()), F.lit(0)), F.lit(SIGN_SHARE))))
-        return F.struct(F.get(spans, i).alias("span"), codes.alias("codes"), F.char_length(alphabet).alias("k"), F.least(F.exp(F.least(-odds, F.lit(0.0))), F.lit(1.0)).alias("odds"), alphabet.isNotNull().alias("encoded"))
+        return F.struct(x["span"].alias("span"), codes.alias("codes"), F.char_length(alphabet).alias("k"), F.least(F.exp(F.least(-odds, F.lit(0.0))), F.lit(1.0)).alias("odds"), alphabet.isNotNull().alias("encoded"))
 
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    all_ = F.filter(F.transform(runs, described), lambda x: x["encoded"] & free(x["span"]))
-    passed = F.filter(all_, lambda x: _statistics(x) >= LEVEL)
-    ranked = F.sort_array(F.transform(passed, lambda x: F.struct(x["odds"].alias("odds"), x["span"].alias("span"))))
-    # step-up over all runs of the text: as many as the largest rank within its level
-    largest = F.aggregate(F.transform(ranked, lambda x, i: F.when(x["odds"] <= RATE * (i + 1) / F.size(runs), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
-    return F.transform(F.slice(ranked, F.lit(1), largest), lambda x: x["span"])
+    def chosen(all_runs: Column) -> Column:
+        encoded = F.filter(F.transform(all_runs, described), lambda x: x["encoded"] & free(x["span"]))
+        passed = F.filter(encoded, lambda x: _statistics(x) >= LEVEL)
+        ranked = F.sort_array(F.transform(passed, lambda x: F.struct(x["odds"].alias("odds"), x["span"].alias("span"))))
+        # step-up over all runs of the text: as many as the largest rank within its level
+        within = lambda r: F.aggregate(F.transform(r, lambda x, i: F.when(x["odds"] <= RATE * (i + 1) / F.size(all_runs), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        return let(ranked, lambda r: F.transform(F.slice(r, F.lit(1), within(r)), lambda x: x["span"]))
+
+    return let(found, chosen)
 
 
 def _written(spans: Column) -> Column:
