@@ -4,9 +4,12 @@ A document's hash decides whether it is in the mix: those below its source's
 threshold are taken once more than those above. Thresholds come from histograms:
 words summed by source and leading bits of the hash; the running sum finds the
 bucket where the budget ends, and only that bucket is summed again by its next
-bits. When it holds few documents, those from it on are tried one by one. Nothing is sorted
-and no document is moved; the thresholds are nested, so a larger budget takes
-all that a smaller one does, but for the last few."""
+bits. When it holds few documents, they are tried one by one. A document that is
+larger than what is left is passed over, and the search goes on behind that
+bucket among the documents that are not, with a new threshold, until none is left:
+the mix is what taking documents in order of their hash would give. Nothing is
+sorted and no document is moved; a larger budget takes all that a smaller one
+does below its first threshold."""
 
 from __future__ import annotations
 
@@ -23,7 +26,8 @@ MOST = 2  # times a source's words
 BITS = 10  # of the hash at each level
 DEPTH = 6  # levels
 SENT = 50_000  # rows, of some 100 bytes, of a table that is sent to all tasks
-FEW = 64  # documents (hashes) that are tried one by one
+FEW = 64  # documents of a bucket that are tried one by one; larger buckets are summed by more bits first
+ALL = 2**63 - 1  # the last hash; a size that no row exceeds
 
 #: Words of a text.
 SIZE = r"CAST(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS LONG)"
@@ -37,11 +41,14 @@ class Source:
     size: int
     target: float = 0.0
     times: int = 0  # how often every document is taken
-    left: float = 0.0  # words still to be taken
+    left: int = 0  # words still to be taken
+    first: int = 0  # the first hash that is not decided
+    largest: int = ALL  # rows above this size do not fit
     threshold: int = 0  # the bucket where the budget ends, by its leading bits
     level: int = 0
     done: bool = False
-    chosen: list[int] = field(default_factory=list)  # hashes taken from that bucket on
+    taken: list[tuple[int, int, int]] = field(default_factory=list)  # first hash, last hash and largest size of rows taken
+    chosen: list[tuple[int, int]] = field(default_factory=list)  # hashes taken one by one, and the largest size
 
 
 def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> dict[str | None, float]:
@@ -67,8 +74,15 @@ def _small(table: DataFrame, rows: int) -> DataFrame:
 
 def _table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     """One row for each source."""
-    rows = [(s.name is None, s.name or "", s.size, s.target, s.times, s.threshold, s.level) for s in sources]
-    return _small(spark.createDataFrame(rows, "no_source boolean, source_key string, source_size long, target double, times int, threshold long, level int"), len(rows))
+    rows = [(s.name is None, s.name or "", s.size, s.target, s.times, s.taken) for s in sources]
+    return _small(spark.createDataFrame(rows, "no_source boolean, source_key string, source_size long, target double, times int, taken array<struct<first:long,last:long,largest:long>>"), len(rows))
+
+
+def _within(sizes: DataFrame, ranges: list[tuple[Source, int, int]]) -> DataFrame:
+    """Rows of each source's range of hashes that are not too large for it; adds left and level."""
+    rows = [(s.name is None, s.name or "", first, last, s.largest, s.left, s.level) for s, first, last in ranges]
+    table = sizes.sparkSession.createDataFrame(rows, "no_source boolean, source_key string, first long, last long, largest long, left long, level int")
+    return sizes.join(_small(table, len(rows)), KEY).where("h between first and last and size <= largest")
 
 
 KEY = ["no_source", "source_key"]
@@ -83,50 +97,58 @@ def _bits(level: F.Column | int) -> F.Column:
     return F.expr(f"shiftright(h, 63 - {BITS} * ({level}))")
 
 
+def _bucket(s: Source) -> tuple[int, int]:
+    """First and last hash of the bucket that a source is at, as far as they are not decided."""
+    shift = 63 - BITS * s.level
+    return max(s.first, s.threshold << shift), ((s.threshold + 1) << shift) - 1
+
+
 def thresholds(sizes: DataFrame) -> list[Source]:
-    """``sizes``: no_source, source_key, size, h. What reaches the driver is a row for each source."""
-    spark = sizes.sparkSession
+    """``sizes``: no_source, source_key, size, h. What reaches the driver is a row for each source, and few documents."""
     totals = {None if r.no_source else r.source_key: r.size for r in sizes.groupBy(*KEY).agg(F.sum("size").alias("size")).collect()}
     goal = targets(totals)
     sources = []
     for name, size in totals.items():
         times = int(goal[name] // size) if size else 0
-        s = Source(name, size, goal[name], times, goal[name] - times * size)
+        s = Source(name, size, goal[name], times, int(goal[name] - times * size))
         s.done = s.left < 1
         sources.append(s)
     by_name = {s.name: s for s in sources}
     while not_done := [s for s in sources if not s.done]:
         # rows of each source's last bucket, summed by their next bits
-        part = sizes.join(_table(spark, not_done).select(*KEY, "threshold", "level"), KEY).where("level = 0 or shiftright(h, 63 - 10 * level) = threshold".replace("10", str(BITS)))
-        buckets = part.groupBy(*KEY, _bits("level + 1").alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+        part = _within(sizes, [(s, *_bucket(s)) for s in not_done])
+        buckets = part.groupBy(*KEY, "left", _bits("level + 1").alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"))
         before = Window.partitionBy(*KEY).orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         running = buckets.withColumn("upto", F.sum("size").over(before))
-        lefts = spark.createDataFrame([(s.name is None, s.name or "", float(s.left)) for s in not_done], "no_source boolean, source_key string, left double")
         # the first bucket that the budget does not cover whole
-        ends = running.join(lefts, KEY).where("upto > left").groupBy(*KEY).agg(F.min(F.struct("bucket", "upto", "size", "n")).alias("b"))
-        found = {None if r.no_source else r.source_key: r.b for r in ends.collect()}
-        few = []
-        for s in not_done:
-            b = found.get(s.name)
-            s.level += 1
-            if b is None:  # all of the bucket fits
-                s.threshold, s.done = (s.threshold + 1 if s.level > 1 else 1) << BITS, True
-                continue
-            s.threshold, s.left = b.bucket, s.left - (b.upto - b.size)
-            if b.n <= FEW:
-                few.append(s)
-            s.done = b.n <= FEW or s.level == DEPTH
-        if few:
-            rows = sizes.join(_table(spark, few).select(*KEY, "threshold", "level"), KEY)
-            rows = rows.where((_bits("level - 1") == F.expr(f"shiftright(threshold, {BITS})")) & (_bits("level") >= F.col("threshold")))
-            first = F.dense_rank().over(Window.partitionBy(*KEY).orderBy("h"))
-            # at most FEW hashes of each source, cut off before anything is dealt out
-            tried = rows.select(*KEY, "h", "size", first.alias("nth")).where(F.col("nth") <= FEW).groupBy(*KEY, "h").agg(F.sum("size").alias("size"))
-            for r in sorted(tried.collect(), key=lambda r: r.h):
+        ends = running.groupBy(*KEY).agg(F.min(F.when(F.col("upto") > F.col("left"), F.struct("bucket", "upto", "size", "n"))).alias("b"), F.sum("n").alias("n"))
+        found = {None if r.no_source else r.source_key: r for r in ends.collect()}
+        tried, room = [], SENT
+        for s in sorted(not_done, key=lambda s: found[s.name].n if s.name in found else 0):
+            n, b = (found[s.name].n, found[s.name].b) if s.name in found else (0, None)
+            if b is None:  # all that is left fits
+                s.taken.append((s.first, ALL, s.largest))
+                s.done = True
+            elif s.first and not s.level and n <= room:  # so little is left behind a threshold that all can be tried
+                room -= n
+                tried.append((s, s.first, ALL))
+            else:
+                s.level, s.threshold, s.left = s.level + 1, b.bucket, s.left - (b.upto - b.size)
+                if b.n <= FEW or s.level == DEPTH:
+                    first, last = _bucket(s)
+                    if first > s.first:
+                        s.taken.append((s.first, first - 1, s.largest))
+                    tried.append((s, first, last))
+        if tried:
+            rows = _within(sizes, tried).groupBy(*KEY, "h").agg(F.sum("size").alias("size"))
+            for r in sorted(rows.collect(), key=lambda r: r.h):
                 s = by_name[None if r.no_source else r.source_key]
                 if r.size <= s.left:
                     s.left -= r.size
-                    s.chosen.append(r.h)
+                    s.chosen.append((r.h, s.largest))
+        for s, _, last in tried:
+            s.done = s.left < 1 or last == ALL
+            s.first, s.largest, s.threshold, s.level = last + 1, s.left, 0, 0
     return sources
 
 
@@ -138,11 +160,11 @@ def mix(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     sized = _keyed(docs).withColumns({"size": F.expr(SIZE), "h": F.expr(HASH)})
     sources = thresholds(common.written(sized.select(*KEY, "size", "h"), "sizes"))
-    extra = [(s.name is None, s.name or "", h, 1) for s in sources for h in s.chosen]
-    chosen = _small(spark.createDataFrame(extra, "no_source boolean, source_key string, h long, extra int"), len(extra))
+    extra = [(s.name is None, s.name or "", h, largest) for s in sources for h, largest in s.chosen]
+    chosen = _small(spark.createDataFrame(extra, "no_source boolean, source_key string, h long, most long"), len(extra))
     out = sized.join(_table(spark, sources), KEY, "left").join(chosen, [*KEY, "h"], "left")
-    below = (F.col("level") > 0) & (_bits("level") < F.col("threshold"))
-    copies = F.coalesce(F.col("times") + below.cast("int") + F.coalesce("extra", F.lit(0)), F.lit(0))
+    once_more = F.expr("exists(taken, x -> h between x.first and x.last and size <= x.largest) or size <= most")
+    copies = F.coalesce(F.col("times") + F.coalesce(once_more, F.lit(False)).cast("int"), F.lit(0))
     return out.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
 
 

@@ -260,6 +260,40 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd).count() == len(ODD)
 
 
+def in_hash_order(rows):
+    """Words still missing when documents of (hash, size) are taken in order of their hashes wherever they fit, and the hashes."""
+    total = sum(n for _, n in rows)
+    left, taken = int(1.5 * total) - total, []
+    sums = defaultdict(int)
+    for h, n in rows:
+        sums[h] += n
+    for h in sorted(sums):
+        if left >= 1 and sums[h] <= left:
+            left -= sums[h]
+            taken.append(h)
+    return left, set(taken)
+
+
+@pytest.mark.parametrize("driver", [True, False])
+def test_mixing_large_document(spark, monkeypatch, driver):
+    """A document of half a source stands at the boundary; short ones behind it fill its place."""
+    if not driver:
+        monkeypatch.setattr(mixing, "SENT", 0)
+        monkeypatch.setattr(mixing, "FEW", 3)
+    rng = random.Random(8)
+    rows = [(1000 * s + i, "w " * rng.randrange(20, 61), f"s{s}") for s in range(3) for i in range(500)]
+    rows += [(1000 * s + 999, "w " * sum(t.count("w") for _, t, x in rows if x == f"s{s}"), f"s{s}") for s in range(3)]
+    rows += [(None, "w " * 30, "s0")] * 5
+    missing = []
+    for s in range(3):  # one source a table: the target is one and a half times its words
+        docs = table(spark, [r for r in rows if r[2] == f"s{s}"])
+        got = mixing.mix(docs).select(F.expr("xxhash64('mix', doc_id, text) & 9223372036854775807").alias("h"), "size", "target", "copies").collect()
+        left, taken = in_hash_order([(r.h, r.size) for r in got])
+        missing.append((got[0].target - sum(r.size * r.copies for r in got)) / got[0].target)
+        assert {r.h for r in got if r.copies == 2} == taken and {r.copies for r in got} <= {1, 2}
+    assert max(missing) < 0.001
+
+
 KEYS = ("password", "passwd", "secret", "token", "api_key", "APIKEY")
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in k) for k in ("password", "passwd", "secret", "token", "api_key", "apikey")) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
