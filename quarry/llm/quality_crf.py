@@ -9,8 +9,9 @@ curve.
 Labels exist for documents only, so lines are labelled in turns: at first all
 lines of a bad document are bad; then those that the field takes for good are
 good, and it is fitted again. It is fitted on a bounded sample of the labelled
-rows, ``SAMPLE`` documents of at most ``SAMPLE_LINES`` lines each; scores read
-every line of every text. Labels, lang, source and doc_id are no evidence."""
+rows, the whole texts of ``SAMPLE`` documents; scores read every line of every
+text. Gradients are summed over groups of documents, so that the driver holds 44
+bytes for each line of the sample and working space for one group. Labels, lang, source and doc_id are no evidence."""
 
 from __future__ import annotations
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SAMPLE = 2000
-SAMPLE_LINES = 150
+GROUP_LINES = 200_000  # lines that are worked on together, or one document
 TURNS = 3
 STEPS = 80
 THRESHOLD = 0.3
@@ -141,18 +142,53 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def _ascend(x: np.ndarray, y: np.ndarray, per_text: np.ndarray, weights: np.ndarray, bond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Group:
+    """Some documents of the sample: features, lengths and lines of each, and which lines are of bad ones."""
+
+    x: np.ndarray
+    chars: np.ndarray
+    per_text: np.ndarray
+    of_bad: np.ndarray
+    y: np.ndarray
+
+    def near(self) -> np.ndarray:
+        return with_neighbours(self.x.astype(float), self.per_text)
+
+
+def _groups(x: np.ndarray, chars: np.ndarray, per_text: np.ndarray, quality: np.ndarray) -> Iterator[Group]:
+    """Documents in turn, ``GROUP_LINES`` lines at most unless one has more."""
+    ends = np.cumsum(per_text)
+    i = 0
+    while i < len(per_text):
+        begin = ends[i] - per_text[i]
+        j = max(i + 1, int(np.searchsorted(ends, begin + GROUP_LINES, side="right")))
+        of_bad = np.repeat(quality[i:j] == 0, per_text[i:j])
+        yield Group(x[begin : ends[j - 1]], chars[begin : ends[j - 1]], per_text[i:j], of_bad, ~of_bad)
+        i = j
+
+
+def _ascend(groups: list[Group], weights: np.ndarray, bond: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Penalised likelihood by gradient steps of adapted size."""
-    inner = np.ones(len(y), bool)
-    inner[np.cumsum(per_text) - per_text] = False
-    at = np.flatnonzero(inner)
-    seen = np.array([[((y[at - 1] == a) & (y[at] == b)).sum() for b in (0, 1)] for a in (0, 1)], float)
-    n = len(y)
+    seen = np.zeros((2, 2))
+    for group in groups:
+        inner = np.ones(len(group.y), bool)
+        inner[np.cumsum(group.per_text) - group.per_text] = False
+        at = np.flatnonzero(inner)
+        seen += [[((group.y[at - 1] == a) & (group.y[at] == b)).sum() for b in (0, 1)] for a in (0, 1)]
+    n = sum(len(group.y) for group in groups)
+    # one group keeps what it is worked on with; several are set up in turn
+    alone = groups[0].near() if len(groups) == 1 else None
     theta, m, v = np.concatenate([weights, bond.ravel()]), 0.0, 0.0
     for step in range(1, STEPS + 1):
         w, t = theta[:-4], theta[-4:].reshape(2, 2)
-        p, pairs = forward_backward(x @ w, t, per_text)
-        g = np.concatenate([x.T @ (y - p), (seen - pairs).ravel()]) / n - 1e-4 * theta
+        slope, all_pairs = np.zeros(len(w)), np.zeros((2, 2))
+        for group in groups:
+            near = group.near() if alone is None else alone
+            p, pairs = forward_backward(near @ w, t, group.per_text)
+            slope += near.T @ (group.y - p)
+            all_pairs += pairs
+        g = np.concatenate([slope, (seen - all_pairs).ravel()]) / n - 1e-4 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta + 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return theta[:-4], theta[-4:].reshape(2, 2)
@@ -162,13 +198,13 @@ def fit(x: np.ndarray, chars: np.ndarray, per_text: np.ndarray, quality: np.ndar
     model = Model(np.zeros(3 * FEATURES - 2), np.zeros((2, 2)), 1.0, 0.0)
     if not len(quality):
         return model
-    near, of_bad = with_neighbours(x, per_text), np.repeat(quality == 0, per_text)
-    y = np.where(of_bad, 0.0, 1.0)
+    groups = list(_groups(x, chars, per_text, quality))
     for _ in range(TURNS):
-        model.weights, model.bond = _ascend(near, y, per_text, model.weights, model.bond)
-        p, _ = forward_backward(near @ model.weights, model.bond, per_text)
-        y = np.where(of_bad & (p < 0.5), 0.0, 1.0)
-    z = _logit(model.documents(x, chars, per_text))
+        model.weights, model.bond = _ascend(groups, model.weights, model.bond)
+        for group in groups:
+            p, _ = forward_backward(group.near() @ model.weights, model.bond, group.per_text)
+            group.y = ~(group.of_bad & (p < 0.5))
+    z = _logit(np.concatenate([model.documents(group.x.astype(float), group.chars.astype(float), group.per_text) for group in groups]))
     a, b = 1.0, 0.0
     for _ in range(300):  # logistic curve by damped Newton steps, with a small penalty
         s = 1 / (1 + np.exp(-(a * z + b)))
@@ -210,16 +246,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
             rows = []
             for i, texts in _batches(b, 1):
                 for k, t in enumerate(texts, i):
-                    x, chars, _ = line_features([b"\n".join(t.split(b"\n", SAMPLE_LINES)[:SAMPLE_LINES])])
+                    x, chars, _ = line_features([t])
                     rows.append((x.astype("<f4").tobytes(), chars.astype("<f4").tobytes(), b.column(2)[k].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.binary(), pa.binary(), pa.int32()])], names=["x", "chars", "quality"])
 
     rows = sorted((bytes(r.x), bytes(r.chars), r.quality) for r in sample.select("doc_id", F.col("text").cast("string"), "quality").mapInArrow(features, "x binary, chars binary, quality int").collect())
     if not rows:
         return fit(np.zeros((0, FEATURES)), np.zeros(0), np.zeros(0, np.int64), np.zeros(0))
-    chars = [np.frombuffer(c, "<f4").astype(float) for _, c, _ in rows]
-    x = np.concatenate([np.frombuffer(x, "<f4") for x, _, _ in rows]).reshape(-1, FEATURES).astype(float)
-    return fit(x, np.concatenate(chars), np.array([len(c) for c in chars]), np.array([q for _, _, q in rows], float))
+    if sum(len(c) for _, c, _ in rows) > 4 * GROUP_LINES:
+        rows.sort(key=lambda r: len(r[1]))  # a group takes as many steps as its longest document has lines
+    per_text, quality = np.array([len(c) // 4 for _, c, _ in rows]), np.array([q for _, _, q in rows], float)
+    x, chars = (np.frombuffer(b"".join(r[k] for r in rows), "<f4") for k in (0, 1))
+    del rows
+    return fit(x.reshape(-1, FEATURES), chars, per_text, quality)
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

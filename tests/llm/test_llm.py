@@ -142,6 +142,32 @@ def test_quality_crf_marginals():
         at += n
 
 
+def test_quality_crf_long_documents(spark):
+    """Junk after 160 clean lines of a labelled document is learnt."""
+    rng = random.Random(4)
+    clean = lambda: " ".join(rng.choice(("river", "stone", "light", "paper", "green", "quiet")) for _ in range(9)) + "."
+    junk = lambda: "$$ " + " ".join(rng.choice(("BUY", "WIN", "##", "!!!", "| |", "777")) for _ in range(9))
+    rows = [(i, "\n".join([clean() for _ in range(160)] + [(junk if i % 2 else clean)() for _ in range(160)]), "a") for i in range(16)]
+    docs, labels = table(spark, rows), spark.createDataFrame([(i, 1 - i % 2) for i in range(16)], "doc_id long, quality int")
+    model = quality_crf.train(docs, labels)
+    scores = {r.doc_id: r.s for r in quality_crf.score(docs, model, "s").select("doc_id", "s").collect()}
+    assert max(scores[i] for i in scores if i % 2) < 0.3 and min(scores[i] for i in scores if not i % 2) > 0.7
+
+
+def test_quality_crf_groups(monkeypatch):
+    """Groups of documents give the same fit as all together."""
+    rng = random.Random(5)
+    line = lambda words: " ".join(rng.choice(words) for _ in range(rng.randrange(4, 12)))
+    texts = ["\n".join([line(("river", "stone", "light.")) for _ in range(20 + i)] + [line(("BUY", "##", "| |", "777")) if i % 3 == 0 else line(("paper", "green.")) for _ in range(20)]).encode() for i in range(16)]
+    x, chars, per_text = quality_crf.line_features(texts)
+    quality = np.array([float(i % 3 > 0) for i in range(16)])
+    one = quality_crf.fit(x, chars, per_text, quality)
+    monkeypatch.setattr(quality_crf, "GROUP_LINES", 100)
+    many = quality_crf.fit(x, chars, per_text, quality)
+    assert len(list(quality_crf._groups(x, chars, per_text, quality))) > 5
+    assert np.allclose(one.weights, many.weights, atol=1e-5) and np.allclose(one.bond, many.bond, atol=1e-5) and np.allclose([one.slope, one.shift], [many.slope, many.shift], atol=1e-5)
+
+
 def test_quality_crf_held_out(spark):
     out = registry.queries()["op3_quality_crf"](spark, "/root/testdata/sf0.01").toPandas()
     labels = duckdb.sql("SELECT doc_id, quality FROM '/root/testdata/sf0.01/labels.parquet'").df()
