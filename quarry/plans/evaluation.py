@@ -40,14 +40,18 @@ def _grams(text: str):
 
 
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id: documents that hold the whole text of a benchmark item of seven words or more.
+    """query_id, doc_id: documents that hold the whole text of a benchmark item.
 
-    One run of words inside the item finds the candidates: documents that lack it cannot hold the item."""
-    q = tables.queries(spark, sf_dir).withColumn("key", F.get(_grams("query"), F.lit(1)))
+    One run of words inside the item finds the candidates: documents that lack it cannot hold the item.
+    The first and last word may be parts of longer ones in a document, so an item of fewer than seven
+    words has no such run and is looked for in all documents."""
+    q = tables.queries(spark, sf_dir).withColumn("inner", F.size(T.bm25_tokens(F.col("query"))) >= GRAM + 2)
     d = corpus(spark, sf_dir).select("doc_id", "text")
     keys = d.select("doc_id", F.explode(F.array_distinct(_grams("text"))).alias("key"))
-    near = keys.join(q.where("key is not null").select("query_id", "key"), "key").select("query_id", "doc_id").distinct()
-    return near.join(q.select("query_id", "query"), "query_id").join(d, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    near = keys.join(q.where("inner").select("query_id", F.get(_grams("query"), F.lit(1)).alias("key")), "key").select("query_id", "doc_id").distinct()
+    long = near.join(q.where("inner").select("query_id", "query"), "query_id").join(d, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    short = d.join(F.broadcast(q.where("not inner").select("query_id", "query")), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
+    return long.unionByName(short)
 
 
 def gold_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,6 +127,20 @@ def test_gold(spark):
     assert out == {1: (["c1"], "anchor"), 2: (["c1", "c2"], "page"), 3: ([], "anchor")}
 
 
+def test_gold_of_short_items(spark, tmp_path):
+    """Items without five inner words, at word ends and within words, as the twin finds them."""
+    docs = [(1, "see one two three four five sixteen and more", "a"), (2, "Alpha beta gammas", "a"), (3, "none of it", "b"), (4, "xone two three four five six seventy", "b"), (5, None, "b")]
+    items = [(1, "one two three four five six"), (2, "beta gamma"), (3, "it"), (4, "one two three four five six seven"), (5, "beta Gamma"), (6, "..."), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    want = sorted(con.sql(registry.oracle_sql()["gold_by_containment"]).fetchall())
+    assert want == [(1, 1), (1, 4), (2, 2), (3, 3), (4, 4)]
+    assert sorted(map(tuple, registry.queries()["gold_by_containment"](spark, str(tmp_path)).collect())) == want
+
+
 def test_metrics(spark):
     items = spark.createDataFrame([("d", 1, list("abcde"), ["c", "e"])], "dataset string, item_id long, retrieved array<string>, gold array<string>")
     r = metrics.score_items(items).first()
