@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,27 +22,94 @@ _fallback: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is absent (tests, a single machine) a temporary folder
-    of this process is used instead."""
+    Where the setting is absent, a temporary folder stands in on a single
+    machine (master ``local``); a cluster must name one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="quarry-")
     return _fallback[app]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read back.
 
-    This cuts lineage: lost executors cost at most the stages since the last
-    table. The tables stay until the shared folder is cleared, as a lazily
-    returned result may still read them."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/quarry/{name}-{uuid.uuid4().hex}"
+    This cuts lineage: lost executors cost at most the stages since the last table."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables of one run of an operator. Those that its result no longer reads can be deleted."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path = new_path(self.spark, name)
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Deletes all tables but ``keep``."""
+        kept = {id(t) for t in keep}
+        for key in [k for k in self.paths if k not in kept]:
+            delete(self.spark, self.paths.pop(key)[0])
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` has it (names are compared without case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def hold(owner: str, drop: Callable[[], None]) -> None:
+    """In a worker process: ``owner`` keeps a table from task to task; ``drop`` empties it."""
+    _held[owner] = drop
+
+
+def release(owner: str = "") -> None:
+    """At the start of a task: tables that other operators' tasks have left in this worker go, and freed memory with them."""
+    others = [k for k in _held if k != owner]
+    for k in others:
+        _held.pop(k)()
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Hands freed memory back to the system, where the C library can."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -60,6 +129,15 @@ def lower_bytes(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass").translate(_LOWER_TABLE)
 
 
+def raw_bytes(value: pa.Scalar) -> memoryview | bytes:
+    """UTF-8 of a string or binary scalar, not copied; null is empty."""
+    return memoryview(value.as_buffer()) if value.is_valid else b""
+
+
+def lowered(raw: memoryview | bytes) -> bytes:
+    return bytes(raw).translate(_LOWER_TABLE)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection on 64-bit words."""
     x = x.astype(np.uint64, copy=True)

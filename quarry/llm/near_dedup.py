@@ -9,41 +9,53 @@ classes together. The Jaccard coefficient is estimated from the registers,
 corrected for those that agree by chance, and pairs that lie five standard
 deviations below the threshold go. What remains is confirmed on the full sets.
 
-No group is paired off. In each bucket of a band the first class is held
-against the others, then a member drawn by hash, another one in every bucket;
-what that links is one component already. Only where a bucket has several
-components left are further members, in blocks, held against those of other
-components, until all are done. So no link between components is lost, and a
-group whose members link costs a few pairs a member. Members that share bands
-but do not link, as copies with many edits, still have to be held against each
-other."""
+No group is paired off. In each bucket of a band the first class is held against
+the others; what that links is one component already. Buckets whose other
+members are still of several components form clusters. A cluster gets a centre,
+the shingles that most of a few of its members have, and each member is written
+as its difference D from the centre. With per_cent = t a pair is linked exactly
+where W(a) + W(b) <= 2 (100 + t) |D(a) & D(b)|, W = (100 + t) |D| - (100 - t) n.
+So the member with the least W, say m, is linked to all with W <= -W(m), and
+members of this core need no further look: one pass over the cluster. Only the
+others can have a link that is not known yet, and such a link needs shared
+differences. They are held against all members in blocks of bounded size, on
+inverted lists of differences, exactly and whatever the centre; what a task
+gives is a spanning set of the links it finds.
+
+Hashes: a word of up to 256 bytes is a sum over its letters with a random odd
+multiplier for each place, mixed, so two given words agree with a chance of
+2**-56 at most, whatever their letters; a longer word is its BLAKE2 digest.
+Classes are told apart by two sums over all hashes, mixed differently, and the
+count."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from quarry.llm import common
-from quarry.llm.common import mix64, written
+from quarry.llm.common import mix64
 from quarry.llm.components import components
 
 BUCKETS = 256
 MANTISSA = 10
 BANDS, ROWS = 42, 6  # a pair at 0.8 shares no band with a chance of 3 in a million
 DEVIATIONS = 5
-ROTATIONS = 2  # turns in which each bucket holds one further member, drawn by hash, against the others
-BLOCK = 1000  # members of a bucket that are held against the others in one turn after that
-TOGETHER = 100  # pairs that one copy of a pivot's text serves
-BATCH_BYTES = 2 << 20
+TOGETHER = 100  # texts that one copy of a pivot's text, or of a centre, serves
+CENTRE_OF, CENTRE_SHINGLES = 31, 500_000  # members that a centre is drawn from, and their shingles (one member at least)
+BLOCK, BLOCK_SHINGLES = 1000, 250_000  # members of a block, and differences in it, about; one member at least
+SLICE = 1 << 20  # bytes of text that are hashed together
+WORD = 256  # bytes of a word that is hashed letter by letter
 
 _rng = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_LETTER = _rng.integers(1, 2**63, WORD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHINGLE = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND = _rng.integers(1, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -58,37 +70,74 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def shingle_sets(texts: list[bytes], size: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each lower-cased text; fewer words are one shingle."""
-    data = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+def _long_word(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word of a lower-cased text that ends with white space begins, and its hash."""
+    data = np.frombuffer(text, np.uint8)
     space = _SPACE[data]
     edge = np.diff(space.astype(np.int8), prepend=1)
     first, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    end = end[end > 0][-len(first) :] if len(first) else first
-    bounds = np.cumsum([0] + [len(t) + 1 for t in texts])
-    if len(first):
-        lengths = end - first
-        powers = np.full(int(lengths.max()), _BASE, np.uint64)
-        powers[0] = 1
-        powers = np.multiply.accumulate(powers)
-        letters = np.flatnonzero(~space)
-        place = letters - np.repeat(first, lengths)
-        begin = np.cumsum(lengths) - lengths
-        words = mix64(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * powers[place], begin) + lengths.astype(np.uint64))
-        joined = np.zeros(max(0, len(words) - size + 1), np.uint64)
-        for k in range(size):
-            joined += words[k : len(words) - size + 1 + k] * _SHINGLE[k] if len(joined) else np.uint64(0)
-        joined = mix64(joined)
-    of = np.searchsorted(first, bounds)
-    out = []
-    for i, j in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
-        if j - i >= size:
-            out.append(np.unique(joined[i : j - size + 1]))
-        elif j > i:
-            out.append(mix64(np.array([(words[i:j] * _SHINGLE[: j - i]).sum() + np.uint64(j - i)], np.uint64)))
-        else:
-            out.append(np.zeros(0, np.uint64))
-    return out
+    if not len(first):
+        return first, np.zeros(0, np.uint64)
+    lengths = end - first
+    letters = np.flatnonzero(~space)
+    place = np.minimum(letters - np.repeat(first, lengths), WORD - 1)
+    begin = np.cumsum(lengths) - lengths
+    words = mix64(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * _LETTER[place], begin) + lengths.astype(np.uint64))
+    for i in np.flatnonzero(lengths > WORD).tolist():
+        words[i] = _long_word(text[first[i] : end[i]])
+    return first, words
+
+
+def _slices(raw: memoryview | bytes) -> Iterator[bytes]:
+    """A text, lower-cased, in slices that end behind white space; a slice above twice ``SLICE`` is one word."""
+    at, rest, spaces = 0, b"", common.ASCII_SPACE.encode()
+    while at < len(raw):
+        chunk = common.lowered(raw[at : at + SLICE])
+        at += SLICE
+        if len(rest) >= SLICE:  # no white space so far
+            end = min((i for i in map(chunk.find, (bytes([c]) for c in spaces)) if i >= 0), default=None)
+            if end is None:
+                rest += chunk
+                continue
+            yield rest + chunk[: end + 1]
+            rest, chunk = b"", chunk[end + 1 :]
+        rest += chunk
+        cut = max(rest.rfind(c) for c in spaces) + 1
+        if cut:
+            yield rest[:cut]
+            rest = rest[cut:]
+    if rest:
+        yield rest + b" "
+
+
+def _joined(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all shingles of a run of words of at least ``size``."""
+    n = max(0, len(words) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for k in range(size):
+        out += words[k : n + k] * _SHINGLE[k]
+    return mix64(out)
+
+
+def _few(words: np.ndarray) -> np.ndarray:
+    """Fewer words than a shingle has are one shingle together."""
+    return mix64(np.array([(words * _SHINGLE[: len(words)]).sum() + np.uint64(len(words))], np.uint64)) if len(words) else np.zeros(0, np.uint64)
+
+
+def shingle_sets(raws: list, size: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text (its bytes as they are)."""
+    if len(raws) == 1 and len(raws[0]) > SLICE:
+        # a slice of one long word is not taken apart
+        words = np.concatenate([_words(s)[1] if len(s) <= 2 * SLICE else np.array([_long_word(s.strip(common.ASCII_SPACE.encode()))] if s.strip() else [], np.uint64) for s in _slices(raws[0])])
+        return [np.unique(_joined(words, size)) if len(words) >= size else _few(words)]
+    first, words = _words(common.lowered(b" ".join(raws) + b" "))
+    joined = _joined(words, size)
+    of = np.searchsorted(first, np.cumsum([0] + [len(t) + 1 for t in raws])).tolist()
+    return [np.unique(joined[i : j - size + 1]) if j - i >= size else _few(words[i:j]) for i, j in zip(of, of[1:], strict=False)]
 
 
 def registers(shingles: np.ndarray) -> np.ndarray:
@@ -115,10 +164,10 @@ def bands(sketches: np.ndarray) -> np.ndarray:
     return mix64((value * _BAND).sum(2) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
-def _batches(texts: list[bytes]) -> Iterator[tuple[int, int]]:
+def _batches(texts: list) -> Iterator[tuple[int, int]]:
     first, size = 0, 0
     for i, t in enumerate(texts):
-        if i > first and size + len(t) > BATCH_BYTES:
+        if i > first and size + len(t) > SLICE:
             yield first, i
             first, size = i, 0
         size += len(t)
@@ -131,8 +180,9 @@ SKETCH = "doc_id long, xx long, n long, d1 long, d2 long, regs binary, keys arra
 
 def _sketched(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for b in batches:
-            texts = [common.lower_bytes(t.as_py()) for t in b.column(2)]
+            texts = [common.raw_bytes(t) for t in b.column(2)]
             n, d1, d2, regs, keys = [], [], [], [], []
             for i, j in _batches(texts):
                 sets = shingle_sets(texts[i:j], size)
@@ -182,7 +232,7 @@ def _confirmed(size: int, per_cent: int):
         for b in batches:
             links = []
             p, salt, q = (b.column(k).to_pylist() for k in (0, 1, 2))
-            texts = [common.lower_bytes(t.as_py()) for t in b.column(3)]
+            texts = [common.raw_bytes(t) for t in b.column(3)]
             for i, j in _batches(texts):
                 for k, s in enumerate(shingle_sets(texts[i:j], size), i):
                     if q[k] is None:
@@ -197,18 +247,122 @@ def _confirmed(size: int, per_cent: int):
     return run
 
 
-def _links(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame:
+def _links(tables: common.Tables, pairs: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame:
     """Those of the pairs (p, q) that the estimate lets through and the full sets confirm."""
     side = lambda x: sketches.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("regs").alias(f"regs_{x}"))
     sized = pairs.join(side("p"), "p").join(side("q"), "q").where(100 * F.least("n_p", "n_q") >= per_cent * F.greatest("n_p", "n_q"))
-    likely = written(sized.select("p", "q", "n_p", "n_q", "regs_p", "regs_q").mapInArrow(_likely(per_cent / 100), "p long, q long"), "likely")
-    count = written(likely.groupBy("p").agg(F.expr(f"int((count(*) - 1) div {TOGETHER} + 1)").alias("salts")), "pivots")
+    likely = tables.write(sized.select("p", "q", "n_p", "n_q", "regs_p", "regs_q").mapInArrow(_likely(per_cent / 100), "p long, q long"), "likely")
+    count = tables.write(likely.groupBy("p").agg(F.expr(f"int((count(*) - 1) div {TOGETHER} + 1)").alias("salts")), "pivots")
     pivots = count.select(F.col("p").alias("node"), "p", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("q"))
     others = likely.join(count, "p").select(F.col("q").alias("node"), "p", F.pmod(F.xxhash64("q"), "salts").cast("int").alias("salt"), "q")
-    dealt = written(pivots.unionByName(others), "dealt").join(texts, "node").select("p", "salt", "q", "text")
+    dealt = tables.write(pivots.unionByName(others), "dealt").join(texts, "node").select("p", "salt", "q", "text")
     return dealt.repartition("p", "salt").sortWithinPartitions("p", "salt", F.col("q").asc_nulls_first()).mapInArrow(_confirmed(size, per_cent), "u long, v long")
 
 
+def _centred(size: int):
+    def run(table: pa.Table) -> pa.Table:
+        sets = [s for t in table.column("text").combine_chunks() for s in shingle_sets([common.raw_bytes(t)], size)]
+        values, count = np.unique(np.concatenate(sets), return_counts=True)
+        return pa.table({"cluster": table.column("cluster")[:1], "centre": pa.array([values[2 * count > len(sets)].tobytes()], pa.binary())})
+
+    return run
+
+
+def _differences(size: int):
+    """Batches cluster, salt, node, label, centre, text: a centre (node is null) comes before the texts it serves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, centre = None, np.zeros(0, np.uint64)
+        for b in batches:
+            cluster, salt, node, label = (b.column(k).to_pylist() for k in range(4))
+            texts, rows = [common.raw_bytes(t) for t in b.column(5)], []
+            for i, j in _batches(texts):
+                for k, own in enumerate(shingle_sets(texts[i:j], size), i):
+                    if node[k] is None:
+                        group, centre = (cluster[k], salt[k]), np.frombuffer(b.column(4)[k].as_py(), np.uint64)
+                        continue
+                    assert group == (cluster[k], salt[k]), "a text without its centre"
+                    d = np.setxor1d(own, centre, assume_unique=True)
+                    rows.append((cluster[k], node[k], label[k], len(own), len(d), d.tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64()] * 5 + [pa.binary()])], names=["cluster", "node", "label", "n", "size", "diff"])
+
+    return run
+
+
+def _spanning(per_cent: int):
+    """Outer members of one block against the members of another: the links that join components, as few as tell the same."""
+
+    def run(table: pa.Table) -> pa.Table:
+        outer = table.column("outer").to_numpy().astype(bool)
+        node, label, weight = (table.column(k).to_numpy() for k in ("node", "label", "weight"))
+        diff = [np.frombuffer(d, np.uint64) for d in table.column("diff").to_pylist()]
+        ours, theirs = np.flatnonzero(outer), np.flatnonzero(~outer)
+        values = np.concatenate([diff[i] for i in theirs] or [np.zeros(0, np.uint64)])
+        owner = np.repeat(np.arange(len(theirs)), [len(diff[i]) for i in theirs])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while parent.get(x, x) != x:
+                parent[x] = x = parent.get(parent[x], parent[x])
+            return x
+
+        u, v = [], []
+        for i in ours.tolist():
+            a, b = np.searchsorted(values, diff[i]), np.searchsorted(values, diff[i], side="right")
+            length = b - a
+            at = np.repeat(a - np.cumsum(length) + length, length) + np.arange(int(length.sum()))
+            shared = np.bincount(owner[at], minlength=len(theirs))
+            linked = weight[i] + weight[theirs] <= 2 * (100 + per_cent) * shared
+            for k in theirs[linked].tolist():
+                x, y = find(int(label[i])), find(int(label[k]))
+                if x != y:
+                    parent[x] = y
+                    u.append(node[i])
+                    v.append(node[k])
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _inner_links(tables: common.Tables, members: DataFrame, label: DataFrame, texts: DataFrame, size: int, per_cent: int) -> DataFrame | None:
+    """Links between members of a bucket other than its first one, where these are of several components."""
+    others = members.where("node <> p").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = tables.write(others.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.min("node").alias("star")).where("a < b").select("key", "star"), "mixed")
+    if not mixed.take(1):
+        return None
+    open_ = tables.write(others.join(mixed, "key").select("node", "label", "star").distinct(), "open")
+    clusters = components(open_.select(F.col("star").alias("u"), F.col("node").alias("v")))
+    nodes = tables.write(open_.select("node", "label").distinct().join(clusters.select("node", F.col("label").alias("cluster")), "node").join(texts, "node"), "open_nodes")
+    # a few members of each cluster, and of those as many as have few shingles together
+    drawn = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
+    few = nodes.select("cluster", "node", F.octet_length("text").alias("bytes")).withColumn("nth", F.row_number().over(drawn)).where(F.col("nth") <= CENTRE_OF)
+    before = F.sum("bytes").over(Window.partitionBy("cluster").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    few = tables.write(few.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 4 * CENTRE_SHINGLES).select("cluster", "node"), "drawn")
+    centres = tables.write(few.join(nodes.select("node", "text"), "node").select("cluster", "text").groupBy("cluster").applyInArrow(_centred(size), "cluster long, centre binary"), "centres")
+    salted = tables.write(nodes.groupBy("cluster").agg(F.expr(f"int((count(*) - 1) div {TOGETHER} + 1)").alias("salts")), "salts")
+    first = centres.join(salted, "cluster").select("cluster", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("node"), F.lit(None).cast("long").alias("label"), "centre", F.lit(None).cast("string").alias("text"))
+    then = nodes.join(salted, "cluster").select("cluster", F.pmod(F.xxhash64("node"), "salts").cast("int").alias("salt"), "node", "label", F.lit(None).cast("binary").alias("centre"), "text")
+    dealt = first.unionByName(then).repartition("cluster", "salt").sortWithinPartitions("cluster", "salt", F.col("node").asc_nulls_first())
+    diffs = dealt.mapInArrow(_differences(size), "cluster long, node long, label long, n long, size long, diff binary")
+    diffs = tables.write(diffs.withColumn("weight", (100 + per_cent) * F.col("size") - (100 - per_cent) * F.col("n")), "diffs")
+    least = F.min(F.struct("weight", "node")).alias("m")
+    core = tables.write(diffs.groupBy("cluster").agg(least).select("cluster", F.col("m.node").alias("m"), (-F.col("m.weight")).alias("most")), "cores")
+    told = diffs.select("cluster", "node", "weight", "size").join(core, "cluster").withColumn("outer", F.col("weight") > F.col("most"))
+    sure = told.where("not outer and node <> m").select(F.col("m").alias("u"), F.col("node").alias("v"))
+    # blocks of the outer members, i, and of all, j
+    count = lambda c: F.greatest(F.ceil(F.sum(F.when(c, F.col("size"))) / BLOCK_SHINGLES), F.ceil(F.sum(c.cast("int")) / BLOCK)).cast("int")
+    blocks = tables.write(told.groupBy("cluster").agg(count(F.col("outer")).alias("ni"), F.greatest(count(F.lit(True)), F.lit(1)).alias("nj")).where("ni > 0"), "blocks")
+    placed = diffs.select("cluster", "node", "label", "weight", "diff").join(core, "cluster").join(blocks, "cluster")
+    own = lambda n: F.pmod(F.xxhash64("node", F.lit(n)), n).cast("int")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["cluster", "node", "label", "weight", "diff"]
+    ours = placed.where(F.col("weight") > F.col("most")).select(*columns, F.lit(True).alias("outer"), own("ni").alias("i"), all_("nj").alias("j"))
+    theirs = placed.select(*columns, F.lit(False).alias("outer"), own("nj").alias("j"), all_("ni").alias("i"))
+    return sure.unionByName(ours.unionByName(theirs).groupBy("cluster", "i", "j").applyInArrow(_spanning(per_cent), "u long, v long"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, xx (hash of the text), n_shingles, component_id, kept.
 
@@ -216,59 +370,37 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
     wordless texts have no shingles and no links. Repeated rows are of one
     class; where all doc_ids of a component are null its id is null, else nulls
     do not count. Empty tables give no rows; other columns are ignored."""
+    tables = common.Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("xx"), F.col("text").cast("string").alias("text"))
-    sketches = written(docs.mapInArrow(_sketched(size), SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    sketches = tables.write(docs.mapInArrow(_sketched(size), SKETCH).withColumn("row", F.monotonically_increasing_id()), "sketches")
     sets = ["d1", "d2", "n"]
-    classes = written(sketches.where("n > 0").groupBy(*sets).agg(F.min(F.struct("row", "doc_id", "xx")).alias("first"), F.min("doc_id").alias("least")), "classes")
+    classes = tables.write(sketches.where("n > 0").groupBy(*sets).agg(F.min(F.struct("row", "doc_id", "xx")).alias("first"), F.min("doc_id").alias("least")), "classes")
     nodes = classes.select(F.col("first.row").alias("node"))
     own = sketches.withColumnRenamed("row", "node").join(nodes, "node")
     members = own.select("node", F.explode("keys").alias("key"))
-    shared = written(members.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("p")).where("m > 1"), "shared")
-    members = written(members.join(shared.select("key", "p"), "key"), "members")
-    active = written(members.select("node").distinct(), "active")
-    sketched = written(sketches.select(F.col("row").alias("node"), "n", "regs").join(active, "node"), "active_sketches")
+    shared = tables.write(members.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("p")).where("m > 1"), "shared")
+    members = tables.write(members.join(shared.select("key", "p"), "key"), "members")
+    active = tables.write(members.select("node").distinct(), "active")
+    sketched = tables.write(sketches.select(F.col("row").alias("node"), "n", "regs").join(active, "node"), "active_sketches")
     keyed = classes.select(F.col("first.row").alias("node"), F.coalesce("first.doc_id", F.lit(-(2**63))).alias("__key"), F.col("first.xx").alias("xx")).join(active, "node")
     # repeated rows bring the same text more than once
-    texts = written(docs.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)))).join(keyed, ["__key", "xx"]).select("node", "text").dropDuplicates(["node"]), "active_texts")
+    texts = tables.write(docs.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)))).join(keyed, ["__key", "xx"]).select("node", "text").dropDuplicates(["node"]), "active_texts")
 
     pairs = members.where("node <> p").select("p", F.col("node").alias("q")).distinct()
-    links = written(_links(pairs, sketched, texts, size, per_cent), "links")
+    links = tables.write(_links(tables, pairs, sketched, texts, size, per_cent), "links")
     label = components(links)
-    for turn in range(ROTATIONS):
-        labelled = members.select("key", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        drawn = F.min(F.struct(F.xxhash64("node", "key", F.lit(turn)), F.col("node").alias("p"), F.col("label").alias("label_p"))).alias("drawn")
-        mixed = written(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), drawn).where("a < b").select("key", "drawn.p", "drawn.label_p"), "drawn")
-        if not mixed.take(1):
-            break
-        pairs = written(labelled.join(mixed, "key").where("label <> label_p").select(F.least("p", "node").alias("p"), F.greatest("p", "node").alias("q")).distinct(), "pairs")
-        links = written(links.unionByName(_links(pairs, sketched, texts, size, per_cent)), "links")
-        label = written(components(links), "components")
-    open_ = members.select("key", "node", F.col("p").alias("last"))
-    while True:
-        # buckets that still have members of several components, beyond those held against all others
-        labelled = open_.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        mixed = written(labelled.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.max("node").alias("end"), F.min("last").alias("last")).where("a < b and end > last").select("key"), "mixed")
-        if not mixed.take(1):
-            break
-        left = written(labelled.join(mixed, "key"), "open")
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("node"))
-        block = left.where("node > last").withColumn("nth", rank).where(F.col("nth") <= BLOCK)
-        block = written(block.select("key", F.col("node").alias("p"), F.col("label").alias("label_p")), "block")
-        pairs = left.select("key", F.col("node").alias("q"), "label").join(block, "key").where("label <> label_p and q <> p").select(F.least("p", "q").alias("p"), F.greatest("p", "q").alias("q")).distinct()
-        more = _links(written(pairs, "pairs"), sketched, texts, size, per_cent)
-        links = written(links.unionByName(more), "links")
-        label = components(links)
-        ends = block.groupBy("key").agg(F.max("p").alias("upto"))
-        open_ = left.drop("label").join(ends, "key").select("key", "node", F.col("upto").alias("last"))
-
-    least = written(classes.select(F.col("first.row").alias("node"), *sets, "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    ids = written(least.groupBy("label").agg(F.min("least").alias("component")), "component_ids")
-    found = written(least.join(ids, "label").select(*sets, "component"), "found")
+    more = _inner_links(tables, members, label, texts, size, per_cent)
+    if more is not None:
+        label = components(links.unionByName(tables.write(more, "inner_links")))
+    least = tables.write(classes.select(F.col("first.row").alias("node"), *sets, "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    ids = tables.write(least.groupBy("label").agg(F.min("least").alias("component")), "component_ids")
+    found = tables.write(least.join(ids, "label").select(*sets, "component"), "found")
     out = sketches.select("doc_id", "xx", *sets).join(found, sets, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component"))
+    tables.drop(sketches, found)
     return out.select("doc_id", "xx", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of near duplicates of ``documents`` at 4-word shingles and 80 per cent."""
+    """Components of near duplicates of ``documents`` at 4-word shingles and 80 per cent; see ``near_duplicates`` for the defined cases."""
     return near_duplicates(common.documents(spark, sf_dir), size=4, per_cent=80).drop("xx")
