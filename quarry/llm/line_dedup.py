@@ -1,10 +1,11 @@
 """Line dedup in DataFrame functions only.
 
-Lines are keyed by two 64-bit hashes of the normalised line. A document gives
-each of its keys once; counting the documents of a key combines on the map
-side. Keys over the threshold are joined back to find, for each document, the
-keys it loses; only those, never lines, meet the texts again. The texts are
-split anew and what stays is joined by position."""
+Lines are exploded with their positions and keyed by two independent 64-bit
+hashes of the normalised line. Counting the documents of a key combines on the
+map side. Keys over the threshold are joined back to the positions, which are
+gathered for each text; lines themselves never move. Each text is then split
+anew and reassembled from the positions that stay, which a hash set finds in
+one pass, however many go."""
 
 from __future__ import annotations
 
@@ -18,44 +19,54 @@ LEAST_DOCUMENTS = 3
 KEY = ["h1", "h2"]
 
 
-def _hashes(text: F.Column) -> F.Column:
-    """The text's lines in order: struct of the key's hashes, null where a line is too short."""
+def _keys(text: F.Column) -> F.Column:
+    """Position and key of each line of the text that is long enough to have one."""
     key = lambda line: F.btrim(line, F.lit(common.ASCII_SPACE))
-    hashed = lambda k: F.when(F.char_length(k) >= LEAST_LENGTH, F.struct(F.xxhash64(k).alias("h1"), F.xxhash64(k, F.lit("second")).alias("h2")))
-    return F.transform(F.transform(F.split(common.ascii_lower(text), "\n", -1), key), hashed)
+    keyed = F.transform(F.transform(F.split(common.ascii_lower(text), "\n", -1), key), lambda k, i: F.struct(i.alias("position"), k.alias("k")))
+    hashed = lambda x: F.struct(x["position"].alias("position"), F.xxhash64(x["k"]).alias("h1"), F.xxhash64(F.lit("second"), x["k"]).alias("h2"))
+    return F.transform(F.filter(keyed, lambda x: F.char_length(x["k"]) >= LEAST_LENGTH), hashed)
 
 
-def _lost(docs: DataFrame, least_documents: int) -> DataFrame:
-    """doc_id and the array ``lost`` of key hashes whose lines it loses."""
-    mine = docs.select("doc_id", F.explode(F.array_distinct(F.filter(_hashes(F.col("text")), lambda h: h.isNotNull()))).alias("k")).select("doc_id", "k.h1", "k.h2")
-    counted = mine.distinct().groupBy(*KEY).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    frequent = common.written(counted.where(F.col("n") >= least_documents).drop("n"), "frequent_lines")
-    # both sides of this join are dealt out anew, so a line that is in a third of all documents can be split
-    return mine.join(frequent, KEY).where(~F.col("doc_id").eqNullSafe(F.col("last"))).groupBy("doc_id").agg(F.collect_set(F.struct(*KEY)).alias("lost"))
-
+def _id() -> F.Column:
+    """Null joins null and comes before any other."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
 
-def dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS) -> DataFrame:
-    """All columns of ``docs`` with ``text`` less the dropped lines; adds n_lines, n_dropped.
 
-    Null or empty text is one empty line. Rows of one doc_id count as one
-    document, and so do rows whose doc_id is null (which comes before any
-    other). A key that repeats within the document that keeps it keeps all
-    its lines. An empty table gives no rows."""
-    docs = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    lost = _lost(docs, least_documents).withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)))).select("__key", "lost")
-    both = docs.withColumn("__key", F.coalesce("doc_id", F.lit(-(2**63)))).join(lost, "__key", "left").drop("__key")
-    lines = F.split(F.col("text"), "\n", -1)
-    marked = F.arrays_zip(lines.alias("line"), _hashes(F.col("text")).alias("h"))
-    kept = F.transform(F.filter(marked, lambda x: ~F.coalesce(F.array_contains(F.col("lost"), x["h"]), F.lit(False))), lambda x: x["line"])
-    kept = F.when(F.col("lost").isNull(), lines).otherwise(kept)
-    # the arrays are computed in this projection once, then only read
-    out = both.withColumn("__kept", kept).withColumn("n_lines", F.size(lines).cast("long"))
-    return out.withColumns({"n_dropped": F.col("n_lines") - F.size("__kept"), "text": F.array_join("__kept", "\n")}).drop("__kept", "lost")
+def _lost(docs: DataFrame, least_documents: int) -> DataFrame:
+    """__id, __xx (hash of the text) and __lost, the positions of the lines that go."""
+    keyed = docs.select(_id().alias("__id"), F.xxhash64("text").alias("__xx"), F.explode(_keys(F.col("text"))).alias("k"))
+    lines = common.written(keyed.select("__id", "__xx", "k.*"), "lines")
+    counted = lines.select("__id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n"), F.max("__id").alias("last"))
+    frequent = common.written(counted.where(F.col("n") >= least_documents).drop("n"), "frequent_lines")
+    # both sides of this join are tables, so a line that is in a third of all documents can be split
+    return lines.join(frequent, KEY).where("__id <> last").groupBy("__id", "__xx").agg(F.collect_set("position").alias("__lost"))
+
+
+def dedup(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, result: str = "line_dedup") -> DataFrame:
+    """All columns of ``docs`` with ``text`` less the dropped lines, and a struct n_lines, n_dropped.
+
+    The struct is named ``result``, with underscores behind it where ``docs``
+    has such a column already. Null or empty text is one empty line. Rows of one
+    doc_id count as one document, and so do rows whose doc_id is null (which
+    comes before any other). A key that repeats within the document that keeps
+    it keeps all its lines; repeated rows lose the same lines. An empty table
+    gives no rows."""
+    result, columns = common.free_name(docs, result), docs.columns
+    docs = docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    both = docs.withColumns({"__id": _id(), "__xx": F.xxhash64("text")}).join(_lost(docs, least_documents), ["__id", "__xx"], "left")
+    # the arrays are computed in these projections once, then only read
+    both = both.withColumn("__lines", F.split("text", "\n", -1))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__lost")
+    both = both.withColumn("__stay", F.when(F.col("__lost").isNotNull(), stay))
+    kept = F.when(F.col("__lost").isNull(), F.col("text")).otherwise(F.array_join(F.transform("__stay", lambda i: F.get("__lines", i)), "\n"))
+    n = F.size("__lines").cast("long")
+    counts = F.struct(n.alias("n_lines"), (n - F.coalesce(F.size("__stay"), F.size("__lines"))).alias("n_dropped"))
+    return both.withColumn("text", kept).select(*columns, counts.alias(result))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digest of the line dedup of whole ``documents``."""
-    return dedup(common.documents(spark, sf_dir)).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+    """Digest of the line dedup of whole ``documents``; see ``dedup`` for the defined cases."""
+    return dedup(common.documents(spark, sf_dir)).select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""
