@@ -2,10 +2,11 @@
 
 H(ab) = H(a) * B**len(b) + H(b) modulo a prime, so chunks are hashed apart and
 their hashes put together by arithmetic shifted by length. Small texts are
-hashed chunk by chunk where they stand; a huge text is dealt out in chunks to
-many tasks. Texts with equal fingerprints (two primes and the length) are then
-compared, chunk by chunk, with the one of their group that stays. Texts that
-differ in spite of equal fingerprints form groups of their own in a next turn.
+hashed chunk by chunk where they stand; a huge text is cut in one pass into parts
+that go to many tasks. Texts with equal fingerprints (two primes and the length)
+are then compared with the one of their group that stays: a part meets the same
+part of the other text, and no task holds more of a huge text than that. Texts
+that differ in spite of equal fingerprints form groups of their own in a next turn.
 
 Equal means identical after A-Z is lower-cased and nothing else."""
 
@@ -24,8 +25,9 @@ from quarry.llm import common
 PRIMES = (2_147_483_647, 2_147_483_629)  # the two largest below 2**31
 BASES = (911_382_323, 972_663_749)
 CHUNK = 1 << 16  # bytes hashed at a time
-HUGE = 8 << 20  # bytes from which a text is dealt out
-HUGE_CHUNK = 1 << 20  # code points of each part of a huge text
+HUGE = 4 << 20  # bytes from which a text is dealt out
+PART = 1 << 20  # bytes of each part of a huge text
+BATCH_BYTES = 2 << 20  # bytes of small texts that are hashed together
 TOGETHER = 100  # rows of a group that one task compares with a copy of the one that stays
 CLASS = ["fp1", "fp2", "n_bytes", "turn"]
 
@@ -68,69 +70,84 @@ def fingerprints(texts: list[bytes]) -> list[list[int]]:
     return out
 
 
-def _hashed(keys: int, weak: int | None):
-    """mapInArrow body: the leading key columns stay, the text becomes its hashes."""
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, xx, text to doc_id, xx, fp1, fp2, n_bytes, sha, for texts that are hashed where they stand."""
+    common.release()
+    for b in batches:
+        raws = [common.raw_bytes(t) for t in b.column(2)]
+        first, fps, shas = 0, [[], []], []
+        while first < len(raws):  # a few MB at a time
+            then, size = first, 0
+            while then < len(raws) and (then == first or size + len(raws[then]) <= BATCH_BYTES):
+                size += len(raws[then])
+                then += 1
+            texts = [common.lowered(r) for r in raws[first:then]]
+            shas += [hashlib.sha256(t).hexdigest() for t in texts]
+            for out, x in zip(fps, fingerprints(texts), strict=True):
+                out += x
+            first = then
+        columns = [*b.columns[:2], *(pa.array(x, pa.int64()) for x in (*fps, [len(r) for r in raws])), pa.array(shas, pa.string())]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "xx", "fp1", "fp2", "n_bytes", "sha"])
+
+
+def _parts(keys: int, size: int):
+    """Leading key columns and a text to the keys, part, and the part's lower-cased bytes; the last part has the text's SHA-256."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [common.lower_bytes(t.as_py()) for t in b.column(keys)]
-            first, then, size = 0, 0, 0
-            fps: list[list[int]] = [[], []]
-            while first < len(texts):  # a few MB at a time
-                then, size = first, 0
-                while then < len(texts) and (then == first or size + len(texts[then]) <= 4 << 20):
-                    size += len(texts[then])
-                    then += 1
-                for out, x in zip(fps, fingerprints(texts[first:then]), strict=True):
-                    out += x if weak is None else [v % weak for v in x]
-                first = then
-            powers = [[pow(base, len(t), prime) for t in texts] for prime, base in zip(PRIMES, BASES, strict=True)]
-            columns = [*b.columns[:keys], *(pa.array(x, pa.int64()) for x in (*fps, *powers, [len(t) for t in texts])), pa.array([hashlib.sha256(t).hexdigest() for t in texts])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:keys], "fp1", "fp2", "pw1", "pw2", "n_bytes", "sha"])
+            for i, t in enumerate(b.column(keys)):
+                raw, sha = common.raw_bytes(t), hashlib.sha256()
+                n = -(-len(raw) // size)
+                for part in range(n):
+                    piece = common.lowered(raw[part * size : (part + 1) * size])
+                    sha.update(piece)
+                    columns = [c.slice(i, 1) for c in b.columns[:keys]] + [pa.array([part], pa.int32()), pa.array([piece], pa.binary()), pa.array([sha.hexdigest() if part == n - 1 else None], pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:keys], "part", "piece", "sha"])
 
     return run
 
 
+def _part_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, xx, row, part, piece, sha to the part's hashes, the powers that shift what stands before it, and its length."""
+    for b in batches:
+        raws = [common.raw_bytes(t) for t in b.column(4)]
+        fps = [[x[0] for x in column] for column in zip(*(fingerprints([bytes(r)]) for r in raws), strict=True)] or [[], []]
+        powers = [[pow(base, len(r), prime) for r in raws] for prime, base in zip(PRIMES, BASES, strict=True)]
+        columns = [*b.columns[:4], *(pa.array(x, pa.int64()) for x in (*fps, *powers, [len(r) for r in raws])), b.column(5)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*b.schema.names[:4], "fp1", "fp2", "pw1", "pw2", "n_bytes", "sha"])
+
+
 def _prints(docs: DataFrame, huge: int, chunk: int, weak: int | None) -> DataFrame:
     """doc_id, xx (hash of the raw text, to find the row again), fp1, fp2, n_bytes, sha."""
-    hashes = "fp1 long, fp2 long, pw1 long, pw2 long, n_bytes long, sha string"
-    docs = docs.withColumn("xx", F.xxhash64("text"))
+    docs = docs.select("doc_id", F.xxhash64("text").alias("xx"), "text")
     is_huge = F.coalesce(F.octet_length("text") >= huge, F.lit(False))
-    small = docs.where(~is_huge).select("doc_id", "xx", "text").mapInArrow(_hashed(2, weak), f"doc_id long, xx long, {hashes}")
-    # one row for each part of a huge text; each part is hashed by some task
+    small = docs.where(~is_huge).mapInArrow(_hashed, "doc_id long, xx long, fp1 long, fp2 long, n_bytes long, sha string")
+    # one row for each part of a huge text, cut in one pass; each part is hashed by some task
     whole = docs.where(is_huge).select("doc_id", "xx", F.monotonically_increasing_id().alias("row"), "text")
-    parts = whole.select("doc_id", "xx", "row", F.explode(F.sequence(F.lit(0), F.expr(f"int((char_length(text) - 1) div {chunk})"))).alias("part"), "text")
-    parts = parts.select("doc_id", "xx", "row", "part", F.expr(f"substring(text, part * {chunk} + 1, {chunk})").alias("text")).repartition("row", "part")
-    hashed = parts.mapInArrow(_hashed(4, None), f"doc_id long, xx long, row long, part int, {hashes}")
+    parts = whole.mapInArrow(_parts(3, chunk), "doc_id long, xx long, row long, part int, piece binary, sha string").repartition("row", "part")
+    hashed = parts.mapInArrow(_part_hashes, "doc_id long, xx long, row long, part int, fp1 long, fp2 long, pw1 long, pw2 long, n_bytes long, sha string")
     fold = "aggregate(array_sort(collect_list(struct(part, fp{0}, pw{0}))), 0L, (h, x) -> (h * x.pw{0} + x.fp{0}) % {1}L)"
-    joined = hashed.groupBy("doc_id", "xx", "row").agg(*(F.expr(fold.format(k, PRIMES[k - 1])).alias(f"fp{k}") for k in (1, 2)), F.sum("n_bytes").alias("n_bytes"))
-    if weak is not None:
-        joined = joined.withColumns({f"fp{k}": F.col(f"fp{k}") % weak for k in (1, 2)})
-    # SHA-256 has no composition: it reads the whole text once more, in its own task
-    shas = whole.select("row", F.sha2(common.ascii_lower(F.col("text")), 256).alias("sha"))
+    joined = hashed.groupBy("doc_id", "xx", "row").agg(*(F.expr(fold.format(k, PRIMES[k - 1])).alias(f"fp{k}") for k in (1, 2)), F.sum("n_bytes").alias("n_bytes"), F.max("sha").alias("sha"))
     keep = ["doc_id", "xx", "fp1", "fp2", "n_bytes", "sha"]
-    return small.select(*keep).unionByName(joined.join(shas, "row").select(*keep))
-
-
-def _differing(texts: DataFrame) -> DataFrame:
-    """Rows of a group that differ from the text that stays, compared in chunks."""
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, kept = None, b""
-        for b in batches:
-            wrong: list[tuple] = []
-            rows = zip(*(b.column(i).to_pylist() for i in range(8)), b.column(8), strict=True)
-            for fp1, fp2, n, turn, salt, is_top, doc_id, xx, text in rows:
-                own = common.lower_bytes(text.as_py())
-                if is_top:
-                    group, kept = (fp1, fp2, n, turn, salt), own
-                    continue
-                assert group == (fp1, fp2, n, turn, salt), "a row without the text that stays"
-                if any(own[i : i + CHUNK] != kept[i : i + CHUNK] for i in range(0, max(len(own), len(kept), 1), CHUNK)):
-                    wrong.append((doc_id, xx))
-            yield pa.RecordBatch.from_arrays([pa.array([w[i] for w in wrong], pa.int64()) for i in (0, 1)], names=["doc_id", "xx"])
-
-    return texts.mapInArrow(compare, "doc_id long, xx long")
+    out = small.select(*keep).unionByName(joined.select(*keep))
+    return out if weak is None else out.withColumns({f"fp{k}": F.col(f"fp{k}") % weak for k in (1, 2)})
+
+
+def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class, salt, part, is_top, doc_id, xx, piece, the part of the text that stays first: doc_id and xx of what differs from it."""
+    group, kept = None, b""
+    for b in batches:
+        wrong: list[tuple] = []
+        rows = zip(*(b.column(i).to_pylist() for i in range(9)), b.column(9), strict=True)
+        for fp1, fp2, n, turn, salt, part, is_top, doc_id, xx, piece in rows:
+            if is_top:
+                group, kept = (fp1, fp2, n, turn, salt, part), common.lowered(common.raw_bytes(piece))
+                continue
+            assert group == (fp1, fp2, n, turn, salt, part), "a row without the text that stays"
+            own = common.raw_bytes(piece)
+            if len(own) != len(kept) or any(common.lowered(own[i : i + CHUNK]) != kept[i : i + CHUNK] for i in range(0, len(kept), CHUNK)):
+                wrong.append((doc_id, xx))
+        yield pa.RecordBatch.from_arrays([pa.array([w[i] for w in wrong], pa.int64()) for i in (0, 1)], names=["doc_id", "xx"])
 
 
 def _key(column: str) -> F.Column:
@@ -138,33 +155,53 @@ def _key(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit(-(2**63)))
 
 
-def dedup(docs: DataFrame, huge: int = HUGE, chunk: int = HUGE_CHUNK, weak: int | None = None) -> DataFrame:
+def _compared(docs: DataFrame, members: DataFrame, huge: int, chunk: int) -> DataFrame:
+    """doc_id, xx of the members (class, size, top, doc_id, xx) whose text is not that of their class's top.
+
+    Each part of a text meets the same part of the top; a copy of it serves
+    ``TOGETHER`` rows, so a large class, repeated rows too, is many tasks."""
+    texts = docs.select("doc_id", _key("doc_id").alias("__key"), F.xxhash64("text").alias("xx"), "text")
+    salts = F.expr(f"int((size - 1) div {TOGETHER} + 1)")
+    own = members.select(*CLASS, salts.alias("salts"), _key("doc_id").alias("__key"), "xx").distinct()
+    # a row's place among all of a repeated one
+    rows = texts.join(own, ["__key", "xx"]).withColumn("salt", F.pmod(F.xxhash64("xx", F.monotonically_increasing_id()), "salts").cast("int")).withColumn("is_top", F.lit(False))
+    tops = members.select(*CLASS, salts.alias("salts"), _key("top.doc_id").alias("__key"), F.col("top.xx").alias("xx")).distinct()
+    one = texts.join(tops, ["__key", "xx"]).groupBy(*CLASS, "salts", "__key", "xx").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("is_top", F.lit(True))
+    columns = [*CLASS, "salt", "is_top", "doc_id", "xx"]
+    both = rows.select(*columns, "text").unionByName(one.select(*columns, "text"))
+    is_huge = F.coalesce(F.octet_length("text") >= huge, F.lit(False))
+    small = both.where(~is_huge).select(*columns, F.lit(0).alias("part"), F.col("text").cast("binary").alias("piece"))
+    cut = both.where(is_huge).mapInArrow(_parts(len(columns), chunk), "fp1 long, fp2 long, n_bytes long, turn int, salt int, is_top boolean, doc_id long, xx long, part int, piece binary, sha string").drop("sha")
+    meet = [*CLASS, "salt", "part"]
+    dealt = small.unionByName(cut).select(*meet, "is_top", "doc_id", "xx", "piece").repartition(*meet).sortWithinPartitions(*meet, F.desc("is_top"))
+    return dealt.mapInArrow(_differing, "doc_id long, xx long").distinct()
+
+
+def dedup(docs: DataFrame, huge: int = HUGE, chunk: int = PART, weak: int | None = None) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, xx, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (null is smallest); of
     repeated rows with that doc_id one. Null text equals empty text. Empty
-    tables give no rows; other columns are ignored. ``weak`` reduces the
-    fingerprints, for tests of collisions."""
+    tables give no rows; other columns are ignored. ``huge`` is the size in
+    bytes from which a text is dealt out in parts of ``chunk`` bytes; ``weak``
+    reduces the fingerprints, for tests of collisions."""
+    tables = common.Tables(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.written(_prints(docs, huge, chunk, weak).withColumns({"turn": F.lit(0), "row": F.monotonically_increasing_id()}), "prints")
+    prints = tables.write(_prints(docs, huge, chunk, weak).withColumns({"turn": F.lit(0), "row": F.monotonically_increasing_id()}), "prints")
+    turn = 0
     while True:
         # written, so that the join deals both sides out and can split a large group
-        groups = common.written(prints.groupBy(*CLASS).agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "row")).alias("top")).where("size > 1"), "groups")
-        joined = common.written(prints.join(groups, CLASS, "left"), "joined")
-        turn = prints.agg(F.max("turn").alias("t")).first()["t"]
-        members = joined.where(F.col("size") > 1).where(F.col("turn") == F.lit(turn or 0)).withColumn("is_top", F.col("row") == F.col("top.row"))
-        salts = F.expr(f"int((size - 1) div {TOGETHER} + 1)")
-        dealt = members.select(*CLASS, "is_top", "doc_id", "xx", F.explode(F.when(F.col("is_top"), F.sequence(F.lit(0), salts - 1)).otherwise(F.array(F.pmod(F.xxhash64("doc_id", "xx"), salts).cast("int")))).alias("salt"))
-        dealt = dealt.groupBy(*CLASS, "salt", "doc_id", "xx").agg(F.max("is_top").alias("is_top"))
-        keyed = dealt.withColumn("__key", _key("doc_id")).drop("doc_id")
-        texts = docs.select(F.col("doc_id"), _key("doc_id").alias("__key"), F.xxhash64("text").alias("xx"), "text").join(keyed, ["__key", "xx"])
-        texts = texts.select(*CLASS, "salt", "is_top", "doc_id", "xx", "text").repartition(*CLASS, "salt").sortWithinPartitions(*CLASS, "salt", F.desc("is_top"))
-        wrong = common.written(_differing(texts).distinct(), "differing")
+        groups = tables.write(prints.groupBy(*CLASS).agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "row", "xx")).alias("top")).where("size > 1"), "groups")
+        joined = tables.write(prints.join(groups, CLASS, "left"), "joined")
+        wrong = tables.write(_compared(docs, joined.where(F.col("size").isNotNull() & (F.col("turn") == turn)), huge, chunk), "differing")
         if not wrong.take(1):
             break
         # those that differ get a class of their own, which is compared in the next turn
         moved = wrong.select(_key("doc_id").alias("__key"), "xx", F.lit(1).alias("__moved"))
-        prints = common.written(prints.withColumn("__key", _key("doc_id")).join(moved, ["__key", "xx"], "left").withColumn("turn", F.col("turn") + F.coalesce("__moved", F.lit(0))).drop("__key", "__moved"), "prints")
+        prints = tables.write(prints.withColumn("__key", _key("doc_id")).join(moved, ["__key", "xx"], "left").withColumn("turn", F.col("turn") + F.coalesce("__moved", F.lit(0))).drop("__key", "__moved"), "prints")
+        turn += 1
+    tables.drop(joined)
     alone = F.col("size").isNull()
     return joined.select("doc_id", "xx", F.when(alone, F.col("doc_id")).otherwise(F.col("top.doc_id")).alias("keep_id"), F.coalesce("size", F.lit(1)).cast("long").alias("group_size"), F.when(alone, True).otherwise(F.col("row") == F.col("top.row")).alias("kept"), F.col("sha").alias("text_sha256"))
 

@@ -114,17 +114,50 @@ def test_sketch_estimate():
     assert abs(j[0] - 0.6) < 0.12
 
 
+def brute_lines(rows):
+    """Per row: the text that stays, its lines before and the lines that went."""
+    lines = [((d if d is not None else -(2**63)), (t or "").split("\n")) for d, t in rows]
+    key = lambda line: line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+    where = defaultdict(set)
+    for d, ls in lines:
+        for line in ls:
+            if len(key(line)) >= 20:
+                where[key(line)].add(d)
+    gone = lambda d, line: len(where.get(key(line), ())) >= 3 and d != max(where[key(line)])
+    return [("\n".join(line for line in ls if not gone(d, line)), len(ls), sum(gone(d, line) for line in ls)) for d, ls in lines]
+
+
+def test_line_dedup_brute(spark):
+    """Nulls, repeats of one doc_id, ties, a long text of frequent lines; columns with clashing names stay as they are."""
+    rng = random.Random(3)
+    pool = [f"line number {i} that is Long enough é" for i in range(40)] + ["short", "", "  "]
+    rows = [(r[0], r[1]) for r in ODD]
+    rows += [(rng.choice([None, *range(50, 80)]), "\n".join(rng.choice(pool) + rng.choice(["", " ", "\t", "\r"]) for _ in range(rng.randrange(8)))) for _ in range(120)]
+    rows += [(300, "\n".join(rng.choice(pool).upper() for _ in range(30_000))), (301, "\n".join(rng.choice(pool) for _ in range(30_000)))]
+    rows += rows[-3:]
+    clash = spark.createDataFrame([(d, t, 1, "x", 2.5, True) for d, t in rows], "doc_id long, text string, n_lines int, line_dedup string, lost double, k boolean").repartition(3)
+    out = line_dedup.dedup(clash)
+    assert out.columns == [*clash.columns, "line_dedup_"]
+    got = [(r["doc_id"], r["text"], r["line_dedup_"].n_lines, r["line_dedup_"].n_dropped, r["n_lines"], r["line_dedup"], r["lost"], r["k"]) for r in out.collect()]
+    want = [(d, *kept, 1, "x", 2.5, True) for (d, _), kept in zip(rows, brute_lines(rows), strict=True)]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_line_keys_are_independent(spark):
+    """The second hash is no function of the first."""
+    import xxhash
+
+    row = spark.createDataFrame([(1, "a line that is long enough to count")], "doc_id long, text string").select(F.explode(line_dedup._keys(F.col("text"))).alias("k")).select("k.*").first()
+    assert row.h2 != xxhash.xxh64_intdigest(b"second", row.h1 % 2**64) - 2**64 * (xxhash.xxh64_intdigest(b"second", row.h1 % 2**64) >= 2**63)
+
+
 def test_line_dedup(spark):
     shared = "A line that many DOCUMENTS share"
     rows = [(1, f"  {shared}\nown one"), (2, f"{shared.lower()}\t\nown two\n"), (3, f"{shared}\n{shared}"), (4, "short\nshort"), (5, None), (6, "")]
-    out = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in line_dedup.dedup(table(spark, [(*r, "s") for r in rows])).collect()}
+    out = {r["doc_id"]: (r["text"], r["line_dedup"].n_lines, r["line_dedup"].n_dropped) for r in line_dedup.dedup(table(spark, [(*r, "s") for r in rows])).collect()}
     assert out == {1: ("own one", 2, 1), 2: ("own two\n", 3, 1), 3: (f"{shared}\n{shared}", 2, 0), 4: ("short\nshort", 2, 0), 5: ("", 1, 0), 6: ("", 1, 0)}
 
 
-def test_line_dedup_odd(odd):
-    assert line_dedup.dedup(odd).count() == len(ODD)
-
-
 def test_quality_crf_marginals():
     """Forward-backward against the sum over all labellings."""
     rng = np.random.default_rng(0)
@@ -204,6 +237,14 @@ def test_exact_dedup(odd, huge, weak):
         assert [r["doc_id"] for r in own if r["kept"]] == [own[0]["keep_id"]]
 
 
+def test_exact_dedup_repeated_rows(spark, monkeypatch):
+    """Many repeats of one null doc_id and of one text, dealt out to many tasks."""
+    monkeypatch.setattr(exact_dedup, "TOGETHER", 5)
+    rows = [(None, "Twice", "a")] * 60 + [(1, "twice", "a")] * 40 + [(2, "b" * 500, "a"), (3, "B" * 500, "b"), (3, "b" * 499 + "c", "b")]
+    got = exact_dedup.dedup(table(spark, rows), huge=100, chunk=64, weak=5).select("doc_id", "keep_id", "group_size", "kept").collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(None, 1, 100, False)] * 60 + [(1, 1, 100, False)] * 39 + [(1, 1, 100, True), (2, 3, 2, False), (3, 3, 2, True), (3, 3, 1, True)], key=repr)
+
+
 def test_fingerprints_compose():
     text = bytes(random.Random(1).randrange(256) for _ in range(300_000))
     for k, (p, b) in enumerate(zip(exact_dedup.PRIMES, exact_dedup.BASES, strict=True)):
