@@ -8,8 +8,11 @@ bits. When it holds few documents, they are tried one by one. A document that is
 larger than what is left is passed over, and the search goes on behind that
 bucket among the documents that are not, with a new threshold, until none is left:
 the mix is what taking documents in order of their hash would give. Nothing is
-sorted and no document is moved; a larger budget takes all that a smaller one
-does below its first threshold."""
+sorted and, but for repeated rows, no document is moved; a larger budget takes all
+that a smaller one does below its first threshold.
+
+Rows that repeat a doc_id, text and source are numbered, so that each has a hash
+of its own and a budget may end among them. They alone are written for that."""
 
 from __future__ import annotations
 
@@ -30,9 +33,10 @@ FEW = 64  # documents of a bucket that are tried one by one; larger buckets are
 ALL = 2**63 - 1  # the last hash; a size that no row exceeds
 
 #: Words of a text.
-SIZE = r"CAST(coalesce(regexp_count(text, '[^\\x20\\x09-\\x0D]+'), 0) AS LONG)"
-#: 63 bits; rows that repeat a doc_id and text are taken alike.
-HASH = "xxhash64('mix', doc_id, text) & 9223372036854775807"
+SIZE = r"CAST(coalesce(regexp_count(CAST(text AS STRING), '[^\\x20\\x09-\\x0D]+'), 0) AS LONG)"
+#: 63 bits of a row's doc_id, text and, where it repeats others, number among them.
+OWN = "xxhash64('mix', CAST(doc_id AS LONG), CAST(text AS STRING))"
+HASH = "IF(__tie = 0, __own, xxhash64('tie', __own, __tie)) & 9223372036854775807"
 
 
 @dataclass
@@ -89,7 +93,32 @@ KEY = ["no_source", "source_key"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"no_source": F.col("source").isNull(), "source_key": F.coalesce("source", F.lit(""))})
+    """Adds the source as __no_source and __source_key, __size and __own."""
+    source = F.col("source").cast("string")
+    return docs.withColumns({"__no_source": source.isNull(), "__source_key": F.coalesce(source, F.lit("")), "__size": F.expr(SIZE), "__own": F.expr(OWN)})
+
+
+def _numbered(tables: common.Tables, docs: DataFrame) -> DataFrame:
+    """Adds __tie: 0, 1, 2 and so on among rows of one source, doc_id and text.
+
+    Only rows that repeat are moved. They are numbered within the parts of a
+    table, and the parts within a repeated row, so none is a task of its own."""
+    same = ["__no_source", "__source_key", "__own"]
+    repeated = tables.write(docs.groupBy(*same).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n"), "repeated")
+    n = repeated.count()
+    alone = docs.withColumn("__tie", F.lit(0).cast("long"))
+    if not n:
+        return alone
+    few = _small(repeated, n)
+    rows = tables.write(docs.join(few, same).withColumn("__row", F.monotonically_increasing_id()), "repeated_rows").withColumn("__part", F.shiftright("__row", 33))
+    parts = rows.groupBy(*same, "__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*same).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = tables.write(parts.withColumn("__before", F.coalesce(before, F.lit(0))).drop("__n"), "repeated_parts")
+    nth = F.row_number().over(Window.partitionBy(*same, "__part").orderBy("__row")) - 1
+    tied = rows.select(*same, "__part", "__row").withColumn("__nth", nth).join(parts, [*same, "__part"])
+    tied = tables.write(tied.select("__row", (F.col("__before") + F.col("__nth")).alias("__tie")), "ties")
+    numbered = rows.join(tied, "__row").select(*alone.columns)
+    return alone.join(few, same, "left_anti").select(*alone.columns).unionByName(numbered)
 
 
 def _bits(level: F.Column | int) -> F.Column:
@@ -152,28 +181,37 @@ def thresholds(sizes: DataFrame) -> list[Source]:
     return sources
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """All columns of ``docs`` (doc_id, text, source) and size, source_size, target, copies.
+def mix(docs: DataFrame, result: str = "mix") -> DataFrame:
+    """All columns of ``docs`` (doc_id, text, source) and a struct size, source_size, target, copies.
+
+    The struct is named ``result``, with underscores behind it where ``docs``
+    has such a column already. Null text has no words. A source without words
+    has target 0 and its documents are in the mix no times. Of repeated rows as
+    many are taken as the budget holds. Empty tables give no rows.
 
-    Null text has no words. A source without words has target 0 and its
-    documents are in the mix no times. Empty tables give no rows."""
-    spark = docs.sparkSession
-    sized = _keyed(docs).withColumns({"size": F.expr(SIZE), "h": F.expr(HASH)})
-    sources = thresholds(common.written(sized.select(*KEY, "size", "h"), "sizes"))
+    The driver holds a few hundred bytes for each source."""
+    spark, columns, result = docs.sparkSession, docs.columns, common.free_name(docs, result)
+    tables = common.Tables(spark)
+    hashed = _numbered(tables, _keyed(docs)).withColumn("__h", F.expr(HASH))
+    place = {"__no_source": "no_source", "__source_key": "source_key", "__size": "size", "__h": "h"}
+    sources = thresholds(tables.write(hashed.select(*(F.col(k).alias(v) for k, v in place.items())), "sizes"))
+    decided = _table(spark, sources).select(F.col("no_source").alias("__no_source"), F.col("source_key").alias("__source_key"), F.struct("source_size", "target", "times", "taken").alias("__s"))
     extra = [(s.name is None, s.name or "", h, largest) for s in sources for h, largest in s.chosen]
-    chosen = _small(spark.createDataFrame(extra, "no_source boolean, source_key string, h long, most long"), len(extra))
-    out = sized.join(_table(spark, sources), KEY, "left").join(chosen, [*KEY, "h"], "left")
-    once_more = F.expr("exists(taken, x -> h between x.first and x.last and size <= x.largest) or size <= most")
-    copies = F.coalesce(F.col("times") + F.coalesce(once_more, F.lit(False)).cast("int"), F.lit(0))
-    return out.withColumn("copies", copies).select(*docs.columns, "size", "source_size", "target", "copies")
+    chosen = _small(spark.createDataFrame(extra, "__no_source boolean, __source_key string, __h long, __most long"), len(extra))
+    own = ["__no_source", "__source_key"]
+    out = hashed.join(_small(decided, len(sources)), own, "left").join(chosen, [*own, "__h"], "left")
+    once_more = F.expr("exists(__s.taken, x -> __h between x.first and x.last and __size <= x.largest) or __size <= __most")
+    copies = F.coalesce(F.col("__s.times") + F.coalesce(once_more, F.lit(False)).cast("int"), F.lit(0))
+    return out.select(*columns, F.struct(F.col("__size").alias("size"), "__s.source_size", "__s.target", copies.alias("copies")).alias(result))
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as it is taken."""
-    return mix(docs).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select(*docs.columns)
+    columns = docs.columns
+    return mix(docs, "__mix").withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__mix.copies")))).select(*columns)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes, targets and words taken for every row of ``documents``."""
+    """Sizes, targets and words taken for every row of ``documents``; see ``mix`` for the defined cases."""
     mixed = mix(common.documents(spark, sf_dir, "doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return mixed.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))

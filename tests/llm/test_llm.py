@@ -315,16 +315,52 @@ def test_mixing_targets():
     assert abs(out["a"] - 445 * 5 / 12) < 1e-9 and out["c"] == 20 and abs(sum(out.values()) - 465) < 1e-9 and all(out[k] <= 2 * v for k, v in {"a": 100, "b": 100, None: 100, "c": 10}.items())
 
 
+def brute_targets(rows):
+    """Size and target of each source, by water filling in small steps of its own."""
+    size = defaultdict(int)
+    for _, t, source in rows:
+        size[source] += len(re.findall(SPACE, t or ""))
+    names = sorted((n for n in size if n is not None), key=lambda n: [ord(c) for c in n]) + [None] * (None in size)
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    full: set = set()
+    while True:
+        free = [n for n in names if n not in full]
+        left = 1.5 * sum(size.values()) - sum(2 * size[n] for n in full)
+        goal = {n: 2.0 * size[n] if n in full else left * weight[n] / sum(weight[m] for m in free) for n in names}
+        more = {n for n in free if goal[n] > 2 * size[n]}
+        if not more:
+            return size, goal
+        full |= more
+
+
 def test_mixing(spark, odd):
     rng = random.Random(6)
     rows = [(i, "w " * rng.randrange(1, 40), rng.choice(["x", "x", "x", "y", "z", None])) for i in range(6000)]
-    docs = table(spark, rows)
-    a, b = (mixing.mix(docs).select("doc_id", F.col("source"), "source_size", "target", F.length("text").alias("n"), "copies").toPandas() for _ in range(2))
-    assert a.sort_values("doc_id").copies.tolist() == b.sort_values("doc_id").copies.tolist() and a.copies.max() <= 2
-    for _, g in a.assign(source=a.source.fillna("-")).groupby("source"):
-        words = g.n / 2
-        assert words.sum() == g.source_size.iloc[0] and abs((words * g.copies).sum() - g.target.iloc[0]) <= 40
-    assert mixing.mix(odd).count() == len(ODD)
+    rows += [(9000, "one more w " * 5, "c")] * 100 + [(9001, None, "empty"), (9002, "", "empty"), (None, "w", "x")]
+    docs = spark.createDataFrame([(*r, 7, "l", 0.5, True, -1, "h", 3, 4) for r in rows], "doc_id long, text string, source string, size int, level string, target double, h boolean, copies int, mix string, times int, threshold int").repartition(3)
+    size, goal = brute_targets(rows)
+    a, b = (sorted(map(tuple, mixing.mix(d).select("doc_id", "text", "source", "size", "level", "target", "h", "copies", "mix", "times", "threshold", "mix_.size", "mix_.source_size", "mix_.target", "mix_.copies").collect()), key=repr) for d in (docs, docs.repartition(5)))
+    assert a == b and sorted((r[:11] for r in a), key=repr) == sorted(((*r, 7, "l", 0.5, True, -1, "h", 3, 4) for r in rows), key=repr)
+    taken = defaultdict(int)
+    for r in a:
+        n, source_size, target, copies = r[11:]
+        assert n == len(re.findall(SPACE, r[1] or "")) and source_size == size[r[2]] and abs(target - goal[r[2]]) < 1e-6 and copies in (0, 1, 2)
+        taken[r[2]] += n * copies
+    assert all(-40 <= taken[s] - goal[s] <= 0.001 for s in size)
+    assert taken["c"] == 2 * size["c"]
+    got = mixing.mix(odd).collect()
+    want_size, want_goal = brute_targets(ODD)
+    assert sorted(((r["doc_id"], r["text"], r["source"], r["mix"].size) for r in got), key=repr) == sorted(((d, t, s, len(re.findall(SPACE, t or ""))) for d, t, s in ODD), key=repr)
+    assert all(r["mix"].source_size == want_size[r["source"]] and abs(r["mix"].target - want_goal[r["source"]]) < 1e-6 for r in got)
+
+
+def test_mixing_repeated_rows(spark):
+    """A source of one row, repeated, is taken as far as its target goes."""
+    rows = [(1, "a few words that are said again and again now", "c")] * 100 + [(i, "w " * 100, "a") for i in range(40)] + [(i, "w " * 100, "b") for i in range(40)]
+    size, goal = brute_targets(rows)
+    got = mixing.mix(table(spark, rows)).where("source = 'c'").select("mix.*").collect()
+    assert size["c"] == 1000 and goal["c"] < 2000
+    assert abs(sum(r["size"] * r.copies for r in got) - goal["c"]) <= 10
 
 
 def in_hash_order(rows):
@@ -354,10 +390,15 @@ def test_mixing_large_document(spark, monkeypatch, driver):
     missing = []
     for s in range(3):  # one source a table: the target is one and a half times its words
         docs = table(spark, [r for r in rows if r[2] == f"s{s}"])
-        got = mixing.mix(docs).select(F.expr("xxhash64('mix', doc_id, text) & 9223372036854775807").alias("h"), "size", "target", "copies").collect()
-        left, taken = in_hash_order([(r.h, r.size) for r in got])
-        missing.append((got[0].target - sum(r.size * r.copies for r in got)) / got[0].target)
-        assert {r.h for r in got if r.copies == 2} == taken and {r.copies for r in got} <= {1, 2}
+        mixed = mixing.mix(docs).select("doc_id", "mix.*", F.expr("xxhash64('mix', doc_id, text) & 9223372036854775807").alias("h"))
+        # repeated rows have hashes of their own: which of them is which does not show
+        ties = [r[0] for r in spark.range(5).select(F.expr("IF(id = 0, xxhash64('mix', CAST(null AS LONG), repeat('w ', 30)), xxhash64('tie', xxhash64('mix', CAST(null AS LONG), repeat('w ', 30)), id)) & 9223372036854775807")).collect()]
+        got = [(r.h, r["size"], r.copies, r.target) for r in mixed.where("doc_id is not null").collect()]
+        again = sorted((r.copies for r in mixed.where("doc_id is null").collect()), reverse=True)
+        left, taken = in_hash_order([r[:2] for r in got] + [(h, 30) for h in ties[: len(again)]])
+        missing.append((got[0][3] - sum(n * k for _, n, k, _ in got) - 30 * sum(again)) / got[0][3])
+        assert {h for h, _, k, _ in got if k == 2} == taken - set(ties) and {k for _, _, k, _ in got} <= {1, 2}
+        assert sum(k == 2 for k in again) == len(taken & set(ties))
     assert max(missing) < 0.001
 
 
