@@ -1,11 +1,13 @@
 """Best-fit decreasing packing whose bin counts are certified by lower bounds.
 
 Pieces are dealt at random to partitions, each packed by best-fit decreasing.
-Dual feasible functions bound each partition's bin count from below. What a
-partition may gain by others stands in its bins with a gap: a partition above
-its bound gives up its emptiest bins, any partition its last open one. The
-pieces of those bins are exchanged, dealt to fewer partitions, and packed again,
-until one partition holds them. A bin that is not given up is final."""
+Dual feasible functions bound from below how many bins a partition needs, and
+how many all pieces need; both are returned. While the total lies above its
+bound, the emptiest bins of all partitions, four times as many as the total lies
+above at first, are given up: their pieces are exchanged, dealt anew and packed
+again. A turn that gains is followed by another one that gives up twice as
+many. Turns end when the bound is met, or when one gains less than a hundredth
+of what is left to gain."""
 
 from __future__ import annotations
 
@@ -21,20 +23,21 @@ from pyspark.sql import functions as F
 from quarry.llm import common, tokens
 
 CAPACITY = 4096
-PART_PIECES = 200_000
-GIVEN_UP = 48  # bins that a partition above its bound exchanges; the others stay as they are
-FEWER = 16  # partitions whose given bins meet in one
+PART_PIECES = 100_000  # of a partition, about
+LEAST_PARTS = 4  # with which the packing starts
+GIVEN, MORE = 4, 2  # bins given up for each that the total lies above its bound; times that in each further turn
 
 
-def lower_bound(lengths: np.ndarray, capacity: int) -> int:
+def lower_bound(lengths: np.ndarray, capacity: int, count: np.ndarray | None = None) -> int:
     """The largest of the bounds that dual feasible functions give.
 
     u_k (Fekete and Schepers) rounds x (k + 1) / C down unless it is whole;
     the other family counts pieces above C - t as whole bins and those below
-    t as nothing. Any such f has sum f(x) <= 1 over each bin."""
+    t as nothing. Any such f has sum f(x) <= 1 over each bin. ``count`` tells
+    how often each length occurs; without it, each occurs once."""
     if not len(lengths):
         return 0
-    size, count = np.unique(lengths, return_counts=True)
+    size, count = np.unique(lengths, return_counts=True) if count is None else (lengths, count)
     best = -(-int((size * count).sum()) // capacity)
     for k in range(1, 21):
         scaled = size * (k + 1)
@@ -71,60 +74,89 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return out
 
 
-def _packed(pdf: pd.DataFrame, part: int, turn: int, last: bool, capacity: int) -> pd.DataFrame:
+def _packed(pdf: pd.DataFrame, part: int, turn: int, capacity: int) -> pd.DataFrame:
     pdf = pdf.sort_values(["length", "doc_id", "piece", "start", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable", na_position="first").reset_index(drop=True)
     size = pdf["length"].to_numpy()
     bins = best_fit_decreasing(size, capacity)
     n = int(bins.max()) + 1
     fill = np.bincount(bins, weights=size, minlength=n).astype(np.int64)
-    given = np.zeros(n, bool)
-    if not last:
-        gap = np.flatnonzero(fill < capacity)
-        gap = gap[np.argsort(fill[gap], kind="stable")]
-        given[gap[: GIVEN_UP if n > lower_bound(size, capacity) else 1]] = True
     order = np.argsort(bins, kind="stable")
     ends = np.cumsum(size[order])
     first = np.searchsorted(bins[order], np.arange(n))
     begin = np.concatenate([[0], ends])[first]
     offset = np.empty(len(pdf), np.int64)
     offset[order] = ends - size[order] - begin[bins[order]]
-    return pdf.assign(sequence_id=(turn << 56) + (part << 32) + bins, offset=offset, given=given[bins])
+    return pdf.assign(sequence_id=(turn << 56) + (part << 32) + bins, offset=offset, fill=fill[bins], part_bins=n, part_bound=lower_bound(size, capacity))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PART_PIECES) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
+    """Adds sequence_id, offset and the certificates to pieces (doc_id, piece, start, length, ids_crc32).
 
-    No piece may be longer than the capacity. Ties and repeated rows are
-    packed each on its own; no pieces give no rows."""
+    ``bins`` and ``bound`` are the number of sequences and the least that any
+    packing of all pieces has; ``part_bins`` and ``part_bound`` are those of the
+    partition in which a piece was packed last. No piece may be longer than the
+    capacity. Ties and repeated rows are packed each on its own; no pieces give
+    no rows."""
     from pyspark import TaskContext
 
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    schema = f"{columns}, sequence_id long, offset long, given boolean"
-    names = [c.split()[0] for c in columns.split(", ")]
+    schema = f"{columns}, __row long, sequence_id long, offset long, fill long, part_bins long, part_bound long"
+    names = [*(c.split()[0] for c in columns.split(", ")), "__row"]
+    tables = common.Tables(pieces.sparkSession)
 
-    def packer(turn: int, last: bool):
+    def packer(turn: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = [b for b in batches if len(b)]
             if rows:
-                yield _packed(pd.concat(rows, ignore_index=True), TaskContext.get().partitionId(), turn, last, capacity)
+                yield _packed(pd.concat(rows, ignore_index=True), TaskContext.get().partitionId(), turn, capacity)
 
         return run
 
-    rest, done, turn = pieces.select(*names), [], 0
-    total = rest.agg(F.count("*").alias("n")).first()["n"]
-    parts = common.parts_for(total, per_part, 1 if total <= per_part else 12)
-    while True:
-        # the deal depends on the row alone, so a lost partition comes back the same
-        dealt = rest.repartition(parts, F.xxhash64("doc_id", "piece", F.lit(turn))) if parts > 1 else rest.coalesce(1)
-        out = common.written(dealt.mapInPandas(packer(turn, parts == 1), schema), f"packed{turn}")
-        done.append(out.where(~F.col("given")))
-        if parts == 1:
+    def packed(rest: DataFrame, total: int, turn: int, least: int) -> DataFrame:
+        # the deal depends on the written row alone, so a lost partition comes back the same, and equal rows are dealt apart
+        dealt = rest.repartition(common.parts_for(total, per_part, least), F.xxhash64("__row", F.lit(turn)))
+        return tables.write(dealt.mapInPandas(packer(turn), schema), f"packed{turn}")
+
+    def bins_of(table: DataFrame) -> dict[int, int]:
+        """Bins by fill: at most ``capacity`` rows."""
+        return {r.fill: r.n for r in table.where("offset = 0").groupBy("fill").agg(F.count("*").alias("n")).collect()}
+
+    rows = tables.write(pieces.select(*names[:-1], F.monotonically_increasing_id().alias("__row")), "pieces")
+    lengths = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
+    size, count = (np.array([r[k] for r in lengths], np.int64) for k in (0, 1))
+    bound = lower_bound(size, capacity, count)
+    # tables of packed pieces, the bins of each by fill, and the fill up to which its bins have been given up
+    first = packed(rows, int(count.sum()), 0, LEAST_PARTS)
+    parts = [[first, bins_of(first), 0]]
+    total = lambda: sum(sum(b.values()) for _, b, _ in parts)
+    excess, factor, turn = total() - bound, GIVEN, 1
+    while excess > 0:
+        # the emptiest bins of all, by the sum of their histograms
+        upto, given = 0, 0
+        for fill in sorted({f for _, b, _ in parts for f in b if f < capacity}):
+            upto, given = fill, given + sum(b.get(fill, 0) for _, b, _ in parts)
+            if given >= factor * excess:
+                break
+        if given < 2:
             break
-        rest, parts, turn = out.where("given").select(*names), max(1, parts // FEWER), turn + 1
-    packed = done[0]
-    for more in done[1:]:
-        packed = packed.unionByName(more)
-    return packed.drop("given")
+        rest, *others = (t.where((F.col("fill") > g) & (F.col("fill") <= upto)).select(*names) for t, _, g in parts)
+        for more in others:
+            rest = rest.unionByName(more)
+        rest = tables.write(rest, "given")
+        again = packed(rest, rest.count(), turn, 1)
+        made = bins_of(again)
+        gain = given - sum(made.values())
+        if gain <= 0:
+            break
+        parts = [[t, {f: n for f, n in b.items() if f > upto}, max(g, upto)] for t, b, g in parts] + [[again, made, 0]]
+        excess, factor, turn = excess - gain, factor * MORE, turn + 1
+        if 100 * gain < excess:
+            break
+    out, *others = (t.where(F.col("fill") > g) for t, _, g in parts)
+    for more in others:
+        out = out.unionByName(more)
+    tables.drop(*(t for t, _, _ in parts))
+    return out.drop("__row", "fill").withColumns({"bins": F.lit(total()).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int) -> DataFrame:
@@ -143,8 +175,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capaci
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    pieces = common.written(token_pieces(docs, tokenizer or tokens.tokenizer_path("word_bpe_49k.json"), "word", 1, capacity), "pieces")
-    return pack(pieces, capacity)
+    return pack(token_pieces(docs, tokenizer or tokens.tokenizer_path("word_bpe_49k.json"), "word", 1, capacity), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

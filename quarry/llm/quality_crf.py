@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm import common
+
 SAMPLE = 2000
 GROUP_LINES = 200_000  # lines that are worked on together, or one document
 TURNS = 3
 STEPS = 80
 THRESHOLD = 0.3
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20  # of texts, or of a part of one, whose lines are measured together
 
 _CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "symbol": b"#*$%&<>{}[]\\^~=_@", "pipe": b"|", "bang": b"!?"}
 _TABLES = {k: np.isin(np.arange(256), list(v)) for k, v in _CLASSES.items()} | {"more": (np.arange(256) & 0xC0) == 0x80, "space": np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])}
@@ -80,6 +82,25 @@ def line_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return x, chars, per_text
 
 
+def measured(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``line_features`` of the bytes of texts; a long text is taken in runs of whole lines."""
+    if len(texts) > 1 or len(texts[0]) <= BATCH_BYTES:
+        return line_features([bytes(t) for t in texts])
+    xs, lengths, at, rest = [], [], 0, []
+    while at < len(texts[0]):
+        part = bytes(texts[0][at : at + BATCH_BYTES])
+        at += len(part)
+        cut = part.rfind(b"\n")
+        if cut >= 0:
+            x, chars, _ = line_features([b"".join([*rest, part[:cut]])])
+            xs.append(x)
+            lengths.append(chars)
+            rest, part = [], part[cut + 1 :]
+        rest.append(part)
+    x, chars, _ = line_features([b"".join(rest)])
+    return np.concatenate([*xs, x]), np.concatenate([*lengths, chars]), np.array([sum(map(len, lengths)) + len(chars)])
+
+
 def with_neighbours(x: np.ndarray, per_text: np.ndarray) -> np.ndarray:
     """Each line's features with those of the lines before and after it in its text."""
     first = np.cumsum(per_text) - per_text
@@ -216,11 +237,12 @@ def fit(x: np.ndarray, chars: np.ndarray, per_text: np.ndarray, quality: np.ndar
     return model
 
 
-def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
-    texts: list[bytes] = []
+def _batches(b: pa.RecordBatch, column: int) -> Iterator[tuple[int, list]]:
+    """First row and texts of batches of ``BATCH_BYTES`` at most, or of one text; the texts are not copied."""
+    texts: list = []
     size = first = 0
     for i, t in enumerate(b.column(column)):
-        raw = (t.as_py() or "").encode("utf-8", "surrogatepass")
+        raw = common.raw_bytes(t)
         if texts and size + len(raw) > BATCH_BYTES:
             yield first, texts
             texts, size, first = [], 0, i
@@ -242,11 +264,12 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = docs.select("doc_id", "text").join(F.broadcast(spark.createDataFrame(chosen, "doc_id long, quality int")), "doc_id")  # SAMPLE rows at most
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for b in batches:
             rows = []
             for i, texts in _batches(b, 1):
                 for k, t in enumerate(texts, i):
-                    x, chars, _ = line_features([t])
+                    x, chars, _ = measured([t])
                     rows.append((x.astype("<f4").tobytes(), chars.astype("<f4").tobytes(), b.column(2)[k].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.binary(), pa.binary(), pa.int32()])], names=["x", "chars", "quality"])
 
@@ -266,8 +289,9 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     names, place = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for b in batches:
-            out = [model.scores(*line_features(texts)) for _, texts in _batches(b, place)]
+            out = [model.scores(*measured(texts)) for _, texts in _batches(b, place)]
             scores = np.concatenate(out) if out else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], names=[*names, name])
 
@@ -285,8 +309,9 @@ def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
         for b in batches:
-            out = [model.scores(*line_features(texts)) for _, texts in _batches(b, 1)]
+            out = [model.scores(*measured(texts)) for _, texts in _batches(b, 1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], names=["doc_id", "score"])
 
     scored = docs.mapInArrow(run, "doc_id long, score double")

@@ -28,7 +28,7 @@ from quarry.llm import common, tokens
 
 SPACE = "▁"
 PENALTY = 10.0  # of an unknown character, below the lowest score
-KEPT = 1_000_000  # units whose counts a worker keeps
+KEPT = 400_000  # units whose counts a worker keeps, some 150 bytes each
 LONGEST_KEPT = 20
 
 
@@ -146,10 +146,18 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
+def _counter(path: str) -> Counter:
     return Counter(read_vocabulary(path))
 
 
+def counter(path: str) -> Counter:
+    """At the start of a task: the counter that this worker keeps. Its counts go when another operator's task starts."""
+    made = _counter(path)
+    common.release(path)
+    common.hold(path, made.known.clear)
+    return made
+
+
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id and n_tokens for every row; null and empty texts have none.
 
@@ -166,4 +174,8 @@ def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every whole text of ``documents``.
+
+    Null and empty texts have no tokens, repeated rows are counted alike, a
+    null doc_id stays null, an empty table gives no rows."""
     return token_counts(common.documents(spark, sf_dir))

@@ -13,6 +13,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from quarry.llm import common
+
 #: Unicode White_Space: what \s means to the library's patterns.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Latin letters; between one of them and a point or comma both vocabularies split.
@@ -22,7 +24,8 @@ PIECES = {
     "byte": re.compile(f" ?[{LETTERS}]+(?=[.,])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"),
     "word": re.compile(f"[{LETTERS}]+(?=[.,])|[^{WHITE}]+"),
 }
-KEPT_PIECES = 2_000_000  # up to 350 MB in a worker
+KEPT_BYTES = 160 << 20  # of the table of known pieces in a worker, as measured by ``cost``
+ENTRY = 150  # bytes of an entry beside its text and ids: two object headers and its share of the table
 LONGEST_KEPT = 16  # longer ones seldom come again
 LONGEST_TOGETHER = 48
 
@@ -37,7 +40,7 @@ class Encoder:
     control character between spaces put before it. Where the count of marks
     is not that of the pieces, each goes to the library alone."""
 
-    def __init__(self, path: str, kind: str, keep: int = KEPT_PIECES):
+    def __init__(self, path: str, kind: str, keep: int = KEPT_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -47,6 +50,7 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.mark = os.path.commonprefix(special)
         self.known: dict[str, bytes] = {}
+        self.size = 0  # bytes
         self.before = "\n" if self.byte else " \x01 "
         (self.before_id,) = self.library.encode(self.before, add_special_tokens=False).ids
         size = self.library.get_vocab_size() + 1
@@ -97,18 +101,31 @@ class Encoder:
                 new.update(zip(rest, [raw[i:j] for i, j in zip((4 * first).tolist(), [*(4 * at[1:]).tolist(), len(raw)])]))  # noqa: B905
             else:
                 new.update((p, self.whole(p)) for p in rest)
-        if len(self.known) + len(new) > self.keep:
-            self.known.clear()
-        self.known.update([x for x in new.items() if len(x[0]) <= LONGEST_KEPT])
+        kept = [x for x in new.items() if len(x[0]) <= LONGEST_KEPT]
+        more = sum(ENTRY + 2 * len(p) + len(x) for p, x in kept)
+        if self.size + more > self.keep:
+            self.forget()
+        self.known.update(kept)
+        self.size += more
         return new
 
+    def forget(self) -> None:
+        self.known, self.size = {}, 0
+
 
 @lru_cache(maxsize=4)
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for each worker process."""
+def _encoder(path: str, kind: str) -> Encoder:
     return Encoder(path, kind)
 
 
+def encoder(path: str, kind: str) -> Encoder:
+    """At the start of a task: the encoder that this worker keeps. Its table of pieces goes when another operator's task starts."""
+    owner, made = f"{kind} {path}", _encoder(path, kind)
+    common.release(owner)
+    common.hold(owner, made.forget)
+    return made
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 

@@ -296,6 +296,18 @@ def test_packing(spark):
     for _, g in out.sort_values("offset").groupby("sequence_id"):
         assert g.offset.tolist() == [0, *g.length.cumsum().tolist()[:-1]]
     assert out.sequence_id.nunique() <= 1.03 * packing.lower_bound(np.array([r[3] for r in rows]), 64)
+    assert set(out.bins) == {out.sequence_id.nunique()} and set(out.bound) == {packing.lower_bound(np.array([r[3] for r in rows]), 64)}
+    assert (out.part_bins >= out.part_bound).all()
+
+
+def test_packing_exchange(spark):
+    """Halves that fit each other alone: partitions that have too many of one kind exchange them until the bound is met."""
+    rng = random.Random(5)
+    rows = [(i, 0, 0, 2500 if i % 2 else 1596, i) for i in range(4000)]
+    rng.shuffle(rows)
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long"), per_part=200).toPandas()
+    assert sorted(out.doc_id) == list(range(4000)) and out.sequence_id.nunique() == 2000 == out.bound.iloc[0] == out.bins.iloc[0]
+    assert (out.groupby("sequence_id").length.sum() == 4096).all()
 
 
 def test_packing_bounds():
@@ -306,8 +318,23 @@ def test_packing_bounds():
     assert packing.lower_bound(np.array([40] * 10), 64) == 10
 
 
-def test_packing_odd(odd):
-    assert packing.pack_documents(odd).where("piece = 0").count() == len(ODD)
+def test_packing_odd(odd, none):
+    """Ids, cuts and starts against the library; nulls, repeats, and texts of many pieces."""
+    encoder = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word")
+    want = []
+    for d, t, _ in ODD:
+        ids = [*encoder.library.encode(t or "", add_special_tokens=False).ids, 1]
+        want += [(d, i, 64 * i, len(ids[64 * i : 64 * i + 64]), zlib.crc32(np.array(ids[64 * i : 64 * i + 64], "<u4").tobytes())) for i in range(-(-len(ids) // 64))]
+    out = packing.pack_documents(odd, capacity=64)
+    rows = out.collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows), key=repr) == sorted(want, key=repr)
+    place = defaultdict(list)
+    for r in rows:
+        place[r.sequence_id].append((r.offset, r.length))
+    for p in place.values():
+        assert [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] and sum(n for _, n in p) <= 64
+    assert len(place) == rows[0].bins >= rows[0].bound
+    assert packing.pack_documents(none).count() == 0
 
 
 def test_mixing_targets():
