@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, registry, secrets, token_counts, token_files, tokens
+from quarry.llm import common, exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, registry, secrets, token_counts, token_files, tokens
 
 SF = "/root/testdata/sf0.001"
 SPACE = r"[^\x20\x09-\x0D]+"
@@ -484,7 +484,7 @@ def test_pipeline(spark):
     names = spark.read.parquet(f"{sf}/documents.parquet").columns
     docs, before = spark.read.parquet(f"{sf}/documents.parquet"), None
     for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
-        docs = corpus_pipeline.written(stage(spark, docs, sf), f"test{i}")
+        docs = common.written(stage(spark, docs, sf), f"test{i}")
         now = docs.toPandas()
         if i < 4:
             assert docs.columns == names
@@ -500,3 +500,26 @@ def test_pipeline(spark):
             assert sorted(now[now.piece == 0].doc_id) == sorted(before.doc_id) and (now.groupby("sequence_id").length.sum() <= 4096).all()
         before = now
     assert len(before) > 0
+
+
+def test_pipeline_odd(spark):
+    """Nulls, repeats, a very long text and clashing names: each stage hands on whole rows, as they came; empty tables go through."""
+    rng, sf = random.Random(11), "/root/testdata/sf0.001"
+    prose = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400").limit(6).collect()]
+    rows = [*((r[0], r[1], r[2]) for r in ODD), *((i, t, rng.choice("ab")) for i, t in enumerate(prose, 50)), (None, prose[0], "a"), (None, prose[0], "a"), (70, prose[1], None), (71, "\n".join(prose * 40), "z")]
+    names = "doc_id long, text string, source string, score double, kept boolean, size int, target int, level int, h int, copies int, row int, cluster int, xx int, __score int, mix int, n_lines int"
+    first = docs = spark.createDataFrame([(*r, 0.5, False, *range(11)) for r in rows], names).repartition(3)
+    before = sorted(map(tuple, docs.collect()), key=repr)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES[:4]):
+        docs = common.written(stage(spark, docs, sf), f"odd{i}")
+        now = sorted(map(tuple, docs.collect()), key=repr)
+        assert docs.columns == first.columns and set(now) <= set(before) and now
+        if i in (1, 2):
+            assert len(set(now)) == len(now)
+        before = now
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, sf)
+    assert packed.where("piece = 0").count() == len(before)
+    docs = first.where("false")
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = common.written(stage(spark, docs, sf), f"none{i}")
+        assert docs.count() == 0
