@@ -10,27 +10,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import exact_dedup, mixing, near_dedup, packing, quality_crf
-from quarry.llm.common import written
+from quarry.llm.common import Tables, free_name, written
 
 
 def _rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """One row of ``docs`` for each (doc_id, xx) of ``kept``; xx is the hash of the text."""
-    key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
-    wanted = kept.select(key.alias("__key"), F.col("xx").alias("__xx")).distinct()
-    keyed = docs.withColumns({"__key": key, "__xx": F.xxhash64("text")}).join(wanted, ["__key", "__xx"], "left_semi")
-    nth = F.row_number().over(Window.partitionBy("__key", "__xx").orderBy("__xx"))
-    return keyed.withColumn("__nth", nth).where("__nth = 1").select(*docs.columns)
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    wanted = written(kept.select(key.alias("__key"), F.col("xx").alias("__xx")).distinct(), "wanted")
+    found = written(docs.withColumns({"__key": key, "__xx": F.xxhash64(F.col("text").cast("string"))}).join(wanted, ["__key", "__xx"], "left_semi"), "found")
+    if found.count() > wanted.count():  # rows repeat; they are thinned out before they are dealt to tasks
+        found = found.dropDuplicates(["__key", "__xx"])
+    return found.select(*docs.columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the conditional random field scores at 0.3 or more."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
-    scored = quality_crf.score(docs, quality_crf.train(docs, labels), "__score")
-    return scored.where(F.col("__score") >= quality_crf.THRESHOLD).select(*docs.columns)
+    name = free_name(docs, "__score")
+    return quality_crf.score(docs, quality_crf.train(docs, labels), name).where(F.col(name) >= quality_crf.THRESHOLD).select(*docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables(spark)
     for i, (_, stage) in enumerate(STAGES):
-        docs = written(stage(spark, docs, sf_dir), f"stage{i}")
+        docs = tables.write(stage(spark, docs, sf_dir), f"stage{i}")
+        tables.drop(docs)
     return docs
