@@ -155,18 +155,18 @@ def _key(column: str) -> F.Column:
     return F.coalesce(F.col(column), F.lit(-(2**63)))
 
 
-def _compared(docs: DataFrame, members: DataFrame, huge: int, chunk: int) -> DataFrame:
+def _compared(tables: common.Tables, docs: DataFrame, members: DataFrame, huge: int, chunk: int) -> DataFrame:
     """doc_id, xx of the members (class, size, top, doc_id, xx) whose text is not that of their class's top.
 
     Each part of a text meets the same part of the top; a copy of it serves
     ``TOGETHER`` rows, so a large class, repeated rows too, is many tasks."""
     texts = docs.select("doc_id", _key("doc_id").alias("__key"), F.xxhash64("text").alias("xx"), "text")
-    salts = F.expr(f"int((size - 1) div {TOGETHER} + 1)")
-    own = members.select(*CLASS, salts.alias("salts"), _key("doc_id").alias("__key"), "xx").distinct()
+    is_top = _key("doc_id").eqNullSafe(_key("top.doc_id")) & (F.col("xx") == F.col("top.xx"))
+    own = members.select(*CLASS, F.expr(f"int((size - 1) div {TOGETHER} + 1)").alias("salts"), _key("doc_id").alias("__key"), "xx", is_top.alias("as_top")).distinct()
+    found = tables.write(texts.join(own, ["__key", "xx"]), "members")
     # a row's place among all of a repeated one
-    rows = texts.join(own, ["__key", "xx"]).withColumn("salt", F.pmod(F.xxhash64("xx", F.monotonically_increasing_id()), "salts").cast("int")).withColumn("is_top", F.lit(False))
-    tops = members.select(*CLASS, salts.alias("salts"), _key("top.doc_id").alias("__key"), F.col("top.xx").alias("xx")).distinct()
-    one = texts.join(tops, ["__key", "xx"]).groupBy(*CLASS, "salts", "__key", "xx").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("xx", F.monotonically_increasing_id()), "salts").cast("int")).withColumn("is_top", F.lit(False))
+    one = found.where("as_top").groupBy(*CLASS, "salts", "xx").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
     one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("is_top", F.lit(True))
     columns = [*CLASS, "salt", "is_top", "doc_id", "xx"]
     both = rows.select(*columns, "text").unionByName(one.select(*columns, "text"))
@@ -194,7 +194,7 @@ def dedup(docs: DataFrame, huge: int = HUGE, chunk: int = PART, weak: int | None
         # written, so that the join deals both sides out and can split a large group
         groups = tables.write(prints.groupBy(*CLASS).agg(F.count("*").alias("size"), F.max(F.struct("doc_id", "row", "xx")).alias("top")).where("size > 1"), "groups")
         joined = tables.write(prints.join(groups, CLASS, "left"), "joined")
-        wrong = tables.write(_compared(docs, joined.where(F.col("size").isNotNull() & (F.col("turn") == turn)), huge, chunk), "differing")
+        wrong = tables.write(_compared(tables, docs, joined.where(F.col("size").isNotNull() & (F.col("turn") == turn)), huge, chunk), "differing")
         if not wrong.take(1):
             break
         # those that differ get a class of their own, which is compared in the next turn
