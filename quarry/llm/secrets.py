@@ -1,13 +1,19 @@
 """Secret scans in DataFrame functions only.
 
-Base spans come from three patterns. Beyond them, long runs of letters and
-digits are tested for randomness: the encoding is inferred from their
+Base spans come from three patterns. Beyond them, runs of 16 and more letters
+and digits are tested for randomness: the encoding is inferred from their
 characters, and the codes are held against a uniform source by a chi-squared
-test over cells of the alphabet, a runs test about the alphabet's middle and a
-test of serial correlation. A run that passes is told from ordinary words by
-the odds of its characters under either source; as odds multiply over the
-length, short runs need more of them. The false discovery rate over all runs of
-a document is held by Benjamini and Hochberg's step-up rule."""
+test over cells of the alphabet, more of them in a longer run, a runs test about
+the alphabet's middle and a test of serial correlation. The battery's p-value is
+three times the least of the three; below ``LEVEL`` the run is not random.
+
+False discoveries are ordinary words taken for random. The evidence against
+words is the odds of the run's characters under either source, weakened by the
+battery: odds / p. Odds of words are at most x with a chance of at most x when
+words are what there is, and dividing by p <= 1 keeps that, so these are p-values
+whose power grows with the length of a run. Benjamini and Hochberg's step-up rule
+holds their false discovery rate over all runs of a document. Runs without a
+letter are as likely as numbers as they are as keys: none is reported."""
 
 from __future__ import annotations
 
@@ -15,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.text import let
+from quarry.llm import common
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -22,8 +29,8 @@ ASSIGN_HINT = r"(?i)password|passwd|secret|token|api_?key"
 # a run that is long enough is found by the same start as one of any length, as runs end where their class does
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}"
-LEVEL = 0.001  # of each of the three tests
+RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
+LEVEL = 0.001  # of the battery
 RATE = 0.001  # of false discoveries
 
 #: How often letters occur in ordinary words, about, per thousand; digits, signs and inner capitals share the rest.
@@ -56,46 +63,41 @@ def _normal_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.least(F.greatest(1.5976 * z + 0.07056 * z * z * z, F.lit(-700.0)), F.lit(700.0))))
 
 
-#: Encodings in the order tried: alphabets as sets, smallest first; without a digit or with inner capitals alone no encoding is inferred.
+#: Encodings in the order tried, smallest alphabet first.
 DIGITS, SMALL, LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ENCODINGS = (
+    ("[0-9]+", DIGITS),
     ("[0-9a-f]+", DIGITS + SMALL[:6]),
     ("[0-9A-F]+", DIGITS + LARGE[:6]),
+    ("[a-z]+", SMALL),
+    ("[A-Z]+", LARGE),
     ("[A-Z2-7]+", LARGE + "234567"),
     ("[0-9a-z]+", DIGITS + SMALL),
     ("[0-9A-Z]+", DIGITS + LARGE),
+    ("[A-Za-z]+", LARGE + SMALL),
     ("[0-9A-Za-z]+", DIGITS + LARGE + SMALL),
     ("[0-9A-Za-z+/]+", LARGE + SMALL + DIGITS + "+/"),
     ("[0-9A-Za-z_-]+", LARGE + SMALL + DIGITS + "-_"),
     ("[0-9A-Za-z+/_-]+", LARGE + SMALL + DIGITS + "+/-_"),
 )
-CELLS = 4
+LEAST_CELLS, MOST_CELLS, PER_CELL = 2, 8, 5  # cells of the chi-squared test, and codes that each should get
 
 
-def _tested(run: Column) -> Column:
-    """The run without padding and the alphabet of its inferred encoding, null without one."""
-    body = F.rtrim(run, F.lit("="))
-    alphabet = F.lit(None).cast("string")
-    for pattern, letters in reversed(ENCODINGS):
-        alphabet = F.when(body.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
-    encoded = body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    return F.struct(body.alias("body"), F.when(encoded, alphabet).alias("alphabet"))
-
-
-def _statistics(x: Column) -> Column:
-    """x: struct of codes (array<int> from 0), k (alphabet's size), odds."""
-    codes, k = x["codes"], x["k"].cast("double")
-    n = F.size(codes).cast("double")
+def _battery(codes: Column, k: Column) -> Column:
+    """The battery's p-value for codes (array<int> from 0) of an alphabet of ``k``."""
+    k, n = k.cast("double"), F.size(codes).cast("double")
     count = lambda a, f: F.size(F.filter(a, f)).cast("double")
+    cells = F.greatest(F.lit(LEAST_CELLS), F.least(F.lit(MOST_CELLS), F.floor(n / PER_CELL))).cast("int")
+
     # cells of equal share of the alphabet, as near as it divides
-    def cell(j: int) -> Column:
-        expected = n * size(j, k) / k
-        off = count(codes, lambda c: F.floor(c * CELLS / k) == j) - expected
+    def cell(j: Column) -> Column:
+        expected = n * (F.ceil((j + 1) * k / cells) - F.ceil(j * k / cells)) / k
+        off = count(codes, lambda c: F.floor(c * cells / k) == j) - expected
         return off * off / expected
 
-    chi = sum((cell(j) for j in range(CELLS)), F.lit(0.0))
-    df = CELLS - 1
-    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / ((2 / (9 * df)) ** 0.5)
+    chi = F.aggregate(F.transform(F.sequence(F.lit(0), cells - 1), cell), F.lit(0.0), lambda a, b: a + b)
+    df = (cells - 1).cast("double")
+    z_chi = (F.pow(chi / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / F.sqrt(2 / (9 * df))
     high = F.transform(codes, lambda c: (c * 2 >= k).cast("int"))
     n1 = F.aggregate(high, F.lit(0), lambda a, b: a + b).cast("double")
     n0 = n - n1
@@ -109,36 +111,42 @@ def _statistics(x: Column) -> Column:
     steps = F.arrays_zip(F.slice(codes, 1, F.size(codes) - 1).alias("a"), F.slice(codes, F.lit(2), F.size(codes) - 1).alias("b"))
     serial = F.aggregate(steps, F.lit(0.0), lambda a, p: a + (p["a"] - mean) * (p["b"] - mean)) / var
     z_serial = F.abs(serial + 1 / n) * F.sqrt(n)
-    return F.least(_normal_tail(z_chi), 2 * _normal_tail(z_runs), 2 * _normal_tail(z_serial))
-
-
-def size(j: int, k: Column) -> Column:
-    """How many codes of an alphabet of k fall into cell j."""
-    return F.ceil((j + 1) * k / CELLS) - F.ceil(F.lit(j) * k / CELLS)
+    return F.least(F.lit(1.0), 3 * F.least(_normal_tail(z_chi), 2 * _normal_tail(z_runs), 2 * _normal_tail(z_serial)))
 
 
 def _random(text: Column, base: Column) -> Column:
-    """Spans of runs that the battery takes for random and that no base span overlaps."""
+    """Spans of runs that are taken for random and that no base span overlaps."""
     shares = [x.split() for x in LETTERS.split(", ")]
     known = F.create_map(*(v for letter, share in shares for v in (F.lit(letter), F.lit(float(share) / 1000))))
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("run"), _spans(text, RUN, 3).alias("span"))
 
-    def described(x: Column) -> Column:
-        run = x["run"]
-        t = _tested(run)
-        body, alphabet = t["body"], t["alphabet"]
+    def coded(x: Column) -> Column:
+        """Evidence against words, and codes, of a run with a letter."""
+        body = F.rtrim(x["run"], F.lit("="))
+        alphabet = F.lit(None).cast("string")
+        for pattern, letters in reversed(ENCODINGS):
+            alphabet = F.when(body.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
         letters = F.filter(F.split(body, ""), lambda c: c != "")
-        codes = F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
-        odds = F.aggregate(letters, F.lit(0.0), lambda a, c: a - F.log(F.char_length(alphabet) * F.coalesce(F.get(F.filter(F.map_values(F.map_filter(known, lambda key, _: key == c)), lambda v: v.isNotNull()), F.lit(0)), F.lit(SIGN_SHARE))))
-        return F.struct(x["span"].alias("span"), codes.alias("codes"), F.char_length(alphabet).alias("k"), F.least(F.exp(F.least(-odds, F.lit(0.0))), F.lit(1.0)).alias("odds"), alphabet.isNotNull().alias("encoded"))
+        share = lambda c: F.coalesce(F.get(F.filter(F.map_values(F.map_filter(known, lambda key, _: key == c)), lambda v: v.isNotNull()), F.lit(0)), F.lit(SIGN_SHARE))
+
+        def described(a: Column) -> Column:
+            codes = F.transform(letters, lambda c: F.instr(a, c) - 1)
+            odds = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.log(F.char_length(a) * share(c)))
+            return F.struct(x["span"].alias("span"), codes.alias("codes"), F.char_length(a).alias("k"), odds.alias("odds"))
+
+        return let(alphabet, described)
 
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+
     def chosen(all_runs: Column) -> Column:
-        encoded = F.filter(F.transform(all_runs, described), lambda x: x["encoded"] & free(x["span"]))
-        passed = F.filter(encoded, lambda x: _statistics(x) >= LEVEL)
-        ranked = F.sort_array(F.transform(passed, lambda x: F.struct(x["odds"].alias("odds"), x["span"].alias("span"))))
+        lettered = F.filter(all_runs, lambda x: x["run"].rlike("[A-Za-z]") & free(x["span"]))
+        # the odds are quick, the battery is for those that it can still matter to
+        likely = F.filter(F.transform(lettered, coded), lambda x: x["odds"] <= F.log(F.lit(RATE)))
+        tested = F.transform(likely, lambda x: F.struct(x["odds"].alias("odds"), _battery(x["codes"], x["k"]).alias("p"), x["span"].alias("span")))
+        passed = F.filter(tested, lambda x: x["p"] >= LEVEL)
+        ranked = F.sort_array(F.transform(passed, lambda x: F.struct(F.exp(F.greatest(x["odds"], F.lit(-700.0)) - F.log(x["p"])).alias("p"), x["span"].alias("span"))))
         # step-up over all runs of the text: as many as the largest rank within its level
-        within = lambda r: F.aggregate(F.transform(r, lambda x, i: F.when(x["odds"] <= RATE * (i + 1) / F.size(all_runs), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
+        within = lambda r: F.aggregate(F.transform(r, lambda x, i: F.when(x["p"] <= RATE * (i + 1) / F.size(all_runs), i + 1).otherwise(0)), F.lit(0), lambda a, b: F.greatest(a, b))
         return let(ranked, lambda r: F.transform(F.slice(r, F.lit(1), within(r)), lambda x: x["span"]))
 
     return let(found, chosen)
@@ -153,7 +161,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans for every row.
 
     Null text is empty and has no spans. A span is a whole match, its end not
-    included. Repeated rows are scanned alike; other columns are ignored."""
+    included. A null doc_id stays null; repeated rows are scanned alike; other
+    columns are ignored; an empty table gives no rows."""
     none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
     text = F.col("t")
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
@@ -172,6 +181,5 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from quarry.llm import common
-
+    """Secrets in every whole text of ``documents``; see ``scan`` for the defined cases."""
     return scan(common.documents(spark, sf_dir))
