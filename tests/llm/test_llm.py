@@ -1,10 +1,12 @@
 """The ten operators against plain Python, with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -274,6 +276,33 @@ def test_codes():
     assert len(token_files.Segment(token_files.pack(ids[:0]))) == 0
 
 
+def test_crc32_joined():
+    rng = random.Random(3)
+    for _ in range(50):
+        a, b = rng.randbytes(rng.randrange(50)), rng.randbytes(rng.randrange(5000))
+        assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+
+
+def test_token_files_cut(spark, tmp_path):
+    """Texts longer than a segment go on in the next one; many rows of one doc_id are several shards."""
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    texts = ["one two " * 70_000, "short", "three " * 200_000, ""]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(None, f"none {i % 7}", "s") for i in range(200)]
+    token_files.write(table(spark, rows), f"file://{tmp_path}/ids", path, shards=5)
+    stored = spark.read.parquet(f"file://{tmp_path}/ids")
+    assert stored.agg(F.max("n_tokens")).first()[0] <= 2 * token_files.SEGMENT_TOKENS and stored.where("goes_on").count() >= 4
+    assert stored.select("shard").distinct().count() > 2
+    got = sorted(map(tuple, token_files.read(spark, f"file://{tmp_path}/ids").collect()), key=lambda r: r[1])
+    encoder, at = tokens.Encoder(path, "byte"), 0
+    raws = {d: encoder.whole(t) + b"\x02\0\0\0" for d, t, _ in rows if d is not None}
+    assert [r[0] for r in got] == [None] * 200 + [0, 1, 2, 3]
+    for d, start, n, crc in got:
+        assert start == at and (d is None or (n, crc) == (len(raws[d]) // 4, zlib.crc32(raws[d])))
+        at += n
+    none_crcs = sorted(zlib.crc32(encoder.whole(f"none {i % 7}") + b"\x02\0\0\0") for i in range(200))
+    assert sorted(r[3] for r in got[:200]) == none_crcs
+
+
 def test_token_files(spark, odd, none, tmp_path):
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     token_files.write(odd, f"file://{tmp_path}/ids", path, shards=3)
@@ -455,6 +484,62 @@ def test_secrets(spark, odd):
     assert secrets.scan(odd).where("spans <> ''").count() == 0
 
 
+def brute_random(text, base):
+    """Starts and ends of the runs that the battery and the step-up let through, in plain Python."""
+    share = {x.split()[0]: float(x.split()[1]) / 1000 for x in secrets.LETTERS.split(", ")}
+    tail = lambda z: 1 / (1 + math.exp(min(700, max(-700, 1.5976 * z + 0.07056 * z**3))))
+    runs = [(m.start(), m.end(), m[0].rstrip("=")) for m in re.finditer(secrets.RUN, text)]
+    ranked = []
+    for a, b, body in runs:
+        if not re.search("[A-Za-z]", body) or any(s < b and a < e for s, _, e in base):
+            continue
+        alphabet = next(letters for pattern, letters in secrets.ENCODINGS if re.fullmatch(pattern, body))
+        k, n, codes = len(alphabet), len(body), [alphabet.index(c) for c in body]
+        odds = sum(math.log(k * share.get(c, secrets.SIGN_SHARE)) for c in body)
+        cells = max(2, min(8, n // 5))
+        size = Counter(c * cells // k for c in range(k))
+        seen = Counter(c * cells // k for c in codes)
+        chi, df = sum((seen[j] - n * size[j] / k) ** 2 / (n * size[j] / k) for j in range(cells)), cells - 1
+        high = [2 * c >= k for c in codes]
+        expected = 1 + 2 * sum(high) * (n - sum(high)) / n
+        z_runs = abs(1 + sum(x != y for x, y in itertools.pairwise(high)) - expected) / math.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 1e-9))
+        mean = sum(codes) / n
+        serial = sum((x - mean) * (y - mean) for x, y in itertools.pairwise(codes)) / max(sum((c - mean) ** 2 for c in codes), 1e-9)
+        p = min(1, 3 * min(tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))), 2 * tail(z_runs), 2 * tail(abs(serial + 1 / n) * math.sqrt(n))))
+        if odds <= math.log(secrets.RATE) and p >= secrets.LEVEL:
+            ranked.append((math.exp(max(odds, -700) - math.log(p)), a, b))
+    ranked.sort()
+    rank = max((i for i, (p, _, _) in enumerate(ranked, 1) if p <= secrets.RATE * i / len(runs)), default=0)
+    return {(a, b) for _, a, b in ranked[:rank]}
+
+
+def test_random_runs_brute(spark):
+    rng, rows = random.Random(12), []
+    words = ["internationalization", "CharacteristicsOfTheRiver", "src/main/java/org", "donaudampfschifffahrt", "un-deux-trois-quatre", "getUserNameFromDatabase", "2024-01-01T12-30-00"]
+    letters = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(a for _, a in secrets.ENCODINGS[8:9]), secrets.ENCODINGS[9][1], secrets.ENCODINGS[10][1], "ab", "x9"]
+    for i in range(200):
+        parts = [rng.choice(words) if rng.random() < 0.5 else "".join(rng.choices(rng.choice(letters), k=rng.randrange(14, 70))) + rng.choice(["", "=", "=="]) for _ in range(rng.randrange(5))]
+        rows.append((i, rng.choice([" ", " é, ", "\n"]).join(parts), "s"))
+    found = 0
+    for r in secrets.scan(table(spark, rows)).collect():
+        got = {(int(x[1]), int(x[2])) for x in (y.split(":") for y in r["spans"].split(",") if y) if x[0] == "random"}
+        assert got == brute_random(rows[r["doc_id"]][1], base_spans(rows[r["doc_id"]][1])), rows[r["doc_id"]][1]
+        found += len(got)
+    assert found > 60
+
+
+def test_random_letters_alone(spark):
+    """Keys of letters, and short ones, beside long words."""
+    rng = random.Random(13)
+    mixed = secrets.ENCODINGS[8][1]
+    long = [(i, "see " + "".join(rng.choices(mixed, k=32)) + " internationalization", "s") for i in range(50)]
+    short = [(100 + i, "see " + "".join(rng.choices(secrets.ENCODINGS[9][1], k=16)), "s") for i in range(50)]
+    small = [(200 + i, "see " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=48)), "s") for i in range(50)]
+    prose = [(300, "Rindfleischetikettierungsueberwachung donaudampfschifffahrtsgesellschaft anticonstitucionalmente intergouvernementalisation internationalization electroencefalografista", "s")]
+    found = Counter(r["doc_id"] // 100 for r in secrets.scan(table(spark, long + short + small + prose)).where("spans like '%random:4:%' or doc_id >= 300 and spans <> ''").collect())
+    assert found[0] >= 45 and found[1] >= 40 and found[2] >= 40 and found[3] == 0
+
+
 def test_random_runs(spark):
     rng = random.Random(8)
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
