@@ -40,6 +40,11 @@ class Rule:
         tests = [value >= self.least] * (self.least is not None) + [value <= self.most] * (self.most is not None)
         return F.coalesce(tests[0] if len(tests) == 1 else tests[0] & tests[1], F.lit(False))
 
+    def sql(self) -> str:
+        """The same test for other engines; a measure without a value fails."""
+        tests = [f"{self.value} >= {self.least}"] * (self.least is not None) + [f"{self.value} <= {self.most}"] * (self.most is not None)
+        return f"coalesce({' AND '.join(tests)}, false)"
+
 
 #: Measures: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines (with a word), n_stop_words, n_capitals.
 RULES = (
@@ -119,8 +124,9 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_
       FROM w LEFT JOIN p ON w.r = p.r),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND word_chars / greatest(n_words, 1) BETWEEN 2 AND 14 AND n_symbols / greatest(n_words, 1) <= 0.25
-  AND n_stop_words / greatest(n_words, 1) >= 0.04 AND n_capitals / greatest(word_chars, 1) <= 0.3 AND n_dup_lines / greatest(n_lines, 1) <= 0.5 AS kept
+  NOT base_failed AND """
+    + " AND ".join(r.sql() for r in RULES)
+    + """ AS kept
 FROM f
 """
 )

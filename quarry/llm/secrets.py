@@ -126,12 +126,12 @@ def _random(text: Column, base: Column) -> Column:
         alphabet = F.lit(None).cast("string")
         for pattern, letters in reversed(ENCODINGS):
             alphabet = F.when(body.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
-        letters = F.filter(F.split(body, ""), lambda c: c != "")
+        letters, shouted = F.filter(F.split(body, ""), lambda c: c != ""), ~body.rlike("[a-z]")  # words in capitals are words
         share = lambda c: F.coalesce(F.get(F.filter(F.map_values(F.map_filter(known, lambda key, _: key == c)), lambda v: v.isNotNull()), F.lit(0)), F.lit(SIGN_SHARE))
 
         def described(a: Column) -> Column:
             codes = F.transform(letters, lambda c: F.instr(a, c) - 1)
-            odds = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.log(F.char_length(a) * share(c)))
+            odds = F.aggregate(letters, F.lit(0.0), lambda s, c: s + F.log(F.char_length(a) * share(F.when(shouted, F.lower(c)).otherwise(c))))
             return F.struct(x["span"].alias("span"), codes.alias("codes"), F.char_length(a).alias("k"), odds.alias("odds"))
 
         return let(alphabet, described)
