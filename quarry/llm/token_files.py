@@ -29,7 +29,6 @@ from quarry.llm import common, tokens
 
 STEP = 512  # bits between entries of a rank directory
 SEGMENT_TOKENS = 1 << 16
-SHARD_ROWS = 5_000
 BLOCK_SHARDS = 4_000
 
 
@@ -69,8 +68,8 @@ class Segment:
         block = min(i // STEP, len(ranks) - 1)
         if block < 0:
             return 0
-        part = bitmap[block * STEP // 8 : -(-i // 8)]
-        return int(ranks[block]) + int(np.unpackbits(part, bitorder="little", count=i - block * STEP).sum())
+        part = int.from_bytes(bitmap[block * STEP // 8 : -(-i // 8)].tobytes(), "little")
+        return int(ranks[block]) + (part & ((1 << (i - block * STEP)) - 1)).bit_count()
 
     def token(self, i: int) -> int:
         value = 0
@@ -83,15 +82,14 @@ class Segment:
 
     def run(self, i: int, j: int) -> np.ndarray:
         """Tokens i to j, j not included."""
-        low, _, _ = self.levels[0]
-        out = low[i:j].astype("<u4")
-        where = np.arange(j - i)
-        for k in range(len(self.levels) - 1):
-            _, bitmap, _ = self.levels[k]
+        out = self.levels[0][0][i:j].astype("<u4")
+        where = None
+        for k, (_, bitmap, _) in enumerate(self.levels[:-1]):
             first = i >> 3
-            bits = np.unpackbits(bitmap[first : -(-j // 8)], bitorder="little")[i - 8 * first :][: j - i].astype(bool)
-            i, where = self.rank(k, i), where[bits]
-            j = i + len(where)
+            on = np.flatnonzero(np.unpackbits(bitmap[first : -(-j // 8)], bitorder="little")[i - 8 * first : j - 8 * first])
+            where = on if where is None else where[on]
+            i = self.rank(k, i)
+            j = i + len(on)
             out[where] |= self.levels[k + 1][0][i:j].astype("<u4") << np.uint32(8 * (k + 1))
         return out
 
@@ -105,7 +103,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
     Documents are dealt in ranges of ascending doc_id, null first, so shards
     follow one another in that order; rows of one doc_id come as they are read,
     and many of them are several shards. A null text is empty. An empty table
-    gives no segment."""
+    gives no segment. Without ``shards`` there are as many as the session's
+    shuffles have partitions."""
     from pyspark import TaskContext
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +142,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end_id
             yield flush(False)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    shards = shards or common.parts_for(docs.count(), SHARD_ROWS, 12)
+    shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # a row's number splits the rows of one doc_id, null too
     ordered = docs.withColumn("__row", F.monotonically_increasing_id()).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "__row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "__row")
     # small row groups: a reader holds a few of them, not a shard

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from contextlib import suppress
 from functools import lru_cache
 
 import numpy as np
@@ -24,8 +25,7 @@ PIECES = {
     "byte": re.compile(f" ?[{LETTERS}]+(?=[.,])| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]"),
     "word": re.compile(f"[{LETTERS}]+(?=[.,])|[^{WHITE}]+"),
 }
-KEPT_BYTES = 160 << 20  # of the table of known pieces in a worker, as measured by ``cost``
-ENTRY = 150  # bytes of an entry beside its text and ids: two object headers and its share of the table
+KEPT_PIECES = 1_200_000  # some 200 bytes each, 240 MB in a worker
 LONGEST_KEPT = 16  # longer ones seldom come again
 LONGEST_TOGETHER = 48
 
@@ -40,7 +40,7 @@ class Encoder:
     control character between spaces put before it. Where the count of marks
     is not that of the pieces, each goes to the library alone."""
 
-    def __init__(self, path: str, kind: str, keep: int = KEPT_BYTES):
+    def __init__(self, path: str, kind: str, keep: int = KEPT_PIECES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,7 +50,6 @@ class Encoder:
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
         self.mark = os.path.commonprefix(special)
         self.known: dict[str, bytes] = {}
-        self.size = 0  # bytes
         self.before = "\n" if self.byte else " \x01 "
         (self.before_id,) = self.library.encode(self.before, add_special_tokens=False).ids
         size = self.library.get_vocab_size() + 1
@@ -73,8 +72,14 @@ class Encoder:
         pieces = self.split(text)
         got = list(map(self.known.get, pieces))
         if None in got:
-            new = self.learn({p for p, x in zip(pieces, got) if x is None})  # noqa: B905
-            got = [new[p] if x is None else x for p, x in zip(pieces, got)]  # noqa: B905
+            at, i = [], -1
+            with suppress(ValueError):  # the last one is past
+                while True:
+                    i = got.index(None, i + 1)
+                    at.append(i)
+            new = self.learn({pieces[i] for i in at})
+            for i in at:
+                got[i] = new[pieces[i]]
         return b"".join(got)
 
     def ids(self, text: str) -> np.ndarray:
@@ -101,16 +106,13 @@ class Encoder:
                 new.update(zip(rest, [raw[i:j] for i, j in zip((4 * first).tolist(), [*(4 * at[1:]).tolist(), len(raw)])]))  # noqa: B905
             else:
                 new.update((p, self.whole(p)) for p in rest)
-        kept = [x for x in new.items() if len(x[0]) <= LONGEST_KEPT]
-        more = sum(ENTRY + 2 * len(p) + len(x) for p, x in kept)
-        if self.size + more > self.keep:
+        if len(self.known) + len(new) > self.keep:
             self.forget()
-        self.known.update(kept)
-        self.size += more
+        self.known.update([x for x in new.items() if len(x[0]) <= LONGEST_KEPT])
         return new
 
     def forget(self) -> None:
-        self.known, self.size = {}, 0
+        self.known.clear()
 
 
 @lru_cache(maxsize=4)
