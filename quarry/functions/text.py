@@ -33,6 +33,11 @@ def bm25_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(BM25_TOKEN), F.lit(0))
 
 
+def bm25_length(text: Column) -> Column:
+    """How many words ``bm25_tokens`` gives, without making them."""
+    return F.regexp_count(F.lower(text), F.lit(BM25_TOKEN))
+
+
 def trigram_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TRIGRAM_TOKEN), F.lit(0))
 

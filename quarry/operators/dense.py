@@ -1,12 +1,15 @@
 """Exact dense search: the stated queries, in blocks, against all vectors.
 
-A block of queries is a matrix of bounded size that goes to every task; a task
-multiplies it with a batch of vectors and passes on its best k for each query,
-so what is dealt out is k rows for each query and batch."""
+Queries are dealt to blocks of bounded size, a matrix in a row each; vectors are
+packed, where they stand, into batches, a matrix in a row each. A batch meets
+every block by an equi-join on the block's number, which Spark broadcasts while
+the blocks are small, and their product passes on what is asked for: the best k
+of the batch for each query, or its links. The plan does not grow with the
+queries, and none of them passes through the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +19,8 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators.lexical import ranked
 
-BLOCK = 4096  # queries that are held in memory together
+BLOCK = 4096  # queries that are held in memory together, about
+BATCH = 2000  # vectors that meet a block at a time
 
 
 class EmbedderMismatchError(ValueError):
@@ -41,25 +45,57 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _search(block: list[tuple[int, list[float]]], k: int, self_deny: bool):
-    ids = np.array([i for i, _ in block])
-    queries = _normed(np.array([v for _, v in block], np.float64))
+def _blocks(queries: DataFrame, block: int) -> tuple[DataFrame, int]:
+    """``queries`` (query_id, embedding) as rows block, ids, matrix, and how many blocks there are."""
+    n = max(1, -(-queries.count() // block))
+
+    def pack(table: pa.Table) -> pa.Table:
+        rows = table.combine_chunks()
+        vectors = rows.column("embedding").combine_chunks()
+        dim = len(vectors[0].as_py()) if len(vectors) and vectors[0].is_valid else 0
+        matrix = _normed(_matrix(vectors, dim))
+        ids = rows.column("query_id").to_numpy().astype("<i8")
+        return pa.table({"block": rows.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "asked": pa.array([matrix.astype("<f8").tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
+
+    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, asked binary, dim int"), n
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """source, doc_id, embedding as rows sources, docs, vectors, of ``BATCH`` vectors at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, BATCH):
+            part = b.slice(at, BATCH)
+            lists = part.column(2).fill_null([]) if part.column(2).null_count else part.column(2)
+            dims = np.unique(np.diff(lists.offsets.to_numpy()))
+            if len(dims) > 1:
+                raise EmbedderMismatchError(f"vectors have {dims.tolist()} numbers")
+            matrix = _normed(_matrix(part.column(2), int(dims[0])))
+            docs = part.column(1).to_numpy(zero_copy_only=False).astype("<i8")
+            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([docs.tobytes()], pa.binary()), pa.array([matrix.astype("<f8").tobytes()], pa.binary()), pa.array([int(dims[0])], pa.int32())], names=["sources", "docs", "vectors", "dim"])
+
+
+def _products(queries: DataFrame, vectors: DataFrame, block: int, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], self_deny: bool) -> DataFrame:
+    """query_id, source, doc_id, score at the places that ``found`` names in the scores of a block and a batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if not b.num_rows:
-                continue
-            doc = b.column(1).to_numpy(zero_copy_only=False)
-            score = np.round(queries @ _normed(_matrix(b.column(2), queries.shape[1])).T, 6) + 0.0
-            if self_deny:
-                score[ids[:, None] == doc[None, :]] = -np.inf
-            keep = min(k, score.shape[1])
-            # ties at the cut: everything at the k-th score goes on to the ranking
-            cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-            q, d = np.nonzero((score >= cut[:, None]) & np.isfinite(score))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(d)), pa.array(doc[d]), pa.array(score[q, d])], names=["query_id", "source", "doc_id", "score"])
-
-    return run
+            for sources, docs, matrix, dim, ids, asked, asked_dim in zip(*(b.column(i) for i in range(7)), strict=True):
+                if dim.as_py() != asked_dim.as_py():
+                    raise EmbedderMismatchError(f"a vector has {dim.as_py()} numbers, the queries have {asked_dim.as_py()}")
+                ids_, docs_ = (np.frombuffer(x.as_buffer(), "<i8") for x in (ids, docs))
+                q, v = (np.frombuffer(x.as_buffer(), "<f8").reshape(len(n), -1) for x, n in ((asked, ids_), (matrix, docs_)))
+                score = np.round(q @ v.T, 6) + 0.0
+                if self_deny:
+                    score[ids_[:, None] == docs_[None, :]] = -np.inf
+                i, j = found(score)
+                yield pa.RecordBatch.from_arrays([pa.array(ids_[i]), sources.values.take(pa.array(j)), pa.array(docs_[j]), pa.array(score[i, j])], names=["query_id", "source", "doc_id", "score"])
+
+    asked, n = _blocks(queries, block)
+    packed = vectors.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_packed, "sources array<string>, docs binary, vectors binary, dim int")
+    # each batch once for every block
+    meeting = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked.withColumnRenamed("dim", "asked_dim"), "block")
+    return meeting.select("sources", "docs", "vectors", "dim", "ids", "asked", "asked_dim").mapInArrow(run, "query_id long, source string, doc_id long, score double")
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, deny: DataFrame | None = None, self_deny: bool = False, denied: int = 0, block: int = BLOCK) -> DataFrame:
@@ -68,23 +104,20 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, deny: DataFr
     ``queries``: query_id, embedding. ``vectors``: source, doc_id, embedding.
     ``denied`` is how many documents ``deny`` may take from one query: tasks
     pass on so many more."""
-    found: DataFrame | None = None
-    held: list[tuple[int, list[float]]] = []
-
-    def add(found: DataFrame | None) -> DataFrame:
-        part = vectors.select("source", "doc_id", "embedding").mapInArrow(_search(list(held), k + denied, self_deny), "query_id long, source string, doc_id long, score double")
-        return part if found is None else found.unionByName(part)
-
-    for row in queries.select("query_id", "embedding").toLocalIterator():
-        held.append((row[0], list(row[1])))
-        if len(held) == block:
-            found = add(found)
-            held.clear()
-    if held or found is None:
-        if not held:
-            return vectors.sparkSession.createDataFrame([], "query_id long, source string, doc_id long, score double, rank int")
-        found = add(found)
-    return ranked(found, k, deny)
+    wanted = k + denied
+
+    def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        keep = min(wanted, score.shape[1])
+        # ties at the cut: everything at the k-th score goes on to the ranking
+        cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
+        return np.nonzero((score >= cut[:, None]) & np.isfinite(score))
+
+    return ranked(_products(queries, vectors, block, best, self_deny), k, deny)
+
+
+def similar(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """query_id, source, doc_id, score of all other vectors whose cosine with the query is at least the threshold."""
+    return _products(queries, vectors, block, lambda score: np.nonzero(score >= threshold), True)
 
 
 def with_fake_embeddings(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """source, n_docs, avgdl; documents without words count."""
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg(F.size(T.bm25_tokens(F.col("text")))).alias("avgdl"))
+    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg(T.bm25_length(F.col("text"))).alias("avgdl"))
 
 
 def scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:

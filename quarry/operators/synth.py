@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.functions import text as T
+from quarry.operators import dense
 
 RARE_AT_MOST, CLOSED_BOOK_FROM, NEAR_DUPLICATE_FROM = 2, 0.85, 0.95
 
@@ -57,31 +57,36 @@ def closed_book(questions: DataFrame, answer: Callable[[str], Column] | Column,
 
 def near_duplicate_pairs(vectors: DataFrame, queries: DataFrame, threshold: float = NEAR_DUPLICATE_FROM) -> DataFrame:
     """query_id, doc_id, score of stated queries against all vectors (doc_id, embedding), other than themselves."""
-    found = queries.select("query_id", F.col("embedding").alias("q")).join(vectors.select("doc_id", "embedding"), F.col("query_id") != F.col("doc_id"))
-    return found.select("query_id", "doc_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score")).where(F.col("score") >= threshold)
+    return dense.similar(queries, vectors.withColumn("source", F.lit("")), threshold).select("query_id", "doc_id", "score")
 
 
 def near_duplicate_greedy(items: DataFrame, threshold: float = NEAR_DUPLICATE_FROM) -> DataFrame:
     """set_id, item_id, accepted: in item order, an item close to one accepted before is not (set_id, item_id, embedding).
 
-    The decision depends on all before it, so a set is one group: the questions
-    of one evaluation set, which a person reviews."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("item_id").reset_index(drop=True)
-        kept: list[np.ndarray] = []
-        verdicts = []
-        for v in pdf["embedding"]:
-            v = np.asarray(v, np.float64)
-            length = np.sqrt((v * v).sum())
-            v = v / length if length else v
-            close = bool(kept) and bool((np.round(np.array(kept) @ v, 6) >= threshold).any())
-            if not close:
-                kept.append(v)
-            verdicts.append(not close)
-        return pd.DataFrame({"set_id": pdf["set_id"], "item_id": pdf["item_id"], "accepted": verdicts})
-
-    return items.select("set_id", "item_id", "embedding").groupBy("set_id").applyInPandas(run, "set_id string, item_id long, accepted boolean")
+    Equal vectors of a set are one; of them only the first can be accepted. An
+    item is accepted when none of the earlier ones close to it is undecided or
+    accepted, and then rejects the later ones; each turn decides all items that
+    it can, in tables. Item ids are unique in a set."""
+    rows = items.select("set_id", "item_id", "embedding", F.xxhash64("set_id", "item_id").alias("doc_id"))
+    first = scratch.written(rows.groupBy("set_id", "embedding").agg(F.min(F.struct("item_id", "doc_id")).alias("x")).select("set_id", "x.item_id", "x.doc_id", "embedding"), "firsts")
+    near = dense.similar(first.select(F.col("doc_id").alias("query_id"), "embedding"), first.withColumn("source", F.lit("")), threshold)
+    side = lambda x: first.select(F.col("set_id").alias(f"set_{x}"), F.col("item_id").alias(f"item_{x}"), F.col("doc_id").alias(x))
+    # links from earlier to later items of one set
+    links = near.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b")).join(side("a"), "a").join(side("b"), "b").where("set_a = set_b and item_a < item_b").select("a", "b")
+    links = scratch.written(links, "links")
+    open_ = first.select("doc_id")
+    accepted = None
+    while True:
+        free = scratch.written(open_.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "accepted")
+        accepted = free if accepted is None else accepted.unionByName(free)
+        if not links.take(1):
+            break
+        gone = links.join(free.select(F.col("doc_id").alias("a")), "a").select(F.col("b").alias("doc_id")).distinct()
+        decided = scratch.written(free.unionByName(gone), "decided")
+        open_ = scratch.written(open_.join(decided, "doc_id", "left_anti"), "open")
+        links = scratch.written(links.join(decided.select(F.col("doc_id").alias("a")), "a", "left_anti").join(decided.select(F.col("doc_id").alias("b")), "b", "left_anti"), "links")
+    yes = accepted.withColumn("accepted", F.lit(True))
+    return rows.join(yes, "doc_id", "left").select("set_id", "item_id", F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
 def seeded_order(key: Column, seed: int) -> Column:

@@ -59,10 +59,10 @@ def clean_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def admonitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose every third line opens a block and every seventh closes one, strays included."""
+    """Whole documents; a line that opens a block goes before every third line and one that closes it before every seventh, strays included."""
     lines = F.split("text", "\n", -1)
-    mark = lambda line, i: F.when(i % 7 == 6, F.lit("///")).when(i % 3 == 1, F.concat(F.lit("/// noTE | "), F.substring(line, 1, 8))).otherwise(line)
-    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(F.transform(lines, mark), "\n").alias("text"))
+    mark = lambda line, i: F.when(i % 7 == 6, F.array(F.lit("///"), line)).when(i % 3 == 1, F.array(F.concat(F.lit("/// noTE | part "), i.cast("string")), line)).otherwise(F.array(line))
+    d = table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.array_join(F.flatten(F.transform(lines, mark)), "\n").alias("text"))
     return d.select("doc_id", F.sha2(markdown.convert_admonitions(F.col("text")), 256).alias("text_sha"))
 
 
@@ -76,10 +76,11 @@ def code_macros(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def termy_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents, escaped, in a terminal block; other tags stand around it."""
     d = table(spark, sf_dir, "documents", "doc_id", "text")
-    head = F.regexp_replace(F.substring("text", 1, 60), "[^A-Za-z ]", "")
-    text = F.concat(F.lit("<b>kept</b>\n<div class=\"termy\">\n\n<font color=\"red\">"), head, F.lit("</font> &lt;x&gt; &amp; &eacute;\n\n</div>\nend"))
-    return markdown.strip_termy(d.select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))).select("path", "text")
+    escaped = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&#62;"))
+    text = F.concat(F.lit("<b>kept</b>\n<div class=\"termy\">\n\n<font color=\"red\">"), escaped, F.lit("</font> &lt;x&gt; &amp; &eacute;\n\n</div>\nend"))
+    return markdown.strip_termy(d.select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))).select("path", F.sha2("text", 256).alias("text_sha"))
 
 
 QUERIES = {f.__name__: f for f in (token_estimate, content_hash, bm25_tokenize, trigram_tokenize, page_of, doc_url, fake_embed, model_slugs, headings, clean_headings, admonitions, code_macros, termy_strip)}
@@ -116,9 +117,11 @@ WITH {MARKED_SQL}
 SELECT path, sha256(coalesce(string_agg(regexp_replace(line, '^(#{{1,6}})\\s+(.*?)\\s*\\{{\\s*#([\\w-]+)\\s*\\}}\\s*$', '\\1 \\2'), chr(10) ORDER BY ln) FILTER (NOT (ln = last AND line = '')), '')) AS text_sha
 FROM (SELECT *, max(ln) OVER (PARTITION BY path) AS last FROM marked) GROUP BY path""",
     "admonitions": """
-WITH RECURSIVE l AS (
-  SELECT doc_id, i - 1 AS ln, CASE WHEN (i - 1) % 7 = 6 THEN '///' WHEN (i - 1) % 3 = 1 THEN '/// noTE | ' || substr(p[i], 1, 8) ELSE p[i] END AS line, len(p) AS n
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+WITH RECURSIVE r AS (SELECT doc_id, i - 1 AS i, p[i] AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS p, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+l AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i, sub) - 1 AS ln, line, count(*) OVER (PARTITION BY doc_id) AS n FROM (
+    SELECT doc_id, i, 1 AS sub, x AS line FROM r
+    UNION ALL SELECT doc_id, i, 0, CASE WHEN i % 7 = 6 THEN '///' ELSE '/// noTE | part ' || i END FROM r WHERE i % 7 = 6 OR i % 3 = 1)),
 k AS (SELECT *, regexp_matches(trim(line), '^/{3,}\\s*$') AS closes, regexp_matches(trim(line), '^/{3,}\\s*[A-Za-z][\\w-]*\\s*(?:\\|\\s*(.*?)\\s*)?$') AS opens FROM l),
 f AS (
   SELECT doc_id, ln, CAST(opens AS INTEGER) AS depth, false AS dropped FROM k WHERE ln = 0
@@ -134,5 +137,5 @@ c AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN p[:-2]
 SELECT CAST(doc_id AS VARCHAR) AS path, sha256('Before' || chr(10) || '```python' || chr(10) || array_to_string(p[1:2] || p[4:4], chr(10)) || chr(10) || '```' || chr(10) || 'between' || chr(10)
   || '```python' || chr(10) || '# snippet not found: ../../src/none' || doc_id || '.py' || chr(10) || '```' || chr(10) || 'after') AS text_sha FROM c""",
     "termy_strip": """
-SELECT CAST(doc_id AS VARCHAR) AS path, '<b>kept</b>' || chr(10) || regexp_replace(substr(text, 1, 60), '[^A-Za-z ]', '', 'g') || ' <x> & é' || chr(10) || 'end' AS text FROM documents""",
+SELECT CAST(doc_id AS VARCHAR) AS path, sha256('<b>kept</b>' || chr(10) || ltrim(text || ' <x> & é', chr(10)) || chr(10) || 'end') AS text_sha FROM documents""",
 }

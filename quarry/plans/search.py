@@ -29,12 +29,12 @@ def bm25_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _denied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = tables.queries(spark, sf_dir).select("query_id", (F.col("query_id") % 10).alias("digit"))
-    return q.join(corpus(spark, sf_dir).select("doc_id", (F.col("doc_id") % 10).alias("digit")), "digit").select("query_id", "doc_id")
+    """Each item's three best documents: a list that grows with the items, and that changes every ranking."""
+    return bm25_topk(spark, sf_dir).where("rank <= 3").select("query_id", "doc_id")
 
 
 def bm25_deny(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``bm25_topk`` without documents whose last digit is the item's."""
+    """As ``bm25_topk`` without the three documents that are best otherwise."""
     return lexical.bm25_topk(tables.queries(spark, sf_dir), corpus(spark, sf_dir), 10, _denied(spark, sf_dir)).select("query_id", "doc_id", "score", "rank")
 
 
@@ -177,7 +177,7 @@ SQL = {
     "bm25_df": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term",
     "bm25_topk": f"WITH {bm25_cte()} " + _top("bm", 10, "query_id, doc_id, score"),
     "bm25_topk_per_source": f"WITH {bm25_cte('source')} " + _top("bm", 10, "query_id, source, doc_id, score"),
-    "bm25_deny": f"WITH {bm25_cte()} " + _top("bm", 10, "query_id, doc_id, score", "query_id % 10 <> doc_id % 10"),
+    "bm25_deny": f"WITH {bm25_cte()}, all13 AS ({_top('bm', 13, 'query_id, doc_id, score')}) SELECT query_id, doc_id, score, CAST(rank - 3 AS INTEGER) AS rank FROM all13 WHERE rank > 3",
     "dense_topk": f"WITH n AS ({_NEAR.format(source=repr('all'))} AND q.vec_id <> e.vec_id) " + _top("n", 10, "query_id, doc_id, score"),
     "dense_multi_source": "WITH n AS (" + _NEAR.format(source="CASE WHEN e.label % 2 = 0 THEN 'docs' ELSE 'discussions' END") + ") " + _top("n", 10, "query_id, source, doc_id, score"),
     "dense_text_topk": f"WITH {_DENSE} " + _top("dn", 10, "query_id, source, doc_id, score"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import review, synth
 from quarry.plans import tables
+from quarry.plans.evaluation import contained
 from quarry.plans.tables import table, vectors
 
 
@@ -14,10 +15,18 @@ def trigram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.trigram_df(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+ASKED_ABOUT = 10  # documents that an item is a question about
+
+
 def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark item as a question about the documents that share its last digit."""
-    q = tables.queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("query").alias("question"), (F.col("query_id") % 10).alias("digit"))
-    return q.join(table(spark, sf_dir, "documents", "doc_id").withColumn("digit", F.col("doc_id") % 10), "digit").select("question_id", "question", "doc_id")
+    """Every benchmark item as a question about ten documents and about those that hold it: a list that grows with the items."""
+    q = tables.queries(spark, sf_dir).select(F.col("query_id").alias("question_id"), F.col("query").alias("question"))
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    places = F.sequence(F.lit(0), F.lit(ASKED_ABOUT - 1))
+    n = docs.agg(F.count("*").alias("n"))
+    some = q.join(n).select("question_id", F.explode(F.transform(places, lambda j: (F.col("question_id") * 31 + j * 17) % F.col("n"))).alias("doc_id"))
+    held = contained(spark, sf_dir).select(F.col("query_id").alias("question_id"), "doc_id")
+    return some.join(docs, "doc_id").select("question_id", "doc_id").unionByName(held).distinct().join(q, "question_id")
 
 
 def lexical_overlap_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,14 +40,17 @@ def closed_book_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole similarity join: each vector and how many others are close to it."""
     v = vectors(spark, sf_dir)
-    return synth.near_duplicate_pairs(v, v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), 0.3)
+    pairs = synth.near_duplicate_pairs(v, v.select(F.col("doc_id").alias("query_id"), "embedding"), 0.3)
+    links = pairs.groupBy("query_id").agg(F.count("*").alias("n_links"))
+    return v.select(F.col("doc_id").alias("query_id")).join(links, "query_id", "left").select(F.col("query_id").alias("doc_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def near_dup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sets of two hundred vectors, each filtered in order."""
-    v = vectors(spark, sf_dir).select(F.concat(F.lit("set"), F.floor(F.col("doc_id") / 200).cast("string")).alias("set_id"), F.col("doc_id").alias("item_id"), "embedding")
-    return synth.near_duplicate_greedy(v, 0.3)
+    """All vectors as one set, filtered in order."""
+    v = vectors(spark, sf_dir).select(F.lit("all").alias("set_id"), F.col("doc_id").alias("item_id"), "embedding")
+    return synth.near_duplicate_greedy(v, 0.3).select("item_id", "accepted")
 
 
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,17 +92,26 @@ _TRI = "list_distinct(list_transform(range(1, greatest(len(w) - 1, 1)), lambda i
 _STOP = "[" + ", ".join(f"'{w}'" for w in synth.STOP_WORDS) + "]"
 _VEC = "list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha256({x}), 2 * i + 1, 2) AS INTEGER)::DOUBLE / 255)"
 _TRIGRAMS = f"dt AS (SELECT doc_id, unnest({_TRI}) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents))"
+#: near (a, b): vectors that are close, in both directions.
+_NEAR_PAIRS = "near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) >= 0.3)"
 
 SQL = {
     "trigram_df": f"WITH {_TRIGRAMS} SELECT t AS trigram, count(*) AS df FROM dt GROUP BY t",
     "lexical_overlap_reject": f"""
 WITH {_TRIGRAMS}, df AS (SELECT t, count(*) AS n FROM dt GROUP BY t),
 qt AS (SELECT question_id, t FROM (SELECT item_id AS question_id, unnest({_TRI}) AS t FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark)) WHERE NOT list_has_any(string_split(t, ' '), {_STOP})),
-p AS (SELECT b.item_id AS question_id, d.doc_id FROM benchmark b JOIN documents d ON b.item_id % 10 = d.doc_id % 10),
+p AS (SELECT item_id AS question_id, doc_id FROM (SELECT item_id, (item_id * 31 + unnest(range(0, 10)) * 17) % (SELECT count(*) FROM documents) AS doc_id FROM benchmark) JOIN (SELECT doc_id FROM documents) USING (doc_id)
+  UNION SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
 h AS (SELECT DISTINCT p.question_id, p.doc_id FROM p JOIN qt ON qt.question_id = p.question_id JOIN dt ON dt.doc_id = p.doc_id AND dt.t = qt.t JOIN df ON df.t = qt.t WHERE df.n <= 2)
 SELECT p.question_id, p.doc_id, h.doc_id IS NOT NULL AS rejected FROM p LEFT JOIN h ON h.question_id = p.question_id AND h.doc_id = p.doc_id""",
     "closed_book_reject": f"SELECT doc_id, round(list_cosine_similarity({_VEC.format(x='substr(text, 1, 40)')}, {_VEC.format(x='text')}), 6) >= 0.85 AS rejected FROM documents",
-    "near_dup_pairs": "SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id AND round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) >= 0.3",
+    "near_dup_pairs": f"WITH {_NEAR_PAIRS} SELECT v.vec_id AS doc_id, count(b) AS n_links FROM embeddings v LEFT JOIN near ON a = v.vec_id GROUP BY v.vec_id",
+    "near_dup_greedy": f"""
+WITH RECURSIVE {_NEAR_PAIRS}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
+e AS (SELECT o.i, o.vec_id, coalesce(list(b) FILTER (b < o.vec_id), []) AS before FROM o LEFT JOIN near ON a = o.vec_id GROUP BY o.i, o.vec_id),
+g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held
+  UNION ALL SELECT e.i, CASE WHEN list_has_any(g.held, e.before) THEN g.held ELSE list_append(g.held, CAST(e.vec_id AS BIGINT)) END FROM g JOIN e ON e.i = g.i + 1)
+SELECT vec_id AS item_id, list_contains((SELECT arg_max(held, i) FROM g), CAST(vec_id AS BIGINT)) AS accepted FROM embeddings""",
     "stratified_sample": "SELECT doc_id, source AS section, CAST(row_number() OVER (ORDER BY nth, source) AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY sha256('0-' || doc_id)) AS nth FROM documents) QUALIFY place <= 100",
     "build_report": """
 SELECT count(*) FILTER (doc_id % 14 <> 0 AND text IS NOT NULL) AS generated, count(*) FILTER (doc_id % 7 = 1) AS rejected_lexical, count(*) FILTER (doc_id % 7 = 2) AS rejected_closed_book,

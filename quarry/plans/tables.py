@@ -47,32 +47,35 @@ QAS_SQL = """qas AS (
 
 
 def marked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """path, text: documents set as Markdown. Each line's length and place decide what it becomes."""
+    """path, text: documents set as Markdown. Whole lines stay; each one's length and place decide which line goes before it."""
     lines = F.split("text", "\n", -1)
 
     def mark(line, i):
         head = F.substring(line, 1, 24)
         n = F.char_length(line) % 6
-        return (
+        before = (
             F.when(i % 13 == 5, F.lit("```"))
             .when(n == 0, F.lit(""))
             .when(n == 1, F.concat(F.lit("## "), head, F.lit(" { #h"), i.cast("string"), F.lit(" }")))
             .when(n == 2, F.concat(F.lit("### "), head))
             .when(n == 3, F.concat(F.lit("#### "), head, F.lit(" { #d"), i.cast("string"), F.lit(" }")))
             .when(n == 4, F.concat(F.lit("/// tip | "), head))
-            .otherwise(line)
         )
+        return F.when(before.isNull(), F.array(line)).otherwise(F.array(before, line))
 
-    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(F.transform(lines, mark), "\n").alias("text"))
+    return table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(F.flatten(F.transform(lines, mark)), "\n").alias("text"))
 
 
 #: ``marked`` (path, ln, line): the lines of ``marked_pages``.
 MARKED_SQL = """marked AS (
-  SELECT path, ln, CASE WHEN ln % 13 = 5 THEN '```' WHEN length(x) % 6 = 0 THEN ''
-      WHEN length(x) % 6 = 1 THEN '## ' || substr(x, 1, 24) || ' { #h' || ln || ' }' WHEN length(x) % 6 = 2 THEN '### ' || substr(x, 1, 24)
-      WHEN length(x) % 6 = 3 THEN '#### ' || substr(x, 1, 24) || ' { #d' || ln || ' }' WHEN length(x) % 6 = 4 THEN '/// tip | ' || substr(x, 1, 24) ELSE x END AS line
-  FROM (SELECT path, i - 1 AS ln, parts[i] AS x FROM (SELECT doc_id || '.md' AS path, string_split(text, chr(10)) AS parts,
-    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)))"""
+  SELECT path, row_number() OVER (PARTITION BY path ORDER BY i, sub) - 1 AS ln, line FROM (
+    SELECT path, i, 1 AS sub, x AS line FROM parted
+    UNION ALL SELECT path, i, 0, CASE WHEN i % 13 = 5 THEN '```' WHEN length(x) % 6 = 0 THEN ''
+      WHEN length(x) % 6 = 1 THEN '## ' || substr(x, 1, 24) || ' { #h' || i || ' }' WHEN length(x) % 6 = 2 THEN '### ' || substr(x, 1, 24)
+      WHEN length(x) % 6 = 3 THEN '#### ' || substr(x, 1, 24) || ' { #d' || i || ' }' ELSE '/// tip | ' || substr(x, 1, 24) END FROM parted WHERE i % 13 = 5 OR length(x) % 6 <> 5))"""
+MARKED_SQL = """parted AS (SELECT path, i - 1 AS i, parts[i] AS x FROM (SELECT doc_id || '.md' AS path, string_split(text, chr(10)) AS parts,
+    unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents)),
+""" + MARKED_SQL
 
 
 def line_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
