@@ -1,12 +1,17 @@
-"""Command line: list, pin and compare runs, and hold one against its baseline."""
+"""Command line: run and gate evaluations, review and label their sets, list, pin and compare runs."""
 
 from __future__ import annotations
 
 import argparse
+import dataclasses
+import hashlib
+import itertools
 import json
+from collections.abc import Callable
 from pathlib import Path
 
 from quarry import config, manifest
+from quarry.operators import review
 from quarry.operators.runs import HEADLINE, WARN_MARGIN, gate_markdown
 
 
@@ -29,6 +34,81 @@ def gate_rows(run: dict, base: dict | None, cfg: config.RunConfig, dataset: str)
     return rows
 
 
+def _session():
+    from pyspark.sql import SparkSession
+
+    return SparkSession.builder.appName("quarry").getOrCreate()
+
+
+def _experiment(a: argparse.Namespace) -> tuple[config.RunConfig, dict]:
+    """Runs the configuration on the stored chunks and the sets of the folder."""
+    from pyspark.sql import functions as F
+
+    from quarry.experiment import check_supported, run_experiment
+    from quarry.sources import files
+    from quarry.sources.store import ChunkStore
+
+    cfg = config.load(a.config, a.set)
+    check_supported(cfg)
+    spark = _session()
+    store = ChunkStore(spark, a.store)
+    parts = [store.read(s).withColumn("source", F.lit(s)) for s in cfg.corpus.sources]
+    chunks = parts[0]
+    for more in parts[1:]:
+        chunks = chunks.unionByName(more, allowMissingColumns=True)
+    chunks = chunks.withColumns({"doc_id": F.xxhash64("source", "chunk_id"), "text": F.col("document")})
+    items, shas = None, {}
+    for name in cfg.eval.datasets:
+        one = files.read_eval_set(spark, str(a.sets), name).withColumn("dataset", F.lit(name))
+        items = one if items is None else items.unionByName(one)
+        shas[name] = files.file_sha256(a.sets / f"{name}.jsonl")
+    if items is None:
+        raise SystemExit("the configuration names no evaluation set")
+    return cfg, run_experiment(cfg, a.config, items, chunks, a.runs_root, corpus_sha=(store.identity(cfg.corpus.sources[0]) or {}).get("corpus_sha", ""), dataset_shas=shas)
+
+
+def _show(run: dict) -> None:
+    print(f"run_id: {run['run_id']}")
+    for dataset, block in run["metrics"].items():
+        print(f"  {dataset}  (n={block['n']})")
+        for name in [*(f"recall_at_{k}" for k in block["recall_at_k"]), "mrr"]:
+            value = manifest.metric(run, dataset, name)
+            low, high = block["cis"].get(name, (value, value))
+            print(f"    {name}: {value:.3f}  [{low:.3f}, {high:.3f}]")
+
+
+def _set_file(a: argparse.Namespace) -> tuple[list[review.Item], Callable[[list[review.Item]], None]]:
+    """The items of a set's file, and what writes them back; keys that sessions do not know stay."""
+    path = a.sets / f"{a.dataset}.jsonl"
+    rows = {r["id"]: r for r in manifest.read_jsonl(path)}
+    known = {f.name for f in dataclasses.fields(review.Item)}
+
+    def save(items: list[review.Item]) -> None:
+        for i in items:
+            rows[i.id] |= {k: list(v) if isinstance(v, tuple) else v for k, v in dataclasses.asdict(i).items()}
+        path.write_text("".join(json.dumps(r) + "\n" for r in rows.values()), encoding="utf-8")
+
+    return [review.Item(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items() if k in known}) for r in rows.values()], save
+
+
+def _suggestions(a: argparse.Namespace) -> Callable[[str], list[str]]:
+    """Addresses of the ten documentation chunks that are nearest to a question."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators.dense import dense_topk, with_fake_embeddings
+    from quarry.sources.store import ChunkStore
+
+    spark = _session()
+    chunks = ChunkStore(spark, a.store).read("docs").withColumns({"source": F.lit("docs"), "doc_id": F.xxhash64("chunk_id")})
+
+    def suggest(question: str) -> list[str]:
+        asked = with_fake_embeddings(spark.createDataFrame([(0, question)], "query_id long, query string"), "query")
+        found = dense_topk(asked, chunks, 10).join(chunks.select("doc_id", "url"), "doc_id").orderBy("rank")
+        return [r["url"] or "" for r in found.collect()]
+
+    return suggest
+
+
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="quarry")
     top.add_argument("--runs-root", type=Path, default=Path("runs"))
@@ -39,11 +119,24 @@ def main(argv: list[str] | None = None) -> int:
     pin.add_argument("--name")
     board = sub.add_parser("leaderboard")
     board.add_argument("--dataset", required=True)
-    gate = sub.add_parser("gate")
-    for name in ("run", "config", "dataset"):
-        gate.add_argument(f"--{name}", required=True)
+    board.add_argument("--metric", action="append")
+    board.add_argument("--out", type=Path)
+    run, gate, check, label = (sub.add_parser(name) for name in ("run", "gate", "review", "label"))
+    for one in (run, gate):
+        one.add_argument("--config", required=True)
+        one.add_argument("--set", action="append", default=[])
+    for one in (run, gate, check, label):
+        one.add_argument("--sets", type=Path, default=Path("eval_sets"))
+    for one in (run, gate, label):
+        one.add_argument("--store", default="store")
+    for one in (gate, check, label):
+        one.add_argument("--dataset", required=True)
+    gate.add_argument("--run", help="a stored run; without it the configuration is run")
     gate.add_argument("--baseline", type=Path)
-    gate.add_argument("--set", action="append", default=[])
+    gate.add_argument("--summary-out", type=Path)
+    check.add_argument("--n", type=int, default=50)
+    check.add_argument("--seed", type=int, default=0)
+    label.add_argument("--no-suggestions", action="store_true")
     a = top.parse_args(argv)
     if a.command == "list":
         for m in manifest.list_runs(a.runs_root, a.pinned):
@@ -51,15 +144,42 @@ def main(argv: list[str] | None = None) -> int:
     elif a.command == "pin":
         print(manifest.pin(a.run, a.runs_root, a.name))
     elif a.command == "leaderboard":
+        names = a.metric or HEADLINE
+        if a.out:
+            manifest.write_leaderboard(a.runs_root, a.out, a.dataset, names)
         for m in reversed(manifest.list_runs(a.runs_root, True)):
-            print(json.dumps({"run_id": m["run_id"], "name": m["name"], "created_at": m["created_at"], **{k: manifest.metric(m, a.dataset, k) for k in HEADLINE}}))
-    else:
+            print(json.dumps(manifest.board_row(m, a.dataset, names)))
+    elif a.command == "run":
+        _show(_experiment(a)[1])
+    elif a.command == "gate":
+        cfg, this = (config.load(a.config, a.set), manifest.load_run(a.run, a.runs_root)) if a.run else _experiment(a)
         base = manifest.baseline(a.dataset, a.baseline or a.runs_root / "baseline.json", a.runs_root)
-        rows = gate_rows(manifest.load_run(a.run, a.runs_root), base, config.load(a.config, a.set), a.dataset)
-        print(gate_markdown(a.dataset, rows))
+        rows = gate_rows(this, base, cfg, a.dataset)
+        table = gate_markdown(a.dataset, rows)
+        print(table)
+        if a.summary_out:
+            with a.summary_out.open("a", encoding="utf-8") as out:
+                print(table, file=out)
         return int(any(r["verdict"] == "FAIL" for r in rows))
+    else:
+        items, save = _set_file(a)
+        if a.command == "review":
+            by_section: dict[str, list[review.Item]] = {}
+            for i in sorted(items, key=lambda i: hashlib.sha256(f"{a.seed}-{i.id}".encode()).hexdigest()):
+                by_section.setdefault(python_section(i.gold_urls), []).append(i)
+            turns = itertools.chain.from_iterable(itertools.zip_longest(*(by_section[s] for s in sorted(by_section))))
+            done = review.review_session(items, [i.id for i in itertools.islice(filter(None, turns), a.n)], save=save)
+        else:
+            done = review.label_session(items, None if a.no_suggestions else _suggestions(a), save=save)
+        print(f"{sum(i.verified is not None for i in done)}/{len(done)} of {a.dataset} have a verdict")
     return 0
 
 
+def python_section(urls: tuple[str, ...]) -> str:
+    """The first part of the first address's path."""
+    parts = urls[0].split("://", 1)[-1].split("#")[0].split("/")[1:] if urls else []
+    return next((p for p in parts if p), "_root")
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quarry.operators import fusion, lexical
@@ -19,6 +19,17 @@ class QueryRewriter(Protocol):
     def __call__(self, queries: DataFrame, n: int) -> DataFrame: ...
 
 
+Rewriter = Callable[[DataFrame, int], DataFrame]
+
+
+def _counted(df: DataFrame, stage: str, counts: dict[str, Observation] | None) -> DataFrame:
+    """``df``, whose rows are counted as they pass, under the stage's name."""
+    if counts is None:
+        return df
+    counts[stage] = Observation(f"{stage}-{len(counts)}")
+    return df.observe(counts[stage], F.count(F.lit(1)).alias("rows"))
+
+
 @dataclass
 class RetrievalPlan:
     """Disabled stages add nothing to the plan."""
@@ -66,12 +77,13 @@ class RetrievalPlan:
             **({k: v for k, v in plugins.items() if k != "rewriter" or r.query_rewrite.enabled}),
         )
 
-    def run(self, queries: DataFrame, chunks: DataFrame, k: int | None = None, deny: DataFrame | None = None, denied: int = 0) -> DataFrame:
+    def run(self, queries: DataFrame, chunks: DataFrame, k: int | None = None, deny: DataFrame | None = None, denied: int = 0, counts: dict[str, Observation] | None = None) -> DataFrame:
         """Candidates (query_id, source, doc_id, final_score, rank, scores, ranks, stages).
 
         ``queries``: query_id, query. ``chunks``: source, doc_id, text and, as
         stages need them, embedding, parent_id, chunk_index. Rewritten queries
-        feed dense search only. Expansion adds content."""
+        feed dense search only. Expansion adds content. ``counts`` gets an
+        observation for each stage, whose rows are known once the result is run."""
         rankings = []
         if self.dense:
             asked = queries.select("query_id", F.lit(0).alias("nth"), "query")
@@ -81,16 +93,19 @@ class RetrievalPlan:
             for n in range(1 + (self.rewrite_n if self.rewriter is not None else 0)):
                 part = self.embed(asked.where(F.col("nth") == n), "query").select("query_id", "embedding")
                 found = dense_topk(part, vectors, self.candidates_k, deny, denied=denied)
+                found = _counted(found, f"dense_{n}" if n else "dense", counts)
                 rankings.append(found.select("query_id", F.lit(n).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("dense").alias("stage"), "score"))
         if self.bm25:
             found = lexical.bm25_topk(queries, chunks, self.candidates_k, deny, self.k1, self.b)
+            found = _counted(found, "bm25", counts)
             rankings.append(found.select("query_id", F.lit(len(rankings)).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("bm25").alias("stage"), "score"))
         together = rankings[0]
         for r in rankings[1:]:
             together = together.unionByName(r)
-        out = fusion.per_source_caps(fusion.reciprocal_rank_fusion(together, self.rrf_k), self.caps).where(F.col("rank") <= self.candidates_k)
+        fused = _counted(fusion.reciprocal_rank_fusion(together, self.rrf_k), "fusion", counts)
+        out = _counted(fusion.per_source_caps(fused, self.caps).where(F.col("rank") <= self.candidates_k), "caps", counts)
         if self.rerank_top_n is not None:
-            out = fusion.rerank(out, queries, chunks, self.rerank_top_n, self.scorer)
+            out = _counted(fusion.rerank(out, queries, chunks, self.rerank_top_n, self.scorer), "rerank", counts)
         out = out.where(F.col("rank") <= (self.top_k if k is None else k))
         if self.expand_tokens is not None:
             out = fusion.expand_parents(out, chunks, self.expand_tokens)

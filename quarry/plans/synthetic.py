@@ -93,7 +93,7 @@ _STOP = "[" + ", ".join(f"'{w}'" for w in synth.STOP_WORDS) + "]"
 _VEC = "list_transform(range(0, 8), lambda i: CAST('0x' || substr(sha256({x}), 2 * i + 1, 2) AS INTEGER)::DOUBLE / 255)"
 _TRIGRAMS = f"dt AS (SELECT doc_id, unnest({_TRI}) AS t FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM documents))"
 #: near (a, b): vectors that are close, in both directions.
-_NEAR_PAIRS = "near AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) >= 0.3)"
+_NEAR_PAIRS = "near AS MATERIALIZED (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.vec_id <> y.vec_id WHERE round(list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) >= 0.3)"
 
 SQL = {
     "trigram_df": f"WITH {_TRIGRAMS} SELECT t AS trigram, count(*) AS df FROM dt GROUP BY t",
@@ -108,7 +108,7 @@ SELECT p.question_id, p.doc_id, h.doc_id IS NOT NULL AS rejected FROM p LEFT JOI
     "near_dup_pairs": f"WITH {_NEAR_PAIRS} SELECT v.vec_id AS doc_id, count(b) AS n_links FROM embeddings v LEFT JOIN near ON a = v.vec_id GROUP BY v.vec_id",
     "near_dup_greedy": f"""
 WITH RECURSIVE {_NEAR_PAIRS}, o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
-e AS (SELECT o.i, o.vec_id, coalesce(list(b) FILTER (b < o.vec_id), []) AS before FROM o LEFT JOIN near ON a = o.vec_id GROUP BY o.i, o.vec_id),
+e AS MATERIALIZED (SELECT o.i, o.vec_id, coalesce(list(b) FILTER (b < o.vec_id), []) AS before FROM o LEFT JOIN near ON a = o.vec_id GROUP BY o.i, o.vec_id),
 g AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS held
   UNION ALL SELECT e.i, CASE WHEN list_has_any(g.held, e.before) THEN g.held ELSE list_append(g.held, CAST(e.vec_id AS BIGINT)) END FROM g JOIN e ON e.i = g.i + 1)
 SELECT vec_id AS item_id, list_contains((SELECT arg_max(held, i) FROM g), CAST(vec_id AS BIGINT)) AS accepted FROM embeddings""",

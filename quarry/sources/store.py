@@ -67,6 +67,23 @@ class ChunkStore:
         row = [(self.model, self.dim, corpus_sha or (found or {}).get("corpus_sha") or "", datetime.now(UTC).isoformat(), version)]
         self.spark.createDataFrame(row, IDENTITY).coalesce(1).write.mode("append").json(f"{self.place(source)}/log")
 
+    def migrate(self, old: str, source: str, model: str, dim: int, corpus_sha: str = "") -> bool:
+        """A table that an earlier layout kept at ``old`` becomes this store's table of ``source``; vectors stay as they are.
+
+        Columns of identity that it lacks are filled in. False where there is nothing at ``old`` or the source is there already."""
+        assert_embedder({"embedding_model": model, "embedding_dim": dim}, self.model, self.dim)
+        if self.identity(source) is not None:
+            return False
+        try:
+            rows = self.spark.read.parquet(old)
+        except AnalysisException:
+            return False
+        version = f"v-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.place(source)}/{version}")
+        row = [(self.model, self.dim, corpus_sha, datetime.now(UTC).isoformat(), version)]
+        self.spark.createDataFrame(row, IDENTITY).coalesce(1).write.mode("append").json(f"{self.place(source)}/log")
+        return True
+
     def get(self, source: str, ids: list[str]) -> DataFrame:
         return self.read(source).where(F.col("chunk_id").isin(*ids))
 

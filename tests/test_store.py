@@ -1,14 +1,17 @@
 """Files, the store, streams, run folders and the command line."""
 
+import io
 import json
+import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import cli, config, experiment, manifest, providers
+from quarry import cli, config, experiment, generation, manifest, providers, server
 from quarry.functions.text import content_hash, fake_embedding
 from quarry.operators.dense import EmbedderMismatchError
-from quarry.sources import files
+from quarry.operators.retrieval import RetrievalPlan
+from quarry.sources import fetch, files
 from quarry.sources.store import ChunkStore
 from quarry.streaming.upsert import upsert_stream
 
@@ -86,3 +89,126 @@ def test_experiment(spark):
     assert len(out) == 1 and out[0]["retrieved"] == ["c1"] and out[0]["mrr"] == 1.0
     with pytest.raises(NotImplementedError):
         experiment.check_supported(config.from_dict({"name": "x", "generation": {"enabled": True}}))
+
+
+@pytest.fixture
+def small_store(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    rows = [("c1", "alpha beta gamma", "p", "https://x/a/one"), ("c2", "delta epsilon", "p", "https://x/b/two"), ("c3", "zeta eta", "q", "https://x/b/three#t")]
+    df = spark.createDataFrame(rows, "chunk_id string, document string, parent_id string, url string").withColumn("content_hash", content_hash(F.col("document"))).withColumn("merged_urls", F.array().cast("array<string>"))
+    store.upsert(df, "docs", "sha9")
+    (tmp_path / "sets").mkdir()
+    items = [{"id": str(i), "dataset": "d", "question": q, "ground_truth": "g", "gold_urls": [u], "exclude_chunk_ids": [], "verified": v} for i, (q, u, v) in enumerate([("alpha gamma", "https://x/a/one", None), ("epsilon", "https://x/b/two#none", None), ("zeta", "https://x/b/three#t", "no")])]
+    (tmp_path / "sets/d.jsonl").write_text("".join(json.dumps(i) + "\n\n" for i in items))
+    (tmp_path / "c.yaml").write_text("name: run one\ncorpus:\n  sources: [docs]\nretrieval:\n  dense: {enabled: false}\n  bm25:\n    enabled: true  # lexical\neval:\n  datasets:\n    - d\n  thresholds: {mrr: {min: 0.5}}\n")
+    return tmp_path
+
+
+def test_cli_run(spark, small_store, capsys):
+    at = ["--runs-root", str(small_store / "runs")]
+    given = ["--config", str(small_store / "c.yaml"), "--sets", str(small_store / "sets"), "--store", f"file://{small_store}/store"]
+    assert cli.main([*at, "run", *given]) == 0
+    shown = capsys.readouterr().out
+    assert "d  (n=2)" in shown and "mrr: 1.000  [1.000, 1.000]" in shown
+    (run,) = manifest.list_runs(small_store / "runs")
+    folder = small_store / "runs" / run["run_id"]
+    rows = manifest.read_jsonl(folder / "retrieval.jsonl")
+    assert [(r["item_id"], r["gold_chunk_ids"], r["gold_granularity"], r["retrieved"][0]["chunk_id"], r["retrieved"][0]["rank"]) for r in rows] == [("d::0", ["c1"], "anchor", "c1", 1), ("d::1", ["c2"], "page", "c2", 1)]
+    assert rows[0]["metrics"]["recall_at_1"] == 1.0 and rows[0]["retrieved"][0]["url"] == "https://x/a/one"
+    assert run["corpus_sha"] == "sha9" and run["timings"]["items"] == 2 and run["metrics"]["d"]["cis"]["mrr"] == [1.0, 1.0] and len(run["dataset_shas"]["d"]) == 64
+    assert config.from_dict(config.read_yaml((folder / "config.resolved.yaml").read_text())) == config.load(small_store / "c.yaml")
+    assert cli.main([*at, "gate", *given, "--dataset", "d", "--summary-out", str(small_store / "sum.md")]) == 0
+    assert "PASS" in (small_store / "sum.md").read_text()
+    assert cli.main([*at, "leaderboard", "--dataset", "d", "--out", str(small_store / "board.json")]) == 0
+    board = json.loads((small_store / "board.json").read_text())
+    assert [r["n"] for r in board] == [2, 2] and board[0]["mrr"] == 1.0 and board[0]["mrr_ci"] == [1.0, 1.0]
+    assert manifest.read_jsonl(small_store / "nowhere.jsonl") == []
+
+
+def test_cli_sessions(spark, small_store, monkeypatch, capsys):
+    given = ["--dataset", "d", "--sets", str(small_store / "sets")]
+    said = iter(["y", "e", "new words"])
+    monkeypatch.setattr("quarry.operators.review.input", lambda *_: next(said), raising=False)
+    monkeypatch.setattr("quarry.operators.review.review_session.__defaults__", (lambda *_: next(said), print, None))
+    assert cli.main(["review", *given]) == 0
+    rows = {r["id"]: r for r in manifest.read_jsonl(small_store / "sets/d.jsonl")}
+    assert sorted(str(r["verified"]) for r in rows.values()) == ["edited", "no", "yes"] and any(r["question"] == "new words" for r in rows.values())
+    assert "3/3 of d" in capsys.readouterr().out
+    (small_store / "sets/d.jsonl").write_text(json.dumps({"id": "9", "dataset": "d", "question": "epsilon", "gold_urls": []}) + "\n")
+    monkeypatch.setattr("quarry.operators.review.label_session.__defaults__", (None, lambda *_: " https://x/b/two , ", print, None))
+    assert cli.main(["label", *given, "--store", f"file://{small_store}/store"]) == 0
+    assert manifest.read_jsonl(small_store / "sets/d.jsonl")[0]["gold_urls"] == ["https://x/b/two"]
+    assert "https://x/a/one" in capsys.readouterr().out
+
+
+def scripted():
+    """A model, built in tasks, that says what it was asked in capitals, or a passage for a question that it is to imagine."""
+
+    class Model:
+        name = model = "scripted"
+
+        def complete(self, messages, *, temperature=0.0, max_tokens=1024):
+            text = messages[-1]["content"]
+            return providers.Completion(" delta epsilon \n" if "Passage:" in text else f"{len(messages)} {text.upper()}", "scripted")
+
+    return Model
+
+
+def test_generation(spark):
+    docs = spark.createDataFrame([("docs", 1, "alpha beta"), ("docs", 2, "delta epsilon")], "source string, doc_id long, text string")
+    q = spark.createDataFrame([(5, "alpha"), (6, "nothing at all")], "query_id long, query string")
+    rows = {r["query_id"]: r for r in generation.answers(q, docs, scripted(), 1, RetrievalPlan(dense=False, bm25=True)).collect()}
+    assert rows[5]["contexts"] == ["alpha beta"] and rows[5]["sources"] == [1] and rows[5]["answer"] == "2 CONTEXT:\nALPHA BETA\n\nQUESTION: ALPHA\n\nANSWER:"
+    assert rows[6]["contexts"] == [] and rows[6]["answer"].startswith("2 CONTEXT:\n\n\nQUESTION")
+    made = generation.hypothetical(scripted())(q, 2).orderBy("query_id", "nth").collect()
+    assert [tuple(r) for r in made] == [(5, 1, "delta epsilon"), (5, 2, "delta epsilon"), (6, 1, "delta epsilon"), (6, 2, "delta epsilon")]
+    counts = {}
+    out = RetrievalPlan(rewriter=generation.hypothetical(scripted()), rewrite_n=1, bm25=True).run(q, docs, counts=counts).where("query_id = 6").collect()
+    assert {r["doc_id"] for r in out} == {1, 2} and next(r["rank"] for r in out if r["doc_id"] == 2) == 1
+    assert counts["dense_1"].get["rows"] == 4 and {"dense", "bm25", "fusion", "caps"} <= counts.keys()
+
+
+def test_server():
+    app = server.application(lambda: {"docs": "ok", "discussions": "empty"}, lambda text, k: {"question": text, "answer": "a", "contexts": [], "sources": [k]})
+
+    def call(method, path, body=b""):
+        told = []
+        out = b"".join(app({"REQUEST_METHOD": method, "PATH_INFO": path, "CONTENT_LENGTH": str(len(body)), "wsgi.input": io.BytesIO(body)}, lambda status, headers: told.append(status)))
+        return int(told[0][:3]), json.loads(out)
+
+    assert call("GET", "/health") == call("GET", "/api/health") == (200, {"status": "ok"})
+    assert call("GET", "/api/health/ready") == (503, {"detail": {"ready": False, "problems": ["discussions: empty"]}})
+    assert call("POST", "/api/ask", b'{"question": "q"}') == (200, {"question": "q", "answer": "a", "contexts": [], "sources": [5]})
+    assert call("POST", "/api/ask", b'{"k": 3}')[0] == 422 and call("GET", "/api/ask")[0] == 405 and call("GET", "/x")[0] == 404
+
+
+def test_fetch(tmp_path):
+    waits, replies = [], iter([(502, {}), (403, {}), (200, {"nodes": [{"id": "1", "title": "t", "bodyText": "q", "url": "u", "answer": {"bodyText": "a"}, "category": None}], "next": "c"}), (200, {"nodes": [{"id": "2", "title": "t", "bodyText": "q", "url": "u", "answer": None}], "next": None})])
+    pages = fetch.discussion_pages(lambda _: next(replies), wait=waits.append)
+    assert fetch.snapshot(pages, tmp_path / "d.json") == 1 and waits == [1.0, 2.0]
+    assert json.loads((tmp_path / "d.json").read_text())["discussions"][0]["discussion_id"] == "1"
+    with pytest.raises(ValueError):
+        fetch.persistent(lambda _: (404, {}), {})
+    with pytest.raises(fetch.TransportError):
+        fetch.persistent(lambda _: (500, {}), {}, wait=lambda _: None)
+    with tarfile.open(tmp_path / "a.tgz", "w:gz") as tar:
+        for name, text in (("top-1/docs/a.md", b"# A"), ("top-1/docs_src/x/b.py", b"code"), ("top-1/setup.py", b"no")):
+            info = tarfile.TarInfo(name)
+            info.size = len(text)
+            tar.addfile(info, io.BytesIO(text))
+    assert fetch.extract(tmp_path / "a.tgz", tmp_path / "out", "s1")["files"] == 2 and (tmp_path / "out/docs_src/x/b.py").read_text() == "code" and not (tmp_path / "out/setup.py").exists()
+    assert fetch.chunk_digest(["b", "a"]) == fetch.chunk_digest(["a", "b"])
+
+
+def test_migrate(spark, tmp_path):
+    chunks(spark, ("a", "one", "p")).withColumn("embedding", fake_embedding(F.col("document"))).write.parquet(f"{tmp_path}/old")
+    store = ChunkStore(spark, f"file://{tmp_path}/store")
+    assert store.migrate(f"file://{tmp_path}/old", "docs", "fake", 8, "s") and not store.migrate(f"file://{tmp_path}/old", "docs", "fake", 8)
+    assert store.read("docs").count() == 1 and store.identity("docs")["corpus_sha"] == "s" and not store.migrate(f"file://{tmp_path}/none", "other", "fake", 8)
+
+
+def test_yaml():
+    assert config.read_yaml("a: \"x # y\"  # z\nb: [1, 2]\n") == {"a": "x # y", "b": [1, 2]}
+    for bad in ("a:\n  - b: 1\n", "a: &x 1\n", "a: |\n  text\n"):
+        with pytest.raises(ValueError):
+            config.read_yaml(bad)
