@@ -113,7 +113,43 @@ _SPLIT = _PACK.format(lines=LINES_SQL, closes="f.total + l.size > 600")
 _FILL = _PACK.format(lines=LINES_SQL, closes="f.total >= 400 AND f.total + l.size > 600")
 _PACKED = _FILL + ", t AS (SELECT l.doc_id, f.part, string_agg(l.line, chr(10) || chr(10) ORDER BY l.i) AS text FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY l.doc_id, f.part)"
 
+
+def _answer_chunks(source: str) -> str:
+    """ac (id, idx, n, document): texts (id, body) of ``source`` cut and packed as answers are."""
+    size = "greatest(1, CAST(ceil(length({x}) / 4.0) AS INTEGER))"
+    fold = """{name} AS (SELECT {keys}, {at}, size AS total, 0 AS part FROM {rows} WHERE {at} = 1
+  UNION ALL SELECT {of_x}, x.{at}, CASE WHEN {closes} THEN x.size ELSE y.total + x.size END, CASE WHEN {closes} THEN y.part + 1 ELSE y.part END
+  FROM {name} y JOIN {rows} x ON {same} AND x.{at} = y.{at} + 1)"""
+    split = fold.format(name="sp", keys="id, block_no", at="j", rows="ol", of_x="x.id, x.block_no", same="x.id = y.id AND x.block_no = y.block_no", closes="y.total + x.size > 600")
+    fill = fold.format(name="pk", keys="id", at="u", rows="uo", of_x="x.id", same="x.id = y.id", closes="y.total >= 400 AND y.total + x.size > 600")
+    return f"""src AS ({source}),
+pl AS (SELECT id, CASE WHEN body LIKE '%' || chr(10) THEN string_split(body, chr(10))[:-2] ELSE string_split(body, chr(10)) END AS p FROM src WHERE {size.format(x="body")} > 600),
+la AS (SELECT id, i, p[i] AS line, starts_with(trim(p[i]), '```') AS is_fence FROM (SELECT id, p, unnest(range(1, len(p) + 1)) AS i FROM pl)),
+lb AS (SELECT *, sum(CAST(is_fence AS INTEGER)) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS fence_no FROM la),
+lc AS (SELECT *, is_fence OR fence_no % 2 = 1 AS code FROM lb),
+ld AS (SELECT *, NOT code AND trim(line) = '' AS blank FROM lc),
+le AS (SELECT *, lag(blank OR code) OVER (PARTITION BY id ORDER BY i) AS cut FROM ld),
+lf AS (SELECT *, sum(CAST((is_fence AND fence_no % 2 = 1) OR (NOT code AND NOT blank AND coalesce(cut, true)) AS INTEGER)) OVER (PARTITION BY id ORDER BY i ROWS UNBOUNDED PRECEDING) AS block_no FROM le),
+bl AS (SELECT id, block_no, trim(string_agg(line, chr(10) ORDER BY i), chr(10)) AS block, max(CAST(is_fence AND fence_no % 2 = 0 AS INTEGER)) = 0 AND {size.format(x="trim(string_agg(line, chr(10) ORDER BY i), chr(10))")} > 600 AS splits FROM lf WHERE NOT blank GROUP BY ALL),
+ol AS (SELECT id, block_no, j, line, {size.format(x="line")} AS size FROM (SELECT id, block_no, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS line FROM (SELECT *, string_split(block, chr(10)) AS p FROM bl WHERE splits))),
+{split},
+un AS (SELECT id, block_no, 0 AS part, block AS text FROM bl WHERE NOT splits
+  UNION ALL SELECT ol.id, ol.block_no, sp.part, string_agg(ol.line, chr(10) ORDER BY ol.j) FROM ol JOIN sp ON sp.id = ol.id AND sp.block_no = ol.block_no AND sp.j = ol.j GROUP BY ALL),
+uo AS (SELECT id, row_number() OVER (PARTITION BY id ORDER BY block_no, part) AS u, text, {size.format(x="text")} AS size FROM un),
+{fill},
+long AS (SELECT uo.id, pk.part AS idx, string_agg(uo.text, chr(10) || chr(10) ORDER BY uo.u) AS document FROM uo JOIN pk ON pk.id = uo.id AND pk.u = uo.u GROUP BY uo.id, pk.part),
+ac AS (SELECT id, 0 AS idx, 1 AS n, body AS document FROM src WHERE {size.format(x="body")} <= 600 UNION ALL SELECT id, idx, count(*) OVER (PARTITION BY id), document FROM long),
+ck AS (SELECT *, CASE WHEN n = 1 THEN id ELSE id || '::' || idx END AS chunk_id, substr(sha256(document), 1, 16) AS content_hash, {size.format(x="document")} AS n_tokens FROM ac)"""
+
+
+_QA_CHUNKS = f"WITH RECURSIVE {QAS_SQL}, " + _answer_chunks("SELECT discussion_id AS id, answer_body AS body FROM qas")
+
 SQL = {
+    "qa_chunks": _QA_CHUNKS + " SELECT chunk_id, title, url, '' AS category, CAST(idx AS INTEGER) AS chunk_index, substr(sha256(id), 1, 16) AS parent_id, content_hash, n_tokens FROM ck JOIN qas ON qas.discussion_id = ck.id",
+    "document_chunks": "WITH RECURSIVE " + _answer_chunks("SELECT CAST(doc_id AS VARCHAR) AS id, text AS body FROM documents") + " SELECT chunk_id, CAST(idx AS INTEGER) AS chunk_index, content_hash, n_tokens FROM ck",
+    "answerable": _QA_CHUNKS
+    + """, ow AS (SELECT url, string_agg(DISTINCT chunk_id, '|' ORDER BY chunk_id) AS exclude FROM ck JOIN qas ON qas.discussion_id = ck.id GROUP BY url)
+SELECT unnest(['retrieval', 'generation']) AS dataset, discussion_id AS item_id, exclude FROM qas JOIN ow ON ow.url = qas.url WHERE length(trim(answer_body)) >= 200""",
     "section_split": _SECTIONED + " SELECT path, CAST(sec_no AS BIGINT) AS sec_no, max(breadcrumb) AS breadcrumb, CAST(count(*) AS BIGINT) AS n_lines, CAST(min(ln) AS BIGINT) AS first_line FROM s GROUP BY path, sec_no",
     "section_blocks": _SECTIONED
     + """,

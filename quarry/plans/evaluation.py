@@ -105,29 +105,35 @@ def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.paired_bootstrap_hash(rows.withColumn("metric", F.lit("precision")))
 
 
-RUNS = [("r1", "dense", "2024-01-01T00:00:00", "g1"), ("r2", "capped", "2024-01-02T00:00:00", "g1"), ("r3", "other model", "2024-01-03T00:00:00", "g2"), ("r4", "no results", "2024-01-04T00:00:00", "g1")]
-METRICS = [("r1", "a", "mrr", 0.746, 0.658, 0.837, 56), ("r1", "a", "recall_at_5", 0.74, 0.64, 0.84, 56), ("r1", "a", "ndcg_at_10", 0.686, 0.611, 0.767, 56), ("r2", "a", "mrr", 0.731, 0.637, 0.83, 56), ("r2", "a", "recall_at_5", 0.717, 0.617, 0.826, 56), ("r2", "a", "ndcg_at_10", 0.748, 0.562, 0.843, 56), ("r3", "a", "mrr", 0.8, 0.7, 0.9, 56), ("r3", "b", "mrr", 0.1, 0.0, 0.2, 7)]
-THRESHOLDS = [("mrr", 0.55, 0.02), ("recall_at_5", 0.7, 0.02), ("ndcg_at_10", 0.6, 0.02), ("recall_at_1", 0.3, 0.02)]
+RUNS = [("r0", "dense", "2024-01-01T00:00:00", "g1"), ("r1", "capped", "2024-01-02T00:00:00", "g1"), ("r2", "other model", "2024-01-03T00:00:00", "g2"), ("r9", "no results", "2024-01-04T00:00:00", "g1")]
+THRESHOLDS = [("mrr", 0.05, 0.02), ("recall_at_5", 0.1, 0.02), ("ndcg_at_10", 0.6, 0.02), ("recall_at_1", 0.3, 0.02)]
+#: What the leaderboard shows in place of its usual metrics.
+SHOWN = {"precision_at_5": "recall_at_5", "precision_at_10": "ndcg_at_10", "mrr": "mrr"}
 
 
-def _runs(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    return spark.createDataFrame(RUNS, "run_id string, name string, created_at string, generation_hash string"), spark.createDataFrame(METRICS, "run_id string, dataset string, metric string, value double, lo double, hi double, n int")
+def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Runs, and their metrics: those of the nearest vectors, of the queries whose label leaves 0, 1 or 2 by three."""
+    m = _labelled(spark, sf_dir).join(vectors(spark, sf_dir).select(F.col("doc_id").alias("item_id"), (F.col("label") % 3).alias("run")), "item_id")
+    shown = F.create_map(*(F.lit(x) for pair in SHOWN.items() for x in pair))
+    of = m.groupBy(F.concat(F.lit("r"), F.col("run").cast("string")).alias("run_id"), shown[F.col("metric")].alias("metric"))
+    rows = of.agg(F.round(F.avg("value"), 6).alias("value"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").cast("int").alias("n"))
+    return spark.createDataFrame(RUNS, "run_id string, name string, created_at string, generation_hash string"), rows.withColumn("dataset", F.lit("a"))
 
 
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return runs.newest_first(runs.leaderboard(*_runs(spark), "a"))
+    return runs.newest_first(runs.leaderboard(*_runs(spark, sf_dir), "a"))
 
 
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, m = _runs(spark)
-    return runs.compare(r, m, "r1", "r2", "a").withColumn("cand_run", F.lit("r2")).unionByName(runs.compare(r, m, "r1", "r3", "a").withColumn("cand_run", F.lit("r3")))
+    r, m = _runs(spark, sf_dir)
+    return runs.compare(r, m, "r0", "r1", "a").withColumn("cand_run", F.lit("r1")).unionByName(runs.compare(r, m, "r0", "r2", "a").withColumn("cand_run", F.lit("r2")))
 
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, m = _runs(spark)
+    _, m = _runs(spark, sf_dir)
     limits = spark.createDataFrame(THRESHOLDS, "metric string, floor double, tolerance double")
     of = lambda run: m.where((F.col("run_id") == run) & (F.col("dataset") == "a")).select("metric", "value")
-    return runs.gate(limits, of("r2"), of("r1"))
+    return runs.gate(limits, of("r1"), of("r0"))
 
 
 def regressed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,10 +195,32 @@ def _values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(repr(x) if isinstance(x, str) else f'{x}::DOUBLE' if isinstance(x, float) else str(x) for x in r) + ')' for r in rows)})"
 
 
-_RUNS_SQL = "WITH " + _values(RUNS, "r", "run_id, name, created_at, generation_hash") + ", " + _values(METRICS, "m", "run_id, dataset, metric, value, lo, hi, n")
+_RUNS_SQL = (
+    _LABELLED
+    + ", "
+    + _values(RUNS, "r", "run_id, name, created_at, generation_hash")
+    + """, m AS (SELECT 'r' || (e.label % 3) AS run_id, 'a' AS dataset, CASE metric WHEN 'precision_at_5' THEN 'recall_at_5' WHEN 'precision_at_10' THEN 'ndcg_at_10' ELSE metric END AS metric,
+  round(avg(value), 6) AS value, min(value) AS lo, max(value) AS hi, CAST(count(*) AS INTEGER) AS n FROM lm JOIN embeddings e ON e.vec_id = lm.item_id GROUP BY ALL)"""
+)
 _WIDE = ", ".join(f"max(CASE WHEN metric = '{m}' THEN {c} END) AS {m if c == 'value' else f'{m}_{c}'}" for m in runs.HEADLINE for c in ("value", "lo", "hi"))
 
+#: bm25_flat: as bm25_cte without regard to length, on the tables that it has made.
+_FLAT = """bz AS (SELECT query_id, bt.source, doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * f * 2.2 / (f + 1.2)), 6) AS score
+  FROM bq JOIN bt USING (term) JOIN bf ON bf.source = bt.source AND bf.term = bt.term JOIN bs ON bs.source = bt.source GROUP BY query_id, bt.source, doc_id)"""
+
+
+def _gold_ranks(scores: str, name: str) -> str:
+    """name (query_id, r): the rank of the first document that holds the item among the ten best, of items with a best one."""
+    return f"""{name} AS (SELECT t.query_id, min(CASE WHEN ct.doc_id IS NOT NULL THEN rank END) AS r FROM (
+  SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, source, doc_id) AS rank FROM {scores} QUALIFY rank <= 10) t
+  LEFT JOIN ct ON ct.query_id = t.query_id AND ct.doc_id = t.doc_id WHERE t.query_id IN (SELECT query_id FROM ct) GROUP BY t.query_id)"""
+
+
 SQL = {
+    "regressed_items": f"""WITH {bm25_cte()}, {_FLAT}, {_CONTAINED}, {_gold_ranks("bm", "gb")}, {_gold_ranks("bz", "gc")},
+v AS (SELECT gb.query_id AS item_id, round(coalesce(1 / gb.r, 0), 6) AS base_value, round(coalesce(1 / gc.r, 0), 6) AS cand_value, CAST(gb.r AS INTEGER) AS base_gold_rank, CAST(gc.r AS INTEGER) AS cand_gold_rank
+  FROM gb JOIN gc ON gc.query_id = gb.query_id)
+SELECT item_id, base_value, cand_value, round(cand_value - base_value, 6) AS delta, base_gold_rank, cand_gold_rank FROM v WHERE cand_value < base_value""",
     "gold_index": f"WITH {_PAGE_CHUNKS} SELECT url, page, chunk_id FROM gi",
     "gold_resolve": f"""
 WITH {_PAGE_CHUNKS},
@@ -216,14 +244,14 @@ SELECT 'labels' AS dataset, metric, max(CASE WHEN nth = 6 THEN mean END) AS lo,
     + ", sm AS (SELECT metric, b, round(sum(base), 6) AS base, round(sum(cand), 6) AS cand FROM dr GROUP BY ALL) SELECT 'labels' AS dataset, metric, round(avg(CAST(cand > base AS INTEGER)), 6) AS p_better FROM sm GROUP BY metric",
     "leaderboard": _RUNS_SQL + f", w AS (SELECT run_id, max(n) AS n, {_WIDE} FROM m WHERE dataset = 'a' GROUP BY run_id) SELECT r.*, coalesce(w.n, 0) AS n, w.* EXCLUDE (run_id, n), CAST(row_number() OVER (ORDER BY created_at DESC) AS INTEGER) AS place FROM r LEFT JOIN w USING (run_id)",
     "compare_runs": _RUNS_SQL
-    + """, b AS (SELECT metric, value FROM m WHERE run_id = 'r1' AND dataset = 'a'), c AS (SELECT run_id, metric, value FROM m WHERE run_id IN ('r2', 'r3') AND dataset = 'a'),
-k AS (SELECT 'r2' AS cand_run UNION ALL SELECT 'r3'), j AS (SELECT k.cand_run, b.metric, b.value AS base, c.value AS cand FROM k CROSS JOIN b LEFT JOIN c ON c.run_id = k.cand_run AND c.metric = b.metric),
-s AS (SELECT j.*, (SELECT generation_hash FROM r WHERE run_id = 'r1') = (SELECT generation_hash FROM r WHERE run_id = j.cand_run) AS same FROM j)
+    + """, b AS (SELECT metric, value FROM m WHERE run_id = 'r0' AND dataset = 'a'), c AS (SELECT run_id, metric, value FROM m WHERE run_id IN ('r1', 'r2') AND dataset = 'a'),
+k AS (SELECT 'r1' AS cand_run UNION ALL SELECT 'r2'), j AS (SELECT k.cand_run, b.metric, b.value AS base, c.value AS cand FROM k CROSS JOIN b LEFT JOIN c ON c.run_id = k.cand_run AND c.metric = b.metric),
+s AS (SELECT j.*, (SELECT generation_hash FROM r WHERE run_id = 'r0') = (SELECT generation_hash FROM r WHERE run_id = j.cand_run) AS same FROM j)
 SELECT cand_run, metric, CASE WHEN same THEN base END AS base, CASE WHEN same THEN cand END AS cand, CASE WHEN same THEN round(cand - base, 6) END AS delta, CASE WHEN same THEN 'OK' ELSE 'CONFOUNDED' END AS status FROM s""",
     "gate": _RUNS_SQL
     + ", "
     + _values(THRESHOLDS, "t", "metric, floor, tolerance")
-    + """, j AS (SELECT t.*, v.value, b.value AS baseline FROM t LEFT JOIN m v ON v.metric = t.metric AND v.run_id = 'r2' AND v.dataset = 'a' LEFT JOIN m b ON b.metric = t.metric AND b.run_id = 'r1' AND b.dataset = 'a'),
-n AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN value < floor THEN 'floor' WHEN baseline IS NULL THEN 'no baseline' WHEN value < baseline - tolerance THEN 'regressed' WHEN value > baseline + 0.02 THEN 'improved' ELSE 'steady' END AS note FROM j)
-SELECT metric, CASE WHEN note IN ('missing', 'floor', 'regressed') THEN 'FAIL' WHEN note = 'improved' THEN 'WARN' ELSE 'PASS' END AS verdict, value, floor, baseline, note FROM n""",
+    + """, j AS (SELECT t.*, v.value, b.value AS baseline FROM t LEFT JOIN m v ON v.metric = t.metric AND v.run_id = 'r1' AND v.dataset = 'a' LEFT JOIN m b ON b.metric = t.metric AND b.run_id = 'r0' AND b.dataset = 'a'),
+nt AS (SELECT *, CASE WHEN value IS NULL THEN 'missing' WHEN value < floor THEN 'floor' WHEN baseline IS NULL THEN 'no baseline' WHEN value < baseline - tolerance THEN 'regressed' WHEN value > baseline + 0.02 THEN 'improved' ELSE 'steady' END AS note FROM j)
+SELECT metric, CASE WHEN note IN ('missing', 'floor', 'regressed') THEN 'FAIL' WHEN note = 'improved' THEN 'WARN' ELSE 'PASS' END AS verdict, value, floor, baseline, note FROM nt""",
 }

@@ -9,9 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.plans import chunks, evaluation, primitives, search, synthetic
+from quarry.plans import chunks, evaluation, primitives, search, storage, synthetic
 
-GROUPS = (primitives, chunks, search, evaluation, synthetic)
+GROUPS = (primitives, chunks, search, evaluation, synthetic, storage)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
