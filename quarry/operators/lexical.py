@@ -2,16 +2,29 @@
 
 Only words that some query has are counted: the words of the corpus meet the
 queries' words before the first shuffle, so what is dealt out grows with the
-hits, not with the corpus. Statistics belong to a source and are never shared."""
+hits, not with the corpus. Statistics belong to a source and are never shared.
+
+Up to ``BLOCK`` queries are held by every task: one pass counts documents of
+each of their words, another one scores batches of documents and passes on the
+best k of a batch for each query, so no posting is shuffled. More queries, and
+all scores where they are wanted, go through joins. Both give the same ranks."""
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 
 K1, B = 1.2, 0.75
+BLOCK = 4096  # queries that a task holds
+CELLS = 4_000_000  # scores of queries and documents that a task holds
 
 
 def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -29,7 +42,7 @@ def document_frequencies(frequencies: DataFrame) -> DataFrame:
 
 def corpus_statistics(docs: DataFrame) -> DataFrame:
     """source, n_docs, avgdl; documents without words count."""
-    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg(T.bm25_length(F.col("text"))).alias("avgdl"))
+    return docs.groupBy("source").agg(F.count("*").alias("n_docs"), F.avg(F.coalesce(T.bm25_length(F.col("text")), F.lit(0))).alias("avgdl"))
 
 
 def scores(queries: DataFrame, docs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
@@ -53,6 +66,89 @@ def ranked(scored: DataFrame, k: int, deny: DataFrame | None = None, per: tuple[
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, deny: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
+def _hits(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of word lists: lengths, and document, word and frequency of all words that are wanted."""
+    lengths = np.diff(tokens.offsets.to_numpy())
+    found = pc.index_in(tokens.flatten(), value_set=words)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[known]
+    pairs, tf = np.unique(doc * max(1, len(words)) + found.drop_null().to_numpy(zero_copy_only=False), return_counts=True)
+    return lengths, pairs // max(1, len(words)), pairs % max(1, len(words)), tf
+
+
+def _counts(words: pa.Array):
+    """source, word (-1 for all), n documents, n words of each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lengths, doc, word, _ = _hits(b.column(2), words)
+            names = b.column(0).to_pylist()
+            order = {n: i for i, n in enumerate(dict.fromkeys(names))}
+            source = np.array([order[n] for n in names], np.int64)
+            pairs, df = np.unique(source[doc] * max(1, len(words)) + word, return_counts=True)
+            size, total = np.bincount(source, minlength=len(order)), np.bincount(source, weights=lengths, minlength=len(order))
+            named = list(order)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([named[i] for i in (pairs // max(1, len(words))).tolist()] + named, pa.string()), pa.array([*(pairs % max(1, len(words))).tolist(), *[-1] * len(named)], pa.int64()), pa.array([*df.tolist(), *size.tolist()], pa.int64()), pa.array([*[0] * len(df), *total.astype(np.int64).tolist()], pa.int64())],
+                names=["source", "word", "n", "n_words"],
+            )
+
+    return run
+
+
+def _best(ids: np.ndarray, words: pa.Array, asked: tuple[np.ndarray, np.ndarray, np.ndarray], of: dict, k: int, k1: float, b_: float):
+    """source, doc_id, words to the best k of each batch for each query. ``asked``: for each word where its queries begin, the queries, the times."""
+    begin, query, times = asked
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches if len(ids) else ():
+            step = max(1, CELLS // max(1, len(ids)))
+            for at in range(0, whole.num_rows, step):
+                b = whole.slice(at, step)
+                lengths, doc, word, tf = _hits(b.column(2), words)
+                names = b.column(0).to_pylist()
+                average = np.array([of[n][0] for n in names])
+                idf = np.array([of[names[d]][1].get(w, 0.0) for d, w in zip(doc.tolist(), word.tolist(), strict=True)])
+                length = np.divide(lengths, average, out=np.zeros(len(lengths)), where=average > 0)
+                weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length[doc]))
+                n = begin[word + 1] - begin[word]
+                each = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                score = np.bincount(query[each] * b.num_rows + np.repeat(doc, n), weights=times[each] * np.repeat(weight, n), minlength=len(ids) * b.num_rows).reshape(len(ids), b.num_rows)
+                any_ = score > 0
+                score = np.round(score, 6) + 0.0
+                score[~any_] = -np.inf
+                keep = min(k, score.shape[1])
+                # ties at the cut: everything at the k-th score goes on to the ranking
+                cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
+                q, d = np.nonzero((score >= cut[:, None]) & any_)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(score[q, d])], names=["query_id", "source", "doc_id", "score"])
+
+    return run
+
+
+def _held(queries: list, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, source, doc_id, score: what is among the best k of a batch, for queries (query_id, words) that tasks hold."""
+    ids = np.array([r[0] for r in queries], np.int64)
+    terms = sorted({w for r in queries for w in r[1]})
+    place = {w: i for i, w in enumerate(terms)}
+    rows = sorted((place[w], i, n) for i, r in enumerate(queries) for w, n in Counter(r[1]).items())
+    begin = np.searchsorted(np.array([w for w, _, _ in rows], np.int64), np.arange(len(terms) + 1))
+    asked = begin, np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], np.float64)
+    words = pa.array(terms, pa.string())
+    tokens = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(T.bm25_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    counted = tokens.mapInArrow(_counts(words), "source string, word long, n long, n_words long").groupBy("source", "word").agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words")).collect()
+    of = {r.source: (r.n_words / r.n, {}, r.n) for r in counted if r.word == -1}
+    for r in counted:
+        if r.word >= 0:
+            n = of[r.source][2]
+            of[r.source][1][r.word] = float(np.log((n - r.n + 0.5) / (r.n + 0.5) + 1))
+    return tokens.mapInArrow(_best(ids, words, asked, of, k, k1, b), "query_id long, source string, doc_id long, score double")
+
+
+def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, deny: DataFrame | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
     """query_id, source, doc_id, score, rank over the sources of ``docs`` together."""
-    return ranked(scores(queries, docs, k1, b), k, deny)
+    some = queries.select("query_id", F.coalesce(T.bm25_tokens(F.col("query")), F.array().cast("array<string>"))).limit(block + 1).collect()
+    if len(some) > block:
+        return ranked(scores(queries, docs, k1, b), k, deny)
+    denied = 0 if deny is None else (deny.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
+    return ranked(_held(some, docs, k + denied, k1, b), k, deny)

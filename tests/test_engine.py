@@ -1,6 +1,8 @@
 """Goldens by hand for the operators, and every SQL twin on the smallest tables."""
 
 import duckdb
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +90,20 @@ def test_bm25_and_deny(spark):
     assert [(r["doc_id"], r["rank"]) for r in lexical.bm25_topk(q, docs, deny=deny).collect()] == [(1, 1)]
 
 
+def test_bm25_both_ways(spark):
+    """Queries that tasks hold and queries that are joined give the same ranks; null texts, empty queries and ties."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(rng.choice("ab"), i, " ".join(rng.choices(words, k=rng.randrange(25))) if i % 11 else None) for i in range(300)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(4)
+    q = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randrange(6)))) for i in range(25)], "query_id long, query string")
+    deny = spark.createDataFrame([(i, d) for i in range(25) for d in rng.sample(range(300), 20)], "query_id long, doc_id long")
+    for more in ({}, {"deny": deny}, {"b": 0.0, "k1": 2.0}):
+        held, joined = (sorted(map(tuple, lexical.bm25_topk(q, docs, 7, block=n, **more).collect())) for n in (25, 24))
+        assert held == joined and held
+    assert lexical.bm25_topk(q.limit(0), docs).count() == 0 and lexical.bm25_topk(q, docs.limit(0)).count() == 0
+
+
 def test_dense(spark):
     docs = dense.with_fake_embeddings(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 3, "z")], "source string, doc_id long, text string"))
     q = dense.with_fake_embeddings(spark.createDataFrame([(1, "y")], "query_id long, query string"), "query")
