@@ -15,6 +15,7 @@ from pyspark.sql.types import StringType
 
 from quarry.functions import text as T
 
+#: Fixed patterns: the syntax of the pages.
 MACRO = r"\{\*\s*(\S+)([^*]*)\*\}"
 TERMY = r"""(?s)<div\s+class=["']termy["']\s*>\s*\n.*?\n</div>"""
 TERMY_BODY = r"""(?s)^<div\s+class=["']termy["']\s*>\s*\n(.*?)\n</div>$"""
