@@ -30,6 +30,7 @@ SPACE = "▁"
 PENALTY = 10.0  # of an unknown character, below the lowest score
 KEPT = 400_000  # units whose counts a worker keeps, some 150 bytes each
 LONGEST_KEPT = 20
+SLICE = 1 << 18  # characters that are counted together, about
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -88,6 +89,8 @@ class Counter:
         # no piece goes on over a space or holds a line end: texts fall into units there
         line = "" if any("\n" in p for p, _ in vocabulary) else "\n"
         self.units = (lambda t: [t]) if inner else re.compile(f"{SPACE}+[^{SPACE}{line}]*|[^{SPACE}{line}]+|\n").findall
+        # a unit begins at the first space of a run
+        self.cut = (lambda t, at: None) if inner else re.compile(f"(?<=[^ {SPACE}])[ {SPACE}]").search
 
     def viterbi(self, unit: str) -> tuple[int, float]:
         """Pieces and score of the best segmentation."""
@@ -127,7 +130,16 @@ class Counter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        units = self.units(SPACE + text.replace(" ", SPACE))
+        total, at, before = 0, 0, SPACE  # the library puts a space before a text
+        while at < len(text):
+            cut = self.cut(text, at + SLICE) if len(text) - at > SLICE else None
+            end = cut.start() if cut else len(text)
+            total += self.slice(before + text[at:end])
+            at, before = end, ""
+        return total
+
+    def slice(self, text: str) -> int:
+        units = self.units(text.replace(" ", SPACE))
         got = list(map(self.known.get, units))
         if None not in got:
             return sum(got)

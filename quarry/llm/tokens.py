@@ -2,8 +2,9 @@
 
 Both vocabularies split a text at white space before any merge, so the ids of
 a text are the ids of its pieces in order. Pieces recur, so their ids are kept
-in a bounded table; only unknown pieces go to the library. A text with a string
-of the special tokens goes to the library whole."""
+in a bounded table; only unknown pieces go to the library. Long texts are taken
+in slices that end before a space between two other characters. A slice with a
+string of the special tokens, which hold no space, goes to the library whole."""
 
 from __future__ import annotations
 
@@ -28,6 +29,7 @@ PIECES = {
 KEPT_PIECES = 1_200_000  # some 200 bytes each, 240 MB in a worker
 LONGEST_KEPT = 16  # longer ones seldom come again
 LONGEST_TOGETHER = 48
+SLICE = 1 << 18  # characters that are encoded together, about
 
 
 class Encoder:
@@ -48,6 +50,7 @@ class Encoder:
         self.split = PIECES[kind].findall
         special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, special)) or "(?!)")
+        self.cut = re.compile(f"(?<=[^{WHITE}]) (?=[^{WHITE}])").search
         self.mark = os.path.commonprefix(special)
         self.known: dict[str, bytes] = {}
         self.before = "\n" if self.byte else " \x01 "
@@ -67,6 +70,17 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if len(text) <= SLICE:
+            return self.slice(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = self.cut(text, at + SLICE)
+            end = cut.start() if cut else len(text)
+            out.append(self.slice(text[at:end]))
+            at = end
+        return b"".join(out)
+
+    def slice(self, text: str) -> bytes:
         if self.mark in text and self.special.search(text):
             return self.whole(text)
         pieces = self.split(text)

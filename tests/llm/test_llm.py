@@ -5,8 +5,11 @@ import itertools
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -17,6 +20,7 @@ import corpus_pipeline
 from quarry.llm import common, exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, registry, secrets, token_counts, token_files, tokens
 
 SF = "/root/testdata/sf0.001"
+ROOT = Path(__file__).resolve().parents[2]
 SPACE = r"[^\x20\x09-\x0D]+"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string, source string, score double, kept boolean, size int"
@@ -312,8 +316,10 @@ def test_fingerprints_compose():
         assert exact_dedup.fingerprints([text])[k][0] == h
 
 
+@pytest.mark.parametrize("size", [tokens.SLICE, 1, 4])
 @pytest.mark.parametrize(("name", "kind"), [("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")])
-def test_encoder(name, kind):
+def test_encoder(monkeypatch, name, kind, size):
+    monkeypatch.setattr(tokens, "SLICE", size)
     encoder, rng = tokens.Encoder(tokens.tokenizer_path(name), kind, keep=200), random.Random(5)
     letters = [*"aAé é\t\n\r\x0b\x1c\x85\xa0 'sdlt12!?.,ßİΣσ中😀\x01", "<|endoftext|>", "'s", "  ", " \n\n ", "the", " word"]
     for _ in range(3000):
@@ -321,6 +327,25 @@ def test_encoder(name, kind):
         assert encoder.encode(text) == encoder.whole(text), repr(text)
 
 
+LONG_TEXT = """
+import resource, sys
+from quarry.llm import token_counts, tokens
+text = "".join(f"w{i} and more " for i in range(5000)) * 500
+peak = lambda: resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+{make}
+before = peak()
+run(text)
+print(len(text) >> 20, peak() - before)
+"""
+
+
+@pytest.mark.parametrize("make", ["run = tokens.Encoder(tokens.tokenizer_path('byte_bpe_50k.json'), 'byte').encode", "run = tokens.Encoder(tokens.tokenizer_path('word_bpe_49k.json'), 'word').encode", "run = token_counts.Counter(token_counts.read_vocabulary(tokens.tokenizer_path('piece_bpe_32k.model'))).count"])
+def test_long_text_in_slices(make):
+    """What a long text needs beside itself and its ids (here twice, 4 bytes each) stays small."""
+    out = subprocess.run([sys.executable, "-c", LONG_TEXT.replace("{make}", make)], capture_output=True, text=True, check=True, cwd=ROOT).stdout.split()
+    assert float(out[1]) < 200 and int(out[0]) > 30
+
+
 def test_codes():
     rng = np.random.default_rng(2)
     ids = np.concatenate([rng.integers(0, m, 3000) for m in (200, 60_000, 2**31)]).astype(np.uint32)
@@ -606,7 +631,7 @@ def test_random_runs(spark):
     assert secrets.scan(table(spark, rows)).where("doc_id >= 100 and spans like '%random%'").count() == 0
 
 
-def test_token_counts(spark, odd):
+def test_token_counts(spark, monkeypatch, odd):
     from tokenizers import Tokenizer, models, normalizers
 
     vocabulary = token_counts.read_vocabulary(tokens.tokenizer_path("piece_bpe_32k.model"))
@@ -615,7 +640,10 @@ def test_token_counts(spark, odd):
     counter, rng = token_counts.Counter(vocabulary, keep=100), random.Random(9)
     letters = [*"ab e  \n\t.,'é中😀▁0x4Áſthing", "the", "  "]
     for text in ["".join(rng.choices(letters, k=rng.randint(0, 16))) for _ in range(3000)] + [t or "" for _, t, _ in ODD]:
-        assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), repr(text)
+        n = len(library.encode(text, add_special_tokens=False).ids)
+        for size in (token_counts.SLICE, 3):
+            monkeypatch.setattr(token_counts, "SLICE", size)
+            assert counter.count(text) == n, repr(text)
     assert token_counts.token_counts(odd).count() == len(ODD)
 
 
