@@ -24,6 +24,7 @@ from quarry.functions.text import let
 from quarry.llm import common
 
 KINDS = ("assign", "access", "hex", "random")
+SPANS = "array<struct<start:int,kind:int,end:int>>"
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ASSIGN_HINT = r"(?i)password|passwd|secret|token|api_?key"
 # a run that is long enough is found by the same start as one of any length, as runs end where their class does
@@ -36,6 +37,12 @@ RATE = 0.001  # of false discoveries
 #: How often letters occur in ordinary words, about, per thousand; digits, signs and inner capitals share the rest.
 LETTERS = "e 126, t 80, a 78, o 72, n 72, i 71, s 65, r 64, h 50, d 42, l 42, u 33, c 31, m 26, f 20, g 20, p 20, w 18, y 16, b 15, v 11, k 7, j 2, x 2, z 2, q 1"
 SIGN_SHARE = 0.002  # of each digit, sign or capital
+BLOCK = 512  # spans that are put together, or passed over, at a time: the work of a text grows little faster than its spans
+
+
+def _blocks(items: Column) -> Column:
+    """An array in runs of ``BLOCK`` items, at least one run."""
+    return let(items, lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.size(a) / BLOCK).cast("int")), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK))))
 
 
 def _spans(text: Column, pattern: str, kind: int, length_of: int | None = None, least: int = 0) -> Column:
@@ -47,15 +54,19 @@ def _spans(text: Column, pattern: str, kind: int, length_of: int | None = None,
     # each pattern runs over the text once, not once for every match
     parts = F.struct(gaps.alias("gaps"), found.alias("found"), measured.alias("measured"))
     pairs = let(parts, lambda p: F.transform(p["found"], lambda m, i: F.struct(F.char_length(F.get(p["gaps"], i)).alias("gap"), F.char_length(m).alias("n"), F.char_length(F.get(p["measured"], i)).alias("m"))))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    empty = F.array().cast(SPANS)
+    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["n"]).alias("end"))
         return F.struct((start + x["n"]).alias("at"), F.when(x["m"] >= least, F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pairs, first, step, lambda acc: acc["out"])
+    def block(acc: Column, xs: Column) -> Column:
+        inner = F.aggregate(xs, F.struct(acc["at"].alias("at"), empty.alias("out")), step)
+        return let(inner, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+    return F.aggregate(_blocks(pairs), first, block, lambda acc: F.flatten(acc["out"]))
 
 
 def _normal_tail(z: Column) -> Column:
@@ -116,8 +127,8 @@ def _battery(codes: Column, k: Column) -> Column:
 
 def _random(text: Column, base: Column) -> Column:
     """Spans of runs that are taken for random and that no base span overlaps."""
-    shares = [x.split() for x in LETTERS.split(", ")]
-    known = F.create_map(*(v for letter, share in shares for v in (F.lit(letter), F.lit(float(share) / 1000))))
+    shares = dict(x.split() for x in LETTERS.split(", "))
+    known = F.array(*(F.lit(float(share) / 1000) for share in shares.values()))
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(RUN), F.lit(0)).alias("run"), _spans(text, RUN, 3).alias("span"))
 
     def coded(x: Column) -> Column:
@@ -127,7 +138,7 @@ def _random(text: Column, base: Column) -> Column:
         for pattern, letters in reversed(ENCODINGS):
             alphabet = F.when(body.rlike(f"^{pattern}$"), F.lit(letters)).otherwise(alphabet)
         letters, shouted = F.filter(F.split(body, ""), lambda c: c != ""), ~body.rlike("[a-z]")  # words in capitals are words
-        share = lambda c: F.coalesce(F.get(F.filter(F.map_values(F.map_filter(known, lambda key, _: key == c)), lambda v: v.isNotNull()), F.lit(0)), F.lit(SIGN_SHARE))
+        share = lambda c: F.coalesce(F.get(known, F.instr(F.lit("".join(shares)), c) - 1), F.lit(SIGN_SHARE))
 
         def described(a: Column) -> Column:
             codes = F.transform(letters, lambda c: F.instr(a, c) - 1)
@@ -136,10 +147,13 @@ def _random(text: Column, base: Column) -> Column:
 
         return let(alphabet, described)
 
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    overlaps = lambda a, b: (a["start"] < b["end"]) & (b["start"] < a["end"])
+    ranges = F.transform(_blocks(base), lambda xs: F.struct(F.get(xs, F.lit(0))["start"].alias("start"), F.array_max(F.transform(xs, lambda x: x["end"])).alias("end"), xs.alias("spans")))
 
     def chosen(all_runs: Column) -> Column:
-        lettered = F.filter(all_runs, lambda x: x["run"].rlike("[A-Za-z]") & free(x["span"]))
+        # base spans come by start: whole blocks of them are passed over
+        taken = lambda s, blocks: F.coalesce(F.exists(blocks, lambda b: F.when(overlaps(b, s), F.exists(b["spans"], lambda x: overlaps(x, s))).otherwise(False)), F.lit(False))
+        lettered = let(ranges, lambda blocks: F.filter(all_runs, lambda x: x["run"].rlike("[A-Za-z]") & ~taken(x["span"], blocks)))
         # the odds are quick, the battery is for those that it can still matter to
         likely = F.filter(F.transform(lettered, coded), lambda x: x["odds"] <= F.log(F.lit(RATE)))
         tested = F.transform(likely, lambda x: F.struct(x["odds"].alias("odds"), _battery(x["codes"], x["k"]).alias("p"), x["span"].alias("span")))
@@ -163,7 +177,7 @@ def scan(docs: DataFrame) -> DataFrame:
     Null text is empty and has no spans. A span is a whole match, its end not
     included. A null doc_id stays null; repeated rows are scanned alike; other
     columns are ignored; an empty table gives no rows."""
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    none = F.array().cast(SPANS)
     text = F.col("t")
     d = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     # most texts have nothing to place: one look with each pattern, no more

@@ -549,7 +549,9 @@ def base_spans(t):
     return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
-def test_secrets(spark, odd):
+@pytest.mark.parametrize("block", [secrets.BLOCK, 2])
+def test_secrets(spark, monkeypatch, odd, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
     rng, rows = random.Random(7), []
     for i in range(150):
         parts = []
@@ -594,7 +596,9 @@ def brute_random(text, base):
     return {(a, b) for _, a, b in ranked[:rank]}
 
 
-def test_random_runs_brute(spark):
+@pytest.mark.parametrize("block", [secrets.BLOCK, 2])
+def test_random_runs_brute(spark, monkeypatch, block):
+    monkeypatch.setattr(secrets, "BLOCK", block)
     rng, rows = random.Random(12), []
     words = ["internationalization", "CharacteristicsOfTheRiver", "src/main/java/org", "donaudampfschifffahrt", "un-deux-trois-quatre", "getUserNameFromDatabase", "2024-01-01T12-30-00", "LAAITIONELLEELLE"]
     letters = ["0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "".join(a for _, a in secrets.ENCODINGS[8:9]), secrets.ENCODINGS[9][1], secrets.ENCODINGS[10][1], "ab", "x9"]
@@ -609,6 +613,16 @@ def test_random_runs_brute(spark):
     assert found > 60
 
 
+def test_secrets_of_a_dump(spark):
+    """A text of many spans of two kinds, some over several blocks."""
+    rng = random.Random(8)
+    text = "\n".join(rng.choice(["%032x", "token=%032x", "AKIA%024X"]) % rng.getrandbits(128) for _ in range(3 * secrets.BLOCK))
+    (r,) = secrets.scan(table(spark, [(1, text, "s")])).collect()
+    want = base_spans(text)
+    assert r["base_sha256"] == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want).encode()).hexdigest()
+    assert {x for x in r["spans"].split(",") if x.startswith("random")} == {f"random:{a}:{b}" for a, b in brute_random(text, want)}
+
+
 def test_random_letters_alone(spark):
     """Keys of letters, and short ones, beside long words."""
     rng = random.Random(13)
