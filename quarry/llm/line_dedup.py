@@ -34,7 +34,9 @@ def _id() -> F.Column:
 
 def _lost(docs: DataFrame, least_documents: int) -> DataFrame:
     """__id, __xx (hash of the text) and __lost, the positions of the lines that go."""
-    keyed = docs.select(_id().alias("__id"), F.xxhash64("text").alias("__xx"), F.explode(_keys(F.col("text"))).alias("k"))
+    # the hash of a text is computed before its lines are exploded: behind that it would be computed for each
+    hashed = docs.select(_id().alias("__id"), F.xxhash64("text").alias("__xx"), "text")
+    keyed = hashed.select("__id", "__xx", F.explode(_keys(F.col("text"))).alias("k"))
     lines = common.written(keyed.select("__id", "__xx", "k.*"), "lines")
     counted = lines.select("__id", *KEY).distinct().groupBy(*KEY).agg(F.count("*").alias("n"), F.max("__id").alias("last"))
     frequent = common.written(counted.where(F.col("n") >= least_documents).drop("n"), "frequent_lines")

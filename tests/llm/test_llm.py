@@ -157,6 +157,14 @@ def test_line_keys_are_independent(spark):
     assert row.h2 != xxhash.xxh64_intdigest(b"second", row.h1 % 2**64) - 2**64 * (xxhash.xxh64_intdigest(b"second", row.h1 % 2**64) >= 2**63)
 
 
+def test_line_dedup_long_texts(spark):
+    """Texts of 100,000 lines, shared and own: the work of a text grows with its lines."""
+    lines = [f"a line of a very long text, {i * 7919 % 100_003}" for i in range(100_000)]
+    rows = [(d, "\n".join([*lines[d * 1000 :], f"the last line of text {d}"])) for d in range(3)]
+    got = [(r["doc_id"], r["text"], r["line_dedup"].n_lines, r["line_dedup"].n_dropped) for r in line_dedup.dedup(table(spark, [(*r, "s") for r in rows])).collect()]
+    assert sorted(got) == sorted((d, *kept) for (d, _), kept in zip(rows, brute_lines(rows), strict=True))
+
+
 def test_line_dedup(spark):
     shared = "A line that many DOCUMENTS share"
     rows = [(1, f"  {shared}\nown one"), (2, f"{shared.lower()}\t\nown two\n"), (3, f"{shared}\n{shared}"), (4, "short\nshort"), (5, None), (6, "")]
