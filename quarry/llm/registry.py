@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, secrets, token_counts, token_files
+from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, quantiles, secrets, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": mixing.op8_source_mix,
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_token_counts": token_counts.op10_token_counts,
+        "op11_quantile_summaries": quantiles.op11_quantile_summaries,
         "pipeline": corpus_pipeline.run,
     }
 
