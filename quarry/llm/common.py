@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -138,6 +138,25 @@ def lowered(raw: memoryview | bytes) -> bytes:
     return bytes(raw).translate(_LOWER_TABLE)
 
 
+SLICE = 1 << 20  # bytes of a text that are cut into words together
+#: A-Z to a-z; what is no ASCII letter or digit, and not beyond ASCII, to a space.
+_WORDS = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+
+
+def cut_words(raw: memoryview | bytes) -> Iterator[list[bytes]]:
+    """The words of a text's bytes, runs of ASCII letters, digits and all that is not ASCII, A-Z lower-cased, slice by slice."""
+    rest: list[bytes] = []
+    for at in range(0, len(raw), SLICE):
+        part = bytes(raw[at : at + SLICE]).translate(_WORDS)
+        cut = part.rfind(b" ")
+        if cut < 0:
+            rest.append(part)
+            continue
+        yield (b"".join(rest) + part[:cut]).split()
+        rest = [part[cut + 1 :]]
+    yield b"".join(rest).split()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64, a bijection on 64-bit words."""
     x = x.astype(np.uint64, copy=True)

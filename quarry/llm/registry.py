@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quarry.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, quantiles, secrets, token_counts, token_files
+from quarry.llm import exact_dedup, licenses, line_dedup, mixing, near_dedup, packing, quality_crf, quality_rules, quantiles, ranked_search, secrets, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_secret_scan": secrets.op9_secret_scan,
         "op10_token_counts": token_counts.op10_token_counts,
         "op11_quantile_summaries": quantiles.op11_quantile_summaries,
+        "op12_ranked_search": ranked_search.op12_ranked_search,
+        "op13_license_scan": licenses.op13_license_scan,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,4 +34,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": line_dedup.OP2_SQL,
         "op4_quality_rules": quality_rules.OP4_SQL,
         "op5_exact_dedup": exact_dedup.OP5_SQL,
+        "op12_ranked_search": ranked_search.OP12_SQL,
     }
