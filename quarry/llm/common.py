@@ -62,6 +62,12 @@ class Tables:
         self.paths[id(table)] = (path, table)
         return table
 
+    def remove(self, *gone: DataFrame | None) -> None:
+        """Deletes those of ``gone`` that are tables of this run."""
+        for t in gone:
+            if t is not None and id(t) in self.paths:
+                delete(self.spark, self.paths.pop(id(t))[0])
+
     def drop(self, *keep: DataFrame) -> None:
         """Deletes all tables but ``keep``."""
         kept = {id(t) for t in keep}

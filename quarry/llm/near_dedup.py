@@ -333,7 +333,7 @@ def _inner_links(tables: common.Tables, members: DataFrame, label: DataFrame, te
     if not mixed.take(1):
         return None
     open_ = tables.write(others.join(mixed, "key").select("node", "label", "star").distinct(), "open")
-    clusters = components(open_.select(F.col("star").alias("u"), F.col("node").alias("v")))
+    clusters = components(open_.select(F.col("star").alias("u"), F.col("node").alias("v")), tables)
     nodes = tables.write(open_.select("node", "label").distinct().join(clusters.select("node", F.col("label").alias("cluster")), "node").join(texts, "node"), "open_nodes")
     # a few members of each cluster, and of those as many as have few shingles together
     drawn = Window.partitionBy("cluster").orderBy(F.xxhash64("node"), "node")
@@ -388,10 +388,10 @@ def near_duplicates(docs: DataFrame, size: int = 5, per_cent: int = 80) -> DataF
 
     pairs = members.where("node <> p").select("p", F.col("node").alias("q")).distinct()
     links = tables.write(_links(tables, pairs, sketched, texts, size, per_cent), "links")
-    label = components(links)
+    label = components(links, tables)
     more = _inner_links(tables, members, label, texts, size, per_cent)
     if more is not None:
-        label = components(links.unionByName(tables.write(more, "inner_links")))
+        label = components(links.unionByName(tables.write(more, "inner_links")), tables)
     least = tables.write(classes.select(F.col("first.row").alias("node"), *sets, "least").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     ids = tables.write(least.groupBy("label").agg(F.min("least").alias("component")), "component_ids")
     found = tables.write(least.join(ids, "label").select(*sets, "component"), "found")

@@ -6,7 +6,8 @@ import resource
 import numpy as np
 import pytest
 
-from quarry.llm import near_dedup
+from quarry.llm import common, near_dedup
+from quarry.llm.components import components
 from tests.llm.test_llm import brute_components, table
 
 
@@ -60,3 +61,25 @@ def test_many_edits(spark, monkeypatch, block, shingles):
     want = brute_components(rows, 4)
     assert sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect())) == sorted(want)
     assert len({c for _, _, c in want}) > 5
+
+
+@pytest.mark.parametrize("order", ["sorted", "backwards", "shuffled", "star and two chains"])
+def test_components_take_few_turns(spark, monkeypatch, order):
+    """Turns grow with the logarithm of a chain's length, whatever its nodes are called; only the result's table stays."""
+    n, written = 1000, []
+    write = common.Tables.write
+    monkeypatch.setattr(common.Tables, "write", lambda self, df, name: (written.append(name), write(self, df, name))[1])
+    if order == "star and two chains":
+        links = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(300, 600)] + [(2 * i, 2 * i + 2) for i in range(1000, 1200)] + [(5, 5), (1, 0)]
+    else:
+        names = {"sorted": list(range(n)), "backwards": list(range(n, 0, -1)), "shuffled": random.Random(1).sample(range(10**9), n)}[order]
+        links = list(zip(names, names[1:], strict=False))
+    tables = common.Tables(spark)
+    got = {r.node: r.label for r in components(spark.createDataFrame(links, "u long, v long").coalesce(1), tables).collect()}
+    parts: dict[int, set[int]] = {}
+    for u, v in links:
+        whole = parts.get(u, {u}) | parts.get(v, {v})
+        parts.update(dict.fromkeys(whole, whole))
+    assert set(got) == set(parts) and all(label in parts[node] for node, label in got.items())
+    assert len(set(got.values())) == len({min(p) for p in parts.values()})
+    assert written.count("chosen") <= 15 and len(tables.paths) == 1
