@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -235,14 +236,53 @@ def test_quality_crf_odd(spark, odd, tmp_path):
 
 
 def test_quality_crf_parts(monkeypatch):
-    """A long text measured in runs of lines has the features of the whole."""
+    """A long text in parts has the score of the whole, and marginals by odds are those of the recursion; its sample has runs of its lines."""
     rng = random.Random(6)
     text = "\n".join("é word| " * rng.randrange(30) for _ in range(400)).encode()
-    whole = quality_crf.line_features([text])
-    for size in (7, 100, 5000):
-        monkeypatch.setattr(quality_crf, "BATCH_BYTES", size)
-        for a, b in zip(whole, quality_crf.measured([memoryview(text)]), strict=True):
-            assert np.allclose(a, b)
+    for case in range(4):
+        draw = np.random.default_rng(case)
+        model = quality_crf.Model(draw.normal(size=3 * quality_crf.FEATURES - 2), draw.normal(size=(2, 2)) * (1, 4, 12, 40)[case], 1.0, 0.0)
+        x, chars, per_text = quality_crf.line_features([text])
+        marginal, _ = quality_crf.forward_backward(model.line_scores(x, per_text), model.bond, per_text)
+        want = 1 / (1 + math.exp(-quality_crf._logit((marginal * (chars + 1)).sum() / (chars + 1).sum())))
+        many = [text[i : i + 700] for i in range(0, len(text), 700)]
+        for size in (7, 100, 5000, 1 << 20):
+            monkeypatch.setattr(quality_crf, "PART_BYTES", size)
+            for most in (1, 1 << 20):
+                monkeypatch.setattr(quality_crf, "BATCH_BYTES", most)
+                assert abs(model.scores([memoryview(text)])[0] - want) < 1e-9
+        assert np.allclose(model.scores(many), [model.scores([t])[0] for t in many], atol=1e-9)
+    for size in (50, 1 << 18):
+        monkeypatch.setattr(quality_crf, "PART_BYTES", size)
+        monkeypatch.setattr(quality_crf, "RUN", 30)
+        x, chars = quality_crf.sample_features(memoryview(text))
+        assert np.allclose(x, quality_crf.line_features([text])[0]) and len(chars) == 400
+        monkeypatch.setattr(quality_crf, "RUN", 10)
+        x, chars = quality_crf.sample_features(memoryview(text))
+        whole = quality_crf.line_features([text])[0]
+        assert len(x) == 160 and sum(any(np.array_equal(a, whole[i : i + 10]) for i in range(0, 400, 10)) for a in np.split(x, 16)) == 16
+
+
+def test_quality_crf_of_line_ends():
+    """A text of very many short lines takes memory for a part at a time."""
+    rng = np.random.default_rng(1)
+    model = quality_crf.Model(rng.normal(size=3 * quality_crf.FEATURES - 2), rng.normal(size=(2, 2)), 1.0, 0.0)
+    text = b"\n" * (8 << 20)
+    tracemalloc.start()
+    score = model.scores([memoryview(text)])[0]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert 0 < score < 1 and most < 150 << 20
+
+
+def test_quality_crf_sample_of_repeated_rows(spark):
+    """Rows that repeat a sampled doc_id come to the driver once."""
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, quality int")
+    rows = [(i, ("clean river stone.\n" if i % 2 else "BUY ## | 777\n") * 5) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = quality_crf.train(docs, labels)
+    many = quality_crf.train(docs.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(500)))).drop("n"), labels)
+    assert np.array_equal(one.weights, many.weights) and one.slope == many.slope
 
 
 def test_quality_crf_long_documents(spark):
