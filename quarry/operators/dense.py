@@ -2,14 +2,16 @@
 
 Queries are dealt to blocks of bounded size, a matrix in a row each; vectors are
 packed, where they stand, into batches, a matrix in a row each. A batch meets
-every block by an equi-join on the block's number, which Spark broadcasts while
-the blocks are small, and their product passes on what is asked for: the best k
-of the batch for each query, or its links. The plan does not grow with the
-queries, and none of them passes through the driver."""
+the blocks of its cell (all vectors are of one cell, unless an index has cells)
+by an equi-join, which Spark broadcasts while the blocks are small; beyond that
+each block is there ``SPREAD`` times, so that the batches are dealt to so many
+tasks at least. Their products pass on what is asked for: the best k for each
+query, kept over all batches of a task, or links. The plan does not grow with
+the queries, and none of them passes through the driver."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.best import Best
 from quarry.operators.lexical import ranked
 
 BLOCK = 4096  # queries that are held in memory together, about
+SPREAD = 64
 BATCH = 2000  # vectors that meet a block at a time
 
 
@@ -45,9 +49,10 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _blocks(queries: DataFrame, block: int) -> tuple[DataFrame, int]:
-    """``queries`` (query_id, embedding) as rows block, ids, matrix, and how many blocks there are."""
-    n = max(1, -(-queries.count() // block))
+def _blocks(queries: DataFrame, block: int) -> DataFrame:
+    """``queries`` (cell, query_id, embedding) as rows cell, salt, ids, asked, asked_dim: matrices of ``block`` queries of a cell, about."""
+    most = queries.groupBy("cell").count().agg(F.max("count").alias("n")).first().n or 0
+    n = max(1, -(-most // block))
 
     def pack(table: pa.Table) -> pa.Table:
         rows = table.combine_chunks()
@@ -55,47 +60,79 @@ def _blocks(queries: DataFrame, block: int) -> tuple[DataFrame, int]:
         dim = len(vectors[0].as_py()) if len(vectors) and vectors[0].is_valid else 0
         matrix = _normed(_matrix(vectors, dim))
         ids = rows.column("query_id").to_numpy().astype("<i8")
-        return pa.table({"block": rows.column("block")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "asked": pa.array([matrix.astype("<f8").tobytes()], pa.binary()), "dim": pa.array([dim], pa.int32())})
+        return pa.table({"cell": rows.column("cell")[:1], "ids": pa.array([ids.tobytes()], pa.binary()), "asked": pa.array([matrix.astype("<f8").tobytes()], pa.binary()), "asked_dim": pa.array([dim], pa.int32())})
 
-    dealt = queries.select(F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return dealt.groupBy("block").applyInArrow(pack, "block int, ids binary, asked binary, dim int"), n
+    dealt = queries.select("cell", F.pmod(F.xxhash64("query_id"), F.lit(n)).cast("int").alias("block"), F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    packed = dealt.groupBy("cell", "block").applyInArrow(pack, "cell int, ids binary, asked binary, asked_dim int")
+    return packed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """source, doc_id, embedding as rows sources, docs, vectors, of ``BATCH`` vectors at most."""
+    """cell, source, doc_id, embedding as rows cell, sources, docs, vectors, dim, of ``BATCH`` vectors of a cell at most."""
     for b in batches:
-        for at in range(0, b.num_rows, BATCH):
-            part = b.slice(at, BATCH)
-            lists = part.column(2).fill_null([]) if part.column(2).null_count else part.column(2)
-            dims = np.unique(np.diff(lists.offsets.to_numpy()))
-            if len(dims) > 1:
-                raise EmbedderMismatchError(f"vectors have {dims.tolist()} numbers")
-            matrix = _normed(_matrix(part.column(2), int(dims[0])))
-            docs = part.column(1).to_numpy(zero_copy_only=False).astype("<i8")
-            yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.string())), pa.array([docs.tobytes()], pa.binary()), pa.array([matrix.astype("<f8").tobytes()], pa.binary()), pa.array([int(dims[0])], pa.int32())], names=["sources", "docs", "vectors", "dim"])
+        cell = b.column(0).to_numpy(zero_copy_only=False)
+        edges = [0, *(np.flatnonzero(np.diff(cell)) + 1).tolist(), b.num_rows]
+        for first, end in zip(edges, edges[1:], strict=False):
+            for at in range(first, end, BATCH):
+                part = b.slice(at, min(BATCH, end - at))
+                lists = part.column(3).fill_null([]) if part.column(3).null_count else part.column(3)
+                dims = np.unique(np.diff(lists.offsets.to_numpy()))
+                if len(dims) > 1:
+                    raise EmbedderMismatchError(f"vectors have {dims.tolist()} numbers")
+                matrix = _normed(_matrix(part.column(3), int(dims[0])))
+                docs = part.column(2).to_numpy(zero_copy_only=False).astype("<i8")
+                columns = [pa.array([part.column(1).to_pylist()], pa.list_(pa.string())), *(pa.array([x], pa.binary()) for x in (docs.tobytes(), matrix.astype("<f8").tobytes()))]
+                yield pa.RecordBatch.from_arrays([pa.array([int(cell[at])], pa.int32()), *columns, pa.array([int(dims[0])], pa.int32())], names=["cell", "sources", "docs", "vectors", "dim"])
+
+
+PACKED = "cell int, sources array<string>, docs binary, vectors binary, dim int"
+FOUND = "query_id long, source string, doc_id long, score double"
+
+
+def _met(queries: DataFrame, vectors: DataFrame, block: int) -> DataFrame:
+    """sources, docs, vectors, dim, ids, asked, asked_dim: each batch of ``vectors`` (cell, source, doc_id, embedding) with each block of its cell."""
+    rows = vectors.select(F.col("cell").cast("int").alias("cell"), F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    packed = rows.mapInArrow(_packed, PACKED).withColumn("salt", F.pmod(F.xxhash64("docs"), F.lit(SPREAD)).cast("int"))
+    return packed.join(_blocks(queries, block), ["cell", "salt"]).select("sources", "docs", "vectors", "dim", "ids", "asked", "asked_dim")
+
+
+def _scores(batches: Iterator[pa.RecordBatch], self_deny: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Queries, sources, documents and cosines of each batch and block."""
+    for b in batches:
+        for sources, docs, matrix, dim, ids, asked, asked_dim in zip(*(b.column(i) for i in range(7)), strict=True):
+            if dim.as_py() != asked_dim.as_py():
+                raise EmbedderMismatchError(f"a vector has {dim.as_py()} numbers, the queries have {asked_dim.as_py()}")
+            ids_, docs_ = (np.frombuffer(x.as_buffer(), "<i8") for x in (ids, docs))
+            q, v = (np.frombuffer(x.as_buffer(), "<f8").reshape(len(n), -1) for x, n in ((asked, ids_), (matrix, docs_)))
+            score = np.round(q @ v.T, 6) + 0.0
+            if self_deny:
+                score[ids_[:, None] == docs_[None, :]] = -np.inf
+            names = np.empty(len(docs_), object)
+            names[:] = sources.as_py()
+            yield ids_, names, docs_, score
+
+
+def best_of(met: DataFrame, k: int, self_deny: bool = False) -> DataFrame:
+    """query_id, source, doc_id, score: what is among the best k of a task for a query."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(k)
+        for ids, sources, docs, score in _scores(batches, self_deny):
+            best.add(ids, sources, docs, score)
+            if best.full():
+                yield from best.rows(pa.int64(), pa.int64())
+        yield from best.rows(pa.int64(), pa.int64())
 
-def _products(queries: DataFrame, vectors: DataFrame, block: int, found: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], self_deny: bool) -> DataFrame:
-    """query_id, source, doc_id, score at the places that ``found`` names in the scores of a block and a batch."""
+    return met.mapInArrow(run, FOUND)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for sources, docs, matrix, dim, ids, asked, asked_dim in zip(*(b.column(i) for i in range(7)), strict=True):
-                if dim.as_py() != asked_dim.as_py():
-                    raise EmbedderMismatchError(f"a vector has {dim.as_py()} numbers, the queries have {asked_dim.as_py()}")
-                ids_, docs_ = (np.frombuffer(x.as_buffer(), "<i8") for x in (ids, docs))
-                q, v = (np.frombuffer(x.as_buffer(), "<f8").reshape(len(n), -1) for x, n in ((asked, ids_), (matrix, docs_)))
-                score = np.round(q @ v.T, 6) + 0.0
-                if self_deny:
-                    score[ids_[:, None] == docs_[None, :]] = -np.inf
-                i, j = found(score)
-                yield pa.RecordBatch.from_arrays([pa.array(ids_[i]), sources.values.take(pa.array(j)), pa.array(docs_[j]), pa.array(score[i, j])], names=["query_id", "source", "doc_id", "score"])
-
-    asked, n = _blocks(queries, block)
-    packed = vectors.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_packed, "sources array<string>, docs binary, vectors binary, dim int")
-    # each batch once for every block
-    meeting = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).join(asked.withColumnRenamed("dim", "asked_dim"), "block")
-    return meeting.select("sources", "docs", "vectors", "dim", "ids", "asked", "asked_dim").mapInArrow(run, "query_id long, source string, doc_id long, score double")
+
+def cell_topk(queries: DataFrame, vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
+    """As ``best_of`` for queries and vectors of the same cell only (both have a column cell)."""
+    return best_of(_met(queries, vectors, block), k)
+
+
+def _one_cell(df: DataFrame) -> DataFrame:
+    return df.withColumn("cell", F.lit(0))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, deny: DataFrame | None = None, self_deny: bool = False, denied: int = 0, block: int = BLOCK) -> DataFrame:
@@ -104,20 +141,18 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, deny: DataFr
     ``queries``: query_id, embedding. ``vectors``: source, doc_id, embedding.
     ``denied`` is how many documents ``deny`` may take from one query: tasks
     pass on so many more."""
-    wanted = k + denied
-
-    def best(score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keep = min(wanted, score.shape[1])
-        # ties at the cut: everything at the k-th score goes on to the ranking
-        cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-        return np.nonzero((score >= cut[:, None]) & np.isfinite(score))
-
-    return ranked(_products(queries, vectors, block, best, self_deny), k, deny)
+    return ranked(best_of(_met(_one_cell(queries), _one_cell(vectors), block), k + denied, self_deny), k, deny)
 
 
 def similar(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
     """query_id, source, doc_id, score of all other vectors whose cosine with the query is at least the threshold."""
-    return _products(queries, vectors, block, lambda score: np.nonzero(score >= threshold), True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sources, docs, score in _scores(batches, True):
+            i, j = np.nonzero(score >= threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(sources[j].tolist(), pa.string()), pa.array(docs[j]), pa.array(score[i, j])], names=["query_id", "source", "doc_id", "score"])
+
+    return _met(_one_cell(queries), _one_cell(vectors), block).mapInArrow(run, FOUND)
 
 
 def with_fake_embeddings(rows: DataFrame, text: str = "text") -> DataFrame:

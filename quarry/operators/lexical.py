@@ -5,9 +5,10 @@ queries' words before the first shuffle, so what is dealt out grows with the
 hits, not with the corpus. Statistics belong to a source and are never shared.
 
 Up to ``BLOCK`` queries are held by every task: one pass counts documents of
-each of their words, another one scores batches of documents and passes on the
-best k of a batch for each query, so no posting is shuffled. More queries, and
-all scores where they are wanted, go through joins. Both give the same ranks."""
+each of their words, another one scores batches of documents and keeps the best
+k for each query over all batches of a task, so no posting is shuffled. More
+queries, and all scores where they are wanted, go through joins. Both give the
+same ranks, whatever the type of the ids."""
 
 from __future__ import annotations
 
@@ -19,8 +20,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.functions import text as T
+from quarry.operators.best import Best, plain
 
 K1, B = 1.2, 0.75
 BLOCK = 4096  # queries that a task holds
@@ -96,12 +99,14 @@ def _counts(words: pa.Array):
     return run
 
 
-def _best(ids: np.ndarray, words: pa.Array, asked: tuple[np.ndarray, np.ndarray, np.ndarray], of: dict, k: int, k1: float, b_: float):
-    """source, doc_id, words to the best k of each batch for each query. ``asked``: for each word where its queries begin, the queries, the times."""
+def _best(ids: pa.Array, words: pa.Array, asked: tuple[np.ndarray, np.ndarray, np.ndarray], of: dict, k: int, k1: float, b_: float):
+    """source, doc_id, words to the best k of the task for each query. ``asked``: for each word where its queries begin, the queries, the times."""
     begin, query, times = asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, kind, numbers = Best(k), pa.int64(), np.arange(len(ids))
         for whole in batches if len(ids) else ():
+            kind = whole.schema.field(1).type
             step = max(1, CELLS // max(1, len(ids)))
             for at in range(0, whole.num_rows, step):
                 b = whole.slice(at, step)
@@ -117,32 +122,38 @@ def _best(ids: np.ndarray, words: pa.Array, asked: tuple[np.ndarray, np.ndarray,
                 any_ = score > 0
                 score = np.round(score, 6) + 0.0
                 score[~any_] = -np.inf
-                keep = min(k, score.shape[1])
-                # ties at the cut: everything at the k-th score goes on to the ranking
-                cut = np.partition(score, score.shape[1] - keep, axis=1)[:, score.shape[1] - keep]
-                q, d = np.nonzero((score >= cut[:, None]) & any_)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), b.column(0).take(pa.array(d)), b.column(1).take(pa.array(d)), pa.array(score[q, d])], names=["query_id", "source", "doc_id", "score"])
+                sources = np.empty(b.num_rows, object)
+                sources[:] = names
+                best.add(numbers, sources, plain(b.column(1)), score)
+                if best.full():
+                    yield from named(best, kind)
+        yield from named(best, kind)
+
+    def named(best: Best, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for rows in best.rows(pa.int64(), kind):
+            yield pa.RecordBatch.from_arrays([ids.take(rows.column(0)), *rows.columns[1:]], names=rows.schema.names)
 
     return run
 
 
-def _held(queries: list, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
+def _held(queries: list, asked_of: DataFrame, docs: DataFrame, k: int, k1: float, b: float) -> DataFrame:
     """query_id, source, doc_id, score: what is among the best k of a batch, for queries (query_id, words) that tasks hold."""
-    ids = np.array([r[0] for r in queries], np.int64)
+    id_type, doc_type = asked_of.schema["query_id"].dataType, docs.schema["doc_id"].dataType
+    ids = pa.array([r[0] for r in queries], to_arrow_type(id_type))
     terms = sorted({w for r in queries for w in r[1]})
     place = {w: i for i, w in enumerate(terms)}
     rows = sorted((place[w], i, n) for i, r in enumerate(queries) for w, n in Counter(r[1]).items())
     begin = np.searchsorted(np.array([w for w, _, _ in rows], np.int64), np.arange(len(terms) + 1))
     asked = begin, np.array([i for _, i, _ in rows], np.int64), np.array([n for _, _, n in rows], np.float64)
     words = pa.array(terms, pa.string())
-    tokens = docs.select(F.col("source").cast("string").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(T.bm25_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
+    tokens = docs.select(F.col("source").cast("string").alias("source"), "doc_id", F.coalesce(T.bm25_tokens(F.col("text")), F.array().cast("array<string>")).alias("tokens"))
     counted = tokens.mapInArrow(_counts(words), "source string, word long, n long, n_words long").groupBy("source", "word").agg(F.sum("n").alias("n"), F.sum("n_words").alias("n_words")).collect()
     of = {r.source: (r.n_words / r.n, {}, r.n) for r in counted if r.word == -1}
     for r in counted:
         if r.word >= 0:
             n = of[r.source][2]
             of[r.source][1][r.word] = float(np.log((n - r.n + 0.5) / (r.n + 0.5) + 1))
-    return tokens.mapInArrow(_best(ids, words, asked, of, k, k1, b), "query_id long, source string, doc_id long, score double")
+    return tokens.mapInArrow(_best(ids, words, asked, of, k, k1, b), f"query_id {id_type.simpleString()}, source string, doc_id {doc_type.simpleString()}, score double")
 
 
 def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, deny: DataFrame | None = None, k1: float = K1, b: float = B, block: int = BLOCK) -> DataFrame:
@@ -151,4 +162,4 @@ def bm25_topk(queries: DataFrame, docs: DataFrame, k: int = 10, deny: DataFrame
     if len(some) > block:
         return ranked(scores(queries, docs, k1, b), k, deny)
     denied = 0 if deny is None else (deny.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
-    return ranked(_held(some, docs, k + denied, k1, b), k, deny)
+    return ranked(_held(some, queries, docs, k + denied, k1, b), k, deny)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry import generation, scratch
 from quarry.functions import text as T
 from quarry.operators import dense, fusion, lexical
 from quarry.operators.retrieval import RetrievalPlan
 from quarry.plans import tables
 from quarry.plans.tables import corpus, vectors
+from quarry.sources.cells import CellIndex
 
 DEPTH = 30
 CAPS = {"docs": 4, "discussions": 2}
@@ -71,6 +75,25 @@ def dense_text_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense.dense_topk(q, dense.with_fake_embeddings(_two_sources(spark, sf_dir)), 10).select("query_id", "source", "doc_id", "score", "rank")
 
 
+def _text_index(spark: SparkSession, sf_dir: str) -> CellIndex:
+    """A stored index of the deterministic vectors of all documents."""
+    index = CellIndex(spark, f"{scratch.folder(spark)}/quarry-core/cells-{uuid.uuid4().hex}")
+    index.build(dense.with_fake_embeddings(_two_sources(spark, sf_dir)).select("source", "doc_id", "embedding"))
+    return index
+
+
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest documents of one source by their deterministic vectors, of those in the ten nearest cells of each benchmark item: approximate."""
+    q = dense.with_fake_embeddings(tables.queries(spark, sf_dir), "query")
+    return _text_index(spark, sf_dir).search(q, 10, 10, F.col("source") == "docs").select("query_id", "source", "doc_id", "score", "rank")
+
+
+def ann_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``ann_topk``, and exact: cells whose bound reaches the tenth score found are read too."""
+    q = dense.with_fake_embeddings(tables.queries(spark, sf_dir), "query")
+    return _text_index(spark, sf_dir).search_exact(q, 10, 4, F.col("source") == "docs").select("query_id", "source", "doc_id", "score", "rank")
+
+
 def _plan(spark: SparkSession, sf_dir: str, k: int | None = None, **settings) -> DataFrame:
     return RetrievalPlan(candidates_k=DEPTH, dense=True, bm25=True, **settings).run(tables.queries(spark, sf_dir), _two_sources(spark, sf_dir), k=k)
 
@@ -109,14 +132,14 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = dense.with_fake_embeddings(tables.queries(spark, sf_dir), "query")
     chunks = _two_sources(spark, sf_dir)
     top = dense.dense_topk(q, dense.with_fake_embeddings(chunks), 5).join(chunks.select("source", "doc_id", "text"), ["source", "doc_id"])
-    context = top.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]), "\n\n---\n\n").alias("context"))
-    prompt = F.concat(F.lit("Context:\n"), "context", F.lit("\n\nQuestion: "), "query", F.lit("\n\nAnswer:"))
+    context = top.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"]).alias("contexts"))
+    prompt = generation.prompt(F.col("contexts"), F.col("query"))
     return tables.queries(spark, sf_dir).join(context, "query_id").select("query_id", F.sha2(prompt, 256).alias("prompt_sha"), T.token_estimate(prompt).alias("n_tokens"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_df, bm25_topk, bm25_topk_per_source, bm25_deny, dense_topk, dense_multi_source, dense_text_topk, rrf, source_caps, hybrid_topk, rerank_overlap, parent_expand, pipeline_full, answer_prompts)
+    for f in (bm25_df, bm25_topk, bm25_topk_per_source, bm25_deny, dense_topk, dense_multi_source, dense_text_topk, ann_topk, ann_exact_topk, rrf, source_caps, hybrid_topk, rerank_overlap, parent_expand, pipeline_full, answer_prompts)
 }
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[._][a-z0-9]+)*')"
@@ -181,6 +204,7 @@ SQL = {
     "dense_topk": f"WITH n AS ({_NEAR.format(source=repr('all'))} AND q.vec_id <> e.vec_id) " + _top("n", 10, "query_id, doc_id, score"),
     "dense_multi_source": "WITH n AS (" + _NEAR.format(source="CASE WHEN e.label % 2 = 0 THEN 'docs' ELSE 'discussions' END") + ") " + _top("n", 10, "query_id, source, doc_id, score"),
     "dense_text_topk": f"WITH {_DENSE} " + _top("dn", 10, "query_id, source, doc_id, score"),
+    "ann_exact_topk": f"WITH {_DENSE} " + _top("dn", 10, "query_id, source, doc_id, score", "source = 'docs'"),
     "rrf": f"WITH {_FUSED} SELECT query_id, source, doc_id, round(s, 6) AS final_score, CAST(rank AS INTEGER) AS rank, CASE WHEN dense_rank IS NULL THEN 'bm25' WHEN bm25_rank IS NULL THEN 'dense' ELSE 'dense+bm25' END AS stages, coalesce(dense_rank, 0) AS dense_rank, coalesce(bm25_rank, 0) AS bm25_rank FROM fu WHERE rank <= 30",
     "source_caps": f"WITH {_FUSED}, {_CAPPED} SELECT query_id, source, doc_id, CAST(place AS INTEGER) AS rank FROM cp WHERE place <= 30",
     "hybrid_topk": f"WITH {_FUSED}, {_CAPPED} SELECT query_id, source, doc_id, round(s, 6) AS final_score, CAST(place AS INTEGER) AS rank FROM cp WHERE place <= 5",

@@ -1,14 +1,16 @@
 """Goldens by hand for the operators, and every SQL twin on the smallest tables."""
 
-import duckdb
 import random
 
+import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text as T
-from quarry.operators import chunking, dense, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
+from quarry.operators import best, chunking, dense, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
 from quarry.operators.retrieval import RetrievalPlan
 from quarry.plans import registry
 
@@ -104,6 +106,35 @@ def test_bm25_both_ways(spark):
     assert lexical.bm25_topk(q.limit(0), docs).count() == 0 and lexical.bm25_topk(q, docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["string", "long", "int"])
+def test_bm25_ids_of_any_type(spark, kind):
+    """Ids are what they are, whether tasks hold the queries or joins do; ties go by id as its type sorts, null first."""
+    docs = spark.createDataFrame([("s", str(i), "river stone" if i % 2 else "quiet river light") for i in (2, 10, 9, 4, 100, 31)] + [(None, None, "river stone")], "source string, doc_id string, text string")
+    queries = spark.createDataFrame([(str(i), "stone river") for i in (3, 20)], "query_id string, query string")
+    docs, queries = docs.withColumn("doc_id", F.col("doc_id").cast(kind)), queries.withColumn("query_id", F.col("query_id").cast(kind))
+    held, joined = (lexical.bm25_topk(queries, docs.where("source is not null"), 4, block=block) for block in (10, 0))
+    assert held.select("query_id", "doc_id").schema == joined.select("query_id", "doc_id").schema
+    assert sorted(map(tuple, held.collect())) == sorted(map(tuple, joined.collect()))
+    assert lexical.bm25_topk(queries, docs, 4).where("rank = 1").count() == 2
+
+
+def test_best_of_many_batches():
+    """What a task keeps over batches is what one sort of everything gives."""
+    rng = np.random.default_rng(4)
+    score = np.round(rng.random((5, 600)), 1)
+    score[rng.random(score.shape) < 0.3] = -np.inf
+    score[3] = -np.inf
+    sources, docs = rng.choice(["a", "b"], 600).astype(object), np.arange(600)[::-1]
+    kept = best.Best(7)
+    for at in range(0, 600, 37):
+        kept.add(np.arange(5), sources[at : at + 37], docs[at : at + 37], score[:, at : at + 37])
+        if at % 3 == 0:
+            kept.prune()
+    rows = [r for b in kept.rows(pa.int64(), pa.int64()) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    want = [(q, sources[d], docs[d], score[q, d]) for q in range(5) for d in sorted(np.flatnonzero(np.isfinite(score[q])), key=lambda d: (-score[q, d], sources[d], docs[d]))[:7]]
+    assert sorted(rows) == sorted(want)
+
+
 def test_dense(spark):
     docs = dense.with_fake_embeddings(spark.createDataFrame([("a", 1, "x"), ("b", 2, "y"), ("b", 3, "z")], "source string, doc_id long, text string"))
     q = dense.with_fake_embeddings(spark.createDataFrame([(1, "y")], "query_id long, query string"), "query")
