@@ -38,14 +38,28 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read("docs").select("chunk_id", "parent_id", "content_hash", F.round(F.get("embedding", F.lit(0)), 6).alias("first_number"))
 
 
+def store_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the documents stored, then three upserts, a refresh of the identity alone and a compaction, after it one upsert that takes chunks away: what the store holds, with its identity."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    store = ChunkStore(spark, _new(spark, "store"))
+    store.upsert(_chunks(d.where("doc_id % 2 = 0")), "docs", "first")
+    for turn in (3, 5, 7):
+        changed = d.where(F.col("doc_id") % turn == 1).withColumn("text", F.concat("text", F.lit(f" turn {turn}")))
+        store.upsert(_chunks(changed), "docs")
+    store.refresh("docs", "second")
+    store.compact("docs")
+    left = store.read("docs").where(F.length("document") % 4 != 0)
+    store.upsert(left.drop("embedding"), "docs", keep_missing=False)
+    sha = store.identity("docs")["corpus_sha"]
+    return store.read("docs").select("chunk_id", "parent_id", "content_hash", F.round(F.get("embedding", F.lit(0)), 6).alias("first_number"), F.lit(sha).alias("corpus_sha"))
+
+
 def store_family(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored chunks of one parent, counted."""
     store = ChunkStore(spark, _new(spark, "store"))
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     store.upsert(_chunks(d), "docs")
-    first = d.agg(F.min("source").alias("least"))
-    found = store.read("docs").join(first, F.col("parent_id") == F.col("least"))
-    return found.groupBy("parent_id").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("n_texts"))
+    return store.family("docs", d.agg(F.min("source").alias("least")).first().least).groupBy("parent_id").agg(F.count("*").alias("n"), F.countDistinct("content_hash").alias("n_texts"))
 
 
 def store_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,12 +109,14 @@ def run_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_metrics(scored).select("metric", "n", "value")
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, run_experiment)}
+QUERIES = {f.__name__: f for f in (store_upsert, store_deltas, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, run_experiment)}
 
 _STORED = "SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN text || ' again' ELSE text END AS text FROM documents"
 
 SQL = {
     "store_upsert": f"SELECT 'c' || doc_id AS chunk_id, source AS parent_id, substr(sha256(text), 1, 16) AS content_hash, round(CAST('0x' || substr(sha256(text), 1, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS first_number FROM ({_STORED})",
+    "store_deltas": """WITH t AS (SELECT doc_id, source, CASE WHEN doc_id % 7 = 1 THEN text || ' turn 7' WHEN doc_id % 5 = 1 THEN text || ' turn 5' WHEN doc_id % 3 = 1 THEN text || ' turn 3' WHEN doc_id % 2 = 0 THEN text END AS text FROM documents)
+SELECT 'c' || doc_id AS chunk_id, source AS parent_id, substr(sha256(text), 1, 16) AS content_hash, round(CAST('0x' || substr(sha256(text), 1, 2) AS INTEGER) / 255.0::DOUBLE, 6) AS first_number, 'second' AS corpus_sha FROM t WHERE length(text) % 4 <> 0""",
     "store_family": "SELECT source AS parent_id, count(*) AS n, count(DISTINCT substr(sha256(text), 1, 16)) AS n_texts FROM documents WHERE source = (SELECT min(source) FROM documents) GROUP BY source",
     "store_profile": """SELECT x.c AS "column", x.k AS kind, CAST(CASE WHEN x.c = 'parent_id' THEN (SELECT count(*) FROM documents WHERE doc_id % 5 = 0 OR source IS NULL) ELSE 0 END AS BIGINT) AS n_null
 FROM (VALUES ('chunk_id', 'string'), ('document', 'string'), ('parent_id', 'string'), ('content_hash', 'string'), ('embedding', 'array<double>')) x(c, k)""",

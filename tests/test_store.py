@@ -51,6 +51,64 @@ def test_store(spark, tmp_path):
         ChunkStore(spark, f"file://{tmp_path}", "fake", 9).read("docs")
 
 
+def test_store_writes_what_differs(spark, tmp_path):
+    """Written bytes follow the batch, an upsert that says nothing new makes no commit, deltas are merged, ids are read from their buckets."""
+    store = ChunkStore(spark, f"file://{tmp_path}", compact_after=4, buckets=8)
+    rows = [(f"c{i}", f"document {i} " + "word " * 200, f"p{i % 7}") for i in range(3000)]
+    assert store.upsert(chunks(spark, *rows), "docs", "sha1")
+    again = [("c5", "changed", "p5"), ("new", "newer", "p1"), ("new", "newer", "p1")]
+    assert store.upsert(chunks(spark, *again, rows[6]), "docs")
+    base, delta = store.stored_bytes("docs")
+    assert delta < base / 20
+    assert not store.upsert(chunks(spark, *again, rows[6]), "docs") and len(store.stored_bytes("docs")) == 2
+    # a changed parent is written, and its content is not embedded again
+    seen = store.read("docs").where("chunk_id = 'c6'").first().embedding
+
+    store.embed = lambda text: F.transform(F.sequence(F.lit(1), F.lit(8)), lambda i: F.lit(9.0))  # a vector that tells when it was made
+    assert store.upsert(chunks(spark, ("c6", rows[6][1], "elsewhere")), "docs")
+    moved = store.get("docs", ["c6"]).first()
+    assert moved.parent_id == "elsewhere" and moved.embedding == seen
+    assert store.refresh("docs", "sha2") and not store.refresh("docs", "sha2") and len(store.stored_bytes("docs")) == 3
+    store.upsert(chunks(spark, ("c7", "embedded anew", "p")), "docs")
+    assert store.get("docs", ["c7"]).first().embedding == [9.0] * 8
+    store.upsert(chunks(spark, ("c8", "compacted after this", "p")), "docs")
+    assert len(store.stored_bytes("docs")) == 1 and store.identity("docs")["corpus_sha"] == "sha2" and store.vacuum("docs") == 5
+    want = {c: d for c, d, _ in rows} | {"c5": "changed", "new": "newer", "c7": "embedded anew", "c8": "compacted after this"}
+    assert {r.chunk_id: r.document for r in store.read("docs").collect()} == want
+    assert store.upsert(chunks(spark, rows[1], ("c5", "changed", "p5")), "docs", keep_missing=False)
+    assert sorted(r.chunk_id for r in store.read("docs").collect()) == ["c1", "c5"]
+
+
+def test_writers_that_meet(spark, tmp_path, monkeypatch):
+    """A commit that another writer has made first is seen; the upsert begins again from it and nothing is lost."""
+    one, two = (ChunkStore(spark, f"file://{tmp_path}") for _ in range(2))
+    one.upsert(chunks(spark, ("a", "x", "p"), ("b", "y", "p")), "docs")
+    write, met = ChunkStore._write, []
+
+    def late(self, source, rows, buckets):
+        out = write(self, source, rows, buckets)
+        if self is one and not met:
+            met.append(two.upsert(chunks(spark, ("a", "theirs", "p"), ("c", "z", "p")), "docs"))
+        return out
+
+    monkeypatch.setattr(ChunkStore, "_write", late)
+    one.upsert(chunks(spark, ("a", "x", "p"), ("d", "w", "p")), "docs")
+    assert met == [True]
+    assert {r.chunk_id: r.document for r in one.read("docs").collect()} == {"a": "x", "b": "y", "c": "z", "d": "w"}
+    assert one.log("docs").newest()[0] == 3 and one.vacuum("docs") == 0
+    log = one.log("docs")
+    assert not log.commit(3, {"x": 1}) and log.commit(4, log.newest()[1])
+
+
+def test_store_columns_may_be_added(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}")
+    store.upsert(chunks(spark, ("a", "x", "p"), ("b", None, None)), "docs")
+    store.upsert(chunks(spark, ("b", None, "q"), ("c", "z", "p")).withColumn("shelf", F.lit(3)), "docs")
+    assert sorted((r.chunk_id, r.parent_id, r.shelf) for r in store.read("docs").collect()) == [("a", "p", None), ("b", "q", 3), ("c", "p", 3)]
+    store.upsert(chunks(spark, ("a", "x", "p")).where("false"), "docs")
+    assert store.read("docs").count() == 3
+
+
 def test_stream(spark, tmp_path):
     rows = chunks(spark, ("a", "one", "p"), ("a", "two", "p"), ("b", "x", "p"))
     rows.write.parquet(f"{tmp_path}/in")
