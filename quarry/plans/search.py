@@ -14,6 +14,7 @@ from quarry.operators.retrieval import RetrievalPlan
 from quarry.plans import tables
 from quarry.plans.tables import corpus, vectors
 from quarry.sources.cells import CellIndex
+from quarry.sources.postings import PostingIndex
 
 DEPTH = 30
 CAPS = {"docs": 4, "discussions": 2}
@@ -32,6 +33,15 @@ def bm25_topk_per_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.bm25_topk(tables.queries(spark, sf_dir), corpus(spark, sf_dir, sourced=True), 10).select("query_id", "source", "doc_id", "score", "rank")
 
 
+def bm25_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``bm25_topk_per_source`` from a stored index: built over two thirds of the documents, some with other texts, then brought to all as they are."""
+    docs = corpus(spark, sf_dir, sourced=True)
+    index = PostingIndex(spark, f"{scratch.folder(spark)}/quarry-core/postings-{uuid.uuid4().hex}")
+    index.build(docs.where("doc_id % 3 <> 1").withColumn("text", F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit(" before"))).otherwise(F.col("text"))))
+    index.refresh(docs)
+    return index.search(tables.queries(spark, sf_dir), 10).select("query_id", "source", "doc_id", "score", "rank")
+
+
 def _denied(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each item's three best documents: a list that grows with the items, and that changes every ranking."""
     return bm25_topk(spark, sf_dir).where("rank <= 3").select("query_id", "doc_id")
@@ -139,7 +149,7 @@ def answer_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_df, bm25_topk, bm25_topk_per_source, bm25_deny, dense_topk, dense_multi_source, dense_text_topk, ann_topk, ann_exact_topk, rrf, source_caps, hybrid_topk, rerank_overlap, parent_expand, pipeline_full, answer_prompts)
+    for f in (bm25_df, bm25_topk, bm25_topk_per_source, bm25_stored, bm25_deny, dense_topk, dense_multi_source, dense_text_topk, ann_topk, ann_exact_topk, rrf, source_caps, hybrid_topk, rerank_overlap, parent_expand, pipeline_full, answer_prompts)
 }
 
 _WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:[._][a-z0-9]+)*')"
@@ -200,6 +210,7 @@ SQL = {
     "bm25_df": f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS}) AS term FROM documents) GROUP BY term",
     "bm25_topk": f"WITH {bm25_cte()} " + _top("bm", 10, "query_id, doc_id, score"),
     "bm25_topk_per_source": f"WITH {bm25_cte('source')} " + _top("bm", 10, "query_id, source, doc_id, score"),
+    "bm25_stored": f"WITH {bm25_cte('source')} " + _top("bm", 10, "query_id, source, doc_id, score"),
     "bm25_deny": f"WITH {bm25_cte()}, all13 AS ({_top('bm', 13, 'query_id, doc_id, score')}) SELECT query_id, doc_id, score, CAST(rank - 3 AS INTEGER) AS rank FROM all13 WHERE rank > 3",
     "dense_topk": f"WITH n AS ({_NEAR.format(source=repr('all'))} AND q.vec_id <> e.vec_id) " + _top("n", 10, "query_id, doc_id, score"),
     "dense_multi_source": "WITH n AS (" + _NEAR.format(source="CASE WHEN e.label % 2 = 0 THEN 'docs' ELSE 'discussions' END") + ") " + _top("n", 10, "query_id, source, doc_id, score"),
