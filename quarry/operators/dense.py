@@ -144,15 +144,20 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int = 10, deny: DataFr
     return ranked(best_of(_met(_one_cell(queries), _one_cell(vectors), block), k + denied, self_deny), k, deny)
 
 
-def similar(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
-    """query_id, source, doc_id, score of all other vectors whose cosine with the query is at least the threshold."""
+def cell_links(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """query_id, source, doc_id, score of all other vectors of the query's cell whose cosine with it is at least the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, sources, docs, score in _scores(batches, True):
             i, j = np.nonzero(score >= threshold)
             yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(sources[j].tolist(), pa.string()), pa.array(docs[j]), pa.array(score[i, j])], names=["query_id", "source", "doc_id", "score"])
 
-    return _met(_one_cell(queries), _one_cell(vectors), block).mapInArrow(run, FOUND)
+    return _met(queries, vectors, block).mapInArrow(run, FOUND)
+
+
+def similar(queries: DataFrame, vectors: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """query_id, source, doc_id, score of all other vectors whose cosine with the query is at least the threshold."""
+    return cell_links(_one_cell(queries), _one_cell(vectors), threshold, block)
 
 
 def with_fake_embeddings(rows: DataFrame, text: str = "text") -> DataFrame:

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import scratch
 from quarry.functions import text as T
-from quarry.operators import dense
+from quarry.operators import dense, directions
 
+TURNS, HELD = 4, 1_000_000
 RARE_AT_MOST, CLOSED_BOOK_FROM, NEAR_DUPLICATE_FROM = 2, 0.85, 0.95
 
 #: Words that make a trigram ordinary.
@@ -60,24 +63,52 @@ def near_duplicate_pairs(vectors: DataFrame, queries: DataFrame, threshold: floa
     return dense.similar(queries, vectors.withColumn("source", F.lit("")), threshold).select("query_id", "doc_id", "score")
 
 
+def _in_order(links: DataFrame) -> DataFrame:
+    """doc_id of accepted items among the first of each set, those with ``HELD`` of the links (set_id, a, item_a, b, item_b), about: one task a set."""
+    size = links.groupBy("set_id").agg(F.count("*").alias("n"), F.percentile_approx("item_b", [i / 64 for i in range(1, 65)], 10_000).alias("cuts"))
+    cut = size.select("set_id", F.when(F.col("n") <= HELD, F.lit(None)).otherwise(F.get("cuts", F.greatest(F.lit(0), F.expr(f"int({HELD} * 64 div n) - 1")))).alias("cut"))
+    some = links.join(F.broadcast(cut) if cut.count() <= 10_000 else cut, "set_id").where("cut is null or item_b <= cut")
+
+    def run(table: pa.Table) -> pa.Table:
+        a, b, order_a, order_b = (table.column(c).to_numpy() for c in ("a", "b", "item_a", "item_b"))
+        rejected: set[int] = set()
+        near: dict[int, list[int]] = {}
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            near.setdefault(x, []).append(y)
+        items = dict(zip(np.concatenate([order_a, order_b]).tolist(), np.concatenate([a, b]).tolist(), strict=True))
+        accepted = []
+        for i in sorted(items):
+            if items[i] not in rejected:
+                accepted.append(items[i])
+                rejected.update(near.get(items[i], ()))
+        return pa.table({"doc_id": pa.array(accepted, pa.int64())})
+
+    return some.select("set_id", "a", "item_a", "b", "item_b").groupBy("set_id").applyInArrow(run, "doc_id long")
+
+
 def near_duplicate_greedy(items: DataFrame, threshold: float = NEAR_DUPLICATE_FROM) -> DataFrame:
     """set_id, item_id, accepted: in item order, an item close to one accepted before is not (set_id, item_id, embedding).
 
     Equal vectors of a set are one; of them only the first can be accepted. An
     item is accepted when none of the earlier ones close to it is undecided or
     accepted, and then rejects the later ones; each turn decides all items that
-    it can, in tables. Item ids are unique in a set."""
+    it can, in tables. Long chains would take a turn for each link, so every
+    ``TURNS``-th turn goes through the first ``HELD`` links of each set in order.
+    Links are found in cells that can hold one. Item ids are unique in a set."""
     rows = items.select("set_id", "item_id", "embedding", F.xxhash64("set_id", "item_id").alias("doc_id"))
     first = scratch.written(rows.groupBy("set_id", "embedding").agg(F.min(F.struct("item_id", "doc_id")).alias("x")).select("set_id", "x.item_id", "x.doc_id", "embedding"), "firsts")
-    near = dense.similar(first.select(F.col("doc_id").alias("query_id"), "embedding"), first.withColumn("source", F.lit("")), threshold)
+    near = directions.close(first.select(F.lit("").alias("source"), "doc_id", "embedding"), threshold).links
     side = lambda x: first.select(F.col("set_id").alias(f"set_{x}"), F.col("item_id").alias(f"item_{x}"), F.col("doc_id").alias(x))
     # links from earlier to later items of one set
-    links = near.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b")).join(side("a"), "a").join(side("b"), "b").where("set_a = set_b and item_a < item_b").select("a", "b")
-    links = scratch.written(links, "links")
-    open_ = first.select("doc_id")
-    accepted = None
+    links = near.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b")).join(side("a"), "a").join(side("b"), "b").where("set_a = set_b and item_a < item_b")
+    links = scratch.written(links.select(F.col("set_a").alias("set_id"), "a", "item_a", "b", "item_b"), "links")
+    open_, accepted, turn = first.select("doc_id"), None, 0
     while True:
-        free = scratch.written(open_.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "accepted")
+        turn += 1
+        if turn % TURNS:
+            free = scratch.written(open_.join(links.select(F.col("b").alias("doc_id")), "doc_id", "left_anti"), "accepted")
+        else:
+            free = scratch.written(_in_order(links), "accepted")
         accepted = free if accepted is None else accepted.unionByName(free)
         if not links.take(1):
             break

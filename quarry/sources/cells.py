@@ -17,49 +17,17 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
 from quarry.operators import dense
+from quarry.operators.directions import Cells, fitted, placed
 
-SAMPLE = 50_000  # rows at most that directions are fitted on, chosen by hash
-ROWS_FOR_CELL = 16  # of the sample, at least
-MOST_CELLS = 4096
 FILE_ROWS = 200_000
-SLACK = 2e-6  # scores are rounded to six places
-
-
-def _unit(matrix: np.ndarray) -> np.ndarray:
-    length = np.sqrt((matrix * matrix).sum(1, keepdims=True))
-    return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
-
-
-def _angle(cosine: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosine, -1.0, 1.0))
-
-
-@dataclass
-class Cells:
-    """The driver's part of an index, ``MOST_CELLS`` rows at most."""
-
-    directions: np.ndarray
-    widest: np.ndarray
-    counts: np.ndarray
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cosines of queries and directions, and the highest one that a row of each cell can have."""
-        cosine = _unit(queries) @ self.directions.T if self.directions.any() else np.zeros((len(queries), 1))
-        bound = np.cos(np.maximum(_angle(cosine) - self.widest, 0.0)) + SLACK
-        bound[:, self.counts == 0] = -np.inf
-        bound[(queries * queries).sum(1) == 0] = np.where(self.counts == 0, -np.inf, 1.0)  # a query without direction is at 0 with all
-        return cosine, bound
 
 
 class CellIndex:
@@ -68,16 +36,6 @@ class CellIndex:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _fit(self, vectors: DataFrame, cells: int) -> np.ndarray:
-        unit = vectors.select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-        unit = unit.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("length > 0")
-        sample = unit.orderBy(F.xxhash64("v")).limit(SAMPLE).select(array_to_vector(F.transform("v", lambda x: x / F.col("length"))).alias("features"))
-        k = min(cells, sample.count() // ROWS_FOR_CELL)
-        if k < 2:
-            return np.zeros((1, 1))  # one cell without a direction
-        model = KMeans(k=k, seed=7, maxIter=12, initSteps=1).fit(sample)
-        return _unit(np.array(model.clusterCenters()))
-
     def build(self, vectors: DataFrame, cells: int | None = None) -> None:
         """``vectors``: source, doc_id, embedding, and columns for filters. Rows without a vector are left out.
 
@@ -87,26 +45,14 @@ class CellIndex:
         size = vectors.agg(F.count("*").alias("n"), F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most")).first()
         if size.least != size.most:
             raise dense.EmbedderMismatchError(f"vectors have {size.least} to {size.most} numbers")
-        directions = self._fit(vectors, min(MOST_CELLS, cells or max(1, round(size.n**0.5))))
-        names = vectors.columns
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                lists = b.column(names.index("embedding"))
-                matrix = _unit(lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1))
-                cosine = matrix @ directions.T if directions.any() else np.zeros((len(matrix), 1))
-                cell = cosine.argmax(1)
-                angle = _angle(cosine[np.arange(len(cell)), cell])
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell, pa.int32()), pa.array(angle, pa.float64())], names=[*names, "cell", "__angle"])
-
-        ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in vectors.schema)
-        vectors.mapInArrow(place, f"{ddl}, cell int, __angle double").write.parquet(f"{version}/placed")
-        placed = self.spark.read.parquet(f"{version}/placed")
-        found = {r.cell: r for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("__angle").alias("widest")).collect()}  # MOST_CELLS at most
-        files = F.create_map(*(F.lit(x) for c, r in found.items() for x in (c, -(-r.n // FILE_ROWS)))) if found else F.create_map(F.lit(0), F.lit(1))
-        split = F.pmod(F.xxhash64("source", "doc_id"), F.element_at(files, F.col("cell")).cast("long"))
-        placed.drop("__angle").repartition("cell", split).write.partitionBy("cell").parquet(f"{version}/rows")
-        table = [(c, [float(x) for x in d], float(found[c].widest) if c in found else 0.0, int(found[c].n) if c in found else 0) for c, d in enumerate(directions)]
+        directions = fitted(vectors, cells or max(1, round(size.n**0.5)))
+        placed(vectors, directions).write.parquet(f"{version}/placed")
+        rows = self.spark.read.parquet(f"{version}/placed")
+        found = Cells.of(directions, rows)
+        files = F.array(*(F.lit(max(1, -(-int(n) // FILE_ROWS))) for n in found.counts))
+        split = F.pmod(F.xxhash64("source", "doc_id"), F.get(files, F.col("cell")).cast("long"))
+        rows.drop("__angle").repartition("cell", split).write.partitionBy("cell").parquet(f"{version}/rows")
+        table = [(c, [float(x) for x in d], float(found.widest[c]), int(found.counts[c])) for c, d in enumerate(directions)]
         self.spark.createDataFrame(table, "cell int, direction array<double>, widest double, n long").coalesce(1).write.parquet(f"{version}/cells")
         at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{version}/placed")
         at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)

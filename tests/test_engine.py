@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quarry import config
 from quarry.functions import text as T
-from quarry.operators import best, chunking, dense, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
+from quarry.operators import best, chunking, dense, directions, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
 from quarry.operators.retrieval import RetrievalPlan
 from quarry.plans import registry
 
@@ -215,6 +215,40 @@ def test_near_duplicates(spark):
     assert [r["accepted"] for r in synth.near_duplicate_greedy(rows).orderBy("item_id").collect()] == [True, False, True]
 
 
+def test_greedy_takes_few_turns_on_a_chain(spark, monkeypatch):
+    """Vectors each close to the next only, in order: every second one is accepted, in turns that do not grow with the chain."""
+    n, written = 600, []
+    write = synth.scratch.written
+    monkeypatch.setattr(synth.scratch, "written", lambda df, name: (written.append(name), write(df, name))[1])
+    step = np.arccos(0.96)
+    rows = [("s", i, [float(np.cos(step * i)), float(np.sin(step * i)), 0.02 * i]) for i in range(n)]
+    vectors = np.array([r[2] for r in rows])
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    links, accepted = np.round(vectors @ vectors.T, 6) >= 0.95, []
+    for i in range(n):
+        if not any(links[i, j] for j in accepted):
+            accepted.append(i)
+    for held in (1_000_000, 200):
+        monkeypatch.setattr(synth, "HELD", held)
+        written.clear()
+        out = synth.near_duplicate_greedy(spark.createDataFrame(rows, "set_id string, item_id long, embedding array<double>"))
+        assert sorted(r.item_id for r in out.where("accepted").collect()) == accepted
+        assert written.count("accepted") <= (6 if held > 1000 else 40)
+
+
+def test_close_pairs_without_meeting_all(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(80, 16))
+    x = centres[rng.integers(0, 80, 2500)] + 0.12 * rng.normal(size=(2500, 16))
+    x[5] = 0
+    v = spark.createDataFrame([("a", i, x[i].tolist()) for i in range(2500)], "source string, doc_id long, embedding array<double>")
+    for threshold, share in ((0.95, 0.3), (0.2, 1.0)):
+        found = directions.close(v, threshold)
+        want = dense.similar(v.select(F.col("doc_id").alias("query_id"), "embedding"), v, threshold)
+        assert found.compared <= share * found.all_pairs
+        assert found.links.count() == want.count() == found.links.select("query_id", "doc_id").intersect(want.select("query_id", "doc_id")).count()
+
+
 def test_review(spark):
     item = review.Item("1", "q", ("u",))
     assert review.reviewed(item, "y").verified == "yes" and review.reviewed(item, "s") is item
