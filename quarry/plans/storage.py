@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry import config, experiment, scratch
@@ -13,7 +13,8 @@ from quarry.operators import metrics
 from quarry.plans import tables
 from quarry.plans.evaluation import _ITEM_METRICS, contained
 from quarry.plans.tables import QAS_SQL, corpus, qas, table
-from quarry.sources import files
+from quarry.sources import archives, files
+from quarry.sources.discussions import Discussions
 from quarry.sources.store import ChunkStore
 from quarry.streaming.upsert import upsert_stream
 
@@ -96,6 +97,34 @@ def answered_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.answered(nodes).select("discussion_id", "category", F.sha2("answer_body", 256).alias("answer_sha"))
 
 
+def paged_discussions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations kept as pages of a service's feeds, every fifth question without an answer, read page by page by the data source; once in a batch, once as a stream."""
+    folder = _new(spark, "pages")
+    q = qas(spark, sf_dir)
+    feeds = F.pmod(F.crc32(F.col("discussion_id").cast("binary")), F.lit(8)).cast("int")
+    node = F.struct(F.col("discussion_id").alias("id"), "title", F.col("question_body").alias("bodyText"), "url", F.when(F.char_length("question_body") % 5 != 0, F.struct(F.col("answer_body").alias("bodyText"))).alias("answer"), F.struct(F.lit("general").alias("name")).alias("category"))
+    placed = q.withColumn("feed", feeds).withColumn("page", F.floor((F.row_number().over(Window.partitionBy("feed").orderBy("discussion_id")) - 1) / 50).cast("int"))
+    placed.select("feed", "page", F.to_json(node).alias("value")).repartition("feed", "page").write.partitionBy("feed", "page").text(folder)
+    spark.dataSource.register(Discussions)
+    batch = files.answered(spark.read.format("discussions").option("folder", folder).load())
+    at = _new(spark, "streamed")
+    stream = files.answered(spark.readStream.format("discussions").option("folder", folder).load())
+    stream.writeStream.format("parquet").option("path", at).option("checkpointLocation", _new(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    both = batch.withColumn("way", F.lit("batch")).unionByName(spark.read.schema(batch.schema).parquet(at).withColumn("way", F.lit("stream")))
+    return both.select("way", "discussion_id", "category", F.sha2("answer_body", 256).alias("answer_sha"))
+
+
+def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written into tar archives, half of them as pages and some outside of what a corpus takes, and read back from their places."""
+    folder = _new(spark, "archives")
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    name = F.col("doc_id").cast("string")
+    path = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("docs/d"), F.col("doc_id") % 7, F.lit("/"), name, F.lit(".md"))).when(F.col("doc_id") % 5 == 0, F.concat(F.lit("docs/"), name, F.lit(".png"))).otherwise(F.concat(F.lit("docs_src/"), name, F.lit(".py")))
+    archives.write(d.select(path.alias("path"), "text"), folder, 8).write.format("noop").mode("overwrite").save()
+    members = scratch.written(archives.index(spark, folder), "members")
+    return archives.texts(members).select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), F.char_length("text").cast("long").alias("n_chars"))
+
+
 def run_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation run over the benchmark: gold resolved from addresses, BM25 through the plan, means over items."""
     gold = contained(spark, sf_dir).groupBy("query_id").agg(F.collect_set(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("gold_urls"))
@@ -109,7 +138,7 @@ def run_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_metrics(scored).select("metric", "n", "value")
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_deltas, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, run_experiment)}
+QUERIES = {f.__name__: f for f in (store_upsert, store_deltas, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, paged_discussions, archive_pages, run_experiment)}
 
 _STORED = "SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN text || ' again' ELSE text END AS text FROM documents"
 
@@ -123,5 +152,7 @@ FROM (VALUES ('chunk_id', 'string'), ('document', 'string'), ('parent_id', 'stri
     "stream_upsert": "SELECT 'c' || doc_id AS chunk_id, substr(sha256(text), 1, 16) AS content_hash FROM documents",
     "jsonl_items": "SELECT CAST(item_id AS VARCHAR) AS id, sha256(text) AS question_sha, 'u' || item_id AS gold_urls, CASE WHEN item_id % 7 = 0 THEN 'no' ELSE '-' END AS verified FROM benchmark",
     "answered_nodes": f"WITH {QAS_SQL} SELECT discussion_id, 'general' AS category, sha256(answer_body) AS answer_sha FROM qas WHERE length(question_body) % 4 <> 0 AND length(answer_body) % 9 <> 0 AND answer_body <> ''",
+    "paged_discussions": f"WITH {QAS_SQL} SELECT way, discussion_id, 'general' AS category, sha256(answer_body) AS answer_sha FROM qas, (VALUES ('batch'), ('stream')) w(way) WHERE length(question_body) % 5 <> 0 AND answer_body <> ''",
+    "archive_pages": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'docs/d' || (doc_id % 7) || '/' || doc_id || '.md' ELSE 'docs_src/' || doc_id || '.py' END AS path, sha256(text) AS text_sha, length(text) AS n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 <> 0",
     "run_experiment": _ITEM_METRICS + " SELECT metric, count(*) AS n, round(avg(value), 5) AS value FROM im GROUP BY metric",
 }
