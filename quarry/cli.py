@@ -1,13 +1,10 @@
-"""Command line: run and gate evaluations, review and label their sets, list, pin and compare runs."""
+"""Command line: index corpora, run and gate evaluations, review and label their sets, list, pin and compare runs."""
 
 from __future__ import annotations
 
 import argparse
-import dataclasses
-import hashlib
-import itertools
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from quarry import config, manifest
@@ -40,10 +37,28 @@ def _session():
     return SparkSession.builder.appName("quarry").getOrCreate()
 
 
+def _places(a: argparse.Namespace):
+    from quarry.index import Places
+
+    return Places(a.docs, a.snippets, a.discussions, a.base_url)
+
+
+def _index(a: argparse.Namespace) -> None:
+    """Chunks the corpus and stores it, source by source."""
+    from quarry import index
+    from quarry.sources.store import ChunkStore
+
+    spark = _session()
+    store = ChunkStore(spark, a.store)
+    for source, n in index.build(spark, store, _places(a), a.sha).items():
+        print(f"{source}: {n} chunks")
+
+
 def _experiment(a: argparse.Namespace) -> tuple[config.RunConfig, dict]:
     """Runs the configuration on the stored chunks and the sets of the folder."""
     from pyspark.sql import functions as F
 
+    from quarry import index
     from quarry.experiment import check_supported, run_experiment
     from quarry.sources import files
     from quarry.sources.store import ChunkStore
@@ -64,7 +79,8 @@ def _experiment(a: argparse.Namespace) -> tuple[config.RunConfig, dict]:
         shas[name] = files.file_sha256(a.sets / f"{name}.jsonl")
     if items is None:
         raise SystemExit("the configuration names no evaluation set")
-    return cfg, run_experiment(cfg, a.config, items, chunks, a.runs_root, corpus_sha=(store.identity(cfg.corpus.sources[0]) or {}).get("corpus_sha", ""), dataset_shas=shas)
+    corpus = index.corpus(spark, _places(a), cfg.corpus.sources) if a.docs or a.discussions else None
+    return cfg, run_experiment(cfg, a.config, items, chunks, a.runs_root, corpus, corpus_sha=(store.identity(cfg.corpus.sources[0]) or {}).get("corpus_sha", ""), dataset_shas=shas)
 
 
 def _show(run: dict) -> None:
@@ -77,18 +93,44 @@ def _show(run: dict) -> None:
             print(f"    {name}: {value:.3f}  [{low:.3f}, {high:.3f}]")
 
 
-def _set_file(a: argparse.Namespace) -> tuple[list[review.Item], Callable[[list[review.Item]], None]]:
-    """The items of a set's file, and what writes them back; keys that sessions do not know stay."""
-    path = a.sets / f"{a.dataset}.jsonl"
-    rows = {r["id"]: r for r in manifest.read_jsonl(path)}
-    known = {f.name for f in dataclasses.fields(review.Item)}
-
-    def save(items: list[review.Item]) -> None:
-        for i in items:
-            rows[i.id] |= {k: list(v) if isinstance(v, tuple) else v for k, v in dataclasses.asdict(i).items()}
-        path.write_text("".join(json.dumps(r) + "\n" for r in rows.values()), encoding="utf-8")
+def _session_of(a: argparse.Namespace, lines: Iterator[str]) -> None:
+    """A session over a set: each line that is understood goes to the journal beside the set at once, so one that breaks off is resumed; at its end the set is written anew with all decisions."""
+    from pyspark.sql import functions as F
 
-    return [review.Item(**{k: tuple(v) if isinstance(v, list) else v for k, v in r.items() if k in known}) for r in rows.values()], save
+    spark = _session()
+    path, journal = a.sets / f"{a.dataset}.jsonl", a.sets / f"{a.dataset}.journal.jsonl"
+    needed = {"gold_urls": "array<string>", "verified": "string", "verified_at": "string", "ground_truth": "string"}
+    items = spark.read.json(str(path))
+    items = items.withColumns({c: F.col(c).cast(t) if c in items.columns else F.lit(None).cast(t) for c, t in needed.items()}).withColumnRenamed("id", "item_id")
+    decided = lambda: review.from_journal(items, spark.read.schema(review.JOURNAL).json(str(journal)))
+    with journal.open("a", encoding="utf-8"):
+        now = decided()
+    if a.command == "review":
+        rows, parse = review.to_review(now, a.n, a.seed).orderBy("place").collect(), review.review_entry  # as many as a person reviews
+        show = lambda r: print(f"{r.place}. {r.question}\n   {r.url}\n   y, n, s, q, or e and the question that is right")
+    else:
+        suggest = (lambda _: []) if a.no_suggestions else _suggestions(a)
+        rows, parse = now.where("verified is null").select("item_id", "question", F.substring("ground_truth", 1, 200).alias("answer")).orderBy("item_id").toLocalIterator(), review.label_entry
+        show = lambda r: print("\n   ".join([r.question, *([r.answer] if r.answer else []), *suggest(r.question), "addresses between commas, n or q"]))
+    for entry in review.journalled(rows, lines, parse, show):
+        with journal.open("a", encoding="utf-8") as out:
+            print(json.dumps(entry), file=out)
+    new, n, verdicts = path.with_suffix(".new"), 0, 0
+    with new.open("w", encoding="utf-8") as out:
+        for row in decided().withColumnRenamed("item_id", "id").toJSON().toLocalIterator():
+            print(row, file=out)
+            n, verdicts = n + 1, verdicts + ("verified" in json.loads(row))
+    new.replace(path)
+    journal.unlink()
+    print(f"{verdicts}/{n} of {a.dataset} have a verdict")
+
+
+def _typed() -> Iterator[str]:
+    while True:
+        try:
+            yield input("> ")
+        except EOFError:
+            return
 
 
 def _suggestions(a: argparse.Namespace) -> Callable[[str], list[str]]:
@@ -109,7 +151,8 @@ def _suggestions(a: argparse.Namespace) -> Callable[[str], list[str]]:
     return suggest
 
 
-def main(argv: list[str] | None = None) -> int:
+def main(argv: list[str] | None = None, lines: Iterator[str] | None = None) -> int:
+    """``lines`` is what is typed in a session; the terminal where it is none."""
     top = argparse.ArgumentParser(prog="quarry")
     top.add_argument("--runs-root", type=Path, default=Path("runs"))
     sub = top.add_subparsers(dest="command", required=True)
@@ -121,13 +164,19 @@ def main(argv: list[str] | None = None) -> int:
     board.add_argument("--dataset", required=True)
     board.add_argument("--metric", action="append")
     board.add_argument("--out", type=Path)
-    run, gate, check, label = (sub.add_parser(name) for name in ("run", "gate", "review", "label"))
+    run, gate, check, label, build = (sub.add_parser(name) for name in ("run", "gate", "review", "label", "index"))
+    for one in (run, gate, build):
+        one.add_argument("--docs", help="folder of Markdown pages; gold is resolved against the corpus where it is given")
+        one.add_argument("--snippets", help="folder of the code that pages take in")
+        one.add_argument("--discussions", help="file of discussions")
+        one.add_argument("--base-url", default="")
+    build.add_argument("--sha", default="")
     for one in (run, gate):
         one.add_argument("--config", required=True)
         one.add_argument("--set", action="append", default=[])
     for one in (run, gate, check, label):
         one.add_argument("--sets", type=Path, default=Path("eval_sets"))
-    for one in (run, gate, label):
+    for one in (run, gate, label, build):
         one.add_argument("--store", default="store")
     for one in (gate, check, label):
         one.add_argument("--dataset", required=True)
@@ -149,6 +198,8 @@ def main(argv: list[str] | None = None) -> int:
             manifest.write_leaderboard(a.runs_root, a.out, a.dataset, names)
         for m in reversed(manifest.list_runs(a.runs_root, True)):
             print(json.dumps(manifest.board_row(m, a.dataset, names)))
+    elif a.command == "index":
+        _index(a)
     elif a.command == "run":
         _show(_experiment(a)[1])
     elif a.command == "gate":
@@ -162,24 +213,9 @@ def main(argv: list[str] | None = None) -> int:
                 print(table, file=out)
         return int(any(r["verdict"] == "FAIL" for r in rows))
     else:
-        items, save = _set_file(a)
-        if a.command == "review":
-            by_section: dict[str, list[review.Item]] = {}
-            for i in sorted(items, key=lambda i: hashlib.sha256(f"{a.seed}-{i.id}".encode()).hexdigest()):
-                by_section.setdefault(python_section(i.gold_urls), []).append(i)
-            turns = itertools.chain.from_iterable(itertools.zip_longest(*(by_section[s] for s in sorted(by_section))))
-            done = review.review_session(items, [i.id for i in itertools.islice(filter(None, turns), a.n)], save=save)
-        else:
-            done = review.label_session(items, None if a.no_suggestions else _suggestions(a), save=save)
-        print(f"{sum(i.verified is not None for i in done)}/{len(done)} of {a.dataset} have a verdict")
+        _session_of(a, _typed() if lines is None else lines)
     return 0
 
 
-def python_section(urls: tuple[str, ...]) -> str:
-    """The first part of the first address's path."""
-    parts = urls[0].split("://", 1)[-1].split("#")[0].split("/")[1:] if urls else []
-    return next((p for p in parts if p), "_root")
-
-
 if __name__ == "__main__":
     raise SystemExit(main())

@@ -49,9 +49,15 @@ def answered(nodes: DataFrame) -> DataFrame:
     return kept.select(F.col("id").alias("discussion_id"), "title", F.col("bodyText").alias("question_body"), F.col("answer.bodyText").alias("answer_body"), "url", F.col("category.name").alias("category"))
 
 
-def read_eval_set(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A JSONL set; a missing file is an error, and so is a row that does not fit."""
-    return spark.read.schema(EVAL_ITEM).json(f"{folder.rstrip('/')}/{name}.jsonl", mode="FAILFAST")
+def read_eval_set(spark: SparkSession, folder: str, name: str, limit: int | None = None) -> DataFrame:
+    """A JSONL set; a missing file is an error, and so is a row that does not fit. ``limit`` takes the first rows of the file."""
+    path = f"{folder.rstrip('/')}/{name}.jsonl"
+    rows = spark.read.schema(EVAL_ITEM).json(path, mode="FAILFAST")
+    if not limit:
+        return rows
+    # rows of a file in its order: by file, place of the block and place in the block
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return rows.withColumn("__place", place).orderBy("__place").limit(limit).drop("__place")
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:

@@ -250,16 +250,22 @@ def test_close_pairs_without_meeting_all(spark):
 
 
 def test_review(spark):
-    item = review.Item("1", "q", ("u",))
-    assert review.reviewed(item, "y").verified == "yes" and review.reviewed(item, "s") is item
-    assert review.reviewed(item, "e", "new").question == "new"
-    for bad in (("e", None), ("x", None)):
-        with pytest.raises(ValueError):
-            review.reviewed(item, *bad)
-    assert review.labelled(item, " a, b ,").gold_urls == ("a", "b") and review.labelled(item, "N").verified == "no"
-    answers, saved = iter(["y", "?", "q"]), []
-    out = review.review_session([review.Item(str(i), "q") for i in range(3)], ["0", "1", "2"], ask=lambda _: next(answers), show=lambda _: None, save=saved.append)
-    assert [i.verified for i in out] == ["yes", None, None] and len(saved) == 2
+    items = spark.createDataFrame([(str(i), "q", [f"https://x/s{i % 2}/p"] if i else [], None if i < 4 else "yes", None) for i in range(5)], "item_id string, question string, gold_urls array<string>, verified string, verified_at string")
+    open_ = review.to_review(items, 5).orderBy("place").collect()
+    assert {r.item_id for r in open_} == {"0", "1", "2", "3"} and open_[0].item_id == "0"  # _root comes before s0 and s1
+    shown = []
+    entries = list(review.journalled(open_, iter(["y", "?", "e  better ", "q", "n"]), review.review_entry, shown.append))
+    assert [(e["item_id"], e["decision"], e.get("edited_question")) for e in entries] == [(open_[0].item_id, "y", None), (open_[2].item_id, "e", "better")] and len(shown) == 4
+    assert list(review.journalled(open_, iter([]), review.review_entry, shown.append)) == []
+    assert [review.review_entry(x) for x in ("e", "x", "y no", "")] == [None] * 4 and review.label_entry(" , ") is None
+    journal = [{**e, "raw": None, "edited_question": e.get("edited_question")} for e in entries] + [{"item_id": "3", "kind": "label", "decision": None, "edited_question": None, "raw": raw, "decided_at": at} for raw, at in ((" a, b ,", "2"), ("N", "1"))]
+    done = {r.item_id: r for r in review.from_journal(items, spark.createDataFrame(journal, review.JOURNAL)).collect()}
+    assert done[entries[0]["item_id"]].verified == "yes" and done[entries[1]["item_id"]].question == "better" and done[entries[1]["item_id"]].verified == "edited"
+    assert done["3"].gold_urls == ["a", "b"] and done["3"].verified == "yes" and done["4"].verified == "yes"
+    for kind, raw, letter in (("review", None, "x"), ("review", None, "e"), ("label", " , ", None)):
+        bad = spark.createDataFrame([("1", kind, letter, None, raw, "1")], review.JOURNAL)
+        with pytest.raises(Exception, match="cannot apply|expected URLs"):
+            review.from_journal(items, bad).collect()
 
 
 def test_gate(spark):

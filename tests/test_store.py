@@ -183,22 +183,51 @@ def test_cli_run(spark, small_store, capsys):
     assert manifest.read_jsonl(small_store / "nowhere.jsonl") == []
 
 
-def test_cli_sessions(spark, small_store, monkeypatch, capsys):
-    given = ["--dataset", "d", "--sets", str(small_store / "sets")]
-    said = iter(["y", "e", "new words"])
-    monkeypatch.setattr("quarry.operators.review.input", lambda *_: next(said), raising=False)
-    monkeypatch.setattr("quarry.operators.review.review_session.__defaults__", (lambda *_: next(said), print, None))
-    assert cli.main(["review", *given]) == 0
-    rows = {r["id"]: r for r in manifest.read_jsonl(small_store / "sets/d.jsonl")}
+def test_cli_sessions(spark, small_store, capsys):
+    given, sets = ["--dataset", "d", "--sets", str(small_store / "sets")], small_store / "sets"
+    assert cli.main(["review", *given, "--n", "10"], iter(["what", "q"])) == 0
+    assert "1/3 of d" in capsys.readouterr().out
+    assert cli.main(["review", *given], iter(["y", "e new words"])) == 0
+    rows = {r["id"]: r for r in manifest.read_jsonl(sets / "d.jsonl")}
     assert sorted(str(r["verified"]) for r in rows.values()) == ["edited", "no", "yes"] and any(r["question"] == "new words" for r in rows.values())
-    assert "3/3 of d" in capsys.readouterr().out
-    (small_store / "sets/d.jsonl").write_text(json.dumps({"id": "9", "dataset": "d", "question": "epsilon", "gold_urls": []}) + "\n")
-    monkeypatch.setattr("quarry.operators.review.label_session.__defaults__", (None, lambda *_: " https://x/b/two , ", print, None))
-    assert cli.main(["label", *given, "--store", f"file://{small_store}/store"]) == 0
-    assert manifest.read_jsonl(small_store / "sets/d.jsonl")[0]["gold_urls"] == ["https://x/b/two"]
+    assert "3/3 of d" in capsys.readouterr().out and not (sets / "d.journal.jsonl").exists()
+    # a session that broke off: its journal counts
+    (sets / "d.jsonl").write_text("".join(json.dumps({"id": i, "dataset": "d", "question": "epsilon", "gold_urls": [], "extra": 5}) + "\n" for i in "789"))
+    (sets / "d.journal.jsonl").write_text(json.dumps({"item_id": "7", "kind": "label", "raw": "n", "decided_at": "2024-01-01"}) + "\n")
+    assert cli.main(["label", *given, "--store", f"file://{small_store}/store"], iter([" , ", " https://x/b/two , "])) == 0
+    rows = {r["id"]: r for r in manifest.read_jsonl(sets / "d.jsonl")}
+    assert rows["7"]["verified"] == "no" and rows["9"]["gold_urls"] == ["https://x/b/two"] and "verified" not in rows["8"] and rows["8"]["extra"] == 5
     assert "https://x/a/one" in capsys.readouterr().out
 
 
+def test_cli_index_and_gold_of_the_corpus(spark, small_store, capsys):
+    """Pages with a snippet and discussions are stored; an evaluation finds gold in the corpus that the store lacks."""
+    root = small_store
+    for name, text in (("docs/a.md", "# Title { #top }\n## One { #one }\n" + "alpha beta " * 60 + "\n{* ../../src/s.py ln[2] *}\n## Two { #two }\n" + "gamma delta " * 60), ("src/s.py", "first = 1\nsecond_line = 2\n")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    (root / "disc.json").write_text(json.dumps({"discussions": [{"discussion_id": "1", "title": "t", "question_body": "q", "answer_body": "an answer", "url": "https://x/d/1", "category": None}]}))
+    places = ["--docs", str(root / "docs"), "--snippets", str(root / "src"), "--discussions", str(root / "disc.json"), "--base-url", "https://x"]
+    assert cli.main(["index", *places, "--store", f"file://{root}/new", "--sha", "s1"]) == 0
+    assert "docs: 2 chunks" in capsys.readouterr().out
+    store = ChunkStore(spark, f"file://{root}/new")
+    assert "second_line = 2" in "".join(r.document for r in store.read("docs").collect()) and store.identity("docs")["corpus_sha"] == "s1"
+    assert [r.chunk_id for r in store.read("discussions").collect()] == ["1"]
+    cli.main(["index", *places, "--store", f"file://{root}/new"])
+    assert len(store.stored_bytes("docs")) == 1
+    (root / "sets/g.jsonl").write_text(json.dumps({"id": "1", "dataset": "g", "question": "gamma", "gold_urls": ["https://x/a/#two"], "exclude_chunk_ids": []}) + "\n")
+    (root / "g.yaml").write_text("name: gold\ncorpus:\n  sources: [docs]\nretrieval:\n  dense: {enabled: false}\n  bm25:\n    enabled: true\neval:\n  datasets:\n    - g\n")
+    run = ["--runs-root", str(root / "runs"), "run", "--config", str(root / "g.yaml"), "--sets", str(root / "sets"), "--store", f"file://{root}/store"]
+    capsys.readouterr()
+    assert cli.main(run) == 0 and "n=0" in capsys.readouterr().out
+    assert cli.main([*run, *places]) == 0 and "n=1" in capsys.readouterr().out
+
+
+def test_first_rows_of_a_set(spark, tmp_path):
+    (tmp_path / "s.jsonl").write_text("".join(json.dumps({"id": str(i), "dataset": "s", "question": "q"}) + "\n\n" for i in (5, 3, 9, 1)))
+    assert [r.id for r in files.read_eval_set(spark, str(tmp_path), "s", 3).collect()] == ["5", "3", "9"]
+
+
 def scripted():
     """A model, built in tasks, that says what it was asked in capitals, or a passage for a question that it is to imagine."""
 
