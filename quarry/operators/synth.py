@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quarry import scratch
 from quarry.functions import text as T
 from quarry.operators import dense, directions
+from quarry.outcomes import Outcomes
 
 TURNS, HELD = 4, 1_000_000
 RARE_AT_MOST, CLOSED_BOOK_FROM, NEAR_DUPLICATE_FROM = 2, 0.85, 0.95
@@ -147,11 +148,17 @@ def build_report(judged: DataFrame) -> DataFrame:
     )
 
 
+def generated_by(outcomes: Outcomes, prompt: Callable[[Column, Column], Column]) -> Callable[[DataFrame], DataFrame]:
+    """Questions of a model about chunks, from its table of outcomes; ``prompt`` makes what is asked of title and text."""
+    return lambda chunks: outcomes.complete(chunks.withColumn("__asked", prompt(F.col("title"), F.col("text"))), "__asked", "question").drop("__asked")
+
+
 def build_questions(chunks: DataFrame, generate: Callable[[DataFrame], DataFrame], answer: Callable[[Column], Column], n: int = 150, seed: int = 0, dataset: str = "synthetic", embed: Callable[[Column], Column] = T.fake_embedding) -> DataFrame:
     """Sampled chunks (doc_id, text, title, section, url) with a generated question and the first reason to reject it.
 
-    ``generate`` adds column question, null where it failed. Stages follow one
-    another as columns; persist the result to keep what was generated."""
+    ``generate`` adds column question, null where it failed; ``generated_by``
+    makes one that keeps what a model has said, so that a build that broke off
+    goes on without asking again. Stages follow one another as columns."""
     sample = generate(stratified_sample(chunks, n, "doc_id", seed=seed))
     sample = sample.withColumn("question", F.btrim(F.trim("question"), F.lit('"')))
     pairs = sample.where(F.coalesce("question", F.lit("")) != "").select(F.col("doc_id").alias("question_id"), "question", "doc_id")

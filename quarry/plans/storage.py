@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,11 @@ from pyspark.sql import functions as F
 from quarry import config, experiment, scratch
 from quarry.functions import text as T
 from quarry.operators import metrics
+from quarry.outcomes import Busy, Outcomes
 from quarry.plans import tables
 from quarry.plans.evaluation import _ITEM_METRICS, contained
 from quarry.plans.tables import QAS_SQL, corpus, qas, table
+from quarry.providers import Completion
 from quarry.sources import archives, files
 from quarry.sources.discussions import Discussions
 from quarry.sources.store import ChunkStore
@@ -125,6 +129,40 @@ def archive_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archives.texts(members).select("path", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha"), F.char_length("text").cast("long").alias("n_chars"))
 
 
+def scripted(ill: bool) -> Callable:
+    """A model that says the SHA-256 of what it is asked. Some texts find it busy the first time; where it is ill it fails at others."""
+
+    class Model:
+        name = model = "scripted"
+
+        def __init__(self):
+            self.seen = set()
+
+        def complete(self, messages, *, temperature=0.0, max_tokens=1024):
+            text = messages[-1]["content"]
+            said = hashlib.sha256(text.encode()).hexdigest()
+            kind = int(said[:4], 16)
+            if ill and kind % 5 == 0:
+                raise ValueError("ill")
+            if kind % 3 == 0 and text not in self.seen:
+                self.seen.add(text)
+                raise Busy("0")
+            return Completion(said, "scripted")
+
+    return Model
+
+
+def model_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scripted model asked about every document, first while it fails at some, then again: what it says, how often each text was asked for and tried."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    root, wave = _new(spark, "outcomes"), max(1, d.count() // 3)
+    for ill in (True, False):
+        outcomes = Outcomes(spark, root, scripted(ill), "scripted", wave=wave)
+        said = outcomes.complete(d, "text", "said")
+    calls = outcomes.table().groupBy("call").agg(F.count("*").alias("n_calls"), F.sum("tries").alias("n_tries"), F.count("said").alias("n_said"))
+    return said.withColumn("call", outcomes.key(F.col("text"))).join(calls, "call").select("doc_id", "said", "n_calls", "n_tries", "n_said")
+
+
 def run_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The evaluation run over the benchmark: gold resolved from addresses, BM25 through the plan, means over items."""
     gold = contained(spark, sf_dir).groupBy("query_id").agg(F.collect_set(F.concat(F.lit("u"), F.col("doc_id").cast("string"))).alias("gold_urls"))
@@ -138,7 +176,7 @@ def run_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.aggregate_metrics(scored).select("metric", "n", "value")
 
 
-QUERIES = {f.__name__: f for f in (store_upsert, store_deltas, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, paged_discussions, archive_pages, run_experiment)}
+QUERIES = {f.__name__: f for f in (store_upsert, store_deltas, store_family, store_profile, stream_upsert, jsonl_items, answered_nodes, paged_discussions, archive_pages, model_calls, run_experiment)}
 
 _STORED = "SELECT doc_id, source, CASE WHEN doc_id % 3 <> 0 AND doc_id % 4 = 0 THEN text || ' again' ELSE text END AS text FROM documents"
 
@@ -154,5 +192,7 @@ FROM (VALUES ('chunk_id', 'string'), ('document', 'string'), ('parent_id', 'stri
     "answered_nodes": f"WITH {QAS_SQL} SELECT discussion_id, 'general' AS category, sha256(answer_body) AS answer_sha FROM qas WHERE length(question_body) % 4 <> 0 AND length(answer_body) % 9 <> 0 AND answer_body <> ''",
     "paged_discussions": f"WITH {QAS_SQL} SELECT way, discussion_id, 'general' AS category, sha256(answer_body) AS answer_sha FROM qas, (VALUES ('batch'), ('stream')) w(way) WHERE length(question_body) % 5 <> 0 AND answer_body <> ''",
     "archive_pages": "SELECT CASE WHEN doc_id % 2 = 0 THEN 'docs/d' || (doc_id % 7) || '/' || doc_id || '.md' ELSE 'docs_src/' || doc_id || '.py' END AS path, sha256(text) AS text_sha, length(text) AS n_chars FROM documents WHERE doc_id % 2 = 0 OR doc_id % 5 <> 0",
+    "model_calls": """WITH t AS (SELECT doc_id, sha256(text) AS said, CAST('0x' || substr(sha256(text), 1, 4) AS INTEGER) AS kind FROM documents)
+SELECT doc_id, said, CASE WHEN kind % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_calls, (CASE WHEN kind % 5 = 0 THEN 1 ELSE 0 END + CASE WHEN kind % 3 = 0 THEN 2 ELSE 1 END)::BIGINT AS n_tries, 1::BIGINT AS n_said FROM t""",
     "run_experiment": _ITEM_METRICS + " SELECT metric, count(*) AS n, round(avg(value), 5) AS value FROM im GROUP BY metric",
 }
