@@ -40,9 +40,11 @@ def merge_undersized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole pages to chunks: normalised, cut into sections, packed, merged, hashed."""
-    snippets = spark.createDataFrame([], "path string, content string")
-    chunks = chunking.doc_chunks(markdown.normalize(marked_pages(spark, sf_dir), snippets), BASE)
+    """Whole pages to chunks: each with a snippet of three lines of its document at the end; normalised, cut into sections, packed, merged, hashed."""
+    name = F.regexp_replace("path", r"\.md$", "")
+    pages = marked_pages(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\n{* ../../src/s"), name, F.lit(".py ln[1:3] *}")))
+    snippets = table(spark, sf_dir, "documents", "doc_id", "text").select(F.concat(F.lit("src/s"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
+    chunks = chunking.doc_chunks(markdown.normalize(pages, snippets), BASE)
     return chunks.select("chunk_id", "path", "section", "url", F.array_join("merged_urls", "|").alias("merged_urls"), "chunk_index", "parent_id", "content_hash", "n_tokens")
 
 
@@ -90,9 +92,11 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (section_split, section_blocks, split_oversized, pack_blocks, merge_undersized, doc_chunks, qa_pairs, qa_chunks, document_chunks, chunk_stats, eval_examples, answerable, html_strip)}
 
-_SECTIONED = f"""
-WITH RECURSIVE {MARKED_SQL},
-trimmed AS (SELECT * FROM (SELECT *, max(ln) OVER (PARTITION BY path) AS last FROM marked) WHERE NOT (ln = last AND line = '')),
+def _sectioned(lines: str, source: str) -> str:
+    """s: the lines (path, ln, line) of ``source`` with their sections and fences."""
+    return f"""
+WITH RECURSIVE {lines},
+trimmed AS (SELECT * FROM (SELECT *, max(ln) OVER (PARTITION BY path) AS last FROM {source}) WHERE NOT (ln = last AND line = '')),
 a AS (SELECT *, starts_with(trim(line), '```') AS is_fence FROM trimmed),
 b AS (SELECT *, sum(CAST(is_fence AS INTEGER)) OVER w AS fence_no FROM a WINDOW w AS (PARTITION BY path ORDER BY ln ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT *, CASE WHEN NOT is_fence AND fence_no % 2 = 0 AND regexp_matches(trim(line), '^#{{2,3}}\\s') THEN length(regexp_extract(trim(line), '^(#{{2,3}})\\s', 1)) END AS level FROM b),
@@ -103,6 +107,17 @@ e AS (SELECT *, count(level) OVER w AS sec_no, last_value(CASE WHEN level = 2 TH
 s AS (SELECT *, CASE WHEN sec_no = 0 THEN '' WHEN hlevel = 3 AND h2 IS NOT NULL THEN h2 || ' > ' || heading ELSE heading END AS breadcrumb FROM e
   QUALIFY max(CAST(trim(line) <> '' AS INTEGER)) OVER (PARTITION BY path, sec_no) = 1)"""
 
+
+_SECTIONED = _sectioned(MARKED_SQL, "marked")
+#: j: the lines of sections with their blocks.
+_BLOCKED = """,
+g AS (SELECT *, is_fence OR fence_no % 2 = 1 AS code FROM s),
+h AS (SELECT *, NOT code AND trim(line) = '' AS blank FROM g),
+i AS (SELECT *, lag(blank OR code) OVER (PARTITION BY path, sec_no ORDER BY ln) AS cut FROM h),
+j AS (SELECT *, sum(CAST((is_fence AND fence_no % 2 = 1) OR (NOT code AND NOT blank AND coalesce(cut, true)) AS INTEGER)) OVER (PARTITION BY path, sec_no ORDER BY ln ROWS UNBOUNDED PRECEDING) AS block_no FROM i),
+k AS (SELECT path, sec_no, block_no, trim(string_agg(line, chr(10) ORDER BY ln), chr(10)) AS block, max(CAST(is_fence AND fence_no % 2 = 0 AS INTEGER)) AS is_code FROM j WHERE NOT blank GROUP BY ALL)
+"""
+
 #: parts: each line's part, by a fold over the lines' sizes.
 _PACK = """
 WITH RECURSIVE {lines},
@@ -114,12 +129,16 @@ _FILL = _PACK.format(lines=LINES_SQL, closes="f.total >= 400 AND f.total + l.siz
 _PACKED = _FILL + ", t AS (SELECT l.doc_id, f.part, string_agg(l.line, chr(10) || chr(10) ORDER BY l.i) AS text FROM lines l JOIN f ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY l.doc_id, f.part)"
 
 
-def _answer_chunks(source: str) -> str:
-    """ac (id, idx, n, document): texts (id, body) of ``source`` cut and packed as answers are."""
-    size = "greatest(1, CAST(ceil(length({x}) / 4.0) AS INTEGER))"
-    fold = """{name} AS (SELECT {keys}, {at}, size AS total, 0 AS part FROM {rows} WHERE {at} = 1
+#: A fold over rows in order: what closes a part, by the sum so far (y.total) and the size at hand (x.size).
+_FOLD = """{name} AS (SELECT {keys}, {at}, size AS total, 0 AS part FROM {rows} WHERE {at} = 1
   UNION ALL SELECT {of_x}, x.{at}, CASE WHEN {closes} THEN x.size ELSE y.total + x.size END, CASE WHEN {closes} THEN y.part + 1 ELSE y.part END
   FROM {name} y JOIN {rows} x ON {same} AND x.{at} = y.{at} + 1)"""
+_SIZE = "greatest(1, CAST(ceil(length({x}) / 4.0) AS INTEGER))"
+
+
+def _answer_chunks(source: str) -> str:
+    """ac (id, idx, n, document): texts (id, body) of ``source`` cut and packed as answers are."""
+    size, fold = _SIZE, _FOLD
     split = fold.format(name="sp", keys="id, block_no", at="j", rows="ol", of_x="x.id, x.block_no", same="x.id = y.id AND x.block_no = y.block_no", closes="y.total + x.size > 600")
     fill = fold.format(name="pk", keys="id", at="u", rows="uo", of_x="x.id", same="x.id = y.id", closes="y.total >= 400 AND y.total + x.size > 600")
     return f"""src AS ({source}),
@@ -142,6 +161,43 @@ ac AS (SELECT id, 0 AS idx, 1 AS n, body AS document FROM src WHERE {size.format
 ck AS (SELECT *, CASE WHEN n = 1 THEN id ELSE id || '::' || idx END AS chunk_id, substr(sha256(document), 1, 16) AS content_hash, {size.format(x="document")} AS n_tokens FROM ac)"""
 
 
+def _page_chunks() -> str:
+    """The chunks of marked pages with their snippets: lines normalised, sections, blocks, splits, packs, and the fold that merges them."""
+    heading, opening = r"^(#{1,6})\s+(.*?)\s*\{\s*#([\w-]+)\s*\}\s*$", r"^/{3,}\s*([A-Za-z][\w-]*)\s*(?:\|\s*(.*?)\s*)?$"
+    kind, title = (f"regexp_extract(trim(line), '{opening}', {n})" for n in (1, 2))
+    lines = f"""{MARKED_SQL},
+snip AS (SELECT doc_id, CASE WHEN text LIKE '%' || chr(10) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END[1:3] AS p FROM documents),
+nr AS (SELECT path, ln, line FROM marked UNION ALL
+  SELECT doc_id || '.md', 1000000000 + unnest(range(len(p) + 2)), unnest(['```python'] || p || ['```']) FROM (SELECT doc_id, CASE WHEN len(p) = 0 THEN [''] ELSE p END AS p FROM snip)),
+na AS (SELECT path, row_number() OVER (PARTITION BY path ORDER BY ln) - 1 AS ln, CASE WHEN regexp_matches(trim(line), '{opening}')
+  THEN '*' || upper(substr({kind}, 1, 1)) || lower(substr({kind}, 2)) || CASE WHEN {title} <> '' THEN ': ' || {title} ELSE '' END || '*' ELSE line END AS line FROM nr),
+an AS (SELECT path, list(anchor ORDER BY ln) AS anchors FROM (SELECT path, ln, regexp_extract(line, '{heading}', 3) AS anchor FROM na WHERE regexp_matches(line, '{heading}') AND length(regexp_extract(line, '{heading}', 1)) IN (2, 3)) GROUP BY path),
+nl AS (SELECT path, ln, regexp_replace(line, '{heading}', '\\1 \\2') AS line FROM na)"""
+    split = _FOLD.format(name="sp", keys="path, sec_no, block_no", at="j", rows="ol", of_x="x.path, x.sec_no, x.block_no", same="x.path = y.path AND x.sec_no = y.sec_no AND x.block_no = y.block_no", closes="y.total + x.size > 600")
+    fill = _FOLD.format(name="pk", keys="path, sec_no", at="u", rows="uo", of_x="x.path, x.sec_no", same="x.path = y.path AND x.sec_no = y.sec_no", closes="y.total >= 400 AND y.total + x.size > 600")
+    top = lambda x: f"split_part({x}, ' > ', 1)"
+    return f"""{_sectioned(lines, "nl")}{_BLOCKED},
+bl AS (SELECT *, is_code = 0 AND {_SIZE.format(x="block")} > 600 AS splits FROM k),
+ol AS (SELECT path, sec_no, block_no, j, line, {_SIZE.format(x="line")} AS size FROM (SELECT path, sec_no, block_no, unnest(range(1, len(p) + 1)) AS j, unnest(p) AS line FROM (SELECT *, string_split(block, chr(10)) AS p FROM bl WHERE splits))),
+{split},
+un AS (SELECT path, sec_no, block_no, 0 AS part, block AS text FROM bl WHERE NOT splits
+  UNION ALL SELECT ol.path, ol.sec_no, ol.block_no, sp.part, string_agg(ol.line, chr(10) ORDER BY ol.j) FROM ol JOIN sp ON sp.path = ol.path AND sp.sec_no = ol.sec_no AND sp.block_no = ol.block_no AND sp.j = ol.j GROUP BY ALL),
+uo AS (SELECT path, sec_no, row_number() OVER (PARTITION BY path, sec_no ORDER BY block_no, part) AS u, text, {_SIZE.format(x="text")} AS size FROM un),
+{fill},
+made AS (SELECT uo.path, uo.sec_no, pk.part, string_agg(uo.text, chr(10) || chr(10) ORDER BY uo.u) AS document FROM uo JOIN pk ON pk.path = uo.path AND pk.sec_no = uo.sec_no AND pk.u = uo.u GROUP BY ALL),
+named AS (SELECT m.path, row_number() OVER (PARTITION BY m.path ORDER BY m.sec_no, m.part) AS o, m.document, b.breadcrumb AS section,
+    '{BASE}/' || regexp_replace(m.path, '[.]md$', '') || '/' || CASE WHEN m.sec_no > 0 AND m.sec_no <= coalesce(len(an.anchors), 0) THEN '#' || an.anchors[m.sec_no] ELSE '' END AS url
+  FROM made m JOIN (SELECT path, sec_no, max(breadcrumb) AS breadcrumb FROM s GROUP BY ALL) b ON b.path = m.path AND b.sec_no = m.sec_no LEFT JOIN an ON an.path = m.path),
+mg AS (SELECT path, o, document, section, url, CAST([] AS VARCHAR[]) AS urls, 0 AS nth FROM named WHERE o = 1
+  UNION ALL SELECT x.path, x.o, CASE WHEN y.joins THEN y.document || chr(10) || chr(10) || x.document ELSE x.document END, CASE WHEN y.joins THEN y.section ELSE x.section END, CASE WHEN y.joins THEN y.url ELSE x.url END,
+    CASE WHEN NOT y.joins THEN CAST([] AS VARCHAR[]) WHEN x.url <> y.url AND NOT list_contains(y.urls, x.url) THEN list_append(y.urls, x.url) ELSE y.urls END, CASE WHEN y.joins THEN y.nth ELSE y.nth + 1 END
+  FROM (SELECT mg.*, {_SIZE.format(x="mg.document")} < 150 AND {top("mg.section")} = {top("z.section")} AS joins FROM mg JOIN named z ON z.path = mg.path AND z.o = mg.o + 1) y JOIN named x ON x.path = y.path AND x.o = y.o + 1),
+last AS (SELECT * FROM mg QUALIFY row_number() OVER (PARTITION BY path, nth ORDER BY o DESC) = 1),
+kept AS (SELECT *, CAST(row_number() OVER (PARTITION BY path ORDER BY nth) - 1 AS INTEGER) AS chunk_index FROM last WHERE {_SIZE.format(x="document")} >= 25)
+SELECT substr(sha256(path || '::' || section || '::' || chunk_index), 1, 16) AS chunk_id, path, section, url, array_to_string(urls, '|') AS merged_urls, chunk_index,
+  substr(sha256(path || '::' || {top("section")}), 1, 16) AS parent_id, substr(sha256(document), 1, 16) AS content_hash, {_SIZE.format(x="document")} AS n_tokens FROM kept"""
+
+
 _QA_CHUNKS = f"WITH RECURSIVE {QAS_SQL}, " + _answer_chunks("SELECT discussion_id AS id, answer_body AS body FROM qas")
 
 SQL = {
@@ -152,12 +208,8 @@ SQL = {
 SELECT unnest(['retrieval', 'generation']) AS dataset, discussion_id AS item_id, exclude FROM qas JOIN ow ON ow.url = qas.url WHERE length(trim(answer_body)) >= 200""",
     "section_split": _SECTIONED + " SELECT path, CAST(sec_no AS BIGINT) AS sec_no, max(breadcrumb) AS breadcrumb, CAST(count(*) AS BIGINT) AS n_lines, CAST(min(ln) AS BIGINT) AS first_line FROM s GROUP BY path, sec_no",
     "section_blocks": _SECTIONED
-    + """,
-g AS (SELECT *, is_fence OR fence_no % 2 = 1 AS code FROM s),
-h AS (SELECT *, NOT code AND trim(line) = '' AS blank FROM g),
-i AS (SELECT *, lag(blank OR code) OVER (PARTITION BY path, sec_no ORDER BY ln) AS cut FROM h),
-j AS (SELECT *, sum(CAST((is_fence AND fence_no % 2 = 1) OR (NOT code AND NOT blank AND coalesce(cut, true)) AS INTEGER)) OVER (PARTITION BY path, sec_no ORDER BY ln ROWS UNBOUNDED PRECEDING) AS block_no FROM i),
-k AS (SELECT path, sec_no, block_no, trim(string_agg(line, chr(10) ORDER BY ln), chr(10)) AS block, max(CAST(is_fence AND fence_no % 2 = 0 AS INTEGER)) AS is_code FROM j WHERE NOT blank GROUP BY ALL)
+    + _BLOCKED
+    + """
 SELECT path, CAST(count(*) AS BIGINT) AS n_blocks, CAST(sum(is_code) AS BIGINT) AS n_code, CAST(sum(length(block)) AS BIGINT) AS n_chars FROM k GROUP BY path""",
     "split_oversized": _SPLIT + " SELECT f.doc_id, f.part, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(l.size) AS BIGINT) AS n_tokens FROM f JOIN lines l ON l.doc_id = f.doc_id AND l.i = f.i GROUP BY f.doc_id, f.part",
     "pack_blocks": _PACKED + " SELECT doc_id, part AS chunk, substr(sha256(text), 1, 16) AS content_hash FROM t",
@@ -170,6 +222,7 @@ f AS (SELECT doc_id, i, length(line) AS n, 0 AS nth, (i - 1) // 5 AS s, '' AS ur
   FROM f JOIN (SELECT * FROM lines) l ON l.doc_id = f.doc_id AND l.i = f.i + 1, LATERAL (SELECT greatest(1, ceil(f.n / 4.0)) < 150 AND f.s = (l.i - 1) // 5 AS x)),
 m AS (SELECT doc_id, nth, arg_max(n, i) AS n, arg_max(urls, i) AS urls FROM f GROUP BY doc_id, nth)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY nth) - 1 AS INTEGER) AS nth, CAST(n AS BIGINT) AS n_chars, urls AS merged_urls FROM m WHERE greatest(1, ceil(n / 4.0)) >= 25""",
+    "doc_chunks": _page_chunks(),
     "qa_pairs": f"WITH {QAS_SQL} SELECT discussion_id, title, CAST(length(answer_body) AS BIGINT) AS n_answer FROM qas",
     "eval_examples": f"""WITH {QAS_SQL} SELECT discussion_id, sha256(CASE WHEN question_body = '' THEN title ELSE title || chr(10) || chr(10) || substr(question_body, 1, 500) END) AS question_sha,
   sha256(answer_body) AS ground_truth_sha, url FROM qas""",
