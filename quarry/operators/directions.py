@@ -25,6 +25,7 @@ ROWS_FOR_CELL = 16  # of the sample, at least
 MOST_CELLS = 4096
 SLACK = 2e-6  # scores are rounded to six places
 WORTH = 0.5  # of all pairs: beyond that a join meets all
+FEW = 10_000  # vectors that meet each other sooner than directions are fitted
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -109,15 +110,15 @@ class CloseJoin:
     all_pairs: int
 
 
-def close(vectors: DataFrame, threshold: float, cells: int | None = None) -> CloseJoin:
+def close(vectors: DataFrame, threshold: float, cells: int | None = None, few: int | None = None) -> CloseJoin:
     """Links query_id, source, doc_id, score between different rows of ``vectors`` (source, doc_id, embedding) at ``threshold`` or more, each from both ends.
 
     Each row meets the cells that it can have a link in. Where these hold more
-    than ``WORTH`` of all pairs, as with a low threshold in many dimensions, all
-    rows meet: the links are the same."""
+    than ``WORTH`` of all pairs, as with a low threshold in many dimensions, or
+    where there are ``few`` rows, all rows meet: the links are the same."""
     n = vectors.count()
     asked = vectors.select(F.col("doc_id").alias("query_id"), "embedding")
-    directions = fitted(vectors, cells or max(1, round(n**0.5)))
+    directions = fitted(vectors, cells or max(1, round(n**0.5))) if n > (FEW if few is None else few) else np.zeros((1, 1))
     if directions.any():
         rows = scratch.written(placed(vectors, directions), "placed")
         found = Cells.of(directions, rows)

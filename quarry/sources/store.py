@@ -27,7 +27,7 @@ from quarry.functions.text import fake_embedding, model_slug
 from quarry.operators.dense import assert_embedder
 from quarry.sources.log import CommitLog
 
-BUCKETS = 64
+BUCKETS = 8  # at first; compactions make more of them as the store grows
 COMPACT_AFTER = 16
 BUCKET_BYTES = 256 << 20  # of a bucket, about, before a compaction makes more of them
 ATTEMPTS = 20
@@ -87,7 +87,9 @@ class ChunkStore:
         """Rows as a new segment, its buckets in folders of their own."""
         name = f"s-{uuid.uuid4().hex}"
         placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int"))
-        placed.repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.place(source)}/{name}")
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # large buckets are written by several; Spark puts small ones together
+        split = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, tasks // buckets)))
+        placed.repartition(BUCKET, split).write.partitionBy(BUCKET).parquet(f"{self.place(source)}/{name}")
         return {"name": name, "kinds": json.loads(placed.schema.json())}
 
     def _described(self, state: dict | None, corpus_sha: str) -> dict:

@@ -229,6 +229,7 @@ def test_greedy_takes_few_turns_on_a_chain(spark, monkeypatch):
         if not any(links[i, j] for j in accepted):
             accepted.append(i)
     for held in (1_000_000, 200):
+        monkeypatch.setattr(directions, "FEW", 10)
         monkeypatch.setattr(synth, "HELD", held)
         written.clear()
         out = synth.near_duplicate_greedy(spark.createDataFrame(rows, "set_id string, item_id long, embedding array<double>"))
@@ -243,7 +244,7 @@ def test_close_pairs_without_meeting_all(spark):
     x[5] = 0
     v = spark.createDataFrame([("a", i, x[i].tolist()) for i in range(2500)], "source string, doc_id long, embedding array<double>")
     for threshold, share in ((0.95, 0.3), (0.2, 1.0)):
-        found = directions.close(v, threshold)
+        found = directions.close(v, threshold, few=100)
         want = dense.similar(v.select(F.col("doc_id").alias("query_id"), "embedding"), v, threshold)
         assert found.compared <= share * found.all_pairs
         assert found.links.count() == want.count() == found.links.select("query_id", "doc_id").intersect(want.select("query_id", "doc_id")).count()
