@@ -15,6 +15,7 @@ from quarry.functions.text import model_slug
 from quarry.operators import metrics, stats
 from quarry.operators.gold import gold_index, resolve_gold
 from quarry.operators.retrieval import RetrievalPlan
+from quarry.timing import StageTimes
 
 
 def check_supported(cfg: RunConfig) -> None:
@@ -24,7 +25,7 @@ def check_supported(cfg: RunConfig) -> None:
         raise NotImplementedError("eval.self_retrieval: separate_index")
 
 
-def evaluate(cfg: RunConfig, items: DataFrame, chunks: DataFrame, corpus: DataFrame | None = None, **plugins) -> DataFrame:
+def evaluate(cfg: RunConfig, items: DataFrame, chunks: DataFrame, corpus: DataFrame | None = None, times: StageTimes | None = None, **plugins) -> DataFrame:
     """Scored items (dataset, item_id, question, gold, gold_granularity, retrieved, found, metrics ...).
 
     ``corpus`` (chunk_id, url, merged_urls) is what gold is resolved against, if it is not ``chunks``.
@@ -40,7 +41,7 @@ def evaluate(cfg: RunConfig, items: DataFrame, chunks: DataFrame, corpus: DataFr
         deny = own.join(chunks.select("chunk_id", "doc_id"), "chunk_id").select("query_id", "doc_id")
     denied = 0 if deny is None else (deny.groupBy("query_id").count().agg(F.max("count")).first()[0] or 0)
     plan = RetrievalPlan.from_config(cfg, **plugins)
-    found = plan.run(open_.select("query_id", F.col("question").alias("query")), chunks, k=cfg.retrieval.candidates_k, deny=deny, denied=denied)
+    found = plan.run(open_.select("query_id", F.col("question").alias("query")), chunks, k=cfg.retrieval.candidates_k, deny=deny, denied=denied, times=times)
     named = found.join(chunks.select("source", "doc_id", "chunk_id", "url"), ["source", "doc_id"])
     ranked = F.sort_array(F.collect_list(F.struct("rank", "chunk_id", "url", F.col("final_score").alias("score"))))
     lists = named.groupBy("query_id").agg(ranked.alias("found")).withColumn("retrieved", F.transform("found", lambda x: x["chunk_id"]))
@@ -67,14 +68,16 @@ def _rows(scored: DataFrame, k_values: tuple[int, ...]) -> Iterator[dict]:
 def run_experiment(cfg: RunConfig, config_path: str, items: DataFrame, chunks: DataFrame, root: Path, corpus: DataFrame | None = None, corpus_sha: str = "", dataset_shas: dict[str, str] | None = None, **plugins) -> dict:
     """Evaluates, writes a run folder (rows of all items, manifest, resolved configuration) and gives the manifest.
 
+    Its timings have the rows and the task time of each stage of the retrieval.
+
     The items are scored once, into a table; rows, means and intervals are read from it."""
     began = time.perf_counter()
     k_values = tuple(cfg.eval.k_values)
-    scored = scratch.written(evaluate(cfg, items.where(F.col("dataset").isin(*cfg.eval.datasets)), chunks, corpus, **plugins), "scored")
+    scored = scratch.written(evaluate(cfg, items.where(F.col("dataset").isin(*cfg.eval.datasets)), chunks, corpus, times := StageTimes(items.sparkSession), **plugins), "scored")
     means = metrics.aggregate_metrics(scored, k_values).collect()
     intervals = stats.bootstrap_ci(metrics.long_form(scored, k_values)).collect()
     blocks = {d: metrics_block([r for r in means if r["dataset"] == d], [r for r in intervals if r["dataset"] == d], k_values) for d in cfg.eval.datasets}
     folder = manifest.new_run(cfg, root)
     n = manifest.write_rows(folder, _rows(scored, k_values))
     names = {s: f"{s}__{model_slug(cfg.embedding.model)}" for s in cfg.corpus.sources}
-    return manifest.write_manifest(folder, cfg, config_path, blocks, timings={"total_seconds": time.perf_counter() - began, "items": n}, corpus_sha=corpus_sha, collection_names=names, dataset_shas=dataset_shas or {})
+    return manifest.write_manifest(folder, cfg, config_path, blocks, timings={"total_seconds": time.perf_counter() - began, "items": n, "stages": times.to_dict()}, corpus_sha=corpus_sha, collection_names=names, dataset_shas=dataset_shas or {})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import fusion, lexical
 from quarry.operators.dense import dense_topk, with_fake_embeddings
+from quarry.timing import StageTimes
 
 
 class QueryRewriter(Protocol):
@@ -77,13 +78,18 @@ class RetrievalPlan:
             **({k: v for k, v in plugins.items() if k != "rewriter" or r.query_rewrite.enabled}),
         )
 
-    def run(self, queries: DataFrame, chunks: DataFrame, k: int | None = None, deny: DataFrame | None = None, denied: int = 0, counts: dict[str, Observation] | None = None) -> DataFrame:
+    def run(self, queries: DataFrame, chunks: DataFrame, k: int | None = None, deny: DataFrame | None = None, denied: int = 0, counts: dict[str, Observation] | None = None, times: StageTimes | None = None) -> DataFrame:
         """Candidates (query_id, source, doc_id, final_score, rank, scores, ranks, stages).
 
         ``queries``: query_id, query. ``chunks``: source, doc_id, text and, as
         stages need them, embedding, parent_id, chunk_index. Rewritten queries
         feed dense search only. Expansion adds content. ``counts`` gets an
-        observation for each stage, whose rows are known once the result is run."""
+        observation for each stage, whose rows are known once the result is run;
+        ``times`` runs the stages one by one and gets their rows and task times."""
+
+        def step(stage: str, make: Callable[[], DataFrame]) -> DataFrame:
+            return _counted(make(), stage, counts) if times is None else times.stage(stage, make)
+
         rankings = []
         if self.dense:
             asked = queries.select("query_id", F.lit(0).alias("nth"), "query")
@@ -92,21 +98,16 @@ class RetrievalPlan:
             vectors = chunks if "embedding" in chunks.columns else self.embed(chunks, "text")
             for n in range(1 + (self.rewrite_n if self.rewriter is not None else 0)):
                 part = self.embed(asked.where(F.col("nth") == n), "query").select("query_id", "embedding")
-                found = dense_topk(part, vectors, self.candidates_k, deny, denied=denied)
-                found = _counted(found, f"dense_{n}" if n else "dense", counts)
+                found = step(f"dense_{n}" if n else "dense", lambda: dense_topk(part, vectors, self.candidates_k, deny, denied=denied))  # noqa: B023  runs at once
                 rankings.append(found.select("query_id", F.lit(n).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("dense").alias("stage"), "score"))
         if self.bm25:
-            found = lexical.bm25_topk(queries, chunks, self.candidates_k, deny, self.k1, self.b)
-            found = _counted(found, "bm25", counts)
+            found = step("bm25", lambda: lexical.bm25_topk(queries, chunks, self.candidates_k, deny, self.k1, self.b))
             rankings.append(found.select("query_id", F.lit(len(rankings)).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("bm25").alias("stage"), "score"))
         together = rankings[0]
         for r in rankings[1:]:
             together = together.unionByName(r)
-        fused = _counted(fusion.reciprocal_rank_fusion(together, self.rrf_k), "fusion", counts)
-        out = _counted(fusion.per_source_caps(fused, self.caps).where(F.col("rank") <= self.candidates_k), "caps", counts)
-        if self.rerank_top_n is not None:
-            out = _counted(fusion.rerank(out, queries, chunks, self.rerank_top_n, self.scorer), "rerank", counts)
-        out = out.where(F.col("rank") <= (self.top_k if k is None else k))
-        if self.expand_tokens is not None:
-            out = fusion.expand_parents(out, chunks, self.expand_tokens)
-        return out
+        fused = step("fusion", lambda: fusion.reciprocal_rank_fusion(together, self.rrf_k))
+        capped = step("caps", lambda: fusion.per_source_caps(fused, self.caps).where(F.col("rank") <= self.candidates_k))
+        scored = capped if self.rerank_top_n is None else step("rerank", lambda: fusion.rerank(capped, queries, chunks, self.rerank_top_n, self.scorer))
+        out = scored.where(F.col("rank") <= (self.top_k if k is None else k))
+        return out if self.expand_tokens is None else step("expand", lambda: fusion.expand_parents(out, chunks, self.expand_tokens))

@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import config
+from quarry import config, timing
 from quarry.functions import text as T
 from quarry.operators import best, chunking, dense, directions, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
 from quarry.operators.retrieval import RetrievalPlan
@@ -159,6 +159,25 @@ def test_fusion_caps_rerank(spark):
     assert [x["doc_id"] for x in again] == [11, 12]
 
 
+def test_stage_times_add_up(spark):
+    """Stages run one by one have the rows of the plan run as one, and their task times are those of all their jobs."""
+    d = spark.createDataFrame([("docs" if i % 2 else "discussions", i, f"river stone {i % 5} light", f"p{i // 3}", i % 3) for i in range(60)], "source string, doc_id long, text string, parent_id string, chunk_index int")
+    q = spark.createDataFrame([(1, "river 3"), (2, "light 4")], "query_id long, query string")
+    plan, times = RetrievalPlan(candidates_k=10, dense=True, bm25=True, caps={"docs": 4}, rerank_top_n=5, expand_tokens=50), timing.StageTimes(spark)
+    columns = ["query_id", "source", "doc_id", "rank", "content"]
+    timed = plan.run(q, d, times=times)
+    assert sorted(map(tuple, timed.select(*columns).collect())) == sorted(map(tuple, plan.run(q, d).select(*columns).collect()))
+    assert list(times.seconds) == ["dense", "bm25", "fusion", "caps", "rerank", "expand"]
+    assert times.rows["dense"] == 20 and times.rows["rerank"] == times.rows["expand"] == 10
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jobs = store.jobsList(None)
+    own = [jobs.apply(i) for i in range(jobs.size()) if jobs.apply(i).jobGroup().isDefined() and jobs.apply(i).jobGroup().get().startswith(times.run)]
+    stages = {int(j.stageIds().apply(k)) for j in own for k in range(j.stageIds().size())}
+    assert abs(sum(times.seconds.values()) - sum(store.lastStageAttempt(s).executorRunTime() for s in stages) / 1000) < 1e-6
+    assert all(s > 0 for s in times.seconds.values()) and spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+    assert times.to_dict()["bm25"]["rows"] == times.rows["bm25"]
+
+
 def test_plan_needs_a_stage():
     with pytest.raises(ValueError):
         RetrievalPlan(dense=False, bm25=False)

@@ -173,7 +173,7 @@ def test_cli_run(spark, small_store, capsys):
     rows = manifest.read_jsonl(folder / "retrieval.jsonl")
     assert [(r["item_id"], r["gold_chunk_ids"], r["gold_granularity"], r["retrieved"][0]["chunk_id"], r["retrieved"][0]["rank"]) for r in rows] == [("d::0", ["c1"], "anchor", "c1", 1), ("d::1", ["c2"], "page", "c2", 1)]
     assert rows[0]["metrics"]["recall_at_1"] == 1.0 and rows[0]["retrieved"][0]["url"] == "https://x/a/one"
-    assert run["corpus_sha"] == "sha9" and run["timings"]["items"] == 2 and run["metrics"]["d"]["cis"]["mrr"] == [1.0, 1.0] and len(run["dataset_shas"]["d"]) == 64
+    assert run["corpus_sha"] == "sha9" and run["timings"]["items"] == 2 and run["timings"]["stages"]["bm25"]["rows"] > 0 and run["metrics"]["d"]["cis"]["mrr"] == [1.0, 1.0] and len(run["dataset_shas"]["d"]) == 64
     assert config.from_dict(config.read_yaml((folder / "config.resolved.yaml").read_text())) == config.load(small_store / "c.yaml")
     assert cli.main([*at, "gate", *given, "--dataset", "d", "--summary-out", str(small_store / "sum.md")]) == 0
     assert "PASS" in (small_store / "sum.md").read_text()
