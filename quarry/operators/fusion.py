@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.functions import text as T
 
 RRF_K = 60
@@ -60,7 +61,7 @@ def expand_parents(candidates: DataFrame, chunks: DataFrame, max_tokens: int = 1
 
     ``chunks``: source, doc_id, parent_id, chunk_index, text. Each parent's text is made once."""
     # k rows for each query, wanted twice: to find the sections and to take them
-    candidates = candidates.persist()
+    candidates = scratch.written(candidates, "candidates")
     own = candidates.join(chunks.select("source", "doc_id", "parent_id", F.col("text").alias("own")), ["source", "doc_id"])
     wanted = own.where(F.coalesce("parent_id", F.lit("")) != "").select("source", "parent_id").distinct()
     order = Window.partitionBy("source", "parent_id").orderBy("chunk_index", "doc_id")

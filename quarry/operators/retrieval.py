@@ -6,9 +6,10 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.operators import fusion, lexical
 from quarry.operators.dense import dense_topk, with_fake_embeddings
 from quarry.timing import StageTimes
@@ -23,12 +24,12 @@ class QueryRewriter(Protocol):
 Rewriter = Callable[[DataFrame, int], DataFrame]
 
 
-def _counted(df: DataFrame, stage: str, counts: dict[str, Observation] | None) -> DataFrame:
-    """``df``, whose rows are counted as they pass, under the stage's name."""
+def _counted(df: DataFrame, stage: str, counts: dict[str, Observation] | None, which: Column | None = None) -> DataFrame:
+    """``df``, whose rows (those for which ``which`` holds) are counted as they pass, under the stage's name."""
     if counts is None:
         return df
     counts[stage] = Observation(f"{stage}-{len(counts)}")
-    return df.observe(counts[stage], F.count(F.lit(1)).alias("rows"))
+    return df.observe(counts[stage], F.count(F.lit(1) if which is None else F.when(which, 1)).alias("rows"))
 
 
 @dataclass
@@ -78,6 +79,16 @@ class RetrievalPlan:
             **({k: v for k, v in plugins.items() if k != "rewriter" or r.query_rewrite.enabled}),
         )
 
+    def _dense(self, asked: DataFrame, vectors: DataFrame, deny: DataFrame | None, denied: int) -> DataFrame:
+        """query_id, nth, source, doc_id, score, rank: a ranking for each (query_id, nth, query), all of them in one pass over the vectors."""
+        if self.rewriter is None:
+            return dense_topk(self.embed(asked, "query").select("query_id", "embedding"), vectors, self.candidates_k, deny, denied=denied).withColumn("nth", F.lit(0))
+        each = scratch.written(asked.withColumn("one", F.xxhash64("query_id", "nth")), "asked")  # what a model has made up is not made up twice
+        names = each.select("one", F.col("query_id").alias("whose"), "nth")
+        mine = None if deny is None else deny.join(names, F.col("query_id") == F.col("whose")).select(F.col("one").alias("query_id"), "doc_id")
+        found = dense_topk(self.embed(each, "query").select(F.col("one").alias("query_id"), "embedding"), vectors, self.candidates_k, mine, denied=denied)
+        return found.join(names, F.col("query_id") == F.col("one")).select(F.col("whose").alias("query_id"), "nth", "source", "doc_id", "score", "rank")
+
     def run(self, queries: DataFrame, chunks: DataFrame, k: int | None = None, deny: DataFrame | None = None, denied: int = 0, counts: dict[str, Observation] | None = None, times: StageTimes | None = None) -> DataFrame:
         """Candidates (query_id, source, doc_id, final_score, rank, scores, ranks, stages).
 
@@ -96,13 +107,13 @@ class RetrievalPlan:
             if self.rewriter is not None:
                 asked = asked.unionByName(self.rewriter(queries, self.rewrite_n).select("query_id", "nth", "query"))
             vectors = chunks if "embedding" in chunks.columns else self.embed(chunks, "text")
+            found = self._dense(asked, vectors, deny, denied) if times is None else times.stage("dense", lambda: self._dense(asked, vectors, deny, denied))
             for n in range(1 + (self.rewrite_n if self.rewriter is not None else 0)):
-                part = self.embed(asked.where(F.col("nth") == n), "query").select("query_id", "embedding")
-                found = step(f"dense_{n}" if n else "dense", lambda: dense_topk(part, vectors, self.candidates_k, deny, denied=denied))  # noqa: B023  runs at once
-                rankings.append(found.select("query_id", F.lit(n).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("dense").alias("stage"), "score"))
+                found = _counted(found, f"dense_{n}" if n else "dense", counts, F.col("nth") == n)
+            rankings.append(found.select("query_id", F.col("nth").alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("dense").alias("stage"), "score"))
         if self.bm25:
             found = step("bm25", lambda: lexical.bm25_topk(queries, chunks, self.candidates_k, deny, self.k1, self.b))
-            rankings.append(found.select("query_id", F.lit(len(rankings)).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("bm25").alias("stage"), "score"))
+            rankings.append(found.select("query_id", F.lit(1 + (self.rewrite_n if self.dense and self.rewriter is not None else 0)).alias("ranking_no"), F.col("rank").alias("pos"), "source", "doc_id", F.lit("bm25").alias("stage"), "score"))
         together = rankings[0]
         for r in rankings[1:]:
             together = together.unionByName(r)

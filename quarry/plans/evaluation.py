@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import dense, gold, lexical, metrics, runs, stats
+from quarry.operators import containment, dense, gold, lexical, metrics, runs, stats
 from quarry.plans import tables
 from quarry.plans.search import _asked, bm25_cte
 from quarry.plans.tables import corpus, table, vectors
 
 K_VALUES = (1, 3, 5, 10)
-GRAM = 5
 
 
 def _page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,24 +33,9 @@ def gold_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item_id", F.array_join("gold_chunk_ids", "|").alias("gold_chunk_ids"), "gold_granularity", F.col("n_unresolved").cast("long"))
 
 
-def _grams(text: str):
-    """Hashes of runs of five words."""
-    return F.coalesce(T.grams(T.bm25_tokens(F.col(text)), GRAM, F.xxhash64), F.array().cast("array<bigint>"))
-
-
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """query_id, doc_id: documents that hold the whole text of a benchmark item.
-
-    One run of words inside the item finds the candidates: documents that lack it cannot hold the item.
-    The first and last word may be parts of longer ones in a document, so an item of fewer than seven
-    words has no such run and is looked for in all documents."""
-    q = tables.queries(spark, sf_dir).withColumn("inner", F.size(T.bm25_tokens(F.col("query"))) >= GRAM + 2)
-    d = corpus(spark, sf_dir).select("doc_id", "text")
-    keys = d.select("doc_id", F.explode(F.array_distinct(_grams("text"))).alias("key"))
-    near = keys.join(q.where("inner").select("query_id", F.get(_grams("query"), F.lit(1)).alias("key")), "key").select("query_id", "doc_id").distinct()
-    long = near.join(q.where("inner").select("query_id", "query"), "query_id").join(d, "doc_id").where(F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
-    short = d.join(F.broadcast(q.where("not inner").select("query_id", "query")), F.col("text").contains(F.col("query"))).select("query_id", "doc_id")
-    return long.unionByName(short)
+    """query_id, doc_id: documents that hold the whole text of a benchmark item."""
+    return containment.holding(tables.queries(spark, sf_dir), corpus(spark, sf_dir).select("doc_id", "text"))
 
 
 def gold_by_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
