@@ -250,27 +250,26 @@ def _met(counts: DataFrame, asked: DataFrame) -> DataFrame:
 def verified(tables: common.Tables, counts: DataFrame, summaries: DataFrame, q: int = QUANTILES) -> DataFrame:
     """stream, grp, batch, i, n, target, exact_x, points, answer, n_below, n_upto, rank_error, within, error of summaries of q rows and more."""
     asks = tables.write(summaries.where(F.col("n") >= q).select("stream", "grp", "batch", "n", "points", "error", "answers"), "asks")
-    per_group = asks.groupBy("stream", "grp").agg(F.collect_list(F.struct("batch", "answers")).alias("asked"))  # 17 at most for each batch and the whole
+    # a row for each group, with the answers of its batches and of the whole; written, so that Spark can split a group that has very many values
+    per_group = tables.write(asks.groupBy("stream", "grp").agg(F.collect_list(F.struct("batch", "answers")).alias("asked")), "asked")
     met = counts.join(per_group, ["stream", "grp"])
     met = met.select("stream", "grp", "batch", "x", "c", F.explode(F.filter("asked", lambda a: (a.batch == WHOLE) | (a.batch == F.col("batch")))).alias("a"))
     place = lambda less: sum((F.when(less(F.get("a.answers", F.lit(k))), 1).otherwise(0) for k in range(q - 1)), F.lit(0))
     met = met.select(F.struct("stream", "grp", F.col("a.batch").alias("batch")).alias("key"), "x", "c", place(lambda a: a < F.col("x")).alias("p"), place(lambda a: a <= F.col("x")).alias("u"))
-    bins = met.groupBy("key", "p", "u").agg(F.sum("c").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    held = bins.groupBy("key").agg(F.collect_list(F.struct("p", "u", "s", "lo", "hi")).alias("bins")).select("key.*", "bins")
-    total = lambda which: F.aggregate(F.filter("bins", which), F.lit(0).cast("long"), lambda s, b: s + b.s)
-    told = asks.join(held, ["stream", "grp", "batch"]).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(q - 1))))
-    told = told.withColumns({"target": F.expr(f"(i * n + {q - 1}) div {q}"), "answer": F.get("answers", F.col("i") - 1)})
-    told = told.withColumns({"n_below": total(lambda b: b.u < F.col("i")), "n_upto": total(lambda b: b.p < F.col("i"))})
-    # the bins in order of their values; the one that holds the target
-    summed = F.aggregate(
-        F.array_sort("bins", lambda a, b: (a.p + a.u) - (b.p + b.u)),
-        F.struct(F.lit(0).cast("long").alias("before"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi")),
-        lambda s, b: F.struct(
-            (s.before + b.s).alias("before"),
-            *(F.when((s.before < F.col("target")) & (F.col("target") <= s.before + b.s), v).otherwise(s[name]).alias(name) for name, v in (("base", s.before), ("lo", b.lo), ("hi", b.hi))),
-        ),
-    )
-    told = tables.write(told.withColumn("at", summed).select("stream", "grp", "batch", "i", "n", "target", "points", "error", "answer", "n_below", "n_upto", "at.base", "at.lo", "at.hi"), "told")
+    # between two answers p = u; values that are answers p + 1 to u have bins of their own: 2 q at most for a key
+    bins = met.groupBy("key", "p", "u").agg(F.sum("c").alias("s"), F.min("x").alias("lo"), F.max("x").alias("hi")).select("key.*", "p", "u", "s", "lo", "hi")
+    summed = bins.withColumn("upto", F.sum("s").over(Window.partitionBy("stream", "grp", "batch").orderBy(F.col("p") + F.col("u"))))
+    summed = summed.join(asks.drop("answers"), ["stream", "grp", "batch"]).withColumn("below", F.col("upto") - F.col("s"))
+    none = F.lit(None).cast("long")
+    keys, names = ["stream", "grp", "batch", "n", "points", "error", "i"], ("answer", "n_below", "n_upto", "base", "lo", "hi")
+    run = lambda first, last: F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>"))
+    row = lambda i, *values: F.struct(i.alias("i"), *(v.alias(c) for v, c in zip(values, names, strict=True)))
+    # a bin answers i from p + 1 to u, and holds the targets i with below < ceil(i * n / q) <= upto
+    answered = F.transform(run(F.col("p") + 1, F.col("u")), lambda i: row(i, F.col("lo"), F.col("below"), F.col("upto"), none, none, none))
+    aimed = F.transform(run(F.expr(f"{q} * below div n + 1"), F.expr(f"least({q} * upto div n, {q - 1})")), lambda i: row(i, none, none, none, F.col("below"), F.col("lo"), F.col("hi")))
+    told = summed.select("stream", "grp", "batch", "n", "points", "error", F.inline(F.concat(answered, aimed)))
+    told = told.groupBy(*keys).agg(*(F.max(c).alias(c) for c in names))
+    told = tables.write(told.withColumn("target", F.expr(f"(i * n + {q - 1}) div {q}")), "told")
     exact = _narrowed(tables, counts, told)
     out = told.join(exact, ["stream", "grp", "batch", "i"], "left").withColumn("exact_x", F.coalesce("found", "lo"))
     error = F.greatest(F.lit(0).cast("long"), F.col("n_below") + 1 - F.col("target"), F.col("target") - F.col("n_upto"))
