@@ -159,8 +159,15 @@ class Index:
 def build_index(tables: common.Tables, docs: DataFrame) -> Index:
     """Indexes every row of ``docs`` (doc_id, text) as a document of its own, repeated rows too."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    words = docs.select(F.regexp_count("text", F.lit(TERM)).cast("long").alias("n")).where("n > 0").agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_words")).first()
-    n_docs, n_words = int(words.n_docs), int(words.n_words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release()
+        for b in batches:
+            sizes = [sum(map(len, common.cut_words(common.raw_bytes(t)))) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(n > 0 for n in sizes)], pa.int64()), pa.array([sum(sizes)], pa.int64())], names=["n_docs", "n_words"])
+
+    total = docs.select("text").mapInArrow(count, "n_docs long, n_words long").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_docs", "n_words"))).first()
+    n_docs, n_words = int(total.n_docs), int(total.n_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.release()
