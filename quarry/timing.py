@@ -9,11 +9,22 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry import scratch
 
 
+def _run_time(store, stage: int) -> int:
+    """Milliseconds of a stage's last attempt; 0 where the store keeps nothing of it (``spark.ui.retainedStages``)."""
+    try:
+        return store.lastStageAttempt(stage).executorRunTime()
+    except Py4JJavaError as gone:
+        if "NoSuchElement" not in str(gone.java_exception):
+            raise
+        return 0
+
+
 def task_seconds(spark: SparkSession, group: str) -> float:
     """What all tasks of a job group took together, in seconds; a stage that several jobs share counts once."""
     store = spark.sparkContext._jsc.sc().statusStore()
@@ -23,7 +34,7 @@ def task_seconds(spark: SparkSession, group: str) -> float:
         if job.jobGroup().isDefined() and job.jobGroup().get() == group:
             ids = job.stageIds()
             stages |= {int(ids.apply(k)) for k in range(ids.size())}
-    return sum(store.lastStageAttempt(s).executorRunTime() for s in stages) / 1000
+    return sum(_run_time(store, s) for s in stages) / 1000
 
 
 class StageTimes:
@@ -48,7 +59,7 @@ class StageTimes:
         finally:
             for k, v in before.items():
                 context.setLocalProperty(k, v)
-        self.spark._jsc.sc().listenerBus().waitUntilEmpty()
+        self.spark._jsc.sc().listenerBus().waitUntilEmpty(120_000)
         self.seconds[name] = task_seconds(self.spark, self.group(name))
         return out
 
