@@ -1,15 +1,18 @@
-"""Bootstrap intervals, by Python's generator for equal numbers and by hashes for SQL."""
+"""Bootstrap intervals, by Python's generator for equal numbers and by hashes."""
 
 from __future__ import annotations
 
 import random
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import scratch
+from quarry.sources import draws
+
 RESAMPLES, ALPHA = 1000, 0.05
+UNIT = 1e-12  # values are summed in whole units
 
 
 def _bounds(n: int, alpha: float) -> tuple[int, int]:
@@ -40,16 +43,40 @@ def paired_win_rate(base: Sequence[float], cand: Sequence[float], n: int = RESAM
     return wins / n
 
 
-def bootstrap_ci(values: DataFrame, n: int = RESAMPLES, seed: int = 0) -> DataFrame:
+def _resampled(values: DataFrame, n: int, seed: int, columns: tuple[str, ...]) -> DataFrame:
+    """dataset, metric, size, b and each column's sum over resample ``b``, in units of ``UNIT``.
+
+    Draws depend on the number of values alone, so metrics of one set share
+    theirs. The different sizes, a few, are brought to the driver. Sums are of
+    whole units: they do not depend on the order in which Spark adds."""
+    group = ["dataset", "metric"]
+    order = Window.partitionBy(*group).orderBy("item_id")
+    units = [F.round(F.col(c) / UNIT).cast("decimal(24,0)").alias(c) for c in columns]
+    placed = values.select(*group, (F.row_number().over(order) - 1).cast("long").alias("place"), F.count("*").over(Window.partitionBy(*group)).alias("size"), *units)
+    placed = scratch.written(placed, "placed")
+    sizes = [r["size"] for r in placed.select("size").distinct().collect()]
+    drawn = draws.read(values.sparkSession, sizes, n, seed).join(placed, ["size", "place"])
+    return drawn.groupBy(*group, "size", "b").agg(*(F.sum(F.col(c) * F.col("c").cast("decimal(10,0)")).alias(c) for c in columns))
+
+
+def bootstrap_ci(values: DataFrame, n: int = RESAMPLES, seed: int = 0, alpha: float = ALPHA) -> DataFrame:
     """dataset, metric, lo, hi of long metrics (dataset, metric, item_id, value), items in id order.
 
-    A group is one metric of one evaluation set: as many values as a person labelled items."""
+    The numbers are those of ``bootstrap_interval``, to six places: the draws are
+    read from the generator's table and Spark sums them. One value is its own
+    interval; a null value counts nothing; no values give no rows."""
+    sums = _resampled(values, n, seed, ("value",))
+    low, high = _bounds(n, alpha)
+    nth = F.row_number().over(Window.partitionBy("dataset", "metric").orderBy("value", "b"))
+    mean = F.col("value").cast("double") / (F.col("size") / F.lit(UNIT))
+    at = lambda i: F.round(F.max(F.when(F.col("nth") == i + 1, mean)), 6)
+    return sums.withColumn("nth", nth).groupBy("dataset", "metric").agg(at(low).alias("lo"), at(high).alias("hi"))
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = bootstrap_interval(pdf.sort_values("item_id")["value"].tolist(), n, seed)
-        return pd.DataFrame([[*key, round(lo, 6), round(hi, 6)]], columns=["dataset", "metric", "lo", "hi"])
 
-    return values.groupBy("dataset", "metric").applyInPandas(run, "dataset string, metric string, lo double, hi double")
+def paired_bootstrap(pairs: DataFrame, n: int = RESAMPLES, seed: int = 0) -> DataFrame:
+    """dataset, metric, p_better of (dataset, metric, item_id, base, cand): ``paired_win_rate`` of each metric."""
+    sums = _resampled(pairs, n, seed, ("base", "cand"))
+    return sums.groupBy("dataset", "metric").agg(F.round(F.avg((F.col("cand") > F.col("base")).cast("double")), 6).alias("p_better"))
 
 
 def _drawn(values: DataFrame, n: int, seed: int, columns: tuple[str, ...]) -> DataFrame:

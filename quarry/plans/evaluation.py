@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import containment, dense, gold, lexical, metrics, runs, stats
 from quarry.plans import tables
+from quarry.plans.generator import draws_cte
 from quarry.plans.search import _asked, bm25_cte
 from quarry.plans.tables import corpus, table, vectors
 
@@ -83,10 +84,18 @@ def bootstrap_ci_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.bootstrap_ci_hash(_labelled(spark, sf_dir))
 
 
-def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The reciprocal rank against the precision of the same queries."""
+def _precisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The precision at 5 against that at 10 of the same queries."""
     rows = _labelled(spark, sf_dir).groupBy("dataset", "item_id").agg(F.max(F.when(F.col("metric") == "precision_at_5", F.col("value"))).alias("base"), F.max(F.when(F.col("metric") == "precision_at_10", F.col("value"))).alias("cand"))
-    return stats.paired_bootstrap_hash(rows.withColumn("metric", F.lit("precision")))
+    return rows.withColumn("metric", F.lit("precision"))
+
+
+def paired_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.paired_bootstrap_hash(_precisions(spark, sf_dir))
+
+
+def paired_bootstrap_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.paired_bootstrap(_precisions(spark, sf_dir))
 
 
 RUNS = [("r0", "dense", "2024-01-01T00:00:00", "g1"), ("r1", "capped", "2024-01-02T00:00:00", "g1"), ("r2", "other model", "2024-01-03T00:00:00", "g2"), ("r9", "no results", "2024-01-04T00:00:00", "g1")]
@@ -136,7 +145,7 @@ def regressed_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (gold_index, gold_resolve, gold_by_containment, per_item_metrics, aggregate_metrics, label_metrics, bootstrap_ci, bootstrap_ci_hash, paired_bootstrap, leaderboard, compare_runs, gate, regressed_items)
+    for f in (gold_index, gold_resolve, gold_by_containment, per_item_metrics, aggregate_metrics, label_metrics, bootstrap_ci, bootstrap_ci_hash, paired_bootstrap, paired_bootstrap_seeded, leaderboard, compare_runs, gate, regressed_items)
 }
 
 _PAGE_CHUNKS = """pc AS (SELECT 'p' || page_id AS chunk_id, unnest(CASE WHEN page_id % 4 = 0 THEN [url, split_part(url, '#', 1) || '#merged'] ELSE [url] END) AS url FROM pages),
@@ -175,6 +184,16 @@ sl AS (SELECT metric, size, place AS slot, unnest(range(0, 200)) AS b FROM pl),
 dr AS (SELECT s.metric, s.b, p.* EXCLUDE (metric) FROM (SELECT *, CAST('0x' || substr(sha256('0-' || b || '-' || slot), 1, 12) AS BIGINT) % size AS pick FROM sl) s JOIN pl p ON p.metric = s.metric AND p.place = s.pick)"""
 
 
+def _seeded(table: str, sums: str) -> str:
+    """ds: ``sums`` of the values of ``table``, in units of 1e-12, over each of a thousand seeded resamples."""
+    return f""", {draws_cte("SELECT count(*) AS size FROM p", stats.RESAMPLES)},
+pl AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY item_id) - 1 AS place, count(*) OVER (PARTITION BY metric) AS size FROM {table}),
+ds AS (SELECT metric, b, gd.size, {sums} FROM gd JOIN pl ON pl.size = gd.size AND pl.place = gd.place GROUP BY ALL)"""
+
+
+_LABELLED_SEEDED = _LABELLED.replace("WITH", "WITH RECURSIVE", 1)
+
+
 def _values(rows: list[tuple], name: str, columns: str) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(repr(x) if isinstance(x, str) else f'{x}::DOUBLE' if isinstance(x, float) else str(x) for x in r) + ')' for r in rows)})"
 
@@ -218,6 +237,14 @@ SELECT x.item_id, coalesce((SELECT string_agg(chunk_id, '|' ORDER BY chunk_id) F
     "per_item_metrics": _ITEM_METRICS + " SELECT item_id, metric, value FROM im",
     "aggregate_metrics": _ITEM_METRICS + " SELECT metric, count(*) AS n, round(avg(value), 5) AS value FROM im GROUP BY metric",
     "label_metrics": _LABELLED + " SELECT item_id, metric, value FROM lm",
+    "bootstrap_ci": _LABELLED_SEEDED
+    + _seeded("lm", "sum(CAST(round(value / 1e-12) AS HUGEINT)) AS total")
+    + """, nt AS (SELECT metric, CAST(total AS DOUBLE) / (size / 1e-12) AS mean, row_number() OVER (PARTITION BY metric ORDER BY total, b) AS nth FROM ds)
+SELECT 'labels' AS dataset, metric, round(max(CASE WHEN nth = 26 THEN mean END), 6) AS lo, round(max(CASE WHEN nth = 975 THEN mean END), 6) AS hi FROM nt GROUP BY metric""",
+    "paired_bootstrap_seeded": _LABELLED_SEEDED
+    + ", pr AS (SELECT 'precision' AS metric, item_id, p5 AS base, p10 AS cand FROM p)"
+    + _seeded("pr", "sum(CAST(round(base / 1e-12) AS HUGEINT)) AS base, sum(CAST(round(cand / 1e-12) AS HUGEINT)) AS cand")
+    + " SELECT 'labels' AS dataset, metric, round(avg(CAST(cand > base AS INTEGER)), 6) AS p_better FROM ds GROUP BY metric",
     "bootstrap_ci_hash": _LABELLED
     + _DRAWN.format(table="lm")
     + """, mn AS (SELECT metric, b, round(avg(value), 6) AS mean FROM dr GROUP BY ALL), nt AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY mean, b) AS nth FROM mn)

@@ -1,6 +1,7 @@
 """Goldens by hand for the operators, and every SQL twin on the smallest tables."""
 
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ from quarry.functions import text as T
 from quarry.operators import best, chunking, dense, directions, fusion, gold, lexical, markdown, metrics, review, runs, stats, synth
 from quarry.operators.retrieval import RetrievalPlan
 from quarry.plans import registry
+from quarry.sources import draws
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -223,6 +225,33 @@ def test_bootstrap():
         stats.paired_win_rate([1.0], [])
 
 
+def test_seeded_draws_are_those_of_the_generator(spark):
+    """Over several blocks, and several sizes at once."""
+    for size in (5, 64, 300):
+        draw = random.Random(3).randrange
+        want = Counter((b, draw(size)) for b in range(40) for _ in range(size))
+        rows = draws.read(spark, [5, 64, 300], 40, seed=3, block=1000).where(f"size = {size}").groupBy("b", "place").sum("c").collect()
+        assert Counter({(r[0], r[1]): r[2] for r in rows}) == want
+    assert draws.read(spark, [], 10).collect() == []
+    with pytest.raises(ValueError):
+        draws._Reader({"sizes": "[0]"})
+
+
+def test_bootstrap_of_frames(spark):
+    """The intervals and win rates of the frames are those of plain Python, of each set and metric."""
+    rng = random.Random(1)
+    sets = {("a", "mrr"): [rng.random() for _ in range(37)], ("a", "recall"): [rng.randrange(2) / 1 for _ in range(37)], ("b", "mrr"): [0.42], ("c", "mrr"): [0.7] * 9}
+    rows = spark.createDataFrame([(d, m, i, v) for (d, m), vs in sets.items() for i, v in enumerate(vs)], "dataset string, metric string, item_id long, value double")
+    got = {(r["dataset"], r["metric"]): (r["lo"], r["hi"]) for r in stats.bootstrap_ci(rows, 200, seed=5).collect()}
+    assert got.keys() == sets.keys()
+    for key, values in sets.items():
+        assert got[key] == pytest.approx(stats.bootstrap_interval(values, 200, seed=5), abs=1e-6)
+    base, cand = sets["a", "mrr"], [v + rng.uniform(-0.3, 0.32) for v in sets["a", "mrr"]]
+    pairs = spark.createDataFrame([("a", "mrr", i, x, y) for i, (x, y) in enumerate(zip(base, cand, strict=True))], "dataset string, metric string, item_id long, base double, cand double")
+    assert stats.paired_bootstrap(pairs, 200, seed=5).first()["p_better"] == stats.paired_win_rate(base, cand, 200, seed=5)
+    assert stats.bootstrap_ci(rows.where("false")).collect() == [] and stats.paired_bootstrap(pairs.where("false")).collect() == []
+
+
 def test_lexical_overlap(spark):
     docs = spark.createDataFrame([(1, "flux capacitor needs plutonium today"), (2, "to be or not to be")], "doc_id long, text string")
     q = spark.createDataFrame([(1, "why flux capacitor needs fuel", 1), (2, "to be or not", 2)], "question_id long, question string, doc_id long")
