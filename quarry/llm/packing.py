@@ -2,12 +2,16 @@
 
 Pieces are dealt at random to partitions, each packed by best-fit decreasing.
 Dual feasible functions bound from below how many bins a partition needs, and
-how many all pieces need; both are returned. While the total lies above its
-bound, the emptiest bins of all partitions, four times as many as the total lies
-above at first, are given up: their pieces are exchanged, dealt anew and packed
-again. A turn that gains is followed by another one that gives up twice as
-many. Turns end when the bound is met, or when one gains less than a hundredth
-of what is left to gain."""
+how many all pieces need; both are returned. A partition's gap is how far its
+bins lie above its own bound, or above its tokens' share of the bound of all
+pieces where that is more: a partition that is at its own bound may still hold
+half-empty bins that another's pieces would fill. While the total lies above its
+bound, partitions with gaps give up their emptiest bins, each as many as its gap
+asks for, four times as many as the total lies above at first; the pieces are
+exchanged, dealt anew and packed again. Each turn asks for twice as many as the
+one before, and for one bin at least of each partition with a gap. Turns end when
+the bound is met, or when two in a row gain less than a hundredth of what is left
+to gain."""
 
 from __future__ import annotations
 
@@ -26,6 +30,7 @@ CAPACITY = 4096
 PART_PIECES = 100_000  # of a partition, about
 LEAST_PARTS = 4  # with which the packing starts
 GIVEN, MORE = 4, 2  # bins given up for each that the total lies above its bound; times that in each further turn
+IDLE = 2  # turns in a row that gain next to nothing, after which the exchange ends
 
 
 def lower_bound(lengths: np.ndarray, capacity: int, count: np.ndarray | None = None) -> int:
@@ -86,7 +91,9 @@ def _packed(pdf: pd.DataFrame, part: int, turn: int, capacity: int) -> pd.DataFr
     begin = np.concatenate([[0], ends])[first]
     offset = np.empty(len(pdf), np.int64)
     offset[order] = ends - size[order] - begin[bins[order]]
-    return pdf.assign(sequence_id=(turn << 56) + (part << 32) + bins, offset=offset, fill=fill[bins], part_bins=n, part_bound=lower_bound(size, capacity))
+    emptier = np.empty(n, np.int64)  # bins of the partition that go before a bin when some are given up
+    emptier[np.argsort(fill, kind="stable")] = np.arange(n)
+    return pdf.assign(sequence_id=(turn << 56) + (part << 32) + bins, offset=offset, fill=fill[bins], emptier=emptier[bins], part_tokens=int(size.sum()), part_bins=n, part_bound=lower_bound(size, capacity))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PART_PIECES) -> DataFrame:
@@ -100,7 +107,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PART_PIECE
     from pyspark import TaskContext
 
     columns = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    schema = f"{columns}, __row long, sequence_id long, offset long, fill long, part_bins long, part_bound long"
+    schema = f"{columns}, __row long, sequence_id long, offset long, fill long, emptier long, part_tokens long, part_bins long, part_bound long"
     names = [*(c.split()[0] for c in columns.split(", ")), "__row"]
     tables = common.Tables(pieces.sparkSession)
 
@@ -117,46 +124,43 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_part: int = PART_PIECE
         dealt = rest.repartition(common.parts_for(total, per_part, least), F.xxhash64("__row", F.lit(turn)))
         return tables.write(dealt.mapInPandas(packer(turn), schema), f"packed{turn}")
 
-    def bins_of(table: DataFrame) -> dict[int, int]:
-        """Bins by fill: at most ``capacity`` rows."""
-        return {r.fill: r.n for r in table.where("offset = 0").groupBy("fill").agg(F.count("*").alias("n")).collect()}
-
     rows = tables.write(pieces.select(*names[:-1], F.monotonically_increasing_id().alias("__row")), "pieces")
     lengths = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most ``capacity`` rows
     size, count = (np.array([r[k] for r in lengths], np.int64) for k in (0, 1))
-    bound = lower_bound(size, capacity, count)
-    # tables of packed pieces, the bins of each by fill, and the fill up to which its bins have been given up
+    bound, n_tokens = lower_bound(size, capacity, count), int((size * count).sum())
+    gap = F.greatest(F.col("part_bins") - F.col("part_bound"), F.col("part_bins") - F.lit(bound / max(1, n_tokens)) * F.col("part_tokens"), F.lit(0.0))
+    given_up = lambda per, turns: (F.col("emptier") < F.ceil(per * gap) + turns) & (gap > 0) & (F.col("fill") < capacity)
+
+    def bins_and_gaps(table: DataFrame) -> tuple[int, float]:
+        """Sums over the partitions in which a table was packed; each is read from its first piece."""
+        r = table.where("emptier = 0 and offset = 0").agg(F.sum("part_bins").alias("bins"), F.sum(gap).alias("gaps")).first()
+        return r.bins or 0, r.gaps or 0.0
+
+    # tables of packed pieces, the sum of their partitions' gaps, how many bins they have given up for each bin of a gap, and in how many turns
     first = packed(rows, int(count.sum()), 0, LEAST_PARTS)
-    parts = [[first, bins_of(first), 0]]
-    total = lambda: sum(sum(b.values()) for _, b, _ in parts)
-    excess, factor, turn = total() - bound, GIVEN, 1
-    while excess > 0:
-        # the emptiest bins of all, by the sum of their histograms
-        upto, given = 0, 0
-        for fill in sorted({f for _, b, _ in parts for f in b if f < capacity}):
-            upto, given = fill, given + sum(b.get(fill, 0) for _, b, _ in parts)
-            if given >= factor * excess:
-                break
-        if given < 2:
-            break
-        rest, *others = (t.where((F.col("fill") > g) & (F.col("fill") <= upto)).select(*names) for t, _, g in parts)
+    total, gaps = bins_and_gaps(first)
+    parts, factor, turn, idle = [(first, gaps, 0.0, 0)], GIVEN, 1, 0
+    while total > bound and idle < IDLE:
+        # as many more as the total asks for, dealt among the partitions by their gaps
+        more_per = factor * (total - bound) / sum(gaps for _, gaps, _, _ in parts)
+        rest, *others = (t.where(given_up(g + more_per, k + 1) & ~given_up(g, k)).select(*names, "offset") for t, _, g, k in parts)
         for more in others:
             rest = rest.unionByName(more)
         rest = tables.write(rest, "given")
-        again = packed(rest, rest.count(), turn, 1)
-        made = bins_of(again)
-        gain = given - sum(made.values())
-        if gain <= 0:
-            break
-        parts = [[t, {f: n for f, n in b.items() if f > upto}, max(g, upto)] for t, b, g in parts] + [[again, made, 0]]
-        excess, factor, turn = excess - gain, factor * MORE, turn + 1
-        if 100 * gain < excess:
-            break
-    out, *others = (t.where(F.col("fill") > g) for t, _, g in parts)
+        n, given = rest.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, 1))).first()
+        again = packed(rest.drop("offset"), n, turn, 1)
+        made, gaps = bins_and_gaps(again)
+        gain = given - made
+        if gain > 0:
+            parts = [(t, gaps_, g + more_per, k + 1) for t, gaps_, g, k in parts] + [(again, gaps, 0.0, 0)]
+            total -= gain
+        idle = 0 if gain > 0 and 100 * gain >= total - bound else idle + 1
+        factor, turn = factor * MORE, turn + 1
+    out, *others = (t.where(~given_up(g, k)) for t, _, g, k in parts)
     for more in others:
         out = out.unionByName(more)
-    tables.drop(*(t for t, _, _ in parts))
-    return out.drop("__row", "fill").withColumns({"bins": F.lit(total()).cast("long"), "bound": F.lit(bound).cast("long")})
+    tables.drop(*(t for t, *_ in parts))
+    return out.drop("__row", "fill", "emptier", "part_tokens").withColumns({"bins": F.lit(total).cast("long"), "bound": F.lit(bound).cast("long")})
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, kind: str, end_id: int, capacity: int) -> DataFrame:
