@@ -4,8 +4,9 @@ H(ab) = H(a) * B**len(b) + H(b) modulo a prime, so chunks are hashed apart and
 their hashes put together by arithmetic shifted by length. Small texts are
 hashed chunk by chunk where they stand; a huge text is cut in one pass into parts
 that go to many tasks. Texts with equal fingerprints (two primes and the length)
-are then compared with the one of their group that stays: a part meets the same
-part of the other text, and no task holds more of a huge text than that. Texts
+are then compared with the one of their group that stays: huge texts are cut where
+they are read, a part meets the same part of the other text, and no row that is
+shuffled or written is longer than a part. Texts
 that differ in spite of equal fingerprints form groups of their own in a next turn.
 
 Equal means identical after A-Z is lower-cased and nothing else."""
@@ -160,21 +161,21 @@ def _compared(tables: common.Tables, docs: DataFrame, members: DataFrame, huge:
 
     Each part of a text meets the same part of the top; a copy of it serves
     ``TOGETHER`` rows, so a large class, repeated rows too, is many tasks."""
-    texts = docs.select("doc_id", _key("doc_id").alias("__key"), F.xxhash64("text").alias("xx"), "text")
+    texts = docs.select("doc_id", _key("doc_id").alias("__key"), F.xxhash64("text").alias("xx"), F.monotonically_increasing_id().alias("row"), "text")
+    is_huge = F.coalesce(F.octet_length("text") >= huge, F.lit(False))
+    # a huge text is cut where it is read, so that no row that is shuffled or written is longer than a part
+    small = texts.where(~is_huge).select("doc_id", "__key", "xx", "row", F.lit(0).alias("part"), F.col("text").cast("binary").alias("piece"))
+    cut = texts.where(is_huge).mapInArrow(_parts(4, chunk), "doc_id long, __key long, xx long, row long, part int, piece binary, sha string").drop("sha")
     is_top = _key("doc_id").eqNullSafe(_key("top.doc_id")) & (F.col("xx") == F.col("top.xx"))
     own = members.select(*CLASS, F.expr(f"int((size - 1) div {TOGETHER} + 1)").alias("salts"), _key("doc_id").alias("__key"), "xx", is_top.alias("as_top")).distinct()
-    found = tables.write(texts.join(own, ["__key", "xx"]), "members")
-    # a row's place among all of a repeated one
-    rows = found.withColumn("salt", F.pmod(F.xxhash64("xx", F.monotonically_increasing_id()), "salts").cast("int")).withColumn("is_top", F.lit(False))
-    one = found.where("as_top").groupBy(*CLASS, "salts", "xx").agg(F.first("text").alias("text"), F.first("doc_id").alias("doc_id"))
+    found = tables.write(small.unionByName(cut).join(own, ["__key", "xx"]), "members")
+    # a repeated row's place among all of its kind
+    rows = found.withColumn("salt", F.pmod(F.xxhash64("xx", "row"), "salts").cast("int")).withColumn("is_top", F.lit(False))
+    one = found.where("as_top").groupBy(*CLASS, "salts", "xx", "part").agg(F.first("piece").alias("piece"), F.first("doc_id").alias("doc_id"))
     one = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("is_top", F.lit(True))
-    columns = [*CLASS, "salt", "is_top", "doc_id", "xx"]
-    both = rows.select(*columns, "text").unionByName(one.select(*columns, "text"))
-    is_huge = F.coalesce(F.octet_length("text") >= huge, F.lit(False))
-    small = both.where(~is_huge).select(*columns, F.lit(0).alias("part"), F.col("text").cast("binary").alias("piece"))
-    cut = both.where(is_huge).mapInArrow(_parts(len(columns), chunk), "fp1 long, fp2 long, n_bytes long, turn int, salt int, is_top boolean, doc_id long, xx long, part int, piece binary, sha string").drop("sha")
     meet = [*CLASS, "salt", "part"]
-    dealt = small.unionByName(cut).select(*meet, "is_top", "doc_id", "xx", "piece").repartition(*meet).sortWithinPartitions(*meet, F.desc("is_top"))
+    columns = [*meet, "is_top", "doc_id", "xx", "piece"]
+    dealt = rows.select(*columns).unionByName(one.select(*columns)).repartition(*meet).sortWithinPartitions(*meet, F.desc("is_top"))
     return dealt.mapInArrow(_differing, "doc_id long, xx long").distinct()
 
 
