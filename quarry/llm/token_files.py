@@ -239,6 +239,8 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Defined cases: null text is empty (one id, the end); null doc_id comes first;
     rows of one doc_id follow one another as they are read; other columns are ignored."""
-    path = common.new_path(spark, "ids")
-    write(common.documents(spark, sf_dir), path, tokens.tokenizer_path("byte_bpe_50k.json"))
+    path, docs = common.new_path(spark, "ids"), common.documents(spark, sf_dir)
+    # the scan's partitions go by bytes, so shards do not grow with the table
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), docs.rdd.getNumPartitions())
+    write(docs, path, tokens.tokenizer_path("byte_bpe_50k.json"), shards=shards)
     return read(spark, path)
