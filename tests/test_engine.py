@@ -285,6 +285,19 @@ def test_greedy_takes_few_turns_on_a_chain(spark, monkeypatch):
         assert written.count("accepted") <= (6 if held > 1000 else 40)
 
 
+def test_similarity_join_packs_no_blocks(spark, monkeypatch):
+    """Links are counted in tasks, over several blocks and slots; queries are not packed into blocks that a join copies."""
+    monkeypatch.setattr(dense, "CELLS", 500)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(260, 5))
+    v = spark.createDataFrame([(i, x[i].tolist()) for i in range(260)], "doc_id long, embedding array<double>")
+    n = dense.link_counts(v.select(F.col("doc_id").alias("query_id"), "embedding"), v.withColumn("source", F.lit("")), 0.6, block=70)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (np.round(unit @ unit.T, 6) >= 0.6).sum(1) - 1
+    assert {r.query_id: r.n for r in n.collect()} == {i: int(c) for i, c in enumerate(want) if c}
+    assert "FlatMapGroupsInArrow" not in (plan := n._jdf.queryExecution().executedPlan().toString()) and "MapInArrow" in plan
+
+
 def test_close_pairs_without_meeting_all(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(80, 16))
