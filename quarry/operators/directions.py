@@ -26,6 +26,8 @@ MOST_CELLS = 4096
 SLACK = 2e-6  # scores are rounded to six places
 WORTH = 0.5  # of all pairs: beyond that a join meets all
 FEW = 10_000  # vectors that meet each other sooner than directions are fitted
+COPIES = 32  # cells that a row is dealt to, on average: beyond that a join meets all
+ROWS = 32_768  # rows that go out at a time
 
 
 def unit(matrix: np.ndarray) -> np.ndarray:
@@ -88,17 +90,41 @@ class Cells:
         return cosine, bound
 
 
+def _reaching(batches: Iterator[pa.RecordBatch], cells: Cells, threshold: float) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Parts of batches (query_id, embedding), and of each row which cells may hold a row at ``threshold`` or more of it."""
+    step = max(1, ROWS // len(cells.counts))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            part = b.slice(at, step)
+            _, bound = cells.bounds(part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1))
+            yield part, bound >= threshold
+
+
+def _asked(asked: DataFrame) -> DataFrame:
+    return asked.select(F.col("query_id").cast("long").alias("query_id"), "embedding")
+
+
 def reached(asked: DataFrame, cells: Cells, threshold: float) -> DataFrame:
     """query_id, embedding, cell: every cell that may hold a row at ``threshold`` or more of a query (query_id, embedding)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            _, bound = cells.bounds(lists.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), -1))
-            q, c = np.nonzero(bound >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), lists.take(pa.array(q)), pa.array(c, pa.int32())], names=["query_id", "embedding", "cell"])
+        for b, near in _reaching(batches, cells, threshold):
+            q, c = np.nonzero(near)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(q)), b.column(1).take(pa.array(q)), pa.array(c, pa.int32())], names=["query_id", "embedding", "cell"])
+
+    return _asked(asked).mapInArrow(run, f"query_id long, embedding {asked.schema['embedding'].dataType.simpleString()}, cell int")
 
-    return asked.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(run, "query_id long, embedding array<double>, cell int")
+
+def reached_counts(asked: DataFrame, cells: Cells, threshold: float) -> dict[int, int]:
+    """How many rows ``reached`` has of each cell that it has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(cells.counts), np.int64)
+        for _, near in _reaching(batches, cells, threshold):
+            n += near.sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(n), pa.int32()), pa.array(n[n > 0])], names=["cell", "n"])
+
+    return {r.cell: r.n for r in _asked(asked).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # MOST_CELLS at most
 
 
 @dataclass
@@ -114,18 +140,17 @@ def close(vectors: DataFrame, threshold: float, cells: int | None = None, few: i
     """Links query_id, source, doc_id, score between different rows of ``vectors`` (source, doc_id, embedding) at ``threshold`` or more, each from both ends.
 
     Each row meets the cells that it can have a link in. Where these hold more
-    than ``WORTH`` of all pairs, as with a low threshold in many dimensions, or
-    where there are ``few`` rows, all rows meet: the links are the same."""
+    than ``WORTH`` of all pairs or come to more than ``COPIES`` a row, as with a
+    low threshold in many dimensions, or where there are ``few`` rows, all rows
+    meet: the links are the same. The cells are counted before a row is copied."""
     n = vectors.count()
     asked = vectors.select(F.col("doc_id").alias("query_id"), "embedding")
     directions = fitted(vectors, cells or max(1, round(n**0.5))) if n > (FEW if few is None else few) else np.zeros((1, 1))
     if directions.any():
         rows = scratch.written(placed(vectors, directions), "placed")
         found = Cells.of(directions, rows)
-        probes = scratch.written(reached(asked, found, threshold), "reached")
-        met = {r.cell: r.n for r in probes.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS at most
+        met = reached_counts(asked, found, threshold)
         compared = sum(m * int(found.counts[c]) for c, m in met.items())
-        if compared <= WORTH * n * n:
-            return CloseJoin(dense.cell_links(probes, rows, threshold), compared, n * n)
+        if compared <= WORTH * n * n and sum(met.values()) <= COPIES * n:
+            return CloseJoin(dense.cell_links(reached(asked, found, threshold), rows, threshold, counts=met), compared, n * n)
     return CloseJoin(dense.similar(asked, vectors, threshold), n * n, n * n)
-

@@ -285,6 +285,26 @@ def test_greedy_takes_few_turns_on_a_chain(spark, monkeypatch):
         assert written.count("accepted") <= (6 if held > 1000 else 40)
 
 
+def test_greedy_in_parts_of_several_sets(spark, monkeypatch):
+    """Sets that are decided in several parts: what one accepts rejects later items of its own set, and no links are written for these."""
+    counted, accepted_of = [], synth._accepted
+    monkeypatch.setattr(synth, "AT_FIRST", 24)
+    monkeypatch.setattr(synth, "SETS", 2)
+    monkeypatch.setattr(synth, "_accepted", lambda *a: (counted.append(1), accepted_of(*a))[1])
+    rng = np.random.default_rng(4)
+    rows = [(f"s{i % 3}", i // 3, rng.normal(size=6).round(3).tolist()) for i in range(300)] + [("t", 0, [1.0] * 6)]
+    want = set()
+    for s in ("s0", "s1", "s2", "t"):
+        held = []
+        for _, i, x in sorted(r for r in rows if r[0] == s):
+            x = np.array(x) / np.linalg.norm(x)
+            if not any(np.round(x @ y, 6) >= 0.5 for y in held):
+                held.append(x)
+                want.add((s, i))
+    out = synth.near_duplicate_greedy(spark.createDataFrame(rows, "set_id string, item_id long, embedding array<double>"), 0.5)
+    assert {(r.set_id, r.item_id) for r in out.where("accepted").collect()} == want and out.count() == 301 and len(counted) > 1
+
+
 def test_similarity_join_packs_no_blocks(spark, monkeypatch):
     """Links are counted in tasks, over several blocks and slots; queries are not packed into blocks that a join copies."""
     monkeypatch.setattr(dense, "CELLS", 500)
