@@ -305,6 +305,14 @@ def test_greedy_in_parts_of_several_sets(spark, monkeypatch):
     assert {(r.set_id, r.item_id) for r in out.where("accepted").collect()} == want and out.count() == 301 and len(counted) > 1
 
 
+def test_dense_search_of_text_vectors_can_be_written(spark, tmp_path):
+    """Vectors that are expressions over a text: what is found can be written, not only collected."""
+    docs = dense.with_fake_embeddings(spark.read.parquet(f"{SF}/documents.parquet").select("source", "doc_id", "text"))
+    asked = docs.where("doc_id < 3").select(F.col("doc_id").alias("query_id"), "embedding")
+    dense.dense_topk(asked, docs, 1).write.parquet(f"{tmp_path}/found")
+    assert {(r.query_id, r.score) for r in spark.read.parquet(f"{tmp_path}/found").collect()} == {(i, 1.0) for i in range(3)}
+
+
 def test_similarity_join_packs_no_blocks(spark, monkeypatch):
     """Links are counted in tasks, over several blocks and slots; queries are not packed into blocks that a join copies."""
     monkeypatch.setattr(dense, "CELLS", 500)
