@@ -27,7 +27,8 @@ from quarry.operators.best import Best, plain
 
 K1, B = 1.2, 0.75
 BLOCK = 4096  # queries that a task holds
-CELLS = 4_000_000  # scores of queries and documents that a task holds
+CELLS = 1_000_000  # scores of queries and documents that a task holds
+TOKENS = 250_000  # words that a task looks at together, but for longer documents
 
 
 def term_frequencies(docs: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -69,6 +70,16 @@ def ranked(scored: DataFrame, k: int, deny: DataFrame | None = None, per: tuple[
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches (source, doc_id, tokens) in parts of so many rows and of ``TOKENS`` words at most, one document at least."""
+    for b in batches:
+        offsets, at = b.column(2).offsets.to_numpy(), 0
+        while at < b.num_rows:
+            end = min(at + rows, max(at + 1, int(np.searchsorted(offsets, offsets[at] + TOKENS, "right")) - 1), b.num_rows)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def _hits(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a batch of word lists: lengths, and document, word and frequency of all words that are wanted."""
     lengths = np.diff(tokens.offsets.to_numpy())
@@ -80,21 +91,39 @@ def _hits(tokens: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _counts(words: pa.Array):
-    """source, word (-1 for all), n documents, n words of each batch."""
+    """source, word (-1 for all), n documents, n words of a task."""
+
+    def rows(found: dict[str | None, tuple[np.ndarray, list[int]]]) -> pa.RecordBatch:
+        some = [(name, np.flatnonzero(df), df, all_) for name, (df, all_) in found.items()]
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([name for name, word, _, _ in some for _ in range(len(word) + 1)], pa.string()),
+                pa.array([w for _, word, _, _ in some for w in (*word.tolist(), -1)], pa.int64()),
+                pa.array([n for _, word, df, all_ in some for n in (*df[word].tolist(), all_[0])], pa.int64()),
+                pa.array([n for _, word, _, all_ in some for n in (*[0] * len(word), all_[1])], pa.int64()),
+            ],
+            names=["source", "word", "n", "n_words"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        found: dict[str | None, tuple[np.ndarray, list[int]]] = {}
+        for b in _parts(batches, CELLS):
             lengths, doc, word, _ = _hits(b.column(2), words)
-            names = b.column(0).to_pylist()
-            order = {n: i for i, n in enumerate(dict.fromkeys(names))}
-            source = np.array([order[n] for n in names], np.int64)
-            pairs, df = np.unique(source[doc] * max(1, len(words)) + word, return_counts=True)
-            size, total = np.bincount(source, minlength=len(order)), np.bincount(source, weights=lengths, minlength=len(order))
-            named = list(order)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([named[i] for i in (pairs // max(1, len(words))).tolist()] + named, pa.string()), pa.array([*(pairs % max(1, len(words))).tolist(), *[-1] * len(named)], pa.int64()), pa.array([*df.tolist(), *size.tolist()], pa.int64()), pa.array([*[0] * len(df), *total.astype(np.int64).tolist()], pa.int64())],
-                names=["source", "word", "n", "n_words"],
-            )
+            coded, wide = b.column(0).dictionary_encode(), max(1, len(words))
+            names = [*coded.dictionary.to_pylist(), None]
+            source = coded.indices.fill_null(len(names) - 1).to_numpy(zero_copy_only=False)
+            pairs, times = np.unique(source[doc] * np.int64(wide) + word, return_counts=True)
+            edges = np.searchsorted(pairs, np.arange(len(names) + 1) * wide)
+            size, total = np.bincount(source, minlength=len(names)), np.bincount(source, weights=lengths, minlength=len(names))
+            for i in np.flatnonzero(size).tolist():
+                if len(found) * wide > CELLS:
+                    yield rows(found)
+                    found = {}
+                df, all_ = found.setdefault(names[i], (np.zeros(len(words), np.int64), [0, 0]))
+                df[pairs[edges[i] : edges[i + 1]] - i * wide] += times[edges[i] : edges[i + 1]]
+                all_[0] += int(size[i])
+                all_[1] += int(total[i])
+        yield rows(found)
 
     return run
 
@@ -105,28 +134,25 @@ def _best(ids: pa.Array, words: pa.Array, asked: tuple[np.ndarray, np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best, kind, numbers = Best(k), pa.int64(), np.arange(len(ids))
-        for whole in batches if len(ids) else ():
-            kind = whole.schema.field(1).type
-            step = max(1, CELLS // max(1, len(ids)))
-            for at in range(0, whole.num_rows, step):
-                b = whole.slice(at, step)
-                lengths, doc, word, tf = _hits(b.column(2), words)
-                names = b.column(0).to_pylist()
-                average = np.array([of[n][0] for n in names])
-                idf = np.array([of[names[d]][1].get(w, 0.0) for d, w in zip(doc.tolist(), word.tolist(), strict=True)])
-                length = np.divide(lengths, average, out=np.zeros(len(lengths)), where=average > 0)
-                weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length[doc]))
-                n = begin[word + 1] - begin[word]
-                each = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-                score = np.bincount(query[each] * b.num_rows + np.repeat(doc, n), weights=times[each] * np.repeat(weight, n), minlength=len(ids) * b.num_rows).reshape(len(ids), b.num_rows)
-                any_ = score > 0
-                score = np.round(score, 6) + 0.0
-                score[~any_] = -np.inf
-                sources = np.empty(b.num_rows, object)
-                sources[:] = names
-                best.add(numbers, sources, plain(b.column(1)), score)
-                if best.full():
-                    yield from named(best, kind)
+        for b in _parts(batches, max(1, CELLS // len(ids))) if len(ids) else ():
+            kind = b.schema.field(1).type
+            lengths, doc, word, tf = _hits(b.column(2), words)
+            names = b.column(0).to_pylist()
+            average = np.array([of[n][0] for n in names])
+            idf = np.array([of[names[d]][1].get(w, 0.0) for d, w in zip(doc.tolist(), word.tolist(), strict=True)])
+            length = np.divide(lengths, average, out=np.zeros(len(lengths)), where=average > 0)
+            weight = idf * tf * (k1 + 1) / (tf + k1 * (1 - b_ + b_ * length[doc]))
+            n = begin[word + 1] - begin[word]
+            each = np.repeat(begin[word] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            score = np.bincount(query[each] * b.num_rows + np.repeat(doc, n), weights=times[each] * np.repeat(weight, n), minlength=len(ids) * b.num_rows).reshape(len(ids), b.num_rows)
+            any_ = score > 0
+            score = np.round(score, 6) + 0.0
+            score[~any_] = -np.inf
+            sources = np.empty(b.num_rows, object)
+            sources[:] = names
+            best.add(numbers, sources, plain(b.column(1)), score)
+            if best.full():
+                yield from named(best, kind)
         yield from named(best, kind)
 
     def named(best: Best, kind: pa.DataType) -> Iterator[pa.RecordBatch]:

@@ -285,6 +285,31 @@ def test_greedy_takes_few_turns_on_a_chain(spark, monkeypatch):
         assert written.count("accepted") <= (6 if held > 1000 else 40)
 
 
+def test_bm25_looks_at_bounded_parts_of_a_batch(monkeypatch):
+    """However many documents a batch has, words are looked at ``TOKENS`` at a time; counts and scores stay."""
+    sizes, hits = [], lexical._hits
+    monkeypatch.setattr(lexical, "_hits", lambda tokens, words: (sizes.append((len(tokens), len(tokens.flatten()))), hits(tokens, words))[1])
+    docs = [["a", "b", "x"][: i % 4] * (1 + 9 * (i == 50)) for i in range(120)]
+    batch = pa.RecordBatch.from_arrays([pa.array([None if i % 5 == 0 else f"s{i % 2}" for i in range(120)], pa.string()), pa.array(range(120), pa.int64()), pa.array(docs, pa.list_(pa.string()))], names=["source", "doc_id", "tokens"])
+    words = pa.array(["a", "b"])
+    of = {s: (1.5, {0: 0.7, 1: 0.4}, 60) for s in ("s0", "s1", None)}
+    asked = np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 1.0])
+
+    def seen(cut: int) -> tuple:
+        monkeypatch.setattr(lexical, "TOKENS", cut)
+        counted = Counter()
+        for out in lexical._counts(words)(iter([batch.slice(3), batch.slice(0, 3)])):
+            for r in out.to_pylist():
+                counted[r["source"], r["word"]] += r["n"] + 1000 * r["n_words"]
+        best_ = [r for out in lexical._best(pa.array([7]), words, asked, of, 5, 1.2, 0.75)(iter([batch])) for r in out.to_pylist()]
+        return counted, best_
+
+    whole = seen(10**9)
+    sizes.clear()
+    assert seen(20) == whole and whole[0]["s0", -1] == 48 + 1000 * sum(len(docs[i]) for i in range(120) if i % 5 and i % 2 == 0)
+    assert all(words_ <= 20 or n == 1 for n, words_ in sizes) and len(sizes) > 10
+
+
 def test_greedy_in_parts_of_several_sets(spark, monkeypatch):
     """Sets that are decided in several parts: what one accepts rejects later items of its own set, and no links are written for these."""
     counted, accepted_of = [], synth._accepted
