@@ -40,14 +40,18 @@ def angle(cosine: np.ndarray) -> np.ndarray:
 
 
 def fitted(vectors: DataFrame, cells: int) -> np.ndarray:
-    """Directions by Spark's k-means on unit vectors of a sample of ``vectors`` (embedding); one without direction where there is too little."""
+    """Directions by Spark's k-means on unit vectors of a sample of ``vectors`` (embedding); one without direction where there is too little.
+
+    The sample is written once, so ``vectors`` are made once. Spark's solver by
+    rows would send the distances of all pairs of directions to the driver in
+    every turn; that by blocks sends the directions' sums only."""
     rows = vectors.select(F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("length > 0")
-    sample = rows.orderBy(F.xxhash64("v")).limit(SAMPLE).select(array_to_vector(F.transform("v", lambda x: x / F.col("length"))).alias("features"))
+    sample = scratch.written(rows.orderBy(F.xxhash64("v")).limit(SAMPLE).select(F.transform("v", lambda x: x / F.col("length")).alias("v")), "sample")
     k = min(cells, MOST_CELLS, sample.count() // ROWS_FOR_CELL)
     if k < 2:
         return np.zeros((1, 1))
-    return unit(np.array(KMeans(k=k, seed=7, maxIter=12, initSteps=1).fit(sample).clusterCenters()))
+    return unit(np.array(KMeans(k=k, seed=7, maxIter=12, initSteps=1, solver="block").fit(sample.select(array_to_vector("v").alias("features"))).clusterCenters()))
 
 
 def placed(vectors: DataFrame, directions: np.ndarray) -> DataFrame:

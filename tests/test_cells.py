@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import dense
+from quarry.operators import dense, directions
 from quarry.sources import cells as cells_module
 from quarry.sources.cells import CellIndex
 
@@ -91,3 +91,18 @@ def test_odd_rows(spark, tmp_path):
     assert [(r.doc_id, round(r.score, 4)) for r in index.search_exact(q).orderBy("rank").collect()] == [(2, 1.0), (2, 1.0), (3, 0.7071), (1, 0.0)]
     with pytest.raises(Exception, match="numbers"):
         index.build(spark.createDataFrame([("a", 1, [1.0, 2.0]), ("a", 2, [1.0])], schema))
+
+
+def test_fitting_sends_no_pairs_of_directions_to_the_driver(spark, tmp_path):
+    """401 directions of 8 numbers: beyond a million of k * k * 8 the solver by rows collects their distances in every turn."""
+    x = np.random.default_rng(3).random((8000, 8))
+    vectors = spark.createDataFrame([("a", i, r.tolist()) for i, r in enumerate(x)], "source string, doc_id long, embedding array<double>")
+    group = f"fit-{tmp_path.name}"
+    spark.sparkContext.setJobGroup(group, group)
+    found = directions.fitted(vectors, 401)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    jobs, store = spark.sparkContext.statusTracker().getJobIdsForGroup(group), spark.sparkContext._jsc.sc().statusStore()
+    names = {stages.apply(i) for j in jobs for stages in [store.job(j).stageIds()] for i in range(stages.size())}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) > 10 and len(found) == 401
+    assert max(store.lastStageAttempt(s).resultSize() for s in names) < 401 * 400 / 2 * 16
