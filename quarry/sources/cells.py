@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructType
 
+from quarry import scratch
 from quarry.operators import dense
 from quarry.operators.directions import Cells, fitted, placed
 
@@ -105,7 +106,7 @@ class CellIndex:
         """As ``search``, and equal to a search of all rows: cells that could hold one of the best are read too."""
         cells = self.cells()
         asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-        first = dense.ranked(self._found(self._probes(asked, cells, probes), k, where), k)
+        first = scratch.written(dense.ranked(self._found(self._probes(asked, cells, probes), k, where), k), "first")  # k rows a query; read three times
         last = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
         bounded = asked.join(last, "query_id", "left").withColumn("least", F.coalesce("least", F.lit(-2.0))).select("query_id", "embedding", "least")
         then = self._found(self._probes(bounded, cells, probes), k, where)
