@@ -31,7 +31,7 @@ BUCKETS = 8  # at first; compactions make more of them as the store grows
 COMPACT_AFTER = 16
 BUCKET_BYTES = 256 << 20  # of a bucket, about, before a compaction makes more of them
 ATTEMPTS = 20
-BUCKET, GONE, NTH = "__bucket", "__gone", "__nth"
+BUCKET, GONE, NTH, SPLIT = "__bucket", "__gone", "__nth", "__split"
 IDENTITY = ("embedding_model", "embedding_dim", "corpus_sha", "created_at")
 
 
@@ -83,15 +83,28 @@ class ChunkStore:
             raise FileNotFoundError(f"no chunks of {source!r} for {self.model!r}")
         return self._current(source, state)
 
+    def _dealt(self, rows: DataFrame, buckets: int) -> tuple[DataFrame, list[str]]:
+        """Rows dealt to their buckets, large ones to several tasks, and the columns that group them by id: windows over these and the write that follows need no further shuffle."""
+        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # Spark puts small buckets together
+        split = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, tasks // buckets)))
+        placed = rows.withColumns({BUCKET: F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int"), SPLIT: split})
+        return placed.repartition(BUCKET, SPLIT), [BUCKET, SPLIT, "chunk_id"]
+
     def _write(self, source: str, rows: DataFrame, buckets: int) -> dict:
-        """Rows as a new segment, its buckets in folders of their own."""
+        """Rows as a new segment, its buckets in folders of their own; what ``_dealt`` has dealt stays so."""
         name = f"s-{uuid.uuid4().hex}"
-        placed = rows.withColumn(BUCKET, F.pmod(F.xxhash64("chunk_id"), F.lit(buckets)).cast("int"))
-        tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # large buckets are written by several; Spark puts small ones together
-        split = F.pmod(F.xxhash64("chunk_id", F.lit(1)), F.lit(max(1, tasks // buckets)))
-        placed.repartition(BUCKET, split).write.partitionBy(BUCKET).parquet(f"{self.place(source)}/{name}")
+        dealt = rows if BUCKET in rows.columns else self._dealt(rows, buckets)[0]
+        placed = dealt.select(*(c for c in dealt.columns if c not in (BUCKET, SPLIT)), BUCKET)
+        placed.write.partitionBy(BUCKET).parquet(f"{self.place(source)}/{name}")
         return {"name": name, "kinds": json.loads(placed.schema.json())}
 
+    def _stored(self, source: str, state: dict, buckets: list[int] | None = None) -> DataFrame:
+        """All rows of base and deltas with ``NTH``, -1 for the base, and ``GONE``."""
+        rows = self._segment(source, state["base"], buckets).drop(BUCKET).withColumns({NTH: F.lit(-1), GONE: F.lit(False)})
+        for n, d in enumerate(state["deltas"]):  # COMPACT_AFTER at most
+            rows = rows.unionByName(self._segment(source, d, buckets).drop(BUCKET).withColumn(NTH, F.lit(n)), allowMissingColumns=True)
+        return rows
+
     def _described(self, state: dict | None, corpus_sha: str) -> dict:
         now = datetime.now(UTC).isoformat()
         return {"embedding_model": self.model, "embedding_dim": self.dim, "corpus_sha": corpus_sha or (state or {}).get("corpus_sha") or "", "created_at": now, "buckets": (state or {}).get("buckets", self.buckets)}
@@ -113,44 +126,49 @@ class ChunkStore:
                     self.log(source).files.delete(f"{self.place(source)}/{segment['name']}")
         raise RuntimeError(f"{ATTEMPTS} writers came first")
 
-    def upsert(self, chunks: DataFrame, source: str, corpus_sha: str = "", keep_missing: bool = True) -> bool:
+    def upsert(self, chunks: DataFrame, source: str, corpus_sha: str = "", keep_missing: bool = True, order: str | None = None) -> bool:
         """Writes chunks (chunk_id, document, content_hash, ...) by id; only new content is embedded. False where nothing differs.
 
-        Of rows with one id that with the greatest content_hash counts.
+        Of rows with one id that with the greatest content_hash counts, or the last by ``order``.
         ``keep_missing`` keeps stored chunks that are not among these."""
-        one = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc("content_hash"), F.desc("document")))
-        fresh = chunks.withColumn(NTH, one).where(f"{NTH} = 1").drop(NTH)
+        greatest = [*([order] if order else []), "content_hash", "document"]
 
         def change(state: dict | None) -> dict | None:
             if state is None:
-                return self._described(None, corpus_sha) | {"base": self._write(source, fresh.withColumn("embedding", self.embed(F.col("document"))), self.buckets), "deltas": []}
+                dealt, by = self._dealt(chunks, self.buckets)
+                first = dealt.withColumn(NTH, F.row_number().over(Window.partitionBy(*by).orderBy(*map(F.desc, greatest)))).where(f"{NTH} = 1").drop(NTH)
+                return self._described(None, corpus_sha) | {"base": self._write(source, first.withColumn("embedding", self.embed(F.col("document"))), self.buckets), "deltas": []}
             buckets = None
             if keep_missing:
-                touched = fresh.select(F.pmod(F.xxhash64("chunk_id"), F.lit(state["buckets"])).cast("int").alias("b")).distinct()
+                touched = chunks.select(F.pmod(F.xxhash64("chunk_id"), F.lit(state["buckets"])).cast("int").alias("b")).distinct()
                 buckets = sorted(r.b for r in touched.collect())  # as many as there are buckets, at most
-            old = self._current(source, state, buckets)
-            stored = old.join(fresh.select("chunk_id"), "chunk_id", "left_semi") if keep_missing else old
-            names = [c for c in stored.columns if c != "chunk_id"]
-            known = stored.select("chunk_id", F.struct(*names).alias("__old"))
-            both = fresh.join(known, "chunk_id", "left" if keep_missing else "full")
-            has = F.col("__old").isNotNull()
-            carried = [c for c in names if c in fresh.columns]
-            added = [c for c in fresh.columns if c not in stored.columns]
+            # what is stored meets the chunks with a digest in place of its text
+            digest = lambda text: F.unhex(F.sha2(text, 256))
+            stored = self._stored(source, state, buckets).withColumn("document", digest(F.col("document")))
+            names = [c for c in stored.columns if c not in ("chunk_id", NTH, GONE)]
+            old = stored.select("chunk_id", NTH, F.struct(*names, GONE).alias("__old"))
+            new = chunks.select("chunk_id", F.lit(len(state["deltas"])).alias(NTH), F.struct(*(c for c in chunks.columns if c != "chunk_id")).alias("__new"))
+            dealt, by = self._dealt(new.unionByName(old, allowMissingColumns=True), state["buckets"])
+            own = Window.partitionBy(*by).orderBy(F.desc(NTH), *(F.desc(f"__new.{c}") for c in greatest))
+            whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            both = dealt.withColumns({"__first": F.row_number().over(own), "__old": F.first("__old", ignorenulls=True).over(whole)}).where("__first = 1")
+            given = [c for c in chunks.columns if c != "chunk_id"]
+            has = F.col("__old").isNotNull() & ~F.col(f"__old.{GONE}")
+            ours = F.col("__new").isNotNull()
             same = has
-            for c in carried:
-                same = same & F.col(c).eqNullSafe(F.col(f"__old.{c}"))
-            for c in added:
-                same = same & F.col(c).isNull()
-            out = both
-            if "embedding" not in fresh.columns:
-                vector = F.when(has & F.col("__old.content_hash").eqNullSafe(F.col("content_hash")), F.col("__old.embedding"))
-                out = out.withColumn("embedding", vector.otherwise(self.embed(F.col("document"))))
-            if not keep_missing:
-                ours = fresh.select("chunk_id", F.lit(True).alias("__ours"))
-                out = out.join(ours, "chunk_id", "left").withColumn(GONE, F.col("__ours").isNull()).drop("__ours")
-            else:
-                out = out.withColumn(GONE, F.lit(False))
-            delta = self._write(source, out.where(~same | F.col(GONE)).drop("__old"), state["buckets"])
+            for c in names:
+                if c in given:
+                    mine = F.col(f"__new.{c}")
+                    same = same & F.col(f"__old.{c}").eqNullSafe(digest(mine) if c == "document" else mine)
+            for c in given:
+                if c not in names:
+                    same = same & F.col(f"__new.{c}").isNull()
+            out = both.where((ours & ~same) if keep_missing else F.when(ours, ~same).otherwise(has))
+            columns = [F.col(f"__new.{c}").alias(c) for c in given]
+            if "embedding" not in given:
+                vector = F.when(has & F.col("__old.content_hash").eqNullSafe(F.col("__new.content_hash")), F.col("__old.embedding"))
+                columns.append(F.when(ours, vector.otherwise(self.embed(F.col("__new.document")))).alias("embedding"))
+            delta = self._write(source, out.select("chunk_id", *columns, (~ours).alias(GONE), BUCKET), state["buckets"])
             if not self._segment(source, delta, None).take(1):
                 self.log(source).files.delete(f"{self.place(source)}/{delta['name']}")
                 if not corpus_sha or corpus_sha == state["corpus_sha"]:
@@ -181,7 +199,9 @@ class ChunkStore:
                 return None
             size = sum(self.log(source).files.bytes(f"{self.place(source)}/{s['name']}") for s in (state["base"], *state["deltas"]))
             buckets = max(state["buckets"], size // BUCKET_BYTES)
-            return state | {"base": self._write(source, self._current(source, state), buckets), "deltas": [], "buckets": buckets}
+            dealt, by = self._dealt(self._stored(source, state), buckets)
+            newest = dealt.withColumn("__rank", F.rank().over(Window.partitionBy(*by).orderBy(F.desc(NTH)))).where(f"__rank = 1 and not {GONE}")
+            return state | {"base": self._write(source, newest.drop("__rank", NTH, GONE), buckets), "deltas": [], "buckets": buckets}
 
         return self._committed(source, change)
 

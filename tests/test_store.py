@@ -7,7 +7,7 @@ import tarfile
 import pytest
 from pyspark.sql import functions as F
 
-from quarry import cli, config, experiment, generation, manifest, providers, server
+from quarry import cli, config, experiment, generation, manifest, providers, scratch, server
 from quarry.functions.text import content_hash, fake_embedding
 from quarry.operators.dense import EmbedderMismatchError
 from quarry.operators.retrieval import RetrievalPlan
@@ -299,3 +299,47 @@ def test_yaml():
     for bad in ("a:\n  - b: 1\n", "a: &x 1\n", "a: |\n  text\n"):
         with pytest.raises(ValueError):
             config.read_yaml(bad)
+
+
+def _exchanged(spark, run) -> int:
+    """Bytes that the jobs of ``run`` shuffle."""
+    group = f"g-{id(run)}"
+    spark.sparkContext.setJobGroup(group, group)
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, seen = spark.sparkContext._jsc.sc().statusStore(), set()
+    for j in spark.sparkContext.statusTracker().getJobIdsForGroup(group):
+        ids = store.job(j).stageIds()
+        seen |= {ids.apply(i) for i in range(ids.size())}
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return sum(store.lastStageAttempt(i).shuffleWriteBytes() for i in seen if store.lastStageAttempt(i).status().toString() == "COMPLETE")
+
+
+def test_texts_are_shuffled_once_a_change(spark, tmp_path):
+    """An upsert deals its own texts out once and those of the store never; a compaction deals each once."""
+    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "")
+    rows = scratch.written(spark.range(0, 2000, 1, 4).withColumn("document", text).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("chunk_id"), "document", content_hash(F.col("document")).alias("content_hash")), "rows")
+    # shuffled whole, by a column that tells nothing of the texts
+    once = _exchanged(spark, lambda: rows.repartition(4, "chunk_id").write.format("noop").mode("overwrite").save())
+    store = ChunkStore(spark, f"file://{tmp_path}/once")
+    assert _exchanged(spark, lambda: store.upsert(rows, "docs")) < 1.3 * once
+    again = rows.withColumn("document", F.concat("document", F.lit("."))).withColumn("content_hash", content_hash(F.col("document")))
+    assert _exchanged(spark, lambda: store.upsert(again, "docs")) < 1.5 * once
+    assert _exchanged(spark, lambda: store.compact("docs")) < 2.4 * once
+    assert sorted(map(tuple, store.read("docs").select(*again.columns).collect())) == sorted(map(tuple, again.collect()))
+
+
+def test_copies_of_an_id_and_ids_that_come_again(spark, tmp_path):
+    store = ChunkStore(spark, f"file://{tmp_path}/copies")
+    kinds = "chunk_id string, document string, content_hash string"
+    held = lambda: sorted(tuple(r) for r in store.read("docs").select("chunk_id", "document").collect())
+    assert store.upsert(spark.createDataFrame([("a", "1", "h1"), ("a", "2", "h2"), ("a", "3", "h2"), ("b", "1", "h")], kinds), "docs")
+    assert held() == [("a", "3"), ("b", "1")]
+    assert not store.upsert(spark.createDataFrame([("a", "3", "h2"), ("a", "9", "h1")], kinds), "docs")
+    assert store.upsert(spark.createDataFrame([("a", "4", "h2")], kinds), "docs")  # another text under the old hash
+    assert store.upsert(spark.createDataFrame([("b", "1", "h")], kinds), "docs", keep_missing=False) and held() == [("b", "1")]
+    assert not store.upsert(spark.createDataFrame([("b", "1", "h")], kinds), "docs", keep_missing=False)
+    assert store.upsert(spark.createDataFrame([("a", "4", "h2"), ("c", None, None)], kinds), "docs") and held() == [("a", "4"), ("b", "1"), ("c", None)]
+    assert not store.upsert(spark.createDataFrame([("c", None, None)], kinds), "docs")
+    store.compact("docs")
+    assert held() == [("a", "4"), ("b", "1"), ("c", None)]
