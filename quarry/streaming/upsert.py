@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from quarry.sources.store import ChunkStore
@@ -13,10 +12,7 @@ def upsert_stream(chunks: DataFrame, store: ChunkStore, source: str, checkpoint:
     """Starts the query. Of rows with one id in a batch the last by ``order`` counts; a batch that comes again changes nothing."""
 
     def batch(df: DataFrame, _: int) -> None:
-        if order:
-            nth = F.row_number().over(Window.partitionBy("chunk_id").orderBy(F.desc(order)))
-            df = df.withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-        if df.take(1):
-            store.upsert(df, source)
+        if df.take(1):  # before rows are dealt out
+            store.upsert(df, source, order=order)
 
     return chunks.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
