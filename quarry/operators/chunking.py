@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry import scratch
 from quarry.functions import text as T
 
 FLOOR, CEILING = 400, 600
@@ -125,6 +126,7 @@ def doc_chunks(docs: DataFrame, base_url: str) -> DataFrame:
 
     A section's anchor is the one of its number among the anchors of levels two
     and three, so a heading without id shifts those after it."""
+    docs = scratch.written(docs.select("path", "text", "anchors"), "pages")  # read twice, normalised once
     rows = blocks(sections(docs.select("path", "text")))
     units = rows.groupBy("path", "sec_no").agg(
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("block_no", atomic(F.col("block"), F.col("is_code")).alias("units")))), lambda b: b["units"])).alias("units"),

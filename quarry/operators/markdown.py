@@ -73,16 +73,15 @@ def unescape(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 def strip_termy(docs: DataFrame) -> DataFrame:
     """Terminal blocks lose their wrapper, inline tags and entities; other HTML stays.
 
-    Only texts that hold such a block go through the entity decoder."""
-    plain = docs.where(~F.coalesce(F.col("text").rlike(TERMY), F.lit(False)))
-    held = docs.where(F.col("text").rlike(TERMY))
+    One pass: of texts without such a block the entity decoder gets a null."""
     mark = "\x00"
+    held = F.col("text").rlike(TERMY)
     body = lambda b: F.regexp_replace(F.regexp_extract(b, TERMY_BODY, 1), INLINE_TAG, "")
-    bodies = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(TERMY), F.lit(0)), body), mark)
-    held = held.withColumn("__bodies", F.split(unescape(bodies), mark, -1)).withColumn("__gaps", F.split("text", TERMY, -1))
+    bodies = F.when(held, F.array_join(F.transform(F.regexp_extract_all("text", F.lit(TERMY), F.lit(0)), body), mark))
+    rows = docs.withColumn("__bodies", unescape(bodies)).withColumns({"__bodies": F.split("__bodies", mark, -1), "__gaps": F.when(F.col("__bodies").isNotNull(), F.split("text", TERMY, -1))})
     trimmed = lambda i: F.btrim(F.coalesce(F.get(F.col("__bodies"), i), F.lit("")), F.lit("\n"))
     woven = F.array_join(F.transform("__gaps", lambda g, i: F.concat(g, F.when(i < F.size("__gaps") - 1, trimmed(i)).otherwise(F.lit("")))), "")
-    return plain.unionByName(held.withColumn("text", woven).drop("__bodies", "__gaps"))
+    return rows.withColumn("text", F.when(F.col("__gaps").isNotNull(), woven).otherwise(F.col("text"))).drop("__bodies", "__gaps")
 
 
 def convert_admonitions(text: Column) -> Column:
