@@ -110,7 +110,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     shown = F.create_map(*(F.lit(x) for pair in SHOWN.items() for x in pair))
     of = m.groupBy(F.concat(F.lit("r"), F.col("run").cast("string")).alias("run_id"), shown[F.col("metric")].alias("metric"))
     rows = of.agg(F.round(F.avg("value"), 6).alias("value"), F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").cast("int").alias("n"))
-    return spark.createDataFrame(RUNS, "run_id string, name string, created_at string, generation_hash string"), rows.withColumn("dataset", F.lit("a"))
+    return tables.stated(spark, RUNS, "run_id string, name string, created_at string, generation_hash string"), rows.withColumn("dataset", F.lit("a"))
 
 
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +124,7 @@ def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, m = _runs(spark, sf_dir)
-    limits = spark.createDataFrame(THRESHOLDS, "metric string, floor double, tolerance double")
+    limits = tables.stated(spark, THRESHOLDS, "metric string, floor double, tolerance double")
     of = lambda run: m.where((F.col("run_id") == run) & (F.col("dataset") == "a")).select("metric", "value")
     return runs.gate(limits, of("r1"), of("r0"))
 

@@ -1,6 +1,7 @@
 """Goldens by hand for the operators, and every SQL twin on the smallest tables."""
 
 import random
+import tracemalloc
 from collections import Counter
 
 import duckdb
@@ -392,6 +393,40 @@ def test_gate(spark):
     assert runs.gate_verdict(out).first()["verdict"] == "FAIL"
 
 
+def test_best_rows_of_a_slot_hold_few_scores():
+    """What a task of a dense search holds beside its queries does not grow with its vectors, and is a part of what links may hold; the rows are those of all scores at once."""
+    rng = np.random.default_rng(11)
+    q, v = rng.normal(size=(2048, 16)), rng.normal(size=(12_000, 16))
+
+    def part(kind, ids, x):
+        n = len(ids)
+        same = pa.array(np.zeros(n, np.int32))
+        columns = [same, same, same, pa.array(np.full(n, kind, np.int32)), pa.array(ids), pa.array(["all"] * n), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 16, dtype=np.int32)), pa.array(x.ravel()))]
+        return pa.RecordBatch.from_arrays(columns, names=["cell", "block", "salt", "kind", "id", "source", "embedding"])
+
+    class Met:
+        def mapInArrow(self, run, _):  # noqa: N802
+            return run
+
+    run, peaks = dense.best_of(Met(), 3), []
+    for n in (12_000, 6000):
+        batches = [part(0, np.arange(2048), q), *(part(1, np.arange(i, i + 3000), v[i : i + 3000]) for i in range(0, n, 3000))]
+        tracemalloc.start()
+        found = pa.Table.from_batches(list(run(iter(batches))))
+        peaks.append(tracemalloc.get_traced_memory()[1] / 2**20)
+        tracemalloc.stop()
+    assert max(peaks) < 25 and peaks[0] < 1.2 * peaks[1]
+    score = np.round((q / np.linalg.norm(q, axis=1, keepdims=True)) @ (v[:6000] / np.linalg.norm(v[:6000], axis=1, keepdims=True)).T, 6)
+    order = np.argsort(-score, axis=1, kind="stable")[:, :3]
+    assert sorted(zip(found["query_id"].to_pylist(), found["doc_id"].to_pylist(), strict=True)) == sorted((i, int(j)) for i in range(2048) for j in order[i])
+
+
+def test_stated_rows_need_no_python_workers(spark):
+    """The rows that a query states are in its plan; an RDD of tuples has Python workers of its own on the executors."""
+    for name in ("gate", "leaderboard", "compare_runs"):
+        assert "LogicalRDD" not in registry.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_config(tmp_path):
     (tmp_path / "base.yaml").write_text("name: base\nretrieval:\n  top_k: 5\n  bm25: { enabled: false, k1: 1.5 }\neval:\n  k_values: [1, 5]\n  thresholds:\n    mrr: { min: 0.5 }\n")
     (tmp_path / "top.yaml").write_text("extends: base.yaml\nname: top  # a note\nretrieval:\n  bm25:\n    enabled: true\n")
